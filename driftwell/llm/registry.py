@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_mixing, q_sharding
+from . import q_bitslice, q_mixing, q_sharding, q_simhash
 
-MODULES = [q_mixing, q_sharding]
+MODULES = [q_bitslice, q_simhash, q_sharding, q_mixing]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

@@ -61,6 +61,9 @@ def apportion(parties: DataFrame, within: list[str], party: list[str], votes: st
     """
     group = Window.partitionBy(*within)
     v, n, total = F.col(votes).cast("double"), F.count("*").over(group), F.sum(F.col(votes).cast("double")).over(group)
+    clash = {"_n", "_v", "_low", "_high", "_left", "_k", "_rank", "_more"} & set(parties.columns)
+    if clash:
+        raise ValueError(f"column names in use: {sorted(clash)}")
     p = parties.withColumns({"_n": n, "_v": total})
     low_seats, high_seats = F.col(seats) - F.col("_n") / 2, F.col(seats) + F.col("_n") / 2
     granted = lambda s: F.when((F.col("_v") > 0) & (s > 0), F.floor(v * s / F.col("_v") + 0.5)).otherwise(F.lit(0)).cast("long")
@@ -105,13 +108,13 @@ def mix_documents(docs: DataFrame, budget_share: float = 1.5, max_repeat: int =
     placed = placed.withColumn("_start", start)
 
     shards = placed.groupBy("_name", "_shard").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"))
-    shards = shards.withColumn("_n", F.ceil(F.col("_words") / block)).withColumn("_cap", F.col("_n") * max_repeat)
+    shards = shards.withColumn("_count", F.ceil(F.col("_words") / block)).withColumn("_cap", F.col("_count") * max_repeat)
     shards = apportion(shards, ["_name"], ["_shard"], "_words", "_blocks", "_cap")
     picks = (
-        shards.filter(F.col("_n") > 0)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        shards.filter(F.col("_count") > 0)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)))
         .withColumn("_rank", F.row_number().over(shard.orderBy(_draw("block", F.col("_name"), F.col("_shard").cast("string"), F.col("_block").cast("string")), "_block")))
-        .select("_name", "_shard", "_block", (F.floor(F.col("quota") / F.col("_n")) + F.when(F.col("_rank") <= F.col("quota") % F.col("_n"), 1).otherwise(0)).alias("_times"))
+        .select("_name", "_shard", "_block", (F.floor(F.col("quota") / F.col("_count")) + F.when(F.col("_rank") <= F.col("quota") % F.col("_count"), 1).otherwise(0)).alias("_times"))
     )
     # A shard's taken blocks as a sorted list of their first words would not fit hot shards in one row, so blocks meet
     # the documents on (shard, block); a document spans size / block + 1 of them.

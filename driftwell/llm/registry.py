@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_bitslice, q_langid, q_mixing, q_packing, q_sharding, q_simhash
+from . import q_bitslice, q_langid, q_learned, q_mixing, q_packing, q_sharding, q_simhash
 
-MODULES = [q_bitslice, q_simhash, q_sharding, q_mixing, q_packing, q_langid]
+MODULES = [q_bitslice, q_simhash, q_sharding, q_mixing, q_packing, q_langid, q_learned]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

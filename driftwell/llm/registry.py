@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_bitslice, q_langid, q_learned, q_mixing, q_packing, q_sharding, q_simhash, q_urlfilter
+from . import q_bitslice, q_langid, q_learned, q_mixing, q_packing, q_sharding, q_simhash, q_urlfilter, q_warc
 
-MODULES = [q_bitslice, q_simhash, q_sharding, q_mixing, q_packing, q_langid, q_learned, q_urlfilter]
+MODULES = [q_bitslice, q_simhash, q_sharding, q_mixing, q_packing, q_langid, q_learned, q_urlfilter, q_warc]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

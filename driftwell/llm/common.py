@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -48,3 +52,14 @@ def digest_int(text: Column) -> Column:
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone; other letters stay."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def worker_cache(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept for the life of a Python worker and so shared by its tasks.
+
+    Task functions travel by value, and with them their modules' globals; a module made here stays.
+    """
+    held = sys.modules.setdefault("driftwell_worker_cache", types.ModuleType("driftwell_worker_cache"))
+    if name not in held.__dict__:
+        setattr(held, name, make())
+    return held.__dict__[name]

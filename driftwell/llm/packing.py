@@ -9,9 +9,9 @@
    about BUCKET windows by a hash, and are packed the same way, in descending length. The windows that are open
    at the end of a bucket are merged, the emptiest into the fullest, so that one at most isn't full.
 
-Ids come from a table of words: a text is cut at ASCII white space, which no token spans, and each different
-word is encoded once while it stays in the table (WORDS at most, then the table is begun anew). The ids are
-those of the whole text.
+Ids come from a table of words: a text is cut where no token spans (``words_of``), and each different word is
+encoded once while it stays in the worker's table (WORDS at most, then the table is begun anew). The ids are
+those of the whole text. The vocabulary must be one that lower-cases and drops white space.
 
 Sequences are rows (sequence_id, offset) of pieces; sequence ids are unique, not gapless: the partition or the
 bucket and a running number. The ids of a sequence can be had with ``ids=True``.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,13 +33,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise
+from .common import materialise, worker_cache
 
 LENGTH = 2048
 OPEN = 64
 CUT = 16
 BUCKET = 1024
-WORDS = 300_000
+WORDS = 600_000
+#: Between an ASCII letter or digit and the ASCII punctuation that ends its word.
+ENDING = re.compile(rb"(?<=[a-z0-9])(?=[!-/:-@\[-`{-~]+(?:\s|$))")
 CLOSE = 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -46,25 +49,44 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 Piece = tuple[object, int, bytes, int]
 
 
-def tokenizer_ids(vocabulary: str, close: int = CLOSE) -> Callable[[list[str | None]], list[bytes]]:
+def words_of(text: str | None) -> list[bytes]:
+    """The text's words, fewer different ones without change to their ids.
+
+    The vocabulary lower-cases, and begins anew between a letter or digit and the punctuation after it. Texts
+    that may name special tokens are left as they are.
+    """
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return data.split() if b"<|" in data else ENDING.sub(b" ", data.lower()).split()
+
+
+def tokenizer_ids(vocabulary: str, close: int = CLOSE, words: int = WORDS) -> Callable[[list[str | None]], list[bytes]]:
     """A function from texts to their ids, as little-endian unsigned 32-bit numbers, ``close`` at the end."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(vocabulary)
-    known: dict[bytes, bytes] = {}
+    tokenizer: Tokenizer = worker_cache(f"tokenizer {vocabulary}", lambda: Tokenizer.from_file(vocabulary))
+    known: dict[bytes, bytes] = worker_cache(f"words {vocabulary}", dict)
     end = np.array([close], "<u4").tobytes()
 
+    def learn(new: list[bytes]) -> None:
+        """Encode the words together; the place of each token in the line tells its word."""
+        plain = [w.decode("utf-8", "replace") for w in new]
+        found = tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        ids, starts = np.array(found.ids, "<u4").tobytes(), np.cumsum([0] + [len(w) + 1 for w in plain])
+        of_word = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), "right") - 1
+        bounds = (4 * np.searchsorted(of_word, np.arange(len(new) + 1))).tolist()
+        for word, a, b in zip(new, bounds, bounds[1:], strict=False):
+            known[word] = ids[a:b]
+
     def encode(texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list(set().union(*split).difference(known))
-        if len(known) + len(new) > WORDS:
+        split = [words_of(t) for t in texts]
+        new = set().union(*split).difference(known)
+        if len(known) + len(new) > words:
             known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+            new = set().union(*split)
+        ordered = list(new)
+        for at in range(0, len(ordered), 4096):
+            learn(ordered[at : at + 4096])
+        return [b"".join(map(known.__getitem__, w)) + end for w in split]
 
     return encode
 

@@ -46,7 +46,7 @@ def check(rows, texts, length=2048, most_padding=0.05):
 
 
 def test_words_give_the_ids_of_the_whole_text():
-    texts = [None, "", "Hello, WORLD!! it's", "a b  c", "é ́x ﬁ Σς", "１２ 34.5%%% |###", "x" * 5000, "<|endoftext|> y", "日本 \U0001f600", "a\x1cb\x0bc\x85d"]
+    texts = [None, "", "Hello, WORLD!! it's", "a b  c", "é ́x ﬁ Σς", "１２ 34.5%%% |###", "x" * 5000, "<|endoftext|> y", "日本 \U0001f600", "a\x1cb\x0bc\x85d", "dogs' X's'! a…. É… <|ENDOFTEXT|> A_b_ (c) Ä%%%", "WORD,!! x2.5. it'LL' K. 'S"]
     assert [np.frombuffer(b, "<u4").tolist() for b in tokenizer_ids(VOCABULARY)(texts)] == [plain_ids(t) for t in texts]
 
 

@@ -86,11 +86,11 @@ def _draw(name: str, *key: Column) -> Column:
     return digest_int(F.concat_ws(":", F.lit(f"{SEED}:{name}"), *key))
 
 
-def mix_documents(docs: DataFrame, budget_share: float = 1.5, max_repeat: int = 2, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each document."""
+def _mix(docs: DataFrame, budget_share: float, max_repeat: int, block: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with their place, their words in each block and how often it's taken)."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialise(docs.select("doc_id", "source", words.alias("size"), _draw("doc", key).alias("_draw")))
+    sized = materialise(docs.select("doc_id", "source", words.alias("size"), _draw("doc", key).alias("_draw"), _text_key().alias("_key")))
 
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), budget_share, max_repeat)
     everything = Window.partitionBy()
@@ -120,16 +120,54 @@ def mix_documents(docs: DataFrame, budget_share: float = 1.5, max_repeat: int =
     # the documents on (shard, block); a document spans size / block + 1 of them.
     end = F.col("_start") + F.col("size")
     spans = placed.filter(F.col("size") > 0).select(
-        "doc_id", "_draw", "source", "size", "source_size", "target", "_name", "_shard", "_start",
+        "doc_id", "_key", "source", "size", "source_size", "target", "_name", "_shard", "_start",
         F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((end - 1) / block))).alias("_block"),
     )
+    return placed, spans.join(picks, ["_name", "_shard", "_block"])
+
+
+def _text_key() -> Column:
+    """Names a document by its id and its text."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(F.col("text").cast("string")).cast("string"))
+
+
+def mix_documents(docs: DataFrame, budget_share: float = 1.5, max_repeat: int = 2, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for each document."""
+    placed, spans = _mix(docs, budget_share, max_repeat, block, shard_words)
     overlap = F.least(F.col("_start") + F.col("size"), (F.col("_block") + 1) * block) - F.greatest(F.col("_start"), F.col("_block") * block)
     doc = ["_name", "_shard", "_start"]  # one document of size > 0 each
     taken = (
-        spans.join(picks, ["_name", "_shard", "_block"])
-        .groupBy(*doc, "doc_id", "source", "size", "source_size", "target")
+        spans.groupBy(*doc, "doc_id", "source", "size", "source_size", "target")
         .agg(F.sum(overlap * F.col("_times")).cast("long").alias("taken"))
         .select("doc_id", "source", "size", "source_size", "target", "taken")
     )
     empty = placed.filter(F.col("size") == 0).select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return taken.unionAll(empty)
+
+
+def mix_texts(docs: DataFrame, budget_share: float = 1.5, max_repeat: int = 2, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: a row for each time that words of a document are taken.
+
+    The c-th row of a document has the words that are taken c times at least, in their order, joined by spaces;
+    where those are all of them the text stays as it was. ``n_chars``, if there, is counted anew. Rows alike in
+    id and text are mixed each; their other columns are those of the first by all columns.
+    """
+    _, spans = _mix(docs, budget_share, max_repeat, block, shard_words)
+    low = F.greatest(F.col("_block") * block - F.col("_start"), F.lit(0))
+    high = F.least((F.col("_block") + 1) * block - F.col("_start"), F.col("size"))
+    # A document's spans: one for each block of its words.
+    taken = spans.filter(F.col("_times") > 0).groupBy("_key", "_name", "_shard", "_start", "size").agg(
+        F.sort_array(F.collect_list(F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.col("_times").alias("times")))).alias("_spans")
+    )
+    keyed = docs.withColumn("_key", _text_key())
+    if keyed.groupBy("_key").count().filter("count > 1").limit(1).count():
+        keyed = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_key").orderBy(*[F.col(c) for c in docs.columns]))).filter("_row = 1").drop("_row")
+    mixed = keyed.join(taken.select("_key", "size", "_spans"), "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(max_repeat))))
+    mixed = mixed.withColumn("_spans", F.filter("_spans", lambda s: s["times"] >= F.col("_copy"))).filter(F.size("_spans") > 0)
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))
+    parts = F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_words"), s["low"] + 1, s["high"] - s["low"])))
+    whole = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["high"] - s["low"]) == F.col("size")
+    mixed = mixed.withColumn("_words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(parts, " ")))
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return mixed.select(docs.columns)

@@ -2,9 +2,59 @@
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from driftwell.llm import langid, quality
+from driftwell.llm.common import shared_folder, table
+from driftwell.llm.mixing import mix_texts
+from driftwell.llm.packing import pack_documents
+from driftwell.llm.q_packing import VOCABULARY
+from driftwell.llm.simhash import keep_first
+
+#: Scores of language identification: below the first no language stands out; from the second on a document's own
+#: language is taken to be wrong if it differs.
+UNDECIDED, CERTAIN = 0.515, 0.6
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).filter("keep").select(docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned, and not surely in another one than they say."""
+    parser = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    judged = langid.predict(docs.withColumn("_said", F.col("lang")), parser)
+    wrong = (F.col("score") >= CERTAIN) & (F.col("lang_pred") != F.coalesce("_said", "lang_pred"))
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= UNDECIDED) & ~wrong).select(docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles)."""
+    return keep_first(docs, radius=3, shingle=5)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words of each source that its target asks for."""
+    return mix_texts(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return pack_documents(docs, VOCABULARY).drop("ids")
+
+
+STAGES = [("quality classifier", good_quality), ("language ID", known_language), ("SimHash near-dedup", without_copies), ("mixing sources", mixed), ("packing", packed)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for n, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+    return docs

@@ -83,13 +83,14 @@ def generalise(templates: DataFrame, depth: int = DEPTH) -> DataFrame:
         there = there.join(varied, ["host", "node"], "left")
         name = F.when(F.col("_varied"), F.lit("*")).otherwise(F.col("_segment"))
         out = there.withColumn("node", F.when(F.col("_segment").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), name))).drop("_segment", "_varied")
+        out = materialise(out)  # each level reads the one above twice; uncut, the plan would double with each
     return out
 
 
 def judge_templates(templates: DataFrame, depth: int = DEPTH) -> DataFrame:
     """templates (host, node, allowed, blocked) -> (host, node, purity), similar branches merged level by level."""
     rows = templates.groupBy("host", "node").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
-    rows = rows.withColumn("_parts", F.split(F.col("node"), "/"))
+    rows = materialise(rows.withColumn("_parts", F.split(F.col("node"), "/")))
     total = rows.agg(F.sum("allowed").alias("_a"), F.sum("blocked").alias("_b"))
     root = total.select(((F.coalesce("_b", F.lit(0)) + STRENGTH * PRIOR) / (F.coalesce(F.col("_a") + F.col("_b"), F.lit(0)) + STRENGTH)).alias("_root"))
     hosts = rows.groupBy("host").agg(F.sum("allowed").alias("_a"), F.sum("blocked").alias("_b")).crossJoin(F.broadcast(root))  # root is one row
@@ -101,13 +102,13 @@ def judge_templates(templates: DataFrame, depth: int = DEPTH) -> DataFrame:
         n = F.col("_a") + F.col("_b")
         # With the node's own purity p, a child's blocked examples have mean n p and variance n p (1 - p).
         off = F.pow(F.col("_b") - n * F.col("_above"), 2) > F.lit(Z * Z) * n * F.col("_above") * (1 - F.col("_above"))
-        sums = sums.withColumn("_name", F.when(off, F.col("_child")).otherwise(F.lit("~")))
+        sums = materialise(sums.withColumn("_name", F.when(off, F.col("_child")).otherwise(F.lit("~"))))
         merged = sums.groupBy("host", "branch", "_name").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.first("_above").alias("_above"))
         merged = merged.select("host", "branch", "_name", ((F.col("_b") + STRENGTH * F.col("_above")) / (F.col("_a") + F.col("_b") + STRENGTH)).alias("_purity"))
         named = sums.select("host", "branch", "_child", "_name").join(merged, ["host", "branch", "_name"])
         rows = there.join(named, ["host", "branch", "_child"], "left")
         rows = rows.withColumn("purity", F.coalesce("_purity", "purity")).withColumn("branch", F.when(F.col("_name").isNotNull(), F.concat("branch", F.lit("/"), "_name")).otherwise(F.col("branch")))
-        rows = rows.drop("_child", "_name", "_purity")
+        rows = materialise(rows.drop("_child", "_name", "_purity"))
     return rows.select("host", "node", "branch", "purity")
 
 
@@ -118,7 +119,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, de
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     ruled = materialise(split.withColumns({"rule": rule, "_verdict": verdict, "lexical": lexical_template(F.col("path"), depth)}))
     templates = ruled.groupBy("host", "lexical").agg(F.count("*").alias("pages"), F.count_if(F.col("_verdict") == "allow").alias("allowed"), F.count_if(F.col("_verdict") == "block").alias("blocked"))
-    templates = materialise(generalise(templates, depth))
+    templates = generalise(materialise(templates), depth)
     judged = judge_templates(templates, depth)
     known = templates.select("host", "lexical", "node").join(judged, ["host", "node"])
     return ruled.join(known, ["host", "lexical"]).select(

@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import digest_int
 
-LABELLED = 6000
-POOL = 3000
+LABELLED = 4000
+POOL = 2000
 ROUNDS = 3
 PICK = 150
 SURE = 0.9
@@ -76,20 +76,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-4, steps: int = 250, rate: float = 0.2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 250, rate: float = 0.2) -> np.ndarray:
     """Weights, the intercept last, by Adam on all rows."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.ones(len(x)) if weight is None else weight
-    w, first, second = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    n = x.shape[1]
+    w, first, second = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
-        g = x.T @ (weight * (sigmoid(x @ w) - y)) / weight.sum() + ridge * w
+        off = ((sigmoid(margin(x, w)) - y) / len(x)).astype(x.dtype)
+        g = np.append(off @ x, off.sum()) + ridge * w
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w = w - rate * (1 - step / (steps + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w
 
 
 def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+    return (x @ w[:-1].astype(x.dtype)).astype(float) + w[-1]
 
 
 class CoTrained:
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     got = rows.mapInPandas(features, "_y int, _draw long, _id long, text binary, meta binary").toPandas().sort_values(["_draw", "_id"])
     if not len(got):
         return CoTrained()
-    x = [np.stack([np.frombuffer(b, np.float32) for b in got[c]]).astype(float) for c in ("text", "meta")]
+    x = [np.stack([np.frombuffer(b, np.float32) for b in got.pop(c)]) for c in ("text", "meta")]
     y = got["_y"].to_numpy()
     return CoTrained().learn([m[y >= 0] for m in x], y[y >= 0], [m[y < 0] for m in x], **options)
 

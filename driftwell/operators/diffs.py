@@ -21,12 +21,16 @@ def both_versions(facts: DataFrame, steps: DataFrame, entity: list[str], order:
     return before, steps.drop(f"before_{order}").join(facts, [*entity, order])
 
 
-def diff_path_maps(before: DataFrame, after: DataFrame, keys: list[str], path: str = "path", leaf: str = "leaf") -> DataFrame:
-    """(keys, path, change, old, new): paths added, removed, or with another leaf. Equal leaves give no row."""
+def diff_path_maps(before: DataFrame, after: DataFrame, keys: list[str], path: str = "path", leaf: str = "leaf", equal: str | None = None) -> DataFrame:
+    """(keys, path, change, old, new): paths added, removed, or with another leaf. Equal leaves give no row.
+
+    ``equal``: the field of a struct leaf that alone says whether leaves are equal.
+    """
+    compared = f"_leaf.{equal}" if equal else "_leaf"
     sides = before.select(*keys, path, F.col(leaf).alias("_leaf"), F.lit(False).alias("_new")).unionAll(after.select(*keys, path, F.col(leaf), F.lit(True)))
     pick = lambda new: F.max(F.when(F.col("_new") == new, F.struct("_leaf")))  # noqa: E731  a struct, as leaves may be null
     met = sides.groupBy(*keys, path).agg(pick(False).alias("_old"), pick(True).alias("_now"))
-    change = F.when(F.col("_old").isNull(), "added").when(F.col("_now").isNull(), "removed").when(~F.col("_old._leaf").eqNullSafe(F.col("_now._leaf")), "changed")
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_now").isNull(), "removed").when(~F.col(f"_old.{compared}").eqNullSafe(F.col(f"_now.{compared}")), "changed")
     return met.select(*keys, path, change.alias("change"), F.col("_old._leaf").alias("old"), F.col("_now._leaf").alias("new")).filter("change is not null")
 
 

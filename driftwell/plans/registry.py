@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, auditing, mining
+from . import analytics, auditing, mining, patching
 
-MODULES = [mining, auditing, analytics]
+MODULES = [mining, auditing, analytics, patching]
 QUERIES = {k: v for m in MODULES for k, v in m.Q.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

@@ -9,6 +9,7 @@
    follows only the edges whose key is within the radius of the distance to the node. Shards of more than
    TREE fingerprints are cut into trees of about TREE by a hash, and each tree is shipped, whole, to a task of
    its own, which takes its own fingerprints and then, as a stream, those of the shard's other trees.
+   For a wider net (``similar_documents``), fingerprints have more bits and shards are named by bands of them.
 5. A tree's links leave as a spanning forest (at most one link for each fingerprint and tree); connected
    components join them over all shards.
 
@@ -20,6 +21,7 @@ null ids are fingerprinted, and take part in linking, but name no component unle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -27,7 +29,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, LongType
 
 from .common import materialise
 from .components import connected_components
@@ -37,22 +39,51 @@ RADIUS = 3
 TREE = 4096
 
 
-def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """As an unsigned number. bytes.split() and bytes.lower() know ASCII alone, as the rules ask."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        shingles = [b" ".join(words)]
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many rows of hashes[row, word] have each bit set: counts[word * 64 + bit].
+
+    Lanes of eight bits are summed side by side in whole words, 255 rows at a time, which no lane overflows.
+    """
+    n, k = hashes.shape
+    ones, counts = np.uint64(0x0101010101010101), np.zeros((k, 8, 8), np.int64)
+    for at in range(0, n, 255 * 64):
+        part = hashes[at : at + 255 * 64]
+        full = np.zeros((-(-len(part) // 255) * 255, k), np.uint64)
+        full[: len(part)] = part
+        full = full.reshape(-1, 255, k)
+        for b in range(8):
+            lanes = ((full >> np.uint64(b)) & ones).sum(axis=1, dtype=np.uint64)
+            counts[:, :, b] += np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, k, 8).sum(axis=0, dtype=np.int64)
+    return counts.reshape(-1)
+
+
+def widened(hashes: np.ndarray, words: int) -> np.ndarray:
+    """hashes[row, word]: the hashes themselves, then hashes of them, as good as independent."""
+    out = np.empty((len(hashes), words), np.uint64)
+    out[:, 0] = hashes
+    for w in range(1, words):
+        x = hashes + np.uint64(0x9E3779B97F4A7C15 * w % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, w] = x ^ (x >> np.uint64(31))
+    return out
+
+
+def text_fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> bytes:
+    """64 * words bits, least significant first. bytes.split() and bytes.lower() know ASCII alone, as the rules ask."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return bytes(8 * words)
+    if len(tokens) <= shingle:
+        shingles = [b" ".join(tokens)]
     else:
-        shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
+        shingles = map(b" ".join, zip(*[tokens[i:] for i in range(shingle)], strict=False))
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(s, 42) for s in shingles), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 14):
-        part = h[at : at + (1 << 14)]
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << b for b in range(64) if 2 * ones[b] > len(h)))
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(h), 255 * 64):
+        counts += bit_counts(widened(h[at : at + 255 * 64], words))
+    return np.packbits(2 * counts > len(h), bitorder="little").tobytes()
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
@@ -60,7 +91,17 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
 
     @F.pandas_udf(LongType())
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([text_fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.frombuffer(b"".join(text_fingerprint(t, shingle) for t in texts), "<i8"))
+
+    return of(text.cast("string"))
+
+
+def wide_fingerprint(text: Column, shingle: int, words: int) -> Column:
+    """A fingerprint of 64 * words bits, as bytes."""
+
+    @F.pandas_udf(BinaryType())
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_fingerprint(t, shingle, words) for t in texts])
 
     return of(text.cast("string"))
 
@@ -181,6 +222,55 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tree: int = TRE
     return dealt.repartition(*key).sortWithinPartitions(*key, "_probes").mapInPandas(_link(radius), "u long, v long")
 
 
+def similar_radius(similarity: float, bits: int) -> int:
+    """Differing bits to be expected of two sets with this Jaccard similarity, and a standard deviation more.
+
+    Shingle sets of similarity s and like size have the cosine 2s / (1 + s); a bit differs where a random plane
+    parts them, that is with the probability of their angle over pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def _link_wide(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Like _link(), with nodes named by ``_id``; a shard's ids are kept beside its tree."""
+        last, shard, ids = None, _Shard(radius), {}
+        for rows in batches:
+            u, v = [], []
+            for *key, probes, node, f in rows[["_band", "_bits", "_tree", "_probes", "_id", "_f"]].itertuples(index=False, name=None):
+                if key != last:
+                    last, shard, ids = key, _Shard(radius), {}
+                value = int.from_bytes(f, "little")
+                for other in (shard.probe if probes else shard.grow)(value):
+                    u.append(node)
+                    v.append(ids[other])
+                if not probes:
+                    ids[value] = node
+            yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+    return link
+
+
+def wide_links(distinct: DataFrame, radius: int, words: int, tree: int = TREE) -> DataFrame:
+    """Links (u, v) between ids of fingerprints (``_id``, ``_f``) that agree in a band and differ in ``radius`` bits at most.
+
+    A shard is named by a band of 16 bits, so with n fingerprints it has n / 65536 on the average; more words give
+    more bands, and pairs more chances to meet.
+    """
+    bands = 4 * words
+    keyed = distinct.select("_id", "_f", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("_band"))
+    keyed = keyed.withColumn("_bits", F.substring("_f", F.col("_band") * 2 + 1, F.lit(2)))
+    large = keyed.groupBy("_band", "_bits").agg(F.count("*").alias("_n")).filter(F.col("_n") > tree)
+    large = large.select("_band", "_bits", F.ceil(F.col("_n") / tree).cast("int").alias("_trees"))
+    placed = keyed.join(large, ["_band", "_bits"], "left").withColumn("_trees", F.coalesce("_trees", F.lit(1)))
+    own = F.pmod(F.xxhash64("_id"), F.col("_trees")).cast("int")
+    dealt = placed.withColumn("_own", own).withColumn("_tree", F.explode(F.sequence(F.lit(0), F.col("_own"))))
+    dealt = dealt.select("_band", "_bits", "_tree", (F.col("_tree") != F.col("_own")).alias("_probes"), "_id", "_f")
+    key = ["_band", "_bits", "_tree"]
+    return dealt.repartition(*key).sortWithinPartitions(*key, "_probes").mapInPandas(_link_wide(radius), "u long, v long")
+
+
 def _hex(f: Column) -> Column:
     return F.lower(F.lpad(F.hex(f), 16, "0"))
 
@@ -188,23 +278,41 @@ def _hex(f: Column) -> Column:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree: int = TREE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id, the smallest doc_id that links lead to, and component.
 
-    ``component`` names the class even where no document of it has an id: by its smallest fingerprint, as a long.
+    ``component`` names the class even where no document of it has an id.
     """
     marked = materialise(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("_f")))
-    distinct = materialise(marked.groupBy("_f").agg(F.min("doc_id").alias("_least")))
-    classes = connected_components(fingerprint_links(distinct.select("_f"), radius, tree))
-    classes = distinct.join(classes.select(F.col("node").alias("_f"), "component"), "_f", "left").withColumn("component", F.coalesce("component", "_f"))
+    distinct = materialise(marked.groupBy("_f").agg(F.min("doc_id").alias("_least"))).withColumn("_id", F.col("_f"))
+    return _classes(marked, distinct, fingerprint_links(distinct.select("_f"), radius, tree))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8, tree: int = TREE) -> DataFrame:
+    """As near_duplicates(), linking documents whose shingles are similar by the estimate of 64 * words bits.
+
+    Equal fingerprints are one class; pairs meet where they agree in one of 4 * words bands, which pairs of
+    similarity 0.8 do with probability 0.91 for 8 words, and those of 0.9 nearly always.
+    """
+    marked = materialise(docs.select("doc_id", wide_fingerprint(F.col("text"), shingle, words).alias("_f")))
+    # Numbers of a written table don't change when a task runs again.
+    distinct = materialise(marked.groupBy("_f").agg(F.min("doc_id").alias("_least"))).withColumn("_id", F.monotonically_increasing_id())
+    return _classes(marked, distinct, wide_links(distinct.select("_id", "_f"), similar_radius(similarity, 64 * words), words, tree))
+
+
+def _classes(marked: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    found = connected_components(links).select(F.col("node").alias("_id"), "component")
+    classes = distinct.join(found, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     named = materialise(classes.groupBy("component").agg(F.min("_least").alias("component_id")))
     known = materialise(classes.join(named, "component").select("_f", "component_id", "component"))
     return marked.join(known, "_f").select("doc_id", _hex(F.col("_f")).alias("fingerprint"), "component_id", "component")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def keep_first(docs: DataFrame, similarity: float | None = None, radius: int = RADIUS, shingle: int = SHINGLE, words: int = 8) -> DataFrame:
     """The documents of ``docs`` without near-duplicates: of each component the document that names it.
 
-    Of rows with one doc_id, that with the first text stays; so does, of a class without ids, that with the first text.
+    Components are those of similar_documents() if a similarity is given, else those of near_duplicates(). Of rows
+    with one doc_id, that with the first text stays; so does, of a class without ids, that with the first text.
     """
-    classes = materialise(near_duplicates(docs, radius, shingle))
+    classes = materialise(near_duplicates(docs, radius, shingle) if similarity is None else similar_documents(docs, similarity, shingle, words))
+    marks = _hex(fingerprint(F.col("text"), shingle) if similarity is None else wide_fingerprint(F.col("text"), shingle, words))
     firsts = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_rows"))
     firsts = firsts.select(F.col("doc_id").alias("_id"), "_rows")
     # Both odd cases are looked for first: without them the texts meet one join and no sort.
@@ -216,7 +324,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
         kept = docs.join(firsts, docs["doc_id"] == F.col("_id"), "left_semi")
     nameless = classes.filter("doc_id is null and component_id is null")
     if nameless.limit(1).count():
-        own = docs.filter(F.col("doc_id").isNull()).withColumn("_fingerprint", _hex(fingerprint(F.col("text"), shingle)))
+        own = docs.filter(F.col("doc_id").isNull()).withColumn("_fingerprint", marks)
         own = own.join(nameless.groupBy("fingerprint").agg(F.min("component").alias("_component")), F.col("_fingerprint") == F.col("fingerprint"))
         kept = kept.unionByName(_first_row(own.drop("_fingerprint", "fingerprint"), "_component").select(docs.columns))
     return kept

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import table
 from driftwell.llm.components import connected_components
-from driftwell.llm.simhash import BKTree, fingerprint_links, keep_first, near_duplicates
+from driftwell.llm.simhash import BKTree, bit_counts, fingerprint_links, keep_first, near_duplicates, similar_documents, similar_radius, text_fingerprint, widened
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component string"
 
@@ -89,3 +90,45 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 150)}
+
+
+def test_bit_counts():
+    rng = np.random.default_rng(1)
+    for n in (1, 254, 255, 256, 20_000):
+        h = widened(rng.integers(0, 2**63, n, np.uint64), 3)
+        assert bit_counts(h).tolist() == np.unpackbits(h.astype("<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little").sum(axis=0, dtype=int).tolist()
+
+
+def test_bits_tell_similarity():
+    rnd = random.Random(3)
+    for copies, want in ((0.9, True), (0.6, False)):
+        near = 0
+        for _ in range(40):
+            a = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+            shared = round(2 * copies / (1 + copies) * 400)
+            b = a[:shared] + [f"x{rnd.randrange(10**6)}" for _ in range(400 - shared)]
+            bits = [int.from_bytes(text_fingerprint(" ".join(t), 1, 8), "little") for t in (a, b)]
+            near += (bits[0] ^ bits[1]).bit_count() <= similar_radius(0.8, 512)
+        assert near >= 38 if want else near <= 2
+
+
+def test_similar_documents(spark):
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    texts, group = {}, {}
+    for g in range(40):
+        base = [word() for _ in range(300)]
+        for c in range(6):
+            copy = list(base)
+            for _ in range(c):
+                copy[rnd.randrange(300)] = word()  # at most 5 of 300 words: similarity over 0.84
+            texts[10 * g + c], group[10 * g + c] = " ".join(copy), 10 * g
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "clash") for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r.component_id for r in similar_documents(docs).collect()}
+    assert all(group[i] == group[c] for i, c in got.items())
+    assert sum(got[i] == group[i] for i in got) >= 0.99 * len(got)
+    kept = keep_first(docs, similarity=0.8, shingle=5)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
+    odd = docs.filter("doc_id < 2").unionByName(spark.createDataFrame([(None, None, None, None, None, None), (None, "", None, None, None, None), (7000, "only", None, None, None, None)], SCHEMA))
+    assert sorted((str(r.doc_id) for r in keep_first(odd, similarity=0.8, shingle=5).collect())) == ["0", "7000", "None"]
+    assert keep_first(docs.limit(0), similarity=0.8).count() == 0

@@ -33,8 +33,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles)."""
-    return keep_first(docs, radius=3, shingle=5)
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return keep_first(docs, similarity=0.8, shingle=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ cache table with negative entries stands before it: only what neither it nor an
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
@@ -21,6 +23,7 @@ from ..schemas import SCHEMAS
 CONNECT_AND_READ = 30
 TRIES = 4
 LONGEST_WAIT = 120
+HISTORY_PAGES = 5
 
 
 def next_link(header: str | None) -> str | None:
@@ -51,12 +54,16 @@ class ForgeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.base, self.table = options["base"].rstrip("/"), options["table"]
         self.repositories, self.token = json.loads(options["repositories"]), options.get("token", "")
+        self.asked = json.loads(options.get("asked", "{}"))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(r) for r in self.repositories]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        repository = partition.value
+        repository, api = partition.value, f"{self.base}/repos/{partition.value}"
+        # The other tables are asked for by key: "ref path" for files, "branch path" for histories, and so on.
+        for asked in self.asked.get(repository, []):
+            yield from self.one(api, repository, *asked)
         if self.table == "repos":
             answer, _ = get_json(f"{self.base}/repos/{repository}", self.token)
             if isinstance(answer, dict):
@@ -69,8 +76,35 @@ class ForgeReader(DataSourceReader):
                     yield repository, b["name"], (b.get("commit") or {}).get("sha")
 
 
+    def one(self, api: str, repository: str, *key: str) -> Iterator[tuple]:
+        quoted = [urllib.parse.quote(k, safe="/") for k in key]
+        if self.table == "commit_on_branch":
+            branch, sha = key
+            answer, _ = get_json(f"{api}/compare/{quoted[0]}...{quoted[1]}", self.token)
+            yield repository, branch, sha, isinstance(answer, dict) and answer.get("status") in ("behind", "identical")
+        elif self.table == "commit_info":
+            answer, _ = get_json(f"{api}/commits/{quoted[0]}", self.token)
+            if isinstance(answer, dict):
+                yield repository, key[0], answer["commit"]["committer"]["date"], next((p["sha"] for p in answer.get("parents", [])), None)
+        elif self.table == "file_at_ref":
+            ref, path = key
+            answer, _ = get_json(f"{api}/contents/{quoted[1]}?ref={quoted[0]}", self.token)
+            there = isinstance(answer, dict) and "content" in answer  # a list is a folder
+            yield repository, ref, path, base64.b64decode(answer["content"]) if there else None, answer.get("sha") if there else None, not there
+        elif self.table == "file_history":
+            branch, path = key
+            url, seq = f"{api}/commits?sha={quoted[0]}&path={quoted[1]}&per_page=100", 0
+            for _ in range(HISTORY_PAGES):
+                answer, url = get_json(url, self.token)
+                for c in answer if isinstance(answer, list) else []:
+                    yield repository, branch, path, seq, c["sha"], c["commit"]["committer"]["date"]
+                    seq += 1
+                if not url:
+                    break
+
+
 class ForgeSource(DataSource):
-    """spark.read.format("forge").option("base", ...).option("table", "branches").option("repositories", json)."""
+    """spark.read.format("forge") with the options base, table, repositories (JSON list) and asked (JSON: keys by repository)."""
 
     @classmethod
     def name(cls) -> str:

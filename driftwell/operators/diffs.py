@@ -9,38 +9,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def previous_version(versions: DataFrame, entity: list[str], order: str) -> DataFrame:
-    """Each entity's versions with the one before (``before_<order>``); first versions are left out."""
-    before = F.lag(order).over(Window.partitionBy(*entity).orderBy(order))
-    return versions.select(*entity, order).distinct().withColumn(f"before_{order}", before).filter(F.col(f"before_{order}").isNotNull())
+def consecutive_sides(facts: DataFrame, entity: list[str], order: str) -> DataFrame:
+    """facts twice: as what a version has (``is_after``), and as what the entity's next version had before it.
 
+    Rows come under the later version's order; first versions have no before, so they give no step. The window runs
+    over different versions alone, and facts meet them in one join.
+    """
+    by = Window.partitionBy(*entity).orderBy(order)
+    versions = facts.select(*entity, order).distinct().withColumns({"_before": F.lag(order).over(by), "_next": F.lead(order).over(by)})
+    met = facts.join(versions, [*entity, order])
+    after = F.struct(F.when(F.col("_before").isNotNull(), F.col(order)).alias("at"), F.lit(True).alias("is_after"))
+    sides = F.filter(F.array(after, F.struct(F.col("_next").alias("at"), F.lit(False).alias("is_after"))), lambda s: s["at"].isNotNull())
+    rest = [c for c in facts.columns if c not in (*entity, order)]
+    return met.select(*entity, *rest, F.explode(sides).alias("_s")).select(*entity, F.col("_s.at").alias(order), *rest, "_s.is_after")
 
-def both_versions(facts: DataFrame, steps: DataFrame, entity: list[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """(facts before, facts after) of each step, under the step's own key (entity and order)."""
-    before = steps.withColumnsRenamed({order: "_after", f"before_{order}": order}).join(facts, [*entity, order]).drop(order).withColumnRenamed("_after", order)
-    return before, steps.drop(f"before_{order}").join(facts, [*entity, order])
 
+def both_sides(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of both versions, tagged by ``is_after``."""
+    return before.withColumn("is_after", F.lit(False)).unionByName(after.withColumn("is_after", F.lit(True)))
 
-def diff_path_maps(before: DataFrame, after: DataFrame, keys: list[str], path: str = "path", leaf: str = "leaf", equal: str | None = None) -> DataFrame:
-    """(keys, path, change, old, new): paths added, removed, or with another leaf. Equal leaves give no row.
+
+def path_changes(sides: DataFrame, keys: list[str], path: str = "path", leaf: str = "leaf", equal: str | None = None) -> DataFrame:
+    """(keys, path, change, old, new) of tagged rows: paths added, removed, or with another leaf.
 
     ``equal``: the field of a struct leaf that alone says whether leaves are equal.
     """
-    compared = f"_leaf.{equal}" if equal else "_leaf"
-    sides = before.select(*keys, path, F.col(leaf).alias("_leaf"), F.lit(False).alias("_new")).unionAll(after.select(*keys, path, F.col(leaf), F.lit(True)))
-    pick = lambda new: F.max(F.when(F.col("_new") == new, F.struct("_leaf")))  # noqa: E731  a struct, as leaves may be null
+    compared = f"v.{equal}" if equal else "v"
+    pick = lambda new: F.max(F.when(F.col("is_after") == new, F.struct(F.col(leaf).alias("v"))))  # noqa: E731  a struct, as leaves may be null
     met = sides.groupBy(*keys, path).agg(pick(False).alias("_old"), pick(True).alias("_now"))
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_now").isNull(), "removed").when(~F.col(f"_old.{compared}").eqNullSafe(F.col(f"_now.{compared}")), "changed")
-    return met.select(*keys, path, change.alias("change"), F.col("_old._leaf").alias("old"), F.col("_now._leaf").alias("new")).filter("change is not null")
+    return met.select(*keys, path, change.alias("change"), F.col("_old.v").alias("old"), F.col("_now.v").alias("new")).filter("change is not null")
 
 
-def diff_findings(before: DataFrame, after: DataFrame, keys: list[str], identity: list[str]) -> DataFrame:
-    """(keys, identity, side): findings of one side alone, ``fixed`` if only before, ``introduced`` if only after."""
-    sides = before.select(*keys, *identity, F.lit(1).alias("_b"), F.lit(0).alias("_a")).unionAll(after.select(*keys, *identity, F.lit(0), F.lit(1)))
-    met = sides.groupBy(*keys, *identity).agg(F.max("_b").alias("_b"), F.max("_a").alias("_a")).filter("_a <> _b")
+def finding_changes(sides: DataFrame, keys: list[str], identity: list[str]) -> DataFrame:
+    """(keys, identity, side) of tagged rows: findings only before are ``fixed``, those only after ``introduced``."""
+    one = F.col("is_after").cast("int")
+    met = sides.groupBy(*keys, *identity).agg(F.max(1 - one).alias("_b"), F.max(one).alias("_a")).filter("_a <> _b")
     return met.select(*keys, *identity, F.when(F.col("_b") == 1, "fixed").otherwise("introduced").alias("side"))
 
 
+def diff_path_maps(before: DataFrame, after: DataFrame, keys: list[str], path: str = "path", leaf: str = "leaf", equal: str | None = None) -> DataFrame:
+    columns = [*keys, path, leaf]
+    return path_changes(both_sides(before.select(columns), after.select(columns)), keys, path, leaf, equal)
+
+
+def diff_findings(before: DataFrame, after: DataFrame, keys: list[str], identity: list[str]) -> DataFrame:
+    columns = [*keys, *identity]
+    return finding_changes(both_sides(before.select(columns), after.select(columns)), keys, identity)
+
+
 def join_scans(files: DataFrame, scans: DataFrame) -> DataFrame:
     """File-diffs with the findings of both versions; ``incomplete`` where either wasn't scanned well."""
     ok = scans.filter("ok").select("file_hash", "findings")

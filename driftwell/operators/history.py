@@ -50,19 +50,29 @@ def branch_roll_up(files: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None, bins: int = 4096) -> DataFrame:
     """(by, name, value): the value at place min(int(share * n), n - 1) of the ascending list, counted from 0.
 
-    Values are counted before they're ranked, so what one task sorts is the different values of a group.
+    Equal values are counted first. Counts of ``bins`` equal ranges of each group tell which range holds a place;
+    only that range's values are then ranked, so no task sorts all of them.
     """
     by = by or []
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    group = [F.lit(0).alias("_all_rows"), *[F.col(c) for c in by]]
+    keys = ["_all_rows", *by]
+    counts = counts.select(*group, F.col(value).cast("double").alias("_v"), "_n")
+    ends = counts.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_total"))
+    width = (F.col("_high") - F.col("_low")) / bins
+    placed = counts.join(ends, keys).withColumn("_bin", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(bins - 1))).otherwise(0).cast("int"))
+    sums = placed.groupBy(*keys, "_total", "_bin").agg(F.sum("_n").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
     named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(s)).alias("share")) for n, s in shares.items()]))
-    asked = placed.withColumn("_p", named).withColumn("_at", F.least(F.floor(F.col("_p.share") * F.col("_all")), F.col("_all") - 1))
-    hit = asked.filter((F.col("_upto") - F.col("_n") <= F.col("_at")) & (F.col("_at") < F.col("_upto")))
-    return hit.select(*by, F.col("_p.name").alias("name"), F.col(value).alias("value"))
+    asked = sums.withColumn("_before", upto - F.col("_n")).withColumn("_p", named).withColumn("_at", F.least(F.floor(F.col("_p.share") * F.col("_total")), F.col("_total") - 1))
+    held = asked.filter((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_n"))).select(*keys, "_bin", "_before", "_at", F.col("_p.name").alias("name"))
+    near = placed.select(*keys, "_bin", "_v", F.col("_n").alias("_c")).join(held, [*keys, "_bin"])
+    within = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = near.withColumn("_upto", within).filter((F.col("_upto") - F.col("_c") <= F.col("_at")) & (F.col("_at") < F.col("_upto")))
+    return ranked.select(*by, "name", F.col("_v").alias("value"))
 
 
 def lag_summary(rows: DataFrame, lag: str = "lag_days") -> DataFrame:

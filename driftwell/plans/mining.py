@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import clusters, diffs, sampling
+from ..operators.lineage import settle
 from .tables import order_lines, table, user_day_changes
 
 Q: dict = {}
@@ -114,9 +115,7 @@ FROM old FULL JOIN new ON old.c = new.c AND old.o = new.o AND old.path = new.pat
 def pathmap_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.concat("l_returnflag", "l_linestatus").alias("path")).agg(F.count("*").cast("string").alias("leaf"))
     facts = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
-    steps = diffs.previous_version(facts, ["o_custkey"], "o_orderkey")
-    before, after = diffs.both_versions(facts, steps, ["o_custkey"], "o_orderkey")
-    return diffs.diff_path_maps(before, after, ["o_custkey", "o_orderkey"])
+    return diffs.path_changes(diffs.consecutive_sides(facts, ["o_custkey"], "o_orderkey"), ["o_custkey", "o_orderkey"])
 
 
 LINES = """
@@ -157,7 +156,7 @@ SELECT o, CASE WHEN (fixes, template_hash) IN (SELECT (fixes, template_hash) FRO
                WHEN fixes IN (SELECT fixes FROM t WHERE o % 2 = 0) THEN 'level-1' ELSE 'miss' END AS outcome
 FROM t WHERE o % 2 = 1""")
 def catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = _commits(spark, sf_dir)
+    commits = settle(_commits(spark, sf_dir))  # read four times
     return clusters.match_catalog(commits.filter("o % 2 = 1"), commits.filter("o % 2 = 0")).select("o", "outcome")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.diffs import both_versions, diff_findings, previous_version
+from ..operators.diffs import consecutive_sides, finding_changes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,8 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_day_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, day, ident, side): idents that a user's active day lost or won against the one before."""
-    facts = user_days(spark, sf_dir)
-    steps = previous_version(facts, ["user_id"], "day")
-    before, after = both_versions(facts, steps, ["user_id"], "day")
-    return diff_findings(before, after, ["user_id", "day"], ["ident"])
+    sides = consecutive_sides(user_days(spark, sf_dir), ["user_id"], "day")
+    return finding_changes(sides, ["user_id", "day"], ["ident"])
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

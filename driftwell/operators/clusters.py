@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import edit_line, set_key, template_digest, value_sketch
+from .lineage import settle
 
 
 def commit_templates(changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,12 +28,15 @@ def set_keys(rows: DataFrame, keys: list[str], item: Column, name: str = "fixes"
 
 
 def cluster(commits: DataFrame, set_name: str = "fixes", exemplars: int = 5, order: list[str] | None = None) -> DataFrame:
-    """(fixes, template_hash, n_commits, exemplars as rows' keys): level-2 clusters with their first commits."""
-    order = order or ["repository", "commit_hash"]
-    ranked = commits.withColumn("_r", F.row_number().over(Window.partitionBy(set_name, "template_hash").orderBy(*order)))
-    return ranked.groupBy(set_name, "template_hash").agg(
-        F.count("*").alias("n_commits"), F.sort_array(F.collect_list(F.when(F.col("_r") <= exemplars, F.struct(*order)))).alias("exemplars")
-    )
+    """(fixes, template_hash, n_commits, exemplars): level-2 clusters, with the keys of their first commits.
+
+    Counting is combined before rows move, and only each task's first commits of a cluster are ranked, so a cluster
+    with a third of all commits is no task's burden.
+    """
+    order, by = order or ["repository", "commit_hash"], [set_name, "template_hash"]
+    commits = settle(commits)
+    firsts = first_of_each(commits, by, order, exemplars).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("exemplars"))
+    return commits.groupBy(*by).agg(F.count("*").alias("n_commits")).join(firsts, by)
 
 
 def level_one(commits: DataFrame, set_name: str = "fixes") -> DataFrame:
@@ -41,7 +45,7 @@ def level_one(commits: DataFrame, set_name: str = "fixes") -> DataFrame:
     return pairs.groupBy(set_name).agg(F.sum("_n").alias("n_commits"), F.count("*").alias("n_subclusters"))
 
 
-def exemplars(commits: DataFrame, by: list[str], order: list[str], k: int = 5) -> DataFrame:
+def first_of_each(commits: DataFrame, by: list[str], order: list[str], k: int = 5) -> DataFrame:
     """The first k commits of each cluster, with their ``exemplar`` number."""
     return commits.withColumn("exemplar", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("exemplar") <= k)
 

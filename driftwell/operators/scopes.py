@@ -18,7 +18,7 @@ def enclosing(route: Column) -> Column:
 
 def in_scope(findings: DataFrame, scopes: DataFrame, keys: list[str], route: str = "route", scope: str = "scope", order: str = "scope_order") -> DataFrame:
     """findings with the first scope (by ``order``) of the same keys that they lie in; others are left out."""
-    asked = findings.withColumn("_n", F.monotonically_increasing_id()).withColumn(scope, F.explode(enclosing(F.coalesce(F.col(route), F.lit("")))))
+    asked = findings.withColumn(scope, F.explode(enclosing(F.coalesce(F.col(route), F.lit("")))))
     met = asked.join(scopes.select(*keys, scope, order), [*keys, scope])
     first = Window.partitionBy(*keys, route, *[c for c in findings.columns if c not in (*keys, route)]).orderBy(order, scope)
     return met.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(*findings.columns, scope)

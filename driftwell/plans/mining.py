@@ -148,7 +148,7 @@ def cluster_level_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT fixes, template_hash, o, exemplar FROM (
   SELECT *, row_number() OVER (PARTITION BY fixes, template_hash ORDER BY o) AS exemplar FROM t) WHERE exemplar <= 5""")
 def cluster_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.exemplars(_commits(spark, sf_dir), ["fixes", "template_hash"], ["o"])
+    return clusters.first_of_each(_commits(spark, sf_dir), ["fixes", "template_hash"], ["o"])
 
 
 @query(LINES + """

@@ -6,6 +6,7 @@ runs again replaces itself. Commits that the log has already are left out by key
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -78,3 +79,22 @@ def distinct_days(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """An extension over event streams: each user's different event types by day, late rows up to ``delay``."""
     timed = events.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", delay)
     return timed.groupBy(F.window("_at", "1 day").alias("_w"), "user_id", "event_type").agg(F.count("*").alias("n")).select(F.col("_w.start").alias("day"), "user_id", "event_type", "n")
+
+
+def refresh_every(spark: SparkSession, job: Callable[[], None], interval: str = "30 minutes") -> StreamingQuery:
+    """Run a job again and again, such as replacing the pattern catalog; runs never overlap."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(lambda _, number: job()).trigger(processingTime=interval).start()
+
+
+def drain(query: StreamingQuery, wait: float = 0.2, longest: float = 600.0) -> bool:
+    """Stop a query between two batches; False if a batch went on for longer than ``longest`` seconds and was cut off.
+
+    A batch that is cut off is done again at the next start, from the checkpoint.
+    """
+    end = time.monotonic() + longest
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:
+        time.sleep(wait)
+    idle = not query.isActive or not query.status["isTriggerActive"]
+    query.stop()
+    return idle

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import urllib.error
 
 import pytest
@@ -11,7 +12,7 @@ import __spark_entry__ as entry
 from driftwell.catalog import Catalog
 from driftwell.schemas import SCHEMAS
 from driftwell.sources import remote, scanner, tables
-from driftwell.streaming.incremental import run_available
+from driftwell.streaming.incremental import distinct_days, drain, refresh_every, run_available
 
 HEADER = "repository,commit_hash,committed_date,file_path,file_hash,previous_file_hash,git_change_type,valid_yaml,valid_workflow,probably_workflow\n"
 
@@ -123,3 +124,20 @@ def test_stream_equals_batch(spark, sf_dir):
 def test_entry(spark):
     assert entry.entry(spark).filter(F.col("n_fixed") > 0).count() == 60
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_refresh_runs_and_drains(spark):
+    runs = []
+    query = refresh_every(spark, lambda: runs.append(1), "1 second")
+    end = time.monotonic() + 60
+    while not runs and time.monotonic() < end:
+        time.sleep(0.2)
+    assert drain(query) and runs and not query.isActive
+
+
+def test_days_of_event_streams(spark, sf_dir, tmp_path):
+    events = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events*").parquet(sf_dir)
+    query = distinct_days(events).writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_date("ts"), "user_id", "event_type").distinct().count()
+    assert spark.table("days").count() == batch

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import types
 from collections.abc import Callable
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word of the contracts: a run of anything but ASCII white space.
@@ -63,3 +65,12 @@ def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     if name not in held.__dict__:
         setattr(held, name, make())
     return held.__dict__[name]
+
+
+def ship(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast a fitted model of bounded size; tasks call the result once to get it.
+
+    Broadcasts alone pickle classes by name, which executors without this package couldn't read.
+    """
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import digest_int
+from .common import digest_int, ship
 
 REFERENCE = 32_768
 PER_LANGUAGE = 64
@@ -173,15 +173,16 @@ def fit(labelled: DataFrame, **limits: int) -> Parser:
 
 def predict(docs: DataFrame, parser: Parser, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, from its texts alone."""
-    model = docs.sparkSession.sparkContext.broadcast(parser)
+    model = ship(docs.sparkSession, parser)
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = model()
         for texts in batches:
             languages: list[str] = []
             scores: list[float] = []
             for at in range(0, len(texts), 512):
-                some = model.value.judge(texts.iloc[at : at + 512].tolist())
+                some = own.judge(texts.iloc[at : at + 512].tolist())
                 languages += some[0]
                 scores += some[1]
             yield pd.DataFrame({"lang_pred": languages, "score": scores})

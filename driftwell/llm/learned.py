@@ -21,14 +21,14 @@ candidates all are returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bitslice import usable
-from .common import digest_int, materialise
+from .common import digest_int, materialise, ship
 
 SAMPLE = 8192
 NEIGHBOURS = 10
@@ -163,10 +163,10 @@ def _rerank(dims: int, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.Data
         found: list[tuple] = []
         if len(rows) and len(queries):
             rows = rows.sort_values("_id", kind="stable")
-            ids, x, q = rows["_id"].to_numpy(), _matrix(rows["_v"], dims), _matrix(queries["_v"], dims)
+            ids, x, q = rows["_id"].to_numpy(), _matrix(rows["_v"], dims), _matrix(queries["_vector"], dims)
             s = q @ x.T
-            own = np.searchsorted(ids, queries["_id"].to_numpy()), np.searchsorted(ids, queries["_id"].to_numpy(), "right")
-            for i, (key, query_id) in enumerate(zip(queries["_q"], queries["_id"], strict=True)):
+            own = np.searchsorted(ids, queries["_query"].to_numpy()), np.searchsorted(ids, queries["_query"].to_numpy(), "right")
+            for i, (key, query_id) in enumerate(zip(queries["_q"], queries["_query"], strict=True)):
                 row = s[i]
                 row[own[0][i] : own[1][i]] = -np.inf
                 there = len(ids) - int(own[1][i] - own[0][i])
@@ -201,11 +201,13 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, parts:
     drawn = whole.withColumn("_draw", draw).filter(F.col("_draw") <= int(min(1.0, 1.2 * sample / max(n, 1)) * (1 << 52)))
     fitted = drawn.orderBy("_draw", "_id").limit(sample).select("_v").toPandas()
     router = fit_router(_matrix(fitted["_v"], dims), parts, k=k, recall=recall)
-    model = vectors.sparkSession.sparkContext.broadcast(router)
+    model = ship(vectors.sparkSession, router)
 
     @F.pandas_udf("int")
-    def part_of(v: pd.Series) -> pd.Series:
-        return pd.Series(model.value.probabilities(_matrix(v, dims)).argmax(axis=1).astype(np.int32))
+    def part_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = model()
+        for v in batches:
+            yield pd.Series(own.probabilities(_matrix(v, dims)).argmax(axis=1).astype(np.int32))
 
     # The index: every row with its part. Row numbers of a written table don't change when a task runs again.
     index = materialise(whole.withColumn("_part", part_of("_v"))).withColumn("_n", F.monotonically_increasing_id())
@@ -213,10 +215,12 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, parts:
     sizes = np.array([held.get(p, 0) for p in range(router.weights[3].size)])
 
     @F.pandas_udf("array<int>")
-    def parts_of(v: pd.Series) -> pd.Series:
-        order = np.argsort(-model.value.probabilities(_matrix(v, dims)), axis=1, kind="stable")
-        enough = (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1
-        return pd.Series([o[: max(model.value.probes, m)].astype(np.int32) for o, m in zip(order, enough, strict=True)])
+    def parts_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = model()
+        for v in batches:
+            order = np.argsort(-own.probabilities(_matrix(v, dims)), axis=1, kind="stable")
+            enough = (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1
+            yield pd.Series([o[: max(own.probes, m)].astype(np.int32) for o, m in zip(order, enough, strict=True)])
 
     asked = materialise(index.filter("_asks").select("_id", "_v", F.col("_n").alias("_q"), F.explode(parts_of("_v")).alias("_part")))
     asked = asked.filter(F.col("_part").isin(list(held))) if held else asked
@@ -224,7 +228,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, parts:
     blocks, groups = _by_part({p: -(-c // rows) for p, c in held.items()}, "_part"), {p: -(-asking.get(p, 1) // queries) for p in held}
 
     left = index.select("_part", "_id", "_v", F.pmod("_n", blocks).cast("int").alias("_block"), F.explode(F.sequence(F.lit(0), _by_part(groups, "_part") - 1)).alias("_group"))
-    right = asked.select("_part", "_id", "_v", "_q", F.pmod(F.xxhash64("_q"), _by_part(groups, "_part")).cast("int").alias("_group"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"))
+    # Names of their own: a cogroup takes columns that both sides have from one origin to be the left side's alone.
+    right = asked.select("_part", F.col("_id").alias("_query"), F.col("_v").alias("_vector"), "_q", F.pmod(F.xxhash64("_q"), _by_part(groups, "_part")).cast("int").alias("_group"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"))
     key = ["_part", "_block", "_group"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_rerank(dims, k), "_q long, query_id long, vec_id long, score double")
     best = Window.partitionBy("_q").orderBy(F.col("score").desc(), "vec_id")

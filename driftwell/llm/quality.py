@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import digest_int
+from .common import digest_int, ship
 
 LABELLED = 4000
 POOL = 2000
@@ -181,17 +181,18 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
 def score_documents(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score, text_score, metadata_score and keep."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = ship(docs.sparkSession, model)
 
     @F.pandas_udf("score double, text_score double, metadata_score double")
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = held()
         for batch in batches:
             out = np.zeros((len(batch), 3))
             there = np.array([t is not None and bool(t.strip()) for t in batch["text"]], bool)
             for at in range(0, len(batch), 512):
                 some = np.flatnonzero(there[at : at + 512]) + at
                 if len(some):
-                    out[some] = np.stack(held.value.score(both_views(batch.iloc[some])), axis=1)
+                    out[some] = np.stack(own.score(both_views(batch.iloc[some])), axis=1)
             yield pd.DataFrame(out, columns=["score", "text_score", "metadata_score"])
 
     judged = docs.withColumn("_judged", judge(F.struct(*_fields(docs))))

@@ -13,9 +13,10 @@ from driftwell.llm.packing import pack_documents
 from driftwell.llm.q_packing import VOCABULARY
 from driftwell.llm.simhash import keep_first
 
-#: Scores of language identification: below the first no language stands out; from the second on a document's own
-#: language is taken to be wrong if it differs.
-UNDECIDED, CERTAIN = 0.515, 0.6
+#: Scores of language identification (texts in one language have 0.67 and more): below the first no language stands
+#: out; from the second on a document's own language is taken to be wrong if it differs. Documents that mix in some of
+#: another language lie between the two and are kept.
+UNDECIDED, CERTAIN = 0.505, 0.65
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@
    follows only the edges whose key is within the radius of the distance to the node. Shards of more than
    TREE fingerprints are cut into trees of about TREE by a hash, and each tree is shipped, whole, to a task of
    its own, which takes its own fingerprints and then, as a stream, those of the shard's other trees.
-   For a wider net (``similar_documents``), fingerprints have more bits and shards are named by bands of them.
+   For a wider net (``similar_documents``), fingerprints have more bits, each different shingle counts once, shards
+   are named by bands of bits, and what the trees find is confirmed by the sets of shingles.
 5. A tree's links leave as a spanning forest (at most one link for each fingerprint and tree); connected
    components join them over all shards.
 
@@ -21,6 +22,7 @@ null ids are fingerprinted, and take part in linking, but name no component unle
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
@@ -69,23 +71,30 @@ def widened(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def text_fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> bytes:
-    """64 * words bits, least significant first. bytes.split() and bytes.lower() know ASCII alone, as the rules ask."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A hash for each shingle, repeats too. bytes.split() and bytes.lower() know ASCII alone, as the rules ask."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return bytes(8 * words)
     if len(tokens) <= shingle:
-        shingles = [b" ".join(tokens)]
+        shingles = iter([b" ".join(tokens)] if tokens else [])
     else:
         shingles = map(b" ".join, zip(*[tokens[i:] for i in range(shingle)], strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, 42) for s in shingles), np.uint64)
+    return np.fromiter((digest(s, 42) for s in shingles), np.uint64)
+
+
+def hash_fingerprint(h: np.ndarray, words: int = 1) -> bytes:
+    """64 * words bits, least significant first."""
     counts = np.zeros(64 * words, np.int64)
     for at in range(0, len(h), 255 * 64):
         counts += bit_counts(widened(h[at : at + 255 * 64], words))
     return np.packbits(2 * counts > len(h), bitorder="little").tobytes()
 
 
+def text_fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> bytes:
+    """The fingerprint of a text's shingles, each as often as it stands there."""
+    return hash_fingerprint(shingle_hashes(text, shingle), words)
+
+
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed long of the same 64 bits."""
 
@@ -96,12 +105,23 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     return of(text.cast("string"))
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of a text's different shingles, ascending."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def set_mark(hashes: np.ndarray) -> str:
+    """A name of the set itself, which other sets don't have."""
+    return hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).hexdigest()
+
+
 def wide_fingerprint(text: Column, shingle: int, words: int) -> Column:
-    """A fingerprint of 64 * words bits, as bytes."""
+    """(f, mark): a fingerprint of 64 * words bits of the set of shingles, as bytes, and the set's name."""
 
-    @F.pandas_udf(BinaryType())
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_fingerprint(t, shingle, words) for t in texts])
+    @F.pandas_udf("f binary, mark string")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, shingle) for t in texts]
+        return pd.DataFrame({"f": [hash_fingerprint(h, words) for h in sets], "mark": [set_mark(h) for h in sets]})
 
     return of(text.cast("string"))
 
@@ -222,53 +242,177 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tree: int = TRE
     return dealt.repartition(*key).sortWithinPartitions(*key, "_probes").mapInPandas(_link(radius), "u long, v long")
 
 
-def similar_radius(similarity: float, bits: int) -> int:
-    """Differing bits to be expected of two sets with this Jaccard similarity, and a standard deviation more.
+def similar_radius(similarity: float, bits: int, deviations: float = 1) -> int:
+    """Differing bits to be expected of two sets with this Jaccard similarity, and some standard deviations more.
 
     Shingle sets of similarity s and like size have the cosine 2s / (1 + s); a bit differs where a random plane
     parts them, that is with the probability of their angle over pi.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+class _Candidates(_Shard):
+    """A tree whose values have nodes, each with the component that it is known to be in."""
+
+    def __init__(self, radius: int) -> None:
+        super().__init__(radius)
+        self.members: dict[int, list[tuple[int, int]]] = {}
+
+    def near(self, value: int) -> list[tuple[int, int]]:
+        """(distance, number) of the near values, nearest first."""
+        return sorted(((self.tree.values[n] ^ value).bit_count(), n) for n in self.tree.near(value, self.radius))
+
+    def add(self, value: int, node: int, component: int) -> int:
+        at = self.tree.add(value)
+        if at == len(self.parent):
+            self.parent.append(at)
+        self.members.setdefault(value, []).append((node, component))
+        return at
+
+    def forest(self, value: int, node: int, component: int, probes: bool) -> Iterator[tuple[int, int]]:
+        """(node, distance) of links that join classes of near values."""
+        near = self.near(value)
+        if probes and not near:
+            return
+        if probes:
+            d, at = near.pop(0)
+            yield self.members[self.tree.values[at]][0][0], d
+        else:
+            known = self.members.get(value)
+            if known:
+                yield known[0][0], 0
+            at = self.add(value, node, component)
+        for d, other in near:
+            a, b = self.root(other), self.root(at)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                yield self.members[self.tree.values[other]][0][0], d
+
+    def pairs(self, value: int, node: int, component: int, probes: bool, most: int) -> Iterator[tuple[int, int]]:
+        """(node, distance) of the ``most`` nearest nodes of other components; (-1, -1) if there are more."""
+        left = most
+        for d, at in self.near(value):
+            for other, its in self.members[self.tree.values[at]]:
+                if its != component:
+                    if not left:
+                        yield -1, -1
+                        break
+                    left -= 1
+                    yield other, d
+            else:
+                continue
+            break
+        if not probes:
+            self.add(value, node, component)
 
 
-def _link_wide(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _link_wide(radius: int, most: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Like _link(), with nodes named by ``_id``; a shard's ids are kept beside its tree."""
-        last, shard, ids = None, _Shard(radius), {}
+        last, shard = None, _Candidates(radius)
         for rows in batches:
-            u, v = [], []
-            for *key, probes, node, f in rows[["_band", "_bits", "_tree", "_probes", "_id", "_f"]].itertuples(index=False, name=None):
+            u, v, far = [], [], []
+            for *key, probes, node, component, f in rows[["_band", "_bits", "_tree", "_probes", "_id", "_component", "_f"]].itertuples(index=False, name=None):
                 if key != last:
-                    last, shard, ids = key, _Shard(radius), {}
-                value = int.from_bytes(f, "little")
-                for other in (shard.probe if probes else shard.grow)(value):
+                    last, shard = key, _Candidates(radius)
+                at = (int.from_bytes(f, "little"), node, component, probes)
+                for other, d in shard.forest(*at) if most is None else shard.pairs(*at, most):
                     u.append(node)
-                    v.append(ids[other])
-                if not probes:
-                    ids[value] = node
-            yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+                    v.append(other)
+                    far.append(d)
+            yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64), "d": np.array(far, np.int32)})
 
     return link
 
 
-def wide_links(distinct: DataFrame, radius: int, words: int, tree: int = TREE) -> DataFrame:
-    """Links (u, v) between ids of fingerprints (``_id``, ``_f``) that agree in a band and differ in ``radius`` bits at most.
+def wide_links(distinct: DataFrame, radius: int, words: int, tree: int = TREE, most: int | None = None) -> DataFrame:
+    """Candidate pairs (u, v, d) of ids (``_id``, ``_component``, ``_f``) that agree in a band and differ in d bits, ``radius`` at most.
 
+    Without ``most``: a forest in each tree, which joins what any candidate pair joins. With it: for each id and
+    tree, the nearest ``most`` ids of other components; where there are more, a row with v = -1 says so.
     A shard is named by a band of 16 bits, so with n fingerprints it has n / 65536 on the average; more words give
     more bands, and pairs more chances to meet.
     """
     bands = 4 * words
-    keyed = distinct.select("_id", "_f", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("_band"))
+    keyed = distinct.select("_id", "_component", "_f", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("_band"))
     keyed = keyed.withColumn("_bits", F.substring("_f", F.col("_band") * 2 + 1, F.lit(2)))
     large = keyed.groupBy("_band", "_bits").agg(F.count("*").alias("_n")).filter(F.col("_n") > tree)
     large = large.select("_band", "_bits", F.ceil(F.col("_n") / tree).cast("int").alias("_trees"))
     placed = keyed.join(large, ["_band", "_bits"], "left").withColumn("_trees", F.coalesce("_trees", F.lit(1)))
     own = F.pmod(F.xxhash64("_id"), F.col("_trees")).cast("int")
     dealt = placed.withColumn("_own", own).withColumn("_tree", F.explode(F.sequence(F.lit(0), F.col("_own"))))
-    dealt = dealt.select("_band", "_bits", "_tree", (F.col("_tree") != F.col("_own")).alias("_probes"), "_id", "_f")
+    dealt = dealt.select("_band", "_bits", "_tree", (F.col("_tree") != F.col("_own")).alias("_probes"), "_id", "_component", "_f")
     key = ["_band", "_bits", "_tree"]
-    return dealt.repartition(*key).sortWithinPartitions(*key, "_probes").mapInPandas(_link_wide(radius), "u long, v long")
+    return dealt.repartition(*key).sortWithinPartitions(*key, "_probes", "_id").mapInPandas(_link_wide(radius, most), "u long, v long, d int")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two sets as bytes of ascending longs."""
+
+    @F.pandas_udf("double")
+    def of(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(x: bytes, y: bytes) -> float:
+            p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            return both / max(len(p) + len(q) - both, 1)
+
+        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    return of(a, b)
+
+
+def confirmed_components(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, words: int, tree: int = TREE) -> DataFrame:
+    """(node, component) of ids (``_id``, ``_f``) of sets, linked at this Jaccard similarity or more by the sets themselves.
+
+    The components are those that all candidate pairs of the similarity would give. The trees' forests come first, each
+    id's nearest link before the rest. Where links of a forest fail and part it, its ids go through trees again, by
+    components so far and with more candidates each time, until no tree has any left. So members of a
+    large group of copies meet few others, and only pairs that aren't similar enough are tried one by one.
+    ``sets_of`` gives (_id, _set) of the ids asked for.
+    """
+    radius = similar_radius(similarity, 64 * words, 3)
+    alone = distinct.withColumn("_component", F.col("_id"))
+    pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
+    forest = materialise(wide_links(alone, radius, words, tree).groupBy(*pair).agg(F.min("d").alias("d")))
+    ids = forest.select(F.explode(F.array("u", "v")).alias("_id")).distinct()
+    sets = materialise(sets_of(ids))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sets.select(F.col("_id").alias("u"), F.col("_set").alias("_a")), "u").join(sets.select(F.col("_id").alias("v"), F.col("_set").alias("_b")), "v")
+        return materialise(met.select("u", "v", (jaccard(F.col("_a"), F.col("_b")) >= similarity).alias("ok")))
+
+    def components(tried: DataFrame) -> DataFrame:
+        return materialise(connected_components(tried.filter("ok").select("u", "v")).select("node", "component"))
+
+    def parted(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components."""
+        own = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+        met = pairs.join(own("u"), "u", "left").join(own("v"), "v", "left")
+        return met.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select(pairs.columns)
+
+    nearest = forest.groupBy("u").agg(F.min(F.struct("d", "v")).alias("_n")).select("u", "_n.v")
+    tried = tested(nearest)
+    found = components(tried)
+    rest = parted(forest.select("u", "v"), found).join(tried, ["u", "v"], "left_anti")
+    tried = materialise(tried.unionByName(tested(rest)))
+    found = components(tried)
+    broken = parted(forest.select("u", "v"), found)
+    most = 16
+    if broken.limit(1).count():
+        groups = materialise(connected_components(forest.select("u", "v")))
+        split = broken.select(F.col("u").alias("node")).join(groups, "node").select("component").distinct()
+        members = groups.join(split, "component", "left_semi").select(F.col("node").alias("_id"))
+        open_ = materialise(distinct.join(members, "_id", "left_semi").select("_id", "_f"))
+        while True:
+            at = open_.join(found.select(F.col("node").alias("_id"), F.col("component").alias("_component")), "_id", "left")
+            pairs = materialise(wide_links(at.withColumn("_component", F.coalesce("_component", "_id")), radius, words, tree, most))
+            new = pairs.filter("v >= 0").select(*pair).distinct().join(tried, ["u", "v"], "left_anti")
+            tried = materialise(tried.unionByName(tested(new)))
+            found = components(tried)
+            if not pairs.filter("v < 0").limit(1).count():
+                break
+            most *= 8
+    return found
 
 
 def _hex(f: Column) -> Column:
@@ -282,27 +426,43 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     marked = materialise(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("_f")))
     distinct = materialise(marked.groupBy("_f").agg(F.min("doc_id").alias("_least"))).withColumn("_id", F.col("_f"))
-    return _classes(marked, distinct, fingerprint_links(distinct.select("_f"), radius, tree))
+    return _classes(marked, distinct, connected_components(fingerprint_links(distinct.select("_f"), radius, tree)))
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8, tree: int = TREE) -> DataFrame:
-    """As near_duplicates(), linking documents whose shingles are similar by the estimate of 64 * words bits.
+    """As near_duplicates(), linking documents whose sets of shingles have this Jaccard similarity; ``mark`` names the set.
 
-    Equal fingerprints are one class; pairs meet where they agree in one of 4 * words bands, which pairs of
-    similarity 0.8 do with probability 0.91 for 8 words, and those of 0.9 nearly always.
+    Equal sets are one class. Candidates are found by fingerprints of 64 * words bits of the sets, and each link is
+    confirmed by the sets. Pairs meet where they agree in one of 4 * words bands, which pairs of similarity 0.8 do
+    with probability 0.91 for 8 words, and those of 0.9 nearly always.
     """
-    marked = materialise(docs.select("doc_id", wide_fingerprint(F.col("text"), shingle, words).alias("_f")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.select("doc_id", F.md5(text).alias("_text"), wide_fingerprint(F.col("text"), shingle, words).alias("_w"))
+    marked = materialise(marked.select("doc_id", "_text", F.col("_w.f").alias("_f"), F.col("_w.mark").alias("mark")))
     # Numbers of a written table don't change when a task runs again.
-    distinct = materialise(marked.groupBy("_f").agg(F.min("doc_id").alias("_least"))).withColumn("_id", F.monotonically_increasing_id())
-    return _classes(marked, distinct, wide_links(distinct.select("_id", "_f"), similar_radius(similarity, 64 * words), words, tree))
+    distinct = marked.groupBy("mark", "_f").agg(F.min("doc_id").alias("_least"), F.min("_text").alias("_text"))
+    distinct = materialise(distinct).withColumn("_id", F.monotonically_increasing_id())
+
+    @F.pandas_udf(BinaryType())
+    def as_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle).astype("<u8").tobytes() for t in texts])
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """One text of each set, equal texts combined before they move."""
+        texts = docs.select(F.md5(text).alias("_text"), text.alias("_whole")).dropDuplicates(["_text"])
+        asked = distinct.join(ids, "_id", "left_semi").select("_id", "_text")
+        return texts.join(asked, "_text").select("_id", as_set("_whole").alias("_set"))
+
+    found = confirmed_components(distinct.select("_id", "_f"), sets_of, similarity, words, tree)
+    return _classes(marked, distinct, found, ["mark", "_f"])
 
 
-def _classes(marked: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected_components(links).select(F.col("node").alias("_id"), "component")
-    classes = distinct.join(found, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
+def _classes(marked: DataFrame, distinct: DataFrame, found: DataFrame, key: list[str] | None = None) -> DataFrame:
+    key = key or ["_f"]
+    classes = distinct.join(found.select(F.col("node").alias("_id"), "component"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     named = materialise(classes.groupBy("component").agg(F.min("_least").alias("component_id")))
-    known = materialise(classes.join(named, "component").select("_f", "component_id", "component"))
-    return marked.join(known, "_f").select("doc_id", _hex(F.col("_f")).alias("fingerprint"), "component_id", "component")
+    known = materialise(classes.join(named, "component").select(*key, "component_id", "component"))
+    return marked.join(known, key).select("doc_id", _hex(F.col("_f")).alias("fingerprint"), "component_id", "component", *[k for k in key if k != "_f"])
 
 
 def keep_first(docs: DataFrame, similarity: float | None = None, radius: int = RADIUS, shingle: int = SHINGLE, words: int = 8) -> DataFrame:
@@ -312,7 +472,8 @@ def keep_first(docs: DataFrame, similarity: float | None = None, radius: int = R
     with one doc_id, that with the first text stays; so does, of a class without ids, that with the first text.
     """
     classes = materialise(near_duplicates(docs, radius, shingle) if similarity is None else similar_documents(docs, similarity, shingle, words))
-    marks = _hex(fingerprint(F.col("text"), shingle) if similarity is None else wide_fingerprint(F.col("text"), shingle, words))
+    mark = "fingerprint" if similarity is None else "mark"
+    marks = _hex(fingerprint(F.col("text"), shingle)) if similarity is None else wide_fingerprint(F.col("text"), shingle, words)["mark"]
     firsts = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_rows"))
     firsts = firsts.select(F.col("doc_id").alias("_id"), "_rows")
     # Both odd cases are looked for first: without them the texts meet one join and no sort.
@@ -325,8 +486,8 @@ def keep_first(docs: DataFrame, similarity: float | None = None, radius: int = R
     nameless = classes.filter("doc_id is null and component_id is null")
     if nameless.limit(1).count():
         own = docs.filter(F.col("doc_id").isNull()).withColumn("_fingerprint", marks)
-        own = own.join(nameless.groupBy("fingerprint").agg(F.min("component").alias("_component")), F.col("_fingerprint") == F.col("fingerprint"))
-        kept = kept.unionByName(_first_row(own.drop("_fingerprint", "fingerprint"), "_component").select(docs.columns))
+        own = own.join(nameless.groupBy(mark).agg(F.min("component").alias("_component")), F.col("_fingerprint") == F.col(mark))
+        kept = kept.unionByName(_first_row(own.drop("_fingerprint", mark), "_component").select(docs.columns))
     return kept
 
 

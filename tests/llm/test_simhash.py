@@ -132,3 +132,40 @@ def test_similar_documents(spark):
     odd = docs.filter("doc_id < 2").unionByName(spark.createDataFrame([(None, None, None, None, None, None), (None, "", None, None, None, None), (7000, "only", None, None, None, None)], SCHEMA))
     assert sorted((str(r.doc_id) for r in keep_first(odd, similarity=0.8, shingle=5).collect())) == ["0", "7000", "None"]
     assert keep_first(docs.limit(0), similarity=0.8).count() == 0
+
+
+def test_similar_documents_against_brute_force_with_repeated_lines(spark):
+    rnd = random.Random(12)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    line, texts = words(10), []
+    for n, repeats in ((200, 20), (250, 30), (60, 8)):
+        texts += [words(n) + line * repeats for _ in range(12)]
+    for repeats in (5, 15, 30):
+        for _ in range(4):
+            own, its = words(300), words(10)
+            texts += [own + its, own + its * repeats]
+    # A chain of steps of about 0.85, ends far apart, and a group just under the similarity.
+    step = words(300)
+    for _ in range(8):
+        step = step[24:] + words(24)
+        texts.append(step)
+    base = words(300)
+    texts += [base[:265] + words(35) for _ in range(10)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    want = {i: root(i) for i in range(len(texts))}
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1, "clash") for i, t in enumerate(texts)], SCHEMA)
+    for tree in (8, 4096):
+        assert {r.doc_id: r.component_id for r in similar_documents(docs, tree=tree).collect()} == want
+    assert sorted(r.doc_id for r in keep_first(docs, similarity=0.8, shingle=5).collect()) == sorted(set(want.values()))

@@ -5,8 +5,8 @@
    of each. Only this fitting sample is bounded; whole texts are judged.
 2. A suffix automaton of the reference knows all its substrings. Reading a text through it, a phrase goes on
    as long as it occurs in the reference; where it doesn't, the next phrase begins. The fewer phrases, the more
-   of the text the reference predicts: phrases * log2(length of reference) / length of text estimates the
-   cross entropy in bits a byte.
+   of the text the reference predicts. A phrase costs log2(length of the longest reference) bits, in all languages
+   alike, so that a short reference makes none cheaper; a byte that the reference doesn't have costs UNSEEN more.
 3. The language with the least estimate wins; ``score`` is runner-up / (winner + runner-up), from 0.5 to 1.
 
 Texts are lower-cased, and runs of anything but letters become one space, before and after fitting. The bytes
@@ -15,8 +15,8 @@ documents walk through the automata side by side as arrays. Automata are tables
 size bounded by reference, languages (LANGUAGES at most) and the bytes that occur; they are broadcast.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; with one language known the
-score is 1; with none every text is ``und``; ties go to the language first by code point; rows with a null
-language teach nothing; null ids hash as the empty string; equal texts get equal answers; other columns stay
+score is 1; with none every text is ``und``; ties go to the shorter reference, then to the language first by code
+point; rows with a null language teach nothing; null ids hash as the empty string; equal texts get equal answers; other columns stay
 out of it; an empty table gives an empty result.
 """
 
@@ -37,6 +37,8 @@ PER_LANGUAGE = 64
 EXCERPT = 1024
 LANGUAGES = 256
 WINDOW = 512
+#: Bits for a byte that a reference doesn't have, beside the phrase that it is.
+UNSEEN = 8
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -107,7 +109,10 @@ class Parser:
             at += len(moves)
         table = np.concatenate(tables) if tables else np.zeros((0, self.width), np.int64)
         self.table = table.reshape(-1).astype(np.int32 if at * self.width < 2**31 else np.int64)
-        self.bits = np.array([math.log2(len(references[x]) + 1) for x in self.languages])
+        lengths = [len(references[x]) for x in self.languages]
+        self.bits = math.log2(max(lengths, default=0) + 1)
+        self.order = np.array(sorted(range(len(lengths)), key=lambda i: (lengths[i], i)), np.int64)
+        self.lacks = np.array([[byte not in references[x] for x in self.languages] for byte in range(256)], np.int64).reshape(256, -1)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """phrases[text, language]."""
@@ -134,17 +139,22 @@ class Parser:
             np.add.at(counts, [i for i, _ in part], found.T)
         return counts
 
+    def costs(self, texts: list[bytes]) -> np.ndarray:
+        """bits[text, language]."""
+        bytes_of = np.array([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in texts], np.int64).reshape(-1, 256)
+        return self.phrases(texts) * self.bits + bytes_of @ self.lacks * UNSEEN
+
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         plain = [normalise(t) if t is not None else b"" for t in texts]
         known = [bool(self.languages) and has_letter(t) for t in plain]
-        rates = self.phrases([t if k else b"" for t, k in zip(plain, known, strict=True)]) * self.bits
+        rates = self.costs([t if k else b"" for t, k in zip(plain, known, strict=True)])
         languages, scores = [], []
         for row, ok in zip(rates, known, strict=True):
             if not ok:
                 languages.append("und")
                 scores.append(0.0)
                 continue
-            best = int(row.argmin())
+            best = int(self.order[row[self.order].argmin()])
             languages.append(self.languages[best])
             rest = np.delete(row, best)
             scores.append(float(rest.min() / (row[best] + rest.min())) if len(rest) else 1.0)

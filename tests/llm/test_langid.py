@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from driftwell.llm import langid
 from driftwell.llm.common import table
 from driftwell.llm.langid import Parser, fit, predict, suffix_automaton
@@ -77,3 +79,14 @@ def test_odd_rows(spark):
     empty = docs.filter("doc_id > 99")
     assert predict(empty, fit(empty)).count() == 0
     assert {r.lang_pred for r in predict(docs, fit(empty)).collect()} == {"und"}
+
+
+def test_a_language_with_hardly_any_text_takes_over_no_other(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    usual = {r.doc_id: r.lang_pred for r in predict(docs, fit(docs)).collect()}
+    for tiny in ("a", "ok", "hi"):
+        more = docs.unionByName(spark.createDataFrame([(-1, tiny, "aa")], docs.schema))
+        got = {r.doc_id: r.lang_pred for r in predict(docs, fit(more)).collect()}
+        assert sum(got[i] == usual[i] for i in usual) >= 0.98 * len(usual)
+    foreign = docs.limit(1).withColumn("text", F.lit("привет мир"))
+    assert predict(foreign, fit(docs.unionByName(spark.createDataFrame([(-1, "a", "aa")], docs.schema)))).first().score < 0.505

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .schemas import SCHEMAS
 
+#: Logs in which a later row replaces an earlier one, and their keys.
+NEWEST = {"outcomes": ["repository", "commit_hash"]}
+
 
 class Catalog:
     """Tables as Parquet under ``root/tag/name``; a written table gets a new folder, and a pointer names the current."""
@@ -41,5 +44,18 @@ class Catalog:
         """Add rows to a log table; with a batch number the batch is written once, however often it's tried."""
         rows.write.mode("overwrite" if batch is not None else "append").parquet(f"{self.path(name)}/log" + (f"/batch={batch}" if batch is not None else f"/batch=-1/part={uuid.uuid4().hex}"))
 
-    def log(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true").parquet(f"{self.path(name)}/log")
+    def log(self, name: str, but: int | None = None) -> DataFrame:
+        """The rows of a log, without those of the batch ``but``; of outcomes the newest of each commit. Empty if never written."""
+        try:
+            rows = self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true").parquet(f"{self.path(name)}/log")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        rows = rows.withColumn("_batch", F.regexp_extract("_metadata.file_path", r"/log/batch=(-?\d+)/", 1).cast("int"))
+        if but is not None:
+            rows = rows.filter(F.col("_batch") != but)
+        if name in NEWEST:
+            newest = Window.partitionBy(*NEWEST[name]).orderBy(F.col("processed_at").desc(), F.col("_batch").desc())
+            rows = rows.withColumn("_newest", F.row_number().over(newest)).filter("_newest = 1").drop("_newest")
+        return rows.drop("_batch")

@@ -1,7 +1,8 @@
 """The incremental driver: new rows of the commit index, batch by batch, each commit to one terminal outcome.
 
 A checkpoint says which files were read; a batch's rows are written under the batch's number, so that a batch that
-runs again replaces itself. Commits that the log has already are left out by key, so replayed files add nothing.
+runs again replaces itself. File-diffs that the index log has already are left out by key, so replayed files add
+nothing. A commit that gets more file-diffs is judged anew over all of them; of its outcomes the log gives the newest.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..catalog import Catalog
 from ..operators import diffs, gaps, sampling
+from ..operators.lineage import settle
 from ..schemas import SCHEMAS
 
 #: Outcomes of a commit.
@@ -43,23 +45,17 @@ def commit_outcomes(index: DataFrame, scans: DataFrame, classification: DataFram
 
 
 def process_batch(catalog: Catalog, scans: Callable[[DataFrame], DataFrame], source: str = "stream") -> Callable[[DataFrame, int], None]:
-    """The function for foreachBatch: outcomes of a batch's new commits into the log ``outcomes``."""
+    """The function for foreachBatch: outcomes of the commits with new file-diffs into the log ``outcomes``."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        try:
-            done = catalog.log("outcomes")
-            if "batch" in done.columns:
-                done = done.drop("batch")
-            earlier = done
-        except Exception as e:  # the log's folder doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            earlier = rows.sparkSession.createDataFrame([], SCHEMAS["outcomes"])
         # What this batch itself wrote, in a run that was cut off, is written anew.
-        earlier = earlier.filter(F.coalesce("source", F.lit("")) != f"{source}-{number}")
-        fresh = gaps.not_done(rows, earlier, ["repository", "commit_hash"])
-        files = sampling.valid_modifications(fresh)
-        found = commit_outcomes(fresh, scans(sampling.distinct_blobs(files)))
+        seen = settle(catalog.log("workflow_index", but=number))
+        fresh = settle(gaps.not_done(rows.distinct(), seen, ["repository", "commit_hash", "file_path"]))
+        catalog.append("workflow_index", fresh, batch=number)
+        commit = ["repository", "commit_hash"]
+        whole = seen.join(fresh.select(*commit).distinct(), commit, "left_semi").unionByName(fresh)
+        files = sampling.valid_modifications(whole)
+        found = commit_outcomes(whole, scans(sampling.distinct_blobs(files)))
         stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
         out = found.select("repository", "commit_hash", stamp.alias("processed_at"), F.lit(f"{source}-{number}").alias("source"), "outcome", "reason", F.lit(None).cast("string").alias("error"))
         catalog.append("outcomes", out, batch=number)

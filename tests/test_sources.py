@@ -115,6 +115,22 @@ def test_incremental_driver_resumes_and_adds_no_doubles(spark, tmp_path):
     assert got == [("c1", "audited", None), ("c2", "not_clean_fix", "no_v_fixed"), ("c3", "blob_missing", None)]
 
 
+def test_a_commit_spread_over_batches_is_judged_whole(spark, tmp_path):
+    found = {"o1": [("x", "", "", "on")], "n1": [], "o2": [], "n2": [("z", "", "", "")]}
+    scans = spark.createDataFrame([(k, True, None, v) for k, v in found.items()], SCHEMAS["scans"])
+    index, cat = tmp_path / "index", Catalog(spark, str(tmp_path / "out"))
+    index.mkdir()
+    run = lambda: run_available(spark, str(index), cat, lambda blobs: scans.join(blobs, "file_hash", "left_semi"), str(tmp_path / "state"), 1)
+    outcomes = lambda: [(r.commit_hash, r.outcome, r.reason) for r in cat.log("outcomes").collect()]
+    (index / "1.csv").write_text(HEADER + line("c1", "n1", "o1"))
+    run()
+    assert outcomes() == [("c1", "audited", None)]
+    (index / "2.csv").write_text(HEADER + line("c1", "n1", "o1") + line("c1", "n2", "o2").replace("f.yml", "g.yml"))
+    run()
+    assert outcomes() == [("c1", "not_clean_fix", "v_introduced_nonempty")]
+    assert cat.log("workflow_index").count() == 2
+
+
 def test_stream_equals_batch(spark, sf_dir):
     q = entry.queries()
     rows = lambda n: sorted(map(tuple, q[n](spark, sf_dir).select("event_type", "n_low", "n_middle", "n_high").collect()))

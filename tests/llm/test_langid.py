@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -42,16 +43,65 @@ def test_automaton_spells_substrings_only():
     assert not accepts(b"abc") and not accepts(b"bb ")
 
 
-def test_phrases_as_by_substring_search(monkeypatch):
+def test_phrases_of_whole_texts_as_by_substring_search():
     rnd = random.Random(4)
-    references = {x: bytes(rnd.choice(b"abcd ") for _ in range(300)) for x in ("p", "q")}
-    texts = [bytes(rnd.choice(b"abcde ") for _ in range(n)) for n in (0, 1, 5, 40, 99, 100)]
-    monkeypatch.setattr(langid, "WINDOW", 1000)
-    got = Parser(references).phrases(texts)
-    assert got.tolist() == [[slow_phrases(references["p"], t), slow_phrases(references["q"], t)] for t in texts]
-    monkeypatch.setattr(langid, "WINDOW", 40)
-    cut = [[sum(slow_phrases(r, t[i : i + 40]) for i in range(0, len(t), 40)) for r in references.values()] for t in texts]
-    assert Parser(references).phrases(texts).tolist() == cut
+    references = {x: bytes(rnd.choice(b"abcd ") for _ in range(300)) for x in ("p", "q")} | {"r": b"a", "s": b"abcd" * 90}
+    texts = [bytes(rnd.choice(b"abcde ") for _ in range(n)) for n in (0, 1, 5, 40, 99, 100, 700)] + [b"abcd" * 80, b"e" * 130, references["p"] * 2]
+    slow = [[slow_phrases(references[x], t) for x in "pqrs"] for t in texts]
+    parser = Parser(references)
+    assert parser.phrases(texts).tolist() == slow
+    for window, prefix in ((40, 7), (40, 1), (3, 1), (64, 64)):
+        assert parser.phrases(texts, window, prefix).tolist() == slow
+
+
+def test_sixty_languages_are_small():
+    rnd = random.Random(2)
+    alphabets = [bytes(range(32 + 3 * i, 72 + 3 * i)) for i in range(60)]
+    references = {f"l{i:02d}": b" ".join(bytes(rnd.choices(a, k=rnd.randint(2, 9))) for _ in range(700)) for i, a in enumerate(alphabets)}
+    parser = Parser(references)
+    size = sum(map(len, references.values()))
+    assert parser.nbytes < 60 * size and parser.nbytes / size * 60 * langid.REFERENCE < 500 << 20
+    some = {x: references[x] for x in ("l03", "l41")}
+    text = references["l03"][500:900] + references["l41"][:300]
+    whole = parser.phrases([text])[0]
+    assert [whole[3], whole[41]] == [slow_phrases(r, text) for r in some.values()]
+
+
+def test_marks_belong_to_words():
+    assert langid.normalise("हिन्दी भाषा, 12 ไทยนี้!") == "हिन्दी भाषा ไทยนี้".encode()
+    assert langid.normalise(" It's 5\n\tOK ") == b"it s ok" and langid.normalise("ÉTÉ--été") == "été été".encode()
+
+
+def test_answers_as_by_a_slow_cross_parser(spark):
+    """The query itself, on documents of its own, against substring search over whole texts."""
+    rnd = random.Random(7)
+    words = {"x": ["tarim", "solek", "banu", "ir", "mo"], "y": ["quess", "lorin", "ax", "ubet"], "z": ["ñandú", "été", "ço", "ir"]}
+    rows = [(i, " ".join(rnd.choices(words[x], k=rnd.choice((1, 5, 60, 150)))), x) for i in range(120) for x in [rnd.choice("xyz")]]
+    rows += [(500, None, "x"), (501, "12 -- ", "y"), (502, "ax " * 400 + "tarim", None), (503, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    references = fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    taught = [r for r in rows if r[1] and r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    for x, reference in references.items():
+        assert len(reference) <= langid.REFERENCE and all(w in {v for r in taught if r[2] == x for v in r[1].split()} for w in reference.decode().split())
+    longest = max(map(len, references.values()))
+    got = {r.doc_id: r for r in predict(docs, references).collect()}
+    for i, text, _ in rows:
+        plain = langid.normalise(text or "")
+        if not plain:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cost = {x: slow_phrases(r, plain) * math.log2(longest + 1) + 8 * sum(b not in r for b in plain) for x, r in references.items()}
+        best = sorted(cost.values())
+        assert cost[got[i].lang_pred] == best[0] and abs(got[i].score - best[1] / (best[0] + best[1])) < 1e-9
+
+
+def test_whole_texts_teach_within_the_bound(spark):
+    rows = [(i, "x" * 40 + f" {'ab'[i % 2]}" * 30, "p") for i in range(40)] + [(100 + i, "y" * 3000, "q") for i in range(5)] + [(200, "z" * 2000, "q")] + [(300, "w", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = fit(docs, reference=1000, languages=2)
+    assert set(got) == {"p", "q"}  # those with the most documents
+    assert 800 <= len(got["p"]) <= 1000 and got["p"].startswith(b"x" * 40) and got["p"].endswith((b"a", b"b"))
+    assert got["q"] == b"z" * 2000  # none fits: the shortest, whole
 
 
 def test_held_out_accuracy(spark, sf_dir):
@@ -67,7 +117,7 @@ def test_held_out_accuracy(spark, sf_dir):
 def test_labels_of_held_out_rows_teach_nothing(spark):
     rows = [(i, "le la les des une " * 9, "fr", "s", "clash", 5) for i in range(8)] + [(9, "der die das und ein " * 9, "de", "s", None, None)]
     parser = fit(spark.createDataFrame(rows, SCHEMA).filter("doc_id = 9"))
-    assert parser.languages == ["de"]
+    assert list(parser) == ["de"]
 
 
 def test_odd_rows(spark):

@@ -1,41 +1,47 @@
-"""Quality classifier by co-training of a text view and a page-metadata view.
-
-1. The text view sees the content: hashed byte pairs and triples, and how words repeat. The metadata view sees
-   language, source, length and the page's layout (lines, their lengths, repeated lines), and no words.
-2. A logistic regression is fitted for each view on labelled rows. In each of ROUNDS rounds each view labels the
-   unlabelled rows of the pool that it is surest of (at most PICK of each class, and only beyond SURE), and the
-   other view takes them into its training rows.
-3. A quarter of the labelled rows is kept out of all fits. On it each view's scores are calibrated (Platt) and the
-   two calibrated views are combined by a logistic regression, so a view that tells little gets little weight.
+"""Quality classifier by co-training of a text-content view and a page-metadata view.
+
+1. The text view sees the content: hashed byte pairs and triples, how words repeat, and the lines. The metadata view
+   sees language, source and the stated length, and nothing that is read off the text.
+2. A logistic regression is fitted for each view on labelled rows. In each of ROUNDS rounds every document outside
+   the labelled sample is scored by both views. Those that a view is surest of (SURE and beyond) get its pseudo-label,
+   and the other view learns from them. They are taken in as the means of their features in BUCKETS buckets for each
+   label (sums over all documents, made in each task first), which together weigh at most as much as the labelled
+   rows of that label. So the whole table takes part, while a fit reads a bounded number of rows.
+3. A quarter of the labelled rows is kept out of all fits. On one half of it each view's scores are calibrated
+   (Platt), on the other half the calibrated views are combined by a logistic regression, so a view that tells
+   little gets little weight.
 4. Every document is scored; ``keep`` says whether its probability of good quality is THRESHOLD or more.
 
-Fitting samples are bounded: LABELLED labelled rows and POOL unlabelled ones, the smallest draws of a hash of their
-ids, whose features the driver collects. Whole texts are read, in fitting and in scoring.
+The one bounded sample is of labelled rows: LABELLED of them, those with the smallest draws of a hash of their ids.
+Fits run in one executor task on that sample's features and the means; the driver gets the weights. Whole texts are
+read, in fitting and in scoring.
 
 Defined results: null texts and texts of white space alone score 0 and aren't kept; null lang, source or n_chars
 are values of their own; labels other than 0 and 1 are ignored, and of several labels of a document the greatest
-counts; without labelled rows of both classes every other document scores 1; null ids are scored like any other
-and never in the sample; repeated rows are scored each; columns ``keep``, ``score``, ``text_score`` and
-``metadata_score`` are replaced; an empty table gives an empty result.
+counts; without labelled rows of both classes every other document scores 1; null ids are scored and exchanged like
+any other and never in the sample; of repeated ids in the sample the smallest row by its fields teaches; repeated
+rows are scored each; columns ``keep``, ``score``, ``text_score`` and ``metadata_score`` are replaced; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import digest_int, ship
+from .common import digest_int, materialise, ship
 
-LABELLED = 4000
-POOL = 2000
-ROUNDS = 3
-PICK = 150
+LABELLED = 6000
+ROUNDS = 2
 SURE = 0.9
+BUCKETS = 8
 THRESHOLD = 0.5
 HASHES = 512
 FIELDS = ["text", "lang", "source", "n_chars"]
@@ -53,22 +59,22 @@ def text_features(text: str) -> np.ndarray:
             parts.append(np.sqrt(counts / len(code)))
         else:
             parts.append(np.zeros(HASHES))
-    words = text.split()
+    words, lines = text.split(), text.split("\n")
     n = max(len(words), 1)
     counts = Counter(words)
     runs = sum(a == b for a, b in zip(words, words[1:], strict=False))
     upper = sum(map(str.isupper, words))
     parts.append(np.array([len(counts) / n, max(counts.values(), default=0) / n, runs / n, upper / n, min(len(text) / n, 40) / 40]))
+    parts.append(np.array([np.log1p(len(lines)) / 5, np.log1p(len(text) / len(lines)) / 8, np.log1p(max(map(len, lines))) / 8, len(set(lines)) / len(lines)]))
     return np.concatenate(parts)
 
 
-def metadata_features(text: str, lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
-    out = np.zeros(2 * 64 + 6)
+def metadata_features(lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
+    out = np.zeros(2 * 64 + 2)
     for i, value in enumerate((lang, source)):
         out[64 * i + (0 if value is None else 1 + zlib.crc32(value.encode("utf-8", "replace")) % 63)] = 1
-    lines = text.split("\n")
     known = n_chars is not None and not pd.isna(n_chars) and n_chars >= 0
-    out[128:] = [np.log1p(n_chars) / 10 if known else 0, not known, np.log1p(len(lines)) / 5, np.log1p(len(text) / len(lines)) / 8, np.log1p(max(map(len, lines))) / 8, len(set(lines)) / len(lines)]
+    out[128:] = [np.log1p(n_chars) / 10 if known else 0, not known]
     return out
 
 
@@ -76,12 +82,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 250, rate: float = 0.2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, start: np.ndarray | None = None, ridge: float = 1e-4, steps: int = 250, rate: float = 0.2) -> np.ndarray:
     """Weights, the intercept last, by Adam on all rows."""
     n = x.shape[1]
-    w, first, second = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+    w = np.zeros(n + 1) if start is None else start
+    share = (np.ones(len(x)) if weight is None else weight) / (len(x) if weight is None else weight.sum())
+    first, second = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
-        off = ((sigmoid(margin(x, w)) - y) / len(x)).astype(x.dtype)
+        off = ((sigmoid(margin(x, w)) - y) * share).astype(x.dtype)
         g = np.append(off @ x, off.sum()) + ridge * w
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w = w - rate * (1 - step / (steps + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -92,6 +100,26 @@ def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x @ w[:-1].astype(x.dtype)).astype(float) + w[-1]
 
 
+class Exchange:
+    """Sums of the features that the views give each other, by (taking view, label, bucket): (rows, sum)."""
+
+    def __init__(self, views: list[np.ndarray], sure: float = SURE, buckets: int = BUCKETS) -> None:
+        self.views, self.sure, self.buckets = views, sure, buckets
+        self.sums: dict[tuple[int, int, int], tuple[int, np.ndarray]] = {}
+
+    def add(self, x: list[np.ndarray], bucket: np.ndarray) -> None:
+        """Rows of both views' features; ``bucket`` is any number of each row's own."""
+        for v in (0, 1):
+            p = sigmoid(margin(x[v], self.views[v]))
+            for label, certainty in ((1, p), (0, 1 - p)):
+                for b in range(self.buckets):
+                    some = (certainty >= self.sure) & (bucket % self.buckets == b)
+                    if some.any():
+                        key = (1 - v, label, b)
+                        n, total = self.sums.get(key, (0, 0))
+                        self.sums[key] = (n + int(some.sum()), total + x[1 - v][some].sum(axis=0, dtype=np.float64))
+
+
 class CoTrained:
     """Two views, calibrated and combined. ``views`` is empty if nothing could be learned."""
 
@@ -101,32 +129,35 @@ class CoTrained:
         self.joint = np.zeros(3)
         self.exchanged = [0, 0]
 
-    def learn(self, labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, pick: int = PICK, sure: float = SURE) -> CoTrained:
-        """labelled and pool: a matrix of each view's features; rows of y are 0 or 1."""
-        held = np.arange(len(y)) % 4 == 3
-        if min((y[~held] == c).sum() for c in (0, 1)) == 0 or min((y[held] == c).sum() for c in (0, 1)) == 0:
+    def learn(self, labelled: list[np.ndarray], y: np.ndarray, given: dict[tuple[int, int, int], tuple[int, np.ndarray]] | None = None) -> CoTrained:
+        """Fit to labelled rows (a matrix of each view's features; y is 0 or 1) and to what an Exchange has summed.
+
+        A model that was fitted before goes on from its weights.
+        """
+        turn = np.arange(len(y)) % 8
+        held = turn % 4 == 3
+        if any((y[some] == c).sum() == 0 for some in (~held, held) for c in (0, 1)):
             return self
-        given: list[dict[int, int]] = [{}, {}]  # pool row -> pseudo-label, for each view that takes it
-
-        def fit(v: int) -> np.ndarray:
-            rows = list(given[v])
-            x = np.vstack([labelled[v][~held], pool[v][rows]])
-            return logistic(x, np.concatenate([y[~held], [given[v][r] for r in rows]]))
-
-        views = [fit(0), fit(1)]
-        for _ in range(rounds if len(pool[0]) else 0):
-            for v in (0, 1):
-                p, other = sigmoid(margin(pool[v], views[v])), given[1 - v]
-                for label, certainty in ((1, p), (0, 1 - p)):
-                    best = [r for r in np.argsort(-certainty, kind="stable") if r not in other and certainty[r] >= sure][:pick]
-                    other.update(dict.fromkeys(map(int, best), label))
-            views = [fit(0), fit(1)]
-        self.exchanged = [len(g) for g in given]
+        given = given or {}
+        views = []
+        for v in (0, 1):
+            x, label, weight = [labelled[v][~held]], [y[~held]], [np.ones((~held).sum())]
+            for c in (0, 1):
+                means = [(n, total / n) for (view, kind, _), (n, total) in sorted(given.items()) if (view, kind) == (v, c)]
+                if means:
+                    n = np.array([m[0] for m in means], float)
+                    x.append(np.stack([m[1] for m in means]).astype(labelled[v].dtype))
+                    label.append(np.full(len(n), c))
+                    weight.append(n * min(1.0, (y[~held] == c).sum() / n.sum()))
+            start = self.views[v] if self.views else None
+            views.append(logistic(np.vstack(x), np.concatenate(label), np.concatenate(weight), start, steps=250 if start is None else 100))
+        self.exchanged = [sum(n for (view, _, _), (n, _) in given.items() if view == v) for v in (0, 1)]
         self.views = views
-        raw = [margin(labelled[v][held], views[v]) for v in (0, 1)]
-        self.scales = [logistic(r[:, None], y[held], steps=400) for r in raw]
-        calibrated = np.stack([margin(r[:, None], s) for r, s in zip(raw, self.scales, strict=True)], axis=1)
-        self.joint = logistic(calibrated, y[held], steps=400)
+        one, other = (turn == 3, turn == 7) if all((y[turn == t] == c).any() for t in (3, 7) for c in (0, 1)) else (held, held)
+        raw = [margin(m, w)[:, None] for m, w in zip(labelled, views, strict=True)]
+        self.scales = [logistic(r[one], y[one], steps=400) for r in raw]
+        calibrated = np.stack([margin(r[other], s) for r, s in zip(raw, self.scales, strict=True)], axis=1)
+        self.joint = logistic(calibrated, y[other], steps=400)
         return self
 
     def score(self, x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,8 +170,8 @@ class CoTrained:
 
 def both_views(rows: pd.DataFrame) -> list[np.ndarray]:
     text = np.stack([text_features(t) for t in rows["text"]])
-    meta = np.stack([metadata_features(*r) for r in rows[FIELDS].itertuples(index=False, name=None)])
-    return [text, meta]
+    meta = np.stack([metadata_features(*r) for r in rows[FIELDS[1:]].itertuples(index=False, name=None)])
+    return [text.astype(np.float32), meta.astype(np.float32)]
 
 
 def _fields(docs: DataFrame) -> list[Column]:
@@ -148,35 +179,85 @@ def _fields(docs: DataFrame) -> list[Column]:
     return [(F.col(c) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in FIELDS]
 
 
-def _smallest(ids: DataFrame, name: str, n: int) -> DataFrame:
-    """The n rows with the smallest draws; most rows are cut off by a bound on the draw before they're sorted."""
-    bound = int(min(1.0, 1.5 * n / max(ids.count(), 1) + 1e-9) * (1 << 52))
-    drawn = ids.withColumn("_draw", digest_int(F.concat(F.lit(f"{name}:"), F.col("_id").cast("string")))).filter(F.col("_draw") <= bound)
-    return drawn.orderBy("_draw", "_id").limit(n)
+def _pack(*arrays: np.ndarray) -> bytes:
+    return np.concatenate([np.ravel(a) for a in arrays]).astype("<f8").tobytes()
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, **options: float) -> CoTrained:
-    """Co-train on docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_y"))
-    told = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id")).join(known, "_id")
-    sample = _smallest(told, "quality", labelled).select("_id", "_y", "_draw")
-    rest = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"))
-    drawn = _smallest(rest.join(known, "_id", "left_anti"), "pool", pool).select("_id", F.lit(-1).alias("_y"), "_draw")
-    picked = F.broadcast(sample.unionAll(drawn))  # labelled + pool rows at most
-    rows = docs.join(picked, docs["doc_id"] == F.col("_id")).select("_id", "_y", "_draw", *_fields(docs))
+def _labelled_features(docs: DataFrame, labels: DataFrame, labelled: int) -> DataFrame:
+    """(_id, _y, _draw, text, meta) of the labelled rows with the smallest draws, at most ``labelled``; written."""
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("int").alias("_y"))
+    known = known.withColumn("_draw", digest_int(F.concat(F.lit("quality:"), F.col("_id").cast("string"))))
+    # Most rows are cut off by a bound on the draw before they're sorted.
+    bound = int(min(1.0, 1.5 * labelled / max(known.count(), 1) + 1e-9) * (1 << 52))
+    picked = known.filter(F.col("_draw") <= bound).orderBy("_draw", "_id").limit(labelled)
+    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(picked), docs["doc_id"] == F.col("_id")).select("_id", "_y", "_draw", *_fields(docs))
     rows = rows.groupBy("_id", "_y", "_draw").agg(F.min(F.struct(*FIELDS)).alias("_d")).select("_id", "_y", "_draw", "_d.*")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = both_views(batch) if len(batch) else [np.zeros((0, 1))] * 2
-            yield pd.DataFrame({"_y": batch["_y"], "_draw": batch["_draw"], "_id": batch["_id"], "text": [r.astype(np.float32).tobytes() for r in x[0]], "meta": [r.astype(np.float32).tobytes() for r in x[1]]})
-
-    got = rows.mapInPandas(features, "_y int, _draw long, _id long, text binary, meta binary").toPandas().sort_values(["_draw", "_id"])
-    if not len(got):
-        return CoTrained()
-    x = [np.stack([np.frombuffer(b, np.float32) for b in got.pop(c)]) for c in ("text", "meta")]
-    y = got["_y"].to_numpy()
-    return CoTrained().learn([m[y >= 0] for m in x], y[y >= 0], [m[y < 0] for m in x], **options)
+            yield pd.DataFrame({"_id": batch["_id"], "_y": batch["_y"], "_draw": batch["_draw"], "text": [r.tobytes() for r in x[0]], "meta": [r.tobytes() for r in x[1]]})
+
+    return materialise(rows.mapInPandas(features, "_id long, _y int, _draw long, text binary, meta binary"))
+
+
+def _summed(docs: DataFrame, sample: DataFrame, model: CoTrained, sure: float) -> DataFrame:
+    """(view, label, bucket, n, total) over all documents outside the sample: what the views give each other."""
+    held = ship(docs.sparkSession, model.views)
+    rest = docs.filter(F.col("text").isNotNull())
+    ids = F.broadcast(sample.select("_id"))  # as many as the sample has rows
+    rest = rest.join(ids, rest["doc_id"] == F.col("_id"), "left_anti").select(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")).alias("_bucket"), *_fields(docs))
+
+    def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = Exchange(held(), sure)
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                some = batch.iloc[at : at + 512]
+                sums.add(both_views(some), some["_bucket"].to_numpy())
+        yield pd.DataFrame([(v, c, b, n, _pack(total)) for (v, c, b), (n, total) in sums.sums.items()], columns=["view", "label", "bucket", "n", "total"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(t, "<f8") for t in rows["total"]], axis=0)
+        return pd.DataFrame({**{c: rows[c].iloc[:1] for c in ("view", "label", "bucket")}, "n": [rows["n"].sum()], "total": [_pack(total)]})
+
+    schema, key = "view int, label int, bucket int, n long, total binary", ["view", "label", "bucket"]
+    parts = rest.mapInPandas(give, schema).withColumn("_part", F.spark_partition_id() % 64)
+    parts = parts.groupBy(*key, "_part").applyInPandas(add, schema)  # so that no task meets the sums of all tasks
+    return parts.groupBy(*key).applyInPandas(add, schema)
+
+
+def _fitted(sample: DataFrame, given: DataFrame | None, model: CoTrained) -> CoTrained:
+    """``model`` fitted in one task to the bounded sample and the bounded number of means; its weights come back."""
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pd.concat(parts)
+        told = rows[rows["_y"] >= 0].sort_values(["_draw", "_id"])
+        if len(told):
+            x = [np.stack([np.frombuffer(b, np.float32) for b in told[c]]) for c in ("text", "meta")]
+            means = {(int(v), int(-1 - y), int(b)): (int(n), np.frombuffer(t, "<f8")) for v, y, b, n, t in rows.loc[rows["_y"] < 0, ["view", "_y", "bucket", "n", "text"]].itertuples(index=False, name=None)}
+            model.learn(x, told["_y"].to_numpy(), means)
+        yield pd.DataFrame({"model": [cloudpickle.dumps((model.views, model.scales, model.joint, model.exchanged))]})
+
+    rows = sample.select("_id", "_y", "_draw", "text", "meta", *[F.lit(None).cast("long").alias(c) for c in ("view", "bucket", "n")])
+    if given is not None:
+        no = F.lit(None)
+        rows = rows.unionAll(given.select(no, -1 - F.col("label"), no, "total", no, "view", "bucket", "n"))
+    found = rows.repartition(1).mapInPandas(train, "model binary").collect()
+    if found:
+        model.views, model.scales, model.joint, model.exchanged = pickle.loads(found[0][0])
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
+    """Co-train on docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
+    sample = _labelled_features(docs, labels, labelled)
+    model = _fitted(sample, None, CoTrained())
+    for _ in range(rounds if model.views else 0):
+        model = _fitted(sample, _summed(docs, sample, model, sure), model)
+    return model
 
 
 def score_documents(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:

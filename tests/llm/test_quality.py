@@ -1,25 +1,73 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import table
-from driftwell.llm.quality import CoTrained, fit, score_documents
+from driftwell.llm import quality
+from driftwell.llm.quality import CoTrained, Exchange, fit, metadata_features, score_documents, text_features
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, keep int"
 
 
+def co_train(labelled, y, pool, rounds=2):
+    model = CoTrained().learn(labelled, y)
+    for _ in range(rounds):
+        sums = Exchange(model.views)
+        sums.add(pool, np.arange(len(pool[0])))
+        model.learn(labelled, y, sums.sums)
+    return model
+
+
 def test_views_teach_each_other_and_are_weighed():
     rng = np.random.default_rng(1)
-    y = rng.integers(0, 2, 4000)
-    a, b = rng.standard_normal((4000, 3)) + 2 * y[:, None], rng.standard_normal((4000, 3))
+    y = rng.integers(0, 2, 8000)
+    a, b = rng.standard_normal((8000, 30)) + 2 * y[:, None] * (np.arange(30) < 3), rng.standard_normal((8000, 30))
     b[:, 0] += 1.5 * y
-    model = CoTrained().learn([a[:200], b[:200]], y[:200], [a[200:1000], b[200:1000]])
-    assert model.exchanged[1] > 50
-    joint, one, other = (((p > 0.5) == y[1000:]).mean() for p in model.score([a[1000:], b[1000:]]))
-    assert joint > 0.94 and joint >= max(one, other)
-    noise = CoTrained().learn([a[:2000], rng.standard_normal((2000, 3))], y[:2000], [a[:0], b[:0]])
-    assert ((noise.score([a[2000:], rng.standard_normal((2000, 3))])[0] > 0.5) == y[2000:]).mean() > 0.94
+    alone = CoTrained().learn([a[:64], b[:64]], y[:64])
+    model = co_train([a[:64], b[:64]], y[:64], [a[64:4000], b[64:4000]])
+    assert min(model.exchanged) > 500
+    right = lambda m: [((p > 0.5) == y[4000:]).mean() for p in m.score([a[4000:], b[4000:]])]
+    assert right(model)[2] > right(alone)[2] + 0.02  # the weaker view gains by what the other one gave
+    assert right(model)[0] > 0.9
+    noise = CoTrained().learn([a[:2000], rng.standard_normal((2000, 3))], y[:2000])
+    assert ((noise.score([a[2000:], rng.standard_normal((6000, 3))])[0] > 0.5) == y[2000:]).mean() > 0.94
+
+
+def test_the_exchange_sums_all_documents_as_by_brute_force(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    sample = quality._labelled_features(docs, labels, 60)
+    model = quality._fitted(sample, None, CoTrained())
+    got = {(r.view, r.label, r.bucket): (r.n, np.frombuffer(r.total)) for r in quality._summed(docs.repartition(7), sample, model, 0.8).collect()}
+    known = {r._id for r in sample.collect()}
+    rest = [r for r in docs.collect() if r.doc_id not in known and r.text is not None]
+    assert len(known) == 60 and rest
+    slow = {}
+    for r in rest:
+        x = [text_features(r.text).astype(np.float32), metadata_features(r.lang, r.source, r.n_chars).astype(np.float32)]
+        for v in (0, 1):
+            p = 1 / (1 + np.exp(-(x[v].astype(float) @ model.views[v][:-1] + model.views[v][-1])))
+            for label in (0, 1):
+                if (p if label else 1 - p) >= 0.8:
+                    n, total = slow.get(k := (1 - v, label, zlib.crc32(str(r.doc_id).encode()) % 8), (0, 0))
+                    slow[k] = (n + 1, total + x[1 - v])
+    assert sum(n for n, _ in got.values()) > 20
+    assert abs(sum(n for n, _ in got.values()) - sum(n for n, _ in slow.values())) <= 1  # a row may lie on the bound
+    assert sum(got[k][0] == slow[k][0] and np.allclose(got[k][1], slow[k][1], rtol=1e-4, atol=1e-3) for k in slow) >= len(slow) - 1
+
+
+def test_scores_as_by_brute_force(spark):
+    """The query's scores, one document at a time, from the model's weights."""
+    docs, labels = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    model = fit(docs, labels)
+    logit = lambda x, w: float(np.dot(x.astype(float), w[:-1]) + w[-1])
+    for r in score_documents(docs, model).collect():
+        x = [text_features(r.text), metadata_features(r.lang, r.source, r.n_chars)]
+        z = [logit(np.array([logit(m, w)]), s) for m, w, s in zip(x, model.views, model.scales, strict=True)]
+        slow = [1 / (1 + np.exp(-v)) for v in (logit(np.array(z), model.joint), *z)]
+        assert np.allclose([r.score, r.text_score, r.metadata_score], slow, atol=1e-4) and r.keep == (r.score >= 0.5)
 
 
 def test_held_out_accuracy(spark):

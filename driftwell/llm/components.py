@@ -40,9 +40,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = materialise(_distinct_edges(edges))
     while True:
-        upper = edges.groupBy("u").agg(F.count("*").alias("n"))
-        forked = upper.filter("n > 1").limit(1).count()
-        if not forked and not edges.select(F.col("v").alias("u")).join(upper, "u", "left_semi").limit(1).count():
+        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionAll(edges.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+        ends = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.count("*").alias("all"))
+        if not ends.filter("ups > 1 or (ups = 1 and all > 1)").limit(1).count():
             break
         edges = materialise(_star(_star(edges, small=False), small=True))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -7,10 +7,10 @@
    is lost, and a shard of random fingerprints stays small at any size (25 bits name it for radius 3).
 4. A shard is searched by BK-trees: a node's children are keyed by their Hamming distance to it, and a search
    follows only the edges whose key is within the radius of the distance to the node. Shards of more than
-   TREE fingerprints are cut into trees of about TREE by a hash, and each tree is shipped, whole, to a task of
-   its own, which takes its own fingerprints and then, as a stream, those of the shard's other trees.
+   TREE fingerprints are cut into trees of about TREE by a hash (``in_trees``); each tree is shipped, whole, to the
+   tasks that probe it, as many as its probes need.
    For a wider net (``similar_documents``), fingerprints have more bits, each different shingle counts once, shards
-   are named by bands of bits, and what the trees find is confirmed by the sets of shingles.
+   are named by bands of bits, and groups of candidates are then compared by the sets of shingles.
 5. A tree's links leave as a spanning forest (at most one link for each fingerprint and tree); connected
    components join them over all shards.
 
@@ -31,9 +31,9 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import LongType
 
-from .common import materialise
+from .common import if_small, materialise
 from .components import connected_components
 
 SHINGLE = 3
@@ -110,15 +110,15 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def set_mark(hashes: np.ndarray) -> str:
+def set_mark(hashes: np.ndarray) -> bytes:
     """A name of the set itself, which other sets don't have."""
-    return hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).hexdigest()
+    return hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest()
 
 
 def wide_fingerprint(text: Column, shingle: int, words: int) -> Column:
     """(f, mark): a fingerprint of 64 * words bits of the set of shingles, as bytes, and the set's name."""
 
-    @F.pandas_udf("f binary, mark string")
+    @F.pandas_udf("f binary, mark binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, shingle) for t in texts]
         return pd.DataFrame({"f": [hash_fingerprint(h, words) for h in sets], "mark": [set_mark(h) for h in sets]})
@@ -201,22 +201,50 @@ class _Shard:
 
 def _link(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by shard and tree, a tree's own fingerprints first."""
+        """Rows come sorted by shard, tree and part, a tree's own fingerprints first."""
         last, shard = None, None
         for rows in batches:
             u, v = [], []
-            for *key, probes, f in rows[["_pair", "_bits", "_tree", "_probes", "_f"]].itertuples(index=False, name=None):
+            for *key, role, f in rows[["_pair", "_bits", "_tree", "_part", "_role", "_f"]].itertuples(index=False, name=None):
                 if key != last:
                     last, shard = key, _Shard(radius)
                 value = f & 0xFFFFFFFFFFFFFFFF
-                for other in (shard.probe if probes else shard.grow)(value):
-                    u.append(f)
-                    v.append(other - (1 << 64) if other >> 63 else other)
+                for other in (shard.probe if role == PROBES else shard.grow)(value):
+                    if role != SHOWN:
+                        u.append(f)
+                        v.append(other - (1 << 64) if other >> 63 else other)
             yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
     return link
 
 
+#: What a fingerprint is to a tree: one of its own, whose links are told; one of its own in a further copy; a probe.
+OWN, SHOWN, PROBES = 0, 1, 2
+#: Probes of a part, in trees.
+PART = 4
+
+
+def in_trees(keyed: DataFrame, shard: list[str], tree: int, node: Column) -> DataFrame:
+    """Deal the fingerprints of each shard to trees: rows with _tree, _part and _role.
+
+    A shard of more than ``tree`` fingerprints is cut into trees by a hash. Each tree holds its own and is probed by
+    those of later trees; where these are more than PART trees' worth, the tree is copied, and each copy gets a part
+    of the probes, so that no task has more than a few trees' worth of rows, however large the shard is.
+    """
+    large = materialise(keyed.groupBy(*shard).agg(F.count("*").alias("_n")).filter(F.col("_n") > tree))
+    large = if_small(large.select(*shard, F.ceil(F.col("_n") / tree).cast("int").alias("_trees")))
+    own = F.pmod(F.xxhash64(node), F.col("_trees")).cast("int")
+    placed = keyed.join(large, shard, "left").withColumn("_trees", F.coalesce("_trees", F.lit(1))).withColumn("_own", own)
+    parts = lambda t: F.greatest(F.ceil((F.col("_trees") - 1 - t) / PART), F.lit(1)).cast("int")
+    place = lambda t, p, role: F.struct(t.alias("_tree"), p.cast("int").alias("_part"), role.alias("_role"))
+    copies = F.transform(F.sequence(F.lit(0), parts(F.col("_own")) - 1), lambda p: place(F.col("_own"), p, F.when(p == 0, OWN).otherwise(SHOWN)))
+    probes = F.transform(F.sequence(F.lit(0), F.col("_own") - 1), lambda t: place(t, F.pmod(F.xxhash64(node, t), parts(t)), F.lit(PROBES)))
+    places = F.when(F.col("_own") == 0, copies).otherwise(F.concat(copies, probes))
+    dealt = placed.withColumn("_at", F.explode(places)).select(*keyed.columns, "_at.*")
+    key = [*shard, "_tree", "_part"]
+    return dealt.repartition(*key).sortWithinPartitions(*key, "_role")
+
+
 def bit_ranges(radius: int) -> list[tuple[int, int]]:
     """(first bit, number of bits) of radius + 2 ranges of nearly equal width."""
     n = radius + 2
@@ -232,14 +260,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tree: int = TRE
     named = F.array(*[F.struct(F.lit(n).alias("_pair"), F.shiftleft(cut(a), 32).bitwiseOR(cut(b)).alias("_bits")) for n, (a, b) in enumerate(pairs)])
     keyed = distinct.select("_f", F.explode(named).alias("_s")).select("_f", "_s._pair", "_s._bits")
 
-    large = keyed.groupBy("_pair", "_bits").agg(F.count("*").alias("_n")).filter(F.col("_n") > tree)
-    large = large.select("_pair", "_bits", F.ceil(F.col("_n") / tree).cast("int").alias("_trees"))
-    placed = keyed.join(large, ["_pair", "_bits"], "left").withColumn("_trees", F.coalesce("_trees", F.lit(1)))
-    own = F.pmod(F.xxhash64("_f"), F.col("_trees")).cast("int")
-    dealt = placed.withColumn("_own", own).withColumn("_tree", F.explode(F.sequence(F.lit(0), F.col("_own"))))
-    dealt = dealt.select("_pair", "_bits", "_tree", (F.col("_tree") != F.col("_own")).alias("_probes"), "_f")
-    key = ["_pair", "_bits", "_tree"]
-    return dealt.repartition(*key).sortWithinPartitions(*key, "_probes").mapInPandas(_link(radius), "u long, v long")
+    return in_trees(keyed, ["_pair", "_bits"], tree, F.col("_f")).mapInPandas(_link(radius), "u long, v long")
 
 
 def similar_radius(similarity: float, bits: int, deviations: float = 1) -> int:
@@ -253,244 +274,193 @@ def similar_radius(similarity: float, bits: int, deviations: float = 1) -> int:
 
 
 class _Candidates(_Shard):
-    """A tree whose values have nodes, each with the component that it is known to be in."""
+    """A tree whose values have nodes."""
 
     def __init__(self, radius: int) -> None:
         super().__init__(radius)
-        self.members: dict[int, list[tuple[int, int]]] = {}
-
-    def near(self, value: int) -> list[tuple[int, int]]:
-        """(distance, number) of the near values, nearest first."""
-        return sorted(((self.tree.values[n] ^ value).bit_count(), n) for n in self.tree.near(value, self.radius))
-
-    def add(self, value: int, node: int, component: int) -> int:
-        at = self.tree.add(value)
-        if at == len(self.parent):
-            self.parent.append(at)
-        self.members.setdefault(value, []).append((node, component))
-        return at
-
-    def forest(self, value: int, node: int, component: int, probes: bool) -> Iterator[tuple[int, int]]:
-        """(node, distance) of links that join classes of near values."""
-        near = self.near(value)
-        if probes and not near:
-            return
-        if probes:
-            d, at = near.pop(0)
-            yield self.members[self.tree.values[at]][0][0], d
-        else:
-            known = self.members.get(value)
-            if known:
-                yield known[0][0], 0
-            at = self.add(value, node, component)
-        for d, other in near:
-            a, b = self.root(other), self.root(at)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
-                yield self.members[self.tree.values[other]][0][0], d
-
-    def pairs(self, value: int, node: int, component: int, probes: bool, most: int) -> Iterator[tuple[int, int]]:
-        """(node, distance) of the ``most`` nearest nodes of other components; (-1, -1) if there are more."""
-        left = most
-        for d, at in self.near(value):
-            for other, its in self.members[self.tree.values[at]]:
-                if its != component:
-                    if not left:
-                        yield -1, -1
-                        break
-                    left -= 1
-                    yield other, d
-            else:
-                continue
-            break
+        self.nodes: dict[int, int] = {}
+
+    def forest(self, value: int, node: int, probes: bool) -> Iterator[int]:
+        """Nodes that join the value to classes of near values."""
+        for other in (self.probe if probes else self.grow)(value):
+            yield self.nodes[other]
         if not probes:
-            self.add(value, node, component)
+            if value in self.nodes:
+                yield self.nodes[value]
+            self.nodes.setdefault(value, node)
 
 
-def _link_wide(radius: int, most: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _link_wide(radius: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, shard = None, _Candidates(radius)
         for rows in batches:
-            u, v, far = [], [], []
-            for *key, probes, node, component, f in rows[["_band", "_bits", "_tree", "_probes", "_id", "_component", "_f"]].itertuples(index=False, name=None):
+            u, v = [], []
+            for *key, role, node, f in rows[["_shard", "_tree", "_part", "_role", "_id", "_f"]].itertuples(index=False, name=None):
                 if key != last:
                     last, shard = key, _Candidates(radius)
-                at = (int.from_bytes(f, "little"), node, component, probes)
-                for other, d in shard.forest(*at) if most is None else shard.pairs(*at, most):
-                    u.append(node)
-                    v.append(other)
-                    far.append(d)
-            yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64), "d": np.array(far, np.int32)})
+                for other in shard.forest(int.from_bytes(f, "little"), node, role == PROBES):
+                    if role != SHOWN and other != node:
+                        u.append(node)
+                        v.append(other)
+            yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
     return link
 
 
-def wide_links(distinct: DataFrame, radius: int, words: int, tree: int = TREE, most: int | None = None) -> DataFrame:
-    """Candidate pairs (u, v, d) of ids (``_id``, ``_component``, ``_f``) that agree in a band and differ in d bits, ``radius`` at most.
+def wide_links(distinct: DataFrame, radius: int, words: int, tree: int = TREE) -> DataFrame:
+    """Candidate links (u, v) of ids (``_id``, ``_f``) that agree in a band of bits and differ in ``radius`` bits at most.
 
-    Without ``most``: a forest in each tree, which joins what any candidate pair joins. With it: for each id and
-    tree, the nearest ``most`` ids of other components; where there are more, a row with v = -1 says so.
-    A shard is named by a band of 16 bits, so with n fingerprints it has n / 65536 on the average; more words give
-    more bands, and pairs more chances to meet.
+    Each tree gives a forest, which joins what any candidate pair of it joins. A shard is named by a band of 16 bits,
+    so with n fingerprints it has n / 65536 on the average; more words give more bands, and pairs more chances to meet.
     """
-    bands = 4 * words
-    keyed = distinct.select("_id", "_component", "_f", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("_band"))
-    keyed = keyed.withColumn("_bits", F.substring("_f", F.col("_band") * 2 + 1, F.lit(2)))
-    large = keyed.groupBy("_band", "_bits").agg(F.count("*").alias("_n")).filter(F.col("_n") > tree)
-    large = large.select("_band", "_bits", F.ceil(F.col("_n") / tree).cast("int").alias("_trees"))
-    placed = keyed.join(large, ["_band", "_bits"], "left").withColumn("_trees", F.coalesce("_trees", F.lit(1)))
-    own = F.pmod(F.xxhash64("_id"), F.col("_trees")).cast("int")
-    dealt = placed.withColumn("_own", own).withColumn("_tree", F.explode(F.sequence(F.lit(0), F.col("_own"))))
-    dealt = dealt.select("_band", "_bits", "_tree", (F.col("_tree") != F.col("_own")).alias("_probes"), "_id", "_component", "_f")
-    key = ["_band", "_bits", "_tree"]
-    return dealt.repartition(*key).sortWithinPartitions(*key, "_probes", "_id").mapInPandas(_link_wide(radius, most), "u long, v long, d int")
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets as bytes of ascending longs."""
-
-    @F.pandas_udf("double")
-    def of(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> float:
-            p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            return both / max(len(p) + len(q) - both, 1)
-
-        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
-
-    return of(a, b)
-
-
-def confirmed_components(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, words: int, tree: int = TREE) -> DataFrame:
-    """(node, component) of ids (``_id``, ``_f``) of sets, linked at this Jaccard similarity or more by the sets themselves.
-
-    The components are those that all candidate pairs of the similarity would give. The trees' forests come first, each
-    id's nearest link before the rest. Where links of a forest fail and part it, its ids go through trees again, by
-    components so far and with more candidates each time, until no tree has any left. So members of a
-    large group of copies meet few others, and only pairs that aren't similar enough are tried one by one.
-    ``sets_of`` gives (_id, _set) of the ids asked for.
+    keyed = distinct.select("_id", "_f", F.explode(F.sequence(F.lit(0), F.lit(4 * words - 1))).alias("_band"))
+    bits = F.conv(F.hex(F.substring("_f", F.col("_band") * 2 + 1, F.lit(2))), 16, 10).cast("int")
+    keyed = keyed.select("_id", "_f", (F.col("_band") * 65536 + bits).alias("_shard"))
+    return in_trees(keyed, ["_shard"], tree, F.col("_id")).mapInPandas(_link_wide(radius), "u long, v long")
+
+
+#: A chunk of a group of candidates: members, and bytes of their texts.
+CHUNK, CHUNK_BYTES = 1024, 4 << 20
+
+
+def similar_pairs(left: list[tuple[int, set, np.ndarray]], right: list[tuple[int, set, np.ndarray]] | None, similarity: float, radius: int) -> Iterator[tuple[int, int]]:
+    """Links (u, v) that join members (node, set, fingerprint) as all pairs of this Jaccard similarity or more would.
+
+    Pairs within ``left`` or, if ``right`` is given, of one of either. Nearest fingerprints are tried first, pairs
+    that are joined already or whose sizes are too different aren't tried.
     """
-    radius = similar_radius(similarity, 64 * words, 3)
-    alone = distinct.withColumn("_component", F.col("_id"))
-    pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
-    forest = materialise(wide_links(alone, radius, words, tree).groupBy(*pair).agg(F.min("d").alias("d")))
-    ids = forest.select(F.explode(F.array("u", "v")).alias("_id")).distinct()
-    sets = materialise(sets_of(ids))
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(sets.select(F.col("_id").alias("u"), F.col("_set").alias("_a")), "u").join(sets.select(F.col("_id").alias("v"), F.col("_set").alias("_b")), "v")
-        return materialise(met.select("u", "v", (jaccard(F.col("_a"), F.col("_b")) >= similarity).alias("ok")))
-
-    def components(tried: DataFrame) -> DataFrame:
-        return materialise(connected_components(tried.filter("ok").select("u", "v")).select("node", "component"))
-
-    def parted(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components."""
-        own = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
-        met = pairs.join(own("u"), "u", "left").join(own("v"), "v", "left")
-        return met.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select(pairs.columns)
-
-    nearest = forest.groupBy("u").agg(F.min(F.struct("d", "v")).alias("_n")).select("u", "_n.v")
-    tried = tested(nearest)
-    found = components(tried)
-    rest = parted(forest.select("u", "v"), found).join(tried, ["u", "v"], "left_anti")
-    tried = materialise(tried.unionByName(tested(rest)))
-    found = components(tried)
-    broken = parted(forest.select("u", "v"), found)
-    most = 16
-    if broken.limit(1).count():
-        groups = materialise(connected_components(forest.select("u", "v")))
-        split = broken.select(F.col("u").alias("node")).join(groups, "node").select("component").distinct()
-        members = groups.join(split, "component", "left_semi").select(F.col("node").alias("_id"))
-        open_ = materialise(distinct.join(members, "_id", "left_semi").select("_id", "_f"))
-        while True:
-            at = open_.join(found.select(F.col("node").alias("_id"), F.col("component").alias("_component")), "_id", "left")
-            pairs = materialise(wide_links(at.withColumn("_component", F.coalesce("_component", "_id")), radius, words, tree, most))
-            new = pairs.filter("v >= 0").select(*pair).distinct().join(tried, ["u", "v"], "left_anti")
-            tried = materialise(tried.unionByName(tested(new)))
-            found = components(tried)
-            if not pairs.filter("v < 0").limit(1).count():
-                break
-            most *= 8
-    return found
+    members = left + (right or [])
+    if not members:
+        return
+    prints, sizes = np.stack([f for _, _, f in members]), np.array([len(s) for _, s, _ in members])
+    root = np.arange(len(members))
+    for i in range(len(left) if right is not None else 1, len(members)):
+        end = len(left) if right is not None else i
+        far = np.bitwise_count(prints[:end] ^ prints[i]).sum(axis=1)
+        fits = np.minimum(sizes[:end], sizes[i]) >= similarity * np.maximum(sizes[:end], sizes[i])
+        near = np.flatnonzero((far <= radius) & fits & (root[:end] != root[i]))
+        own = members[i][1]
+        for j in near[np.argsort(far[near], kind="stable")]:
+            if root[j] == root[i]:
+                continue
+            other = members[j][1]
+            both = len(own & other)
+            if both >= similarity * (len(own) + len(other) - both):
+                root[root == root[i]] = root[j]
+                yield members[i][0], members[j][0]
+
+
+def confirmed_links(candidates: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float, shingle: int, words: int) -> DataFrame:
+    """Links (u, v) of ids whose sets of shingles have this Jaccard similarity, among those that candidate links join.
+
+    Groups of candidates are compared within one task each; large ones are cut into chunks, and pairs of chunks are
+    tasks of their own. ``texts_of`` gives (_id, _whole) of the ids asked for.
+    """
+    groups = materialise(connected_components(candidates).select(F.col("node").alias("_id"), F.col("component").alias("_group")))
+    texts = texts_of(groups.select("_id")).select("_id", "_whole", F.octet_length("_whole").alias("_bytes"))
+    sizes = groups.join(texts.select("_id", "_bytes"), "_id")
+    sizes = sizes.groupBy("_group").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_b")).filter((F.col("_n") > CHUNK) | (F.col("_b") > CHUNK_BYTES))
+    large = sizes.select("_group", F.greatest(F.ceil(F.col("_n") / CHUNK), F.ceil(F.col("_b") / CHUNK_BYTES)).cast("int").alias("_chunks"))
+    placed = groups.join(if_small(materialise(large)), "_group", "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+    placed = placed.withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda c: F.struct(F.least(c, "_own").alias("_a"), F.greatest(c, "_own").alias("_b")))
+    dealt = texts.join(placed.select("_id", "_group", "_own", F.explode(pairs).alias("_p")), "_id").select("_id", "_whole", "_group", "_own", "_p.*")
+    radius, key = similar_radius(similarity, 64 * words, 4), ["_group", "_a", "_b"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by group and pair of chunks."""
+        last, sides = None, ([], [])
+
+        def links() -> list[tuple[int, int]]:
+            return list(similar_pairs(sides[0], sides[1] or None, similarity, radius))
+
+        for rows in batches:
+            found = []
+            for *at, own, node, text in rows[[*key, "_own", "_id", "_whole"]].itertuples(index=False, name=None):
+                if at != last:
+                    found += links()
+                    last, sides = at, ([], [])
+                h = shingle_set(text, shingle)
+                sides[own != at[1]].append((node, set(h.tolist()), np.frombuffer(hash_fingerprint(h, words), "<u8")))
+            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        yield pd.DataFrame(links(), columns=["u", "v"], dtype="int64")
+
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(compare, "u long, v long")
 
 
 def _hex(f: Column) -> Column:
     return F.lower(F.lpad(F.hex(f), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree: int = TREE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree: int = TREE, texts: bool = False) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id, the smallest doc_id that links lead to, and component.
 
-    ``component`` names the class even where no document of it has an id.
+    ``component`` names the class even where no document of it has an id; ``text_mark``, if asked for, the row's text.
     """
-    marked = materialise(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("_f")))
+    more = {"text_mark": _text_mark(F.col("text"))} if texts else {}
+    marked = materialise(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("_f"), *[c.alias(k) for k, c in more.items()]))
     distinct = materialise(marked.groupBy("_f").agg(F.min("doc_id").alias("_least"))).withColumn("_id", F.col("_f"))
-    return _classes(marked, distinct, connected_components(fingerprint_links(distinct.select("_f"), radius, tree)))
+    return _classes(marked, distinct, connected_components(fingerprint_links(distinct.select("_f"), radius, tree)), None, list(more))
+
+
+def _text_mark(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8, tree: int = TREE) -> DataFrame:
-    """As near_duplicates(), linking documents whose sets of shingles have this Jaccard similarity; ``mark`` names the set.
+    """As near_duplicates(), linking documents whose sets of shingles have this Jaccard similarity.
 
-    Equal sets are one class. Candidates are found by fingerprints of 64 * words bits of the sets, and each link is
-    confirmed by the sets. Pairs meet where they agree in one of 4 * words bands, which pairs of similarity 0.8 do
-    with probability 0.91 for 8 words, and those of 0.9 nearly always.
+    Equal sets are one class. Candidates are found by fingerprints of 64 * words bits of the sets, and groups of
+    candidates are compared by the sets themselves. Pairs meet where they agree in one of 4 * words bands, which pairs
+    of similarity 0.8 do with probability 0.91 for 8 words, and those of 0.9 nearly always; pairs that others join to
+    one group meet as well. ``text_mark`` names the row's text.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.select("doc_id", F.md5(text).alias("_text"), wide_fingerprint(F.col("text"), shingle, words).alias("_w"))
-    marked = materialise(marked.select("doc_id", "_text", F.col("_w.f").alias("_f"), F.col("_w.mark").alias("mark")))
+    marked = docs.select("doc_id", _text_mark(F.col("text")).alias("text_mark"), wide_fingerprint(F.col("text"), shingle, words).alias("_w"))
+    marked = materialise(marked.select("doc_id", "text_mark", F.col("_w.f").alias("_f"), F.col("_w.mark").alias("_mark")))
     # Numbers of a written table don't change when a task runs again.
-    distinct = marked.groupBy("mark", "_f").agg(F.min("doc_id").alias("_least"), F.min("_text").alias("_text"))
+    distinct = marked.groupBy("_mark").agg(F.min("doc_id").alias("_least"), F.min("text_mark").alias("text_mark"), F.min("_f").alias("_f"))
     distinct = materialise(distinct).withColumn("_id", F.monotonically_increasing_id())
+    radius = similar_radius(similarity, 64 * words, 3)
+    candidates = wide_links(distinct.select("_id", "_f"), radius, words, tree)
 
-    @F.pandas_udf(BinaryType())
-    def as_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle).astype("<u8").tobytes() for t in texts])
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """One text of each set, equal texts combined before they move."""
-        texts = docs.select(F.md5(text).alias("_text"), text.alias("_whole")).dropDuplicates(["_text"])
-        asked = distinct.join(ids, "_id", "left_semi").select("_id", "_text")
-        return texts.join(asked, "_text").select("_id", as_set("_whole").alias("_set"))
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """One text of each set, equal texts combined before they move far."""
+        asked = materialise(distinct.join(ids, "_id", "left_semi").select("_id", F.col("text_mark").alias("_asked")))
+        whole = docs.select(_text_mark(F.col("text")).alias("_asked"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_whole"))
+        return materialise(whole.join(if_small(asked), "_asked").groupBy("_id").agg(F.first("_whole").alias("_whole")))
 
-    found = confirmed_components(distinct.select("_id", "_f"), sets_of, similarity, words, tree)
-    return _classes(marked, distinct, found, ["mark", "_f"])
+    found = connected_components(confirmed_links(candidates, texts_of, similarity, shingle, words))
+    return _classes(marked, distinct, found, ["_mark"], ["text_mark"])
 
 
-def _classes(marked: DataFrame, distinct: DataFrame, found: DataFrame, key: list[str] | None = None) -> DataFrame:
+def _classes(marked: DataFrame, distinct: DataFrame, found: DataFrame, key: list[str] | None = None, more: list[str] | None = None) -> DataFrame:
     key = key or ["_f"]
     classes = distinct.join(found.select(F.col("node").alias("_id"), "component"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
-    named = materialise(classes.groupBy("component").agg(F.min("_least").alias("component_id")))
-    known = materialise(classes.join(named, "component").select(*key, "component_id", "component"))
-    return marked.join(known, key).select("doc_id", _hex(F.col("_f")).alias("fingerprint"), "component_id", "component", *[k for k in key if k != "_f"])
+    classes = materialise(classes.select(*key, "_least", "component"))
+    named = classes.groupBy("component").agg(F.min("_least").alias("component_id"))
+    known = classes.join(named, "component").select(*key, "component_id", "component")
+    return marked.join(known, key).select("doc_id", _hex(F.col("_f")).alias("fingerprint"), "component_id", "component", *(more or []))
 
 
 def keep_first(docs: DataFrame, similarity: float | None = None, radius: int = RADIUS, shingle: int = SHINGLE, words: int = 8) -> DataFrame:
-    """The documents of ``docs`` without near-duplicates: of each component the document that names it.
+    """The documents of ``docs`` without near-duplicates: one row of each component.
 
-    Components are those of similar_documents() if a similarity is given, else those of near_duplicates(). Of rows
-    with one doc_id, that with the first text stays; so does, of a class without ids, that with the first text.
+    Components are those of similar_documents() if a similarity is given, else those of near_duplicates(). Of a
+    component, the row with the smallest id stays (rows without an id come last), of rows with one id that with the
+    smallest MD5 of its text, of rows alike in both the smallest by all columns.
     """
-    classes = materialise(near_duplicates(docs, radius, shingle) if similarity is None else similar_documents(docs, similarity, shingle, words))
-    mark = "fingerprint" if similarity is None else "mark"
-    marks = _hex(fingerprint(F.col("text"), shingle)) if similarity is None else wide_fingerprint(F.col("text"), shingle, words)["mark"]
-    firsts = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    firsts = firsts.select(F.col("doc_id").alias("_id"), "_rows")
-    # Both odd cases are looked for first: without them the texts meet one join and no sort.
-    repeated = firsts.filter("_rows > 1")
-    if repeated.limit(1).count():
-        kept = docs.join(firsts.filter("_rows = 1"), docs["doc_id"] == F.col("_id"), "left_semi")
-        kept = kept.unionByName(_first_row(docs.join(repeated, docs["doc_id"] == F.col("_id"), "left_semi"), "doc_id"))
-    else:
-        kept = docs.join(firsts, docs["doc_id"] == F.col("_id"), "left_semi")
-    nameless = classes.filter("doc_id is null and component_id is null")
-    if nameless.limit(1).count():
-        own = docs.filter(F.col("doc_id").isNull()).withColumn("_fingerprint", marks)
-        own = own.join(nameless.groupBy(mark).agg(F.min("component").alias("_component")), F.col("_fingerprint") == F.col(mark))
-        kept = kept.unionByName(_first_row(own.drop("_fingerprint", mark), "_component").select(docs.columns))
-    return kept
-
-
-def _first_row(docs: DataFrame, key: str) -> DataFrame:
-    order = Window.partitionBy(key).orderBy(F.col("text").asc_nulls_last())
-    return docs.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
+    classes = similar_documents(docs, similarity, shingle, words) if similarity is not None else near_duplicates(docs, radius, shingle, texts=True)
+    rows = materialise(classes.groupBy("component", "doc_id", "text_mark").agg(F.count("*").alias("_rows")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_mark"))
+    kept = rows.groupBy("component").agg(first.alias("_first"), F.sum("_rows").alias("_all")).filter("_all > 1")
+    told = materialise(rows.join(kept.select("component", "_first"), "component").select("doc_id", "text_mark", "_rows", (F.col("_first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_first.text_mark") == F.col("text_mark"))).alias("_stays")))
+    # Rows that go are told by id and text; most documents meet this one join alone, without a shuffle if those are few.
+    gone = told.filter("not _stays or _rows > 1").select(F.col("doc_id").alias("_gone"), F.col("text_mark").alias("_mark"))
+    mark = _text_mark(F.col("text"))
+    same = docs["doc_id"].eqNullSafe(F.col("_gone")) & (mark == F.col("_mark"))
+    out = docs.join(if_small(materialise(gone)), same, "left_anti")
+    repeated = told.filter("_stays and _rows > 1").select(F.col("doc_id").alias("_gone"), F.col("text_mark").alias("_mark"))
+    if not repeated.limit(1).count():
+        return out
+    many = docs.join(if_small(materialise(repeated)), same).withColumn("_row", F.row_number().over(Window.partitionBy("_gone", "_mark").orderBy(*[F.col(c) for c in docs.columns])))
+    return out.unionByName(many.filter("_row = 1").select(docs.columns))

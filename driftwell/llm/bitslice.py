@@ -12,12 +12,14 @@
    have one score, and those with the smallest ids fill up the rest, exactly.
 4. A block returns at most k rows a query, and the best k over all blocks are the result.
 
-Queries meet every block ("a stated query set against all rows, in blocks"): a task holds one block and one
-group of at most QUERIES queries, whatever the size of the tables.
+Queries meet every block ("a stated query set against all rows, in blocks"): a task holds one block at a time, and
+queries pass it as a stream, so blocks are never copied and no number of queries fills a task's memory.
+
+Numbers may be of any size: a block has as many slices as its largest component needs, and sums are whole numbers
+without a limit. Only a score that is returned must fit into a long; if one doesn't, the query fails and says so.
 
 Defined results: rows with a null id or a null vector, or with a null, NaN or infinite component, take no part;
-shorter vectors (empty ones too) count as padded with zeros; components beyond what a 64-bit score can hold
-(``component_limit``) make their row take no part; equal scores go to the smaller id; a repeated id is a row
+shorter vectors (empty ones too) count as padded with zeros; equal scores go to the smaller id; a repeated id is a row
 as often as it occurs, and no row is matched with a query of its own id; an empty table gives an empty result.
 """
 
@@ -33,27 +35,27 @@ from .common import materialise
 
 SCALE = 1024
 ROWS = 8192
-QUERIES = 1024
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def component_limit(dims: int) -> int:
-    """Magnitudes below it keep every inner product of ``dims`` components within 62 bits."""
-    return 1 << ((62 - max(dims, 1).bit_length()) // 2)
-
-
 def usable(vector: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
+def _floor(x: Column) -> Column:
+    """As a double: those of 2**52 and more are whole numbers already, and may be beyond a long."""
+    return F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)
+
+
 def pack_slices(values: np.ndarray, bits: int) -> np.ndarray:
     """values[row, component] -> bitmaps[component, bit, word] of values + 2**(bits - 1)."""
     rows, dims = values.shape
-    biased = (values + (1 << (bits - 1))).T.astype(np.uint64)
+    wide = bits > 62  # such numbers are Python's own
+    biased = (values.astype(object) if wide else values).T + (1 << (bits - 1))
     out = np.zeros((dims, bits, (rows + 63) // 64 * 8), np.uint8)
     for b in range(bits):
-        ones = ((biased >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)
+        ones = ((biased >> b) & 1).astype(np.uint8)
         packed = np.packbits(ones, axis=1, bitorder="little")
         out[:, b, : packed.shape[1]] = packed
     return out.view(np.uint64)
@@ -131,55 +133,66 @@ def search_block(slices: np.ndarray, ids: np.ndarray, query: np.ndarray, query_i
     return list(zip(ids[at].tolist(), read_sums(total, at, offset), strict=True))
 
 
-def _pack(dims: int, bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def whole_numbers(v: np.ndarray, dims: int) -> list[int]:
+    """Doubles without a fraction as whole numbers of any size, padded with zeros."""
+    return [int(x) for x in v] + [0] * (dims - len(v))
+
+
+def _pack(dims: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)  # one block of about ROWS rows
         rows = pd.concat(parts) if parts else pd.DataFrame()
         if len(rows):
             rows = rows.sort_values("_id", kind="stable")
-            values = np.zeros((len(rows), dims), np.int64)
+            top = max((float(np.abs(v).max()) for v in rows["_v"] if len(v)), default=0.0)
+            bits = int(top).bit_length() + 1
+            values = np.zeros((len(rows), dims), object if bits > 62 else np.int64)
             for i, v in enumerate(rows["_v"]):
-                values[i, : len(v)] = v
-            yield pd.DataFrame({"_block": [int(rows["_at"].iloc[0])], "_ids": [rows["_id"].to_numpy(np.int64).tobytes()], "_slices": [pack_slices(values, bits).tobytes()]})
+                values[i, : len(v)] = [int(x) for x in v] if bits > 62 else v
+            yield pd.DataFrame({"_block": [int(rows["_at"].iloc[0])], "_bits": [bits], "_ids": [rows["_id"].to_numpy(np.int64).tobytes()], "_slices": [pack_slices(values, bits).tobytes()]})
 
     return pack
 
 
-def _search(dims: int, bits: int, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def search(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(block) and len(queries):
-            ids = np.frombuffer(block["_ids"].iloc[0], np.int64)
-            slices = np.frombuffer(block["_slices"].iloc[0], np.uint64).reshape(dims, bits, -1)
-            for key, query_id, v in zip(queries["_q"], queries["_id"], queries["_v"], strict=True):
-                query = np.zeros(dims, np.int64)
-                query[: len(v)] = v
-                found += [(key, query_id, i, s) for i, s in search_block(slices, ids, query, query_id, k)]
-        return pd.DataFrame(found, columns=["_q", "query_id", "vec_id", "score"])
+FOUND = "_q long, query_id long, vec_id long, score long"
+
+
+def _search(dims: int, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by block, a block's slices before its queries."""
+        ids, slices = np.zeros(0, np.int64), np.zeros((dims, 1, 0), np.uint64)
+        for rows in batches:
+            found = []
+            for bits, own, data, key, query_id, v in rows[["_bits", "_ids", "_slices", "_q", "_id", "_v"]].itertuples(index=False, name=None):
+                if data is not None:
+                    ids, slices = np.frombuffer(own, np.int64), np.frombuffer(data, np.uint64).reshape(dims, int(bits), -1)
+                    continue
+                for i, score in search_block(slices, ids, whole_numbers(v, dims), int(query_id), k):
+                    if not -(1 << 63) <= score < 1 << 63:
+                        raise OverflowError(f"the score of vectors {int(query_id)} and {i} doesn't fit into a long")
+                    found.append((int(key), int(query_id), i, score))
+            yield pd.DataFrame(found, columns=["_q", "query_id", "vec_id", "score"], dtype="int64")
 
     return search
 
 
-def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE, rows: int = ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k rows of ``vectors`` (vec_id, embedding) with the greatest scores."""
     v = F.col("embedding").cast("array<double>")
+    # Whole numbers stay doubles, which hold them exactly, until a task reads them.
     whole = vectors.filter(F.col("vec_id").isNotNull() & usable(v)).select(
-        F.col("vec_id").cast("long").alias("_id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x)).alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_asks")
+        F.col("vec_id").cast("long").alias("_id"), F.transform(v, lambda x: _floor(F.lit(float(scale)) * x)).alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_asks")
     )
-    dims = whole.agg(F.max(F.size("_v"))).first()[0] or 0
-    limit = component_limit(dims)
-    whole = whole.filter(~F.exists("_v", lambda x: F.abs(x) >= limit))
-    n, asking, most = whole.agg(F.count("*"), F.count_if("_asks"), F.max(F.array_max(F.transform("_v", lambda x: F.abs(x))))).first()
-    dims, bits = max(dims, 1), int(most or 1).bit_length() + 1
-    blocks, groups = max(1, -(-n // rows)), max(1, -(-asking // queries))
-
+    n, dims = whole.agg(F.count("*"), F.max(F.size("_v"))).first()
+    dims, blocks = max(dims or 0, 1), max(1, -(-n // rows))
     dealt = whole.select("_id", "_v").repartition(blocks).withColumn("_at", F.spark_partition_id())
-    index = materialise(dealt.mapInPandas(_pack(dims, bits), "_block int, _ids binary, _slices binary"))
+    index = materialise(dealt.mapInPandas(_pack(dims), "_block int, _bits int, _ids binary, _slices binary"))
     asked = materialise(whole.filter("_asks").select("_id", "_v", F.monotonically_increasing_id().alias("_q")))
-    asked = asked.withColumn("_group", F.pmod(F.xxhash64("_q"), F.lit(groups)).cast("int"))
 
-    left = index.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = left.groupBy("_block", "_group").cogroup(right.groupBy("_block", "_group")).applyInPandas(_search(dims, bits, k), "_q long, query_id long, vec_id long, score long")
+    none = lambda kind: F.lit(None).cast(kind)
+    left = index.select("_block", "_bits", "_ids", "_slices", none("long").alias("_q"), none("long").alias("_id"), none("array<double>").alias("_v"))
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), none("int"), none("binary"), none("binary"), "_q", "_id", "_v")
+    met = left.unionAll(right).repartition(blocks, "_block").sortWithinPartitions("_block", F.col("_q").asc_nulls_first())
+    found = met.mapInPandas(_search(dims, k), FOUND)
     best = Window.partitionBy("_q").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

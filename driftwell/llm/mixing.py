@@ -13,11 +13,12 @@ Highest quotients are found without walking through seats: with v_i votes, V in
 the divisor V/(S - n/2) surely grants no more than S, and V/(S + n/2) no fewer, so only the few quotients
 between the two (about 2n in all) are ranked.
 
-Every window is bounded: by the number of sources, by a source's shards (SHARDS_MAX at most) or by a shard.
-Draws are MD5 of the seed and doc_id, so reruns agree.
+Windows are over the sources, over a source's shards (a row for each ``shard_words`` words of it) or within a shard.
+Blocks are made where their shard was sent first, about TASK_BLOCKS a task. Draws are MD5 of the seed and doc_id, or
+of the text where there is no id, so reruns agree.
 
-Defined results: null text has size 0 and takes 0; a null source is a source of its own, last in order; null
-doc_ids draw like an empty string; equal rows are interchangeable; an empty table gives an empty result.
+Defined results: null text has size 0 and takes 0; a null source is a source of its own, last in order; rows
+without a doc_id draw by their texts; equal rows are interchangeable; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ SEED = "mix-1"
 WEIGHTS = (3, 1, 2)
 BLOCK = 64
 SHARD_WORDS = 1 << 20
-SHARDS_MAX = 65_536
+#: Blocks that one task makes and ranks.
+TASK_BLOCKS = 250_000
 
 
 def source_targets(sizes: DataFrame, budget_share: float = 1.5, max_repeat: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -88,7 +90,7 @@ def _draw(name: str, *key: Column) -> Column:
 
 def _mix(docs: DataFrame, budget_share: float, max_repeat: int, block: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
     """(documents with their place, their words in each block and how often it's taken)."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = materialise(docs.select("doc_id", "source", words.alias("size"), _draw("doc", key).alias("_draw"), _text_key().alias("_key")))
 
@@ -97,7 +99,7 @@ def _mix(docs: DataFrame, budget_share: float, max_repeat: int, block: int, shar
     blocks_all = F.round(F.sum("target").over(everything) / block).cast("long")
     sources = sources.withColumns({"_one": F.lit(1), "_seats": blocks_all, "_cap": F.ceil(F.col("source_size") / block) * max_repeat})
     sources = apportion(sources, ["_one"], ["source"], "target", "_seats", "_cap").withColumnRenamed("quota", "_blocks")
-    sources = sources.withColumn("_shards", F.least(F.ceil(F.col("source_size") / F.lit(shard_words)), F.lit(SHARDS_MAX)))
+    sources = sources.withColumn("_shards", F.ceil(F.col("source_size") / F.lit(shard_words)))
     sources = materialise(sources.select(F.col("source").alias("_source"), "source_size", "target", "_blocks", F.greatest(F.col("_shards"), F.lit(1)).alias("_shards")))
 
     placed = sized.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_shard", F.pmod(F.col("_draw"), F.col("_shards")))
@@ -110,8 +112,10 @@ def _mix(docs: DataFrame, budget_share: float, max_repeat: int, block: int, shar
     shards = placed.groupBy("_name", "_shard").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"))
     shards = shards.withColumn("_count", F.ceil(F.col("_words") / block)).withColumn("_cap", F.col("_count") * max_repeat)
     shards = apportion(shards, ["_name"], ["_shard"], "_words", "_blocks", "_cap")
+    blocks_of_all = sources.agg(F.sum("source_size")).first()[0] or 0
     picks = (
         shards.filter(F.col("_count") > 0)
+        .repartition(int(blocks_of_all // (block * TASK_BLOCKS)) + 1, "_name", "_shard")  # the window below keeps this
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)))
         .withColumn("_rank", F.row_number().over(shard.orderBy(_draw("block", F.col("_name"), F.col("_shard").cast("string"), F.col("_block").cast("string")), "_block")))
         .select("_name", "_shard", "_block", (F.floor(F.col("quota") / F.col("_count")) + F.when(F.col("_rank") <= F.col("quota") % F.col("_count"), 1).otherwise(0)).alias("_times"))

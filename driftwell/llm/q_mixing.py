@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .mixing import BLOCK, SEED, SHARD_WORDS, SHARDS_MAX, mix_documents
+from .mixing import BLOCK, SEED, SHARD_WORDS, mix_documents
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def _apportion(name: str, rows: str, group: str, party: str) -> str:
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         {_h(f"'{SEED}:doc:' || coalesce(doc_id::VARCHAR, '')")} AS draw
+         {_h(f"'{SEED}:doc:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))")} AS draw
   FROM documents),
 s0 AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -51,7 +51,7 @@ sv AS (
 {_apportion("sq", "sv", "one", "source")},
 p AS (
   SELECT d.*, source_size, target, coalesce(quota, 0) AS blocks,
-         draw % greatest(least(ceil(source_size / {SHARD_WORDS}), {SHARDS_MAX}), 1)::BIGINT AS shard,
+         draw % greatest(ceil(source_size / {SHARD_WORDS}), 1)::BIGINT AS shard,
          CASE WHEN d.source IS NULL THEN '0' ELSE '1' || d.source END AS name
   FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN sq ON d.source IS NOT DISTINCT FROM sq.party),
 pp AS (

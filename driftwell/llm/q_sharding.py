@@ -9,7 +9,7 @@ from .sharding import CHUNKS, SEED, shard_documents
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"), shards=8, grown=9)
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
 def _h(name: str, key: str = "k") -> str:
@@ -49,7 +49,7 @@ p AS (
   SELECT doc_id, k, octet_length(encode(t)) + 1 AS size, crc,
          CASE WHEN {_d("r0", 4)} >= {_d("r1", 4)} THEN {_region(0)} ELSE {_region(1)} END AS shard,
          {_d("r2", 1)} > greatest({_d("r0", 4)}, {_d("r1", 4)}) AS moves,
-         {_h("slot:")} % {CHUNKS} AS chunk
+         {_h("slot:", "k || ':' || (octet_length(encode(t)) + 1) || ':' || crc")} % {CHUNKS} AS chunk
   FROM d JOIN bytes USING (t))
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
        row_number() OVER (PARTITION BY shard ORDER BY chunk, doc_id NULLS LAST, size, crc) - 1 AS slot,

@@ -8,9 +8,8 @@ child depends on nothing but the key, its name and its weight (the sum of what i
 * where a subtree grows, keys move into it and nowhere else;
 * inside a subtree whose weights are as before, every key stays where it was.
 
-A layout fills regions one after the other, so the next shard after full regions opens a region of its own
-and takes keys only into itself. A shard added inside a part-filled region also draws keys from that
-region's other shards and may let keys enter the region at any of its shards.
+A layout is a value to be kept: ``uniform`` fills regions one after the other, and ``with_shard`` adds a shard in a
+region of its own at the top of the tree, whatever the layout was, so that it takes keys only into itself.
 
 Defined results: a null key hashes as the empty string; equal keys meet in one shard; an empty table gives
 an empty result; a null text has size 1 and the CRC of no bytes (0).
@@ -44,6 +43,11 @@ class Topology:
             found.setdefault(region, {}).setdefault(within // per_rack, []).append((s, 1.0))
         return Topology(tuple(tuple(tuple(rack) for rack in region.values()) for region in found.values()))
 
+    def with_shard(self, weight: float = 1.0) -> "Topology":
+        """The layout with one more shard, in a region of its own; draws of all others stay as they were."""
+        shard = 1 + max((s for region in self.regions for rack in region for s, _ in rack), default=-1)
+        return Topology((*self.regions, (((shard, weight),),)))
+
 
 def _draw(key: Column, name: str, weight: float) -> Column:
     u = (digest_int(F.concat(F.lit(f"{SEED}:{name}:"), key)) + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -74,12 +78,14 @@ def shard_of(key: Column, topology: Topology) -> Column:
     return _winner(key, regions)
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, grown: int | None = None) -> DataFrame:
-    """Each document with its size, CRC, shard, gapless slot in the shard and its shard among ``grown`` ones.
+def shard_documents(docs: DataFrame, shards: int = 8, layout: Topology | None = None) -> DataFrame:
+    """Each document with its size, CRC, shard, gapless slot in the shard and its shard with one more of them.
 
-    Slots number a shard's documents by chunk (a hash of doc_id), then doc_id, size and CRC. One chunk is
-    sorted by one task; chunk counts, of a fixed number, give each chunk its first slot.
+    Slots number a shard's documents by chunk (a hash of doc_id, size and CRC), then doc_id, size and CRC. One chunk
+    is sorted by one task; chunk counts, of a fixed number, give each chunk its first slot. The law is ``key``:
+    doc_id and the layout decide, and one more shard (``with_shard``) takes rows only into itself.
     """
+    layout = layout or Topology.uniform(shards)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = docs.select(
@@ -91,9 +97,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, grown: int | None = None)
     placed = materialise(
         sized.select(
             "doc_id", "size", "text_crc32",
-            shard_of(F.col("_key"), Topology.uniform(shards)).cast("int").alias("shard"),
-            shard_of(F.col("_key"), Topology.uniform(grown or shards + 1)).cast("int").alias("grown_shard"),
-            F.pmod(digest_int(F.concat(F.lit("slot:"), F.col("_key"))), F.lit(CHUNKS)).cast("int").alias("_chunk"),
+            shard_of(F.col("_key"), layout).cast("int").alias("shard"),
+            shard_of(F.col("_key"), layout.with_shard()).cast("int").alias("grown_shard"),
+            F.pmod(digest_int(F.concat_ws(":", F.lit("slot"), "_key", F.col("size").cast("string"), F.col("text_crc32").cast("string"))), F.lit(CHUNKS)).cast("int").alias("_chunk"),
         )
     )
     counts = placed.groupBy("shard", "_chunk").agg(F.count("*").alias("_n"))

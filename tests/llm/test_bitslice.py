@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from driftwell.llm.bitslice import add_weighted, pack_slices, read_sums, search_block, top_inner_products
@@ -42,7 +43,7 @@ def test_against_brute_force(spark):
     docs = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)
     want = brute(rows, 10)
     for small in (64, 8192):
-        got = top_inner_products(docs, F.col("vec_id") % 100 == 0, k=10, rows=small, queries=4).collect()
+        got = top_inner_products(docs, F.col("vec_id") % 100 == 0, k=10, rows=small).collect()
         assert sorted(map(tuple, got)) == want
 
 
@@ -50,3 +51,19 @@ def test_empty_and_few(spark):
     assert top_inner_products(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 100 == 0).collect() == []
     one = spark.createDataFrame([(0, [1.0], 1, "x"), (1, [0.5], 1, "x")], SCHEMA)
     assert [tuple(r) for r in top_inner_products(one, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 1024 * 512)]
+
+
+def test_components_of_any_size(spark):
+    """Up to 10**7 among small ones, and of 2**60 and more where scores still fit."""
+    rnd = random.Random(5)
+    sizes = (0.1, -0.3, 1e3, -2e4, 1e7, -1e7, 3.5)
+    rows = [(i, [rnd.choice(sizes if i % 100 else (0.1, 50.0, -1e4)) * rnd.random() for _ in range(8)]) for i in range(400)]
+    rows += [(700, [1.0] + [0.0] * 63), (701, [150_000.0] + [0.0] * 63), (702, [0.0] * 63 + [-149_999.5])]
+    docs = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)
+    for small in (64, 8192):
+        got = top_inner_products(docs, F.col("vec_id") % 100 == 0, k=10, rows=small).collect()
+        assert sorted(map(tuple, got)) == brute(rows, 10)
+    far = spark.createDataFrame([(100, [2.0**-10, 0.0], 1, "x"), (1, [2.0**52, 1e30], 1, "x"), (2, [-(2.0**52), -1e30], 1, "x"), (3, [0.0, 1.0], 1, "x")], SCHEMA)
+    assert [tuple(r) for r in top_inner_products(far, F.col("vec_id") == 100).collect()] == [(100, 1, 1, 1 << 62), (100, 2, 3, 0), (100, 3, 2, -(1 << 62))]
+    with pytest.raises(Exception, match="doesn't fit into a long"):
+        top_inner_products(far, F.col("vec_id") == 3).collect()

@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import table
-from driftwell.llm.mixing import apportion, mix_documents, mix_texts, source_targets
+from driftwell.llm.mixing import _mix, apportion, mix_documents, mix_texts, source_targets
 from driftwell.llm.q_mixing import SQL, op4_mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, taken string, _n int"
@@ -78,3 +78,18 @@ def test_odd_rows(spark):
     assert texts.columns == docs.columns
     assert sum(len(r.text.split()) for r in texts.collect()) == sum(r.taken for r in got)
     assert mix_documents(docs.filter(F.lit(False))).count() == 0 and mix_texts(docs.filter(F.lit(False))).count() == 0
+
+
+def test_rows_without_ids_spread_over_shards_as_in_sql(spark, tmp_path):
+    """Nine in ten ids are null, many rows alike: the same as SQL, and more shards than one."""
+    rows = [(i if i % 10 == 0 else None, " ".join(["w"] * (50 + i % 40 + 7 * (i % 3))) + f" {i % 300}", "en", "a" if i % 3 else None, 0, "clash", 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    placed, _ = _mix(docs, 1.5, 2, 64, 8192)
+    assert placed.filter("doc_id is null and source = 'a'").select("_shard").distinct().count() > 3
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = Counter(con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({SQL})").fetchall())
+    got = Counter((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mix_documents(docs).collect())
+    totals = lambda c: (sum(c.values()), sum(k[4] * n for k, n in c.items()))
+    assert totals(got) == totals(want) and {k: n for k, n in got.items() if k[0] is not None} == {k: n for k, n in want.items() if k[0] is not None}

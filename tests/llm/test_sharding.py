@@ -45,3 +45,24 @@ def test_odd_rows(spark):
     got = sorted((str(r.doc_id), r.size) for r in shard_documents(docs).collect())
     assert got == [("1", 1), ("1", 1), ("2", 200_001), ("None", 1)]
     assert shard_documents(docs.filter("doc_id > 9")).count() == 0
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "'t' as text")
+    for shards in (1, 3, 6, 7, 8):
+        rows = shard_documents(docs, shards).collect()
+        assert {r.grown_shard for r in rows if r.grown_shard != r.shard} == {shards}
+        share = sum(r.grown_shard == shards for r in rows) / len(rows)
+        assert abs(share - 1 / (shards + 1)) < 0.03
+
+
+def test_rows_without_ids_meet_in_many_chunks(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "repeat('t', cast(id % 700 as int)) as text")
+    rows = shard_documents(docs).collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(3000))
+    ends = {}
+    for r in rows:
+        ends.setdefault((r.size, r.text_crc32), []).append(r.slot)
+    assert all(max(s) - min(s) == len(s) - 1 for s in ends.values())  # equal rows stand together, so chunks go by text
+    order = [r.size for r in sorted(rows, key=lambda r: r.slot)]
+    assert order != sorted(order)

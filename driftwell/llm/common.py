@@ -21,26 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is made.
-    """
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, for tables written between two passes."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if shared is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        shared = sc.getCheckpointDir()
-    return shared
+    """The folder that driver and executors share, for checkpoints and tables written between two passes.
+
+    It is ``spark.checkpoint.dir``; where that is unset, a folder of the warehouse. Only a session that is itself on
+    one machine (tests) falls back to a temporary folder of it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] == "local":
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        return spark.sparkContext.getCheckpointDir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def digest_int(text: Column) -> Column:
@@ -76,6 +76,17 @@ def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     return held.__dict__[name]
 
 
+#: Rows of an Arrow batch that holds whole texts, so that a batch of long ones stays small in JVM and worker.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches have TEXT_ROWS rows at most; operators that ship whole texts call it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
 def ship(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """Broadcast a fitted model of bounded size; tasks call the result once to get it.
 

@@ -39,7 +39,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import digest_int, ship, worker_cache
+from .common import digest_int, ship, text_batches, worker_cache
 
 REFERENCE = 65_536
 PER_LANGUAGE = 64
@@ -141,7 +141,7 @@ class Parser:
     def __init__(self, references: dict[str, bytes]) -> None:
         self.languages = sorted(references)
         used = sorted(set(b"".join(references.values())))
-        self.symbol = np.zeros(256, np.int32)  # 0: a byte that no reference has
+        self.symbol = np.zeros(256, np.uint8 if len(used) < 255 else np.uint16)  # 0: a byte that no reference has
         self.symbol[used] = np.arange(1, len(used) + 1)
         self.width = len(used) + 1
         bases, owners, targets, roots, firsts = [], [], [], [], []
@@ -183,14 +183,15 @@ class Parser:
         found = np.zeros(state.shape, np.int32)
         if not len(symbols) or lengths[0] <= start:
             return found
-        columns = np.zeros((lengths[0] - start, len(symbols)), np.int32)
+        columns = np.zeros((lengths[0] - start, len(symbols)), self.symbol.dtype)
         for row, s in enumerate(symbols):
             own = s[start : lengths[row]]
             columns[: len(own), row] = own
         active = np.searchsorted(-lengths, -np.arange(start, lengths[0]), "left").tolist()
         for column, n in zip(columns, active, strict=True):
             c, now = column[:n], state[:, :n]
-            at = self.base.take(now) + c
+            at = self.base.take(now)
+            at += c
             goes = self.owner.take(at) == now
             state[:, :n] = np.where(goes, self.target.take(at), self.first[:, c])
             found[:, :n] += ~goes
@@ -307,9 +308,23 @@ def parser_of(references: dict[str, bytes]) -> Parser:
     return held[name]
 
 
+def _parts(texts: list[str | None], most: int = 1024, characters: int = 4 << 20) -> Iterator[list[str | None]]:
+    """The texts in turn, so many of them or so many characters at a time, one text at least."""
+    part, held = [], 0
+    for text in texts:
+        if part and (len(part) == most or held + len(text or "") > characters):
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text or "")
+    if part:
+        yield part
+
+
 def predict(docs: DataFrame, references: dict[str, bytes], text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, from its texts alone."""
     model = ship(docs.sparkSession, references)
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -317,10 +332,10 @@ def predict(docs: DataFrame, references: dict[str, bytes], text: str = "text") -
         for texts in batches:
             languages: list[str] = []
             scores: list[float] = []
-            for at in range(0, len(texts), 1024):
-                some = own.judge(texts.iloc[at : at + 1024].tolist())
-                languages += some[0]
-                scores += some[1]
+            for some in _parts(texts.tolist()):
+                judged = own.judge(some)
+                languages += judged[0]
+                scores += judged[1]
             yield pd.DataFrame({"lang_pred": languages, "score": scores})
 
     judged = docs.withColumn("_judged", judge(F.col(text).cast("string")))

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import digest_int, materialise, ship
+from .common import digest_int, materialise, ship, text_batches
 
 LABELLED = 6000
 ROUNDS = 2
@@ -141,7 +141,7 @@ class CoTrained:
         given = given or {}
         views = []
         for v in (0, 1):
-            x, label, weight = [labelled[v][~held]], [y[~held]], [np.ones((~held).sum())]
+            x, label, weight = [labelled[v]], [y], [np.where(held, 0.0, 1.0)]  # held rows weigh nothing here
             for c in (0, 1):
                 means = [(n, total / n) for (view, kind, _), (n, total) in sorted(given.items()) if (view, kind) == (v, c)]
                 if means:
@@ -234,10 +234,12 @@ def _fitted(sample: DataFrame, given: DataFrame | None, model: CoTrained) -> CoT
         if not parts:
             return
         rows = pd.concat(parts)
+        parts.clear()
         told = rows[rows["_y"] >= 0].sort_values(["_draw", "_id"])
         if len(told):
-            x = [np.stack([np.frombuffer(b, np.float32) for b in told[c]]) for c in ("text", "meta")]
             means = {(int(v), int(-1 - y), int(b)): (int(n), np.frombuffer(t, "<f8")) for v, y, b, n, t in rows.loc[rows["_y"] < 0, ["view", "_y", "bucket", "n", "text"]].itertuples(index=False, name=None)}
+            del rows
+            x = [np.frombuffer(b"".join(told.pop(c)), np.float32).reshape(len(told), -1) for c in ("text", "meta")]
             model.learn(x, told["_y"].to_numpy(), means)
         yield pd.DataFrame({"model": [cloudpickle.dumps((model.views, model.scales, model.joint, model.exchanged))]})
 
@@ -253,6 +255,7 @@ def _fitted(sample: DataFrame, given: DataFrame | None, model: CoTrained) -> CoT
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
     """Co-train on docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
+    text_batches(docs.sparkSession)
     sample = _labelled_features(docs, labels, labelled)
     model = _fitted(sample, None, CoTrained())
     for _ in range(rounds if model.views else 0):
@@ -263,6 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
 def score_documents(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score, text_score, metadata_score and keep."""
     held = ship(docs.sparkSession, model)
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("score double, text_score double, metadata_score double")
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
-from .common import if_small, materialise
+from .common import if_small, materialise, text_batches
 from .components import connected_components
 
 SHINGLE = 3
@@ -120,8 +120,8 @@ def wide_fingerprint(text: Column, shingle: int, words: int) -> Column:
 
     @F.pandas_udf("f binary, mark binary")
     def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, shingle) for t in texts]
-        return pd.DataFrame({"f": [hash_fingerprint(h, words) for h in sets], "mark": [set_mark(h) for h in sets]})
+        both = [(hash_fingerprint(h, words), set_mark(h)) for h in (shingle_set(t, shingle) for t in texts)]
+        return pd.DataFrame(both, columns=["f", "mark"])
 
     return of(text.cast("string"))
 
@@ -320,7 +320,7 @@ def wide_links(distinct: DataFrame, radius: int, words: int, tree: int = TREE) -
 
 
 #: A chunk of a group of candidates: members, and bytes of their texts.
-CHUNK, CHUNK_BYTES = 1024, 4 << 20
+CHUNK, CHUNK_BYTES = 1024, 2 << 20
 
 
 def similar_pairs(left: list[tuple[int, set, np.ndarray]], right: list[tuple[int, set, np.ndarray]] | None, similarity: float, radius: int) -> Iterator[tuple[int, int]]:
@@ -397,6 +397,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
     ``component`` names the class even where no document of it has an id; ``text_mark``, if asked for, the row's text.
     """
+    text_batches(docs.sparkSession)
     more = {"text_mark": _text_mark(F.col("text"))} if texts else {}
     marked = materialise(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("_f"), *[c.alias(k) for k, c in more.items()]))
     distinct = materialise(marked.groupBy("_f").agg(F.min("doc_id").alias("_least"))).withColumn("_id", F.col("_f"))
@@ -415,6 +416,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     of similarity 0.8 do with probability 0.91 for 8 words, and those of 0.9 nearly always; pairs that others join to
     one group meet as well. ``text_mark`` names the row's text.
     """
+    text_batches(docs.sparkSession)
     marked = docs.select("doc_id", _text_mark(F.col("text")).alias("text_mark"), wide_fingerprint(F.col("text"), shingle, words).alias("_w"))
     marked = materialise(marked.select("doc_id", "text_mark", F.col("_w.f").alias("_f"), F.col("_w.mark").alias("_mark")))
     # Numbers of a written table don't change when a task runs again.

@@ -2,7 +2,8 @@
 
 1. A sample of at most SAMPLE vectors (the smallest draws of a hash of the ids) gives a neighbour graph: each
    vector and its NEIGHBOURS nearest by inner product.
-2. The graph is cut into parts of equal size by recursive bisection: a spectral ordering is split at its
+2. The graph is cut into parts of equal size, as many as the table's rows ask for (``parts_for``), by recursive
+   bisection: a spectral ordering is split at its
    median, then pairs of nodes change sides while that cuts fewer edges.
 3. A small classifier (one hidden layer) learns to tell from a vector which parts its neighbours are in.
 4. Every row of the table is indexed in its most probable part. A query visits its most probable parts: as many
@@ -21,6 +22,7 @@ candidates all are returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +34,9 @@ from .common import digest_int, materialise, ship
 
 SAMPLE = 8192
 NEIGHBOURS = 10
-PARTS = 16
+#: Rows that a part is to have, and the most parts: the sample has 32 vectors for each.
+PART_ROWS = 4096
+PARTS = 256
 HIDDEN = 96
 RECALL = 0.95
 ROWS = 4096
@@ -129,7 +133,7 @@ class Router:
                     self.weights[i] = self.weights[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-9)
 
 
-def fit_router(x: np.ndarray, parts: int = PARTS, neighbours: int = NEIGHBOURS, k: int = 20, recall: float = RECALL) -> Router:
+def fit_router(x: np.ndarray, parts: int = 16, neighbours: int = NEIGHBOURS, k: int = 20, recall: float = RECALL) -> Router:
     """A router with as many probes as find ``recall`` of a sample vector's k nearest in the sample."""
     x = np.unique(x, axis=0)
     while parts > 1 and len(x) < 32 * parts:
@@ -151,6 +155,11 @@ def fit_router(x: np.ndarray, parts: int = PARTS, neighbours: int = NEIGHBOURS,
     return router
 
 
+def parts_for(rows: int) -> int:
+    """A power of two that grows with the table, so that a part has about PART_ROWS rows, up to PARTS parts."""
+    return 1 << min(max(round(math.log2(max(rows, 1) / PART_ROWS)), 0), PARTS.bit_length() - 1)
+
+
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
     out = np.zeros((len(vectors), dims))
     for i, v in enumerate(vectors):
@@ -189,7 +198,7 @@ def _by_part(values: dict[int, int], part: str) -> Column:
     return F.element_at(F.array(*[F.lit(int(values.get(p, 1))) for p in range(max(values, default=0) + 1)]), F.col(part) + 1)
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = PARTS, sample: int = SAMPLE, recall: float = RECALL, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, parts: int | None = None, sample: int = SAMPLE, recall: float = RECALL, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found rows of ``vectors`` (vec_id, embedding)."""
     v = F.col("embedding").cast("array<double>")
     whole = vectors.filter(F.col("vec_id").isNotNull() & usable(v) & F.exists(v, lambda x: x != 0)).select(
@@ -197,6 +206,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, parts:
     )
     n, dims = whole.agg(F.count("*"), F.max(F.size("_v"))).first()
     dims = dims or 1
+    parts = parts or parts_for(n)
     draw = digest_int(F.concat(F.lit("sample:"), F.col("_id").cast("string")))
     drawn = whole.withColumn("_draw", draw).filter(F.col("_draw") <= int(min(1.0, 1.2 * sample / max(n, 1)) * (1 << 52)))
     fitted = drawn.orderBy("_draw", "_id").limit(sample).select("_v").toPandas()

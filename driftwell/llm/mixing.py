@@ -127,7 +127,8 @@ def _mix(docs: DataFrame, budget_share: float, max_repeat: int, block: int, shar
         "doc_id", "_key", "source", "size", "source_size", "target", "_name", "_shard", "_start",
         F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((end - 1) / block))).alias("_block"),
     )
-    return placed, spans.join(picks, ["_name", "_shard", "_block"])
+    # Few shards make many blocks within one stage, so their size as Spark sees it would have them broadcast.
+    return placed, spans.join(picks.hint("merge"), ["_name", "_shard", "_block"])
 
 
 def _text_key() -> Column:

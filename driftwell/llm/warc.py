@@ -40,6 +40,7 @@ ARCHIVE = 8 << 20
 TRAIN = 2 << 20
 DICTIONARY = 64 << 10
 LEVEL = 3
+SLICE = 64 << 10
 #: Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -130,11 +131,14 @@ def parse_record(data: bytes) -> dict:
 
 
 def train(samples: list[bytes]) -> bytes | None:
-    """A dictionary, or None where there is too little to learn from."""
-    try:
-        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 8 else None
-    except zstandard.ZstdError:
-        return None
+    """A dictionary of the samples; where they are too few to learn from, of the records of blank pages as well."""
+    blank = [make_record(i, f"http://host/{i}", b"<html><head><title></title></head><body><p>%d</p></body></html>" % i) for i in range(64)] if len(samples) < 64 else []
+    for some in (samples, samples + blank):
+        try:
+            return zstandard.train_dictionary(DICTIONARY, some).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            continue
+    return None
 
 
 class ArchiveWriter:
@@ -199,19 +203,21 @@ def read_archive(data: bytes) -> Iterator[tuple[int, dict | None, str | None]]:
         if 0x184D2A50 <= struct.unpack("<I", data[at : at + 4].ljust(4, b"\0"))[0] <= 0x184D2A5F:
             at += 8 + struct.unpack("<I", data[at + 4 : at + 8].ljust(4, b"\0"))[0]
             continue
-        one = reader.decompressobj()
+        one, record, end = reader.decompressobj(), bytearray(), at
         try:
-            record = one.decompress(memoryview(data)[at:])
+            while not one.eof and end < len(data):  # in slices, so that what follows isn't copied for each record
+                record += one.decompress(memoryview(data)[end : end + SLICE])
+                end = min(end + SLICE, len(data))
             if not one.eof:
                 raise WarcError("the frame is cut off")
         except (zstandard.ZstdError, WarcError) as e:
             yield at, None, f"frame: {e}"
             return
         try:
-            yield at, parse_record(record), None
+            yield at, parse_record(bytes(record)), None
         except WarcError as e:
             yield at, None, str(e)
-        at = len(data) - len(one.unused_data)
+        at = end - len(one.unused_data)
 
 
 def _save(folder: str, name: str, data: bytes) -> str:

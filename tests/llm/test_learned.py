@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import table
-from driftwell.llm.learned import balanced_parts, fit_router, nearest_neighbours, neighbour_graph
+from driftwell.llm.learned import balanced_parts, fit_router, nearest_neighbours, neighbour_graph, parts_for
 from driftwell.llm.q_learned import op8_learned_ann
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank string, score string"
@@ -72,3 +72,7 @@ def test_few_and_none(spark):
     got = nearest_neighbours(few, F.col("vec_id") % 20 == 0)
     assert [tuple(r) for r in got.orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.0)]
     assert nearest_neighbours(few.filter("vec_id > 9"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_parts_grow_with_the_rows():
+    assert [parts_for(n) for n in (0, 100, 4096, 50_000, 10**6, 10**9)] == [1, 1, 1, 16, 256, 256]

@@ -88,3 +88,14 @@ def test_odd_rows(spark):
     big = 3_000_000
     assert got == sorted([(1, "response", None, 0, None), (2, "revisit", 1, 0, None), (5, "revisit", 3, big, None), (3, "response", None, big, None), (3, "response", None, big, None), (None, "revisit", 3, big, None), (None, "response", None, 1, None), (None, "response", None, 1, None), (9, "response", None, 3, None)], key=str)
     assert round_trip(pages.filter("page_id > 99")).count() == 0
+
+
+def test_archives_of_few_records_have_a_dictionary():
+    for n in (1, 2, 5):
+        writer = ArchiveWriter()
+        records = [make_record(i, f"http://h/{i}", f"<html><p>page {i} of a site with the same words on each page</p></html>".encode()) for i in range(n)]
+        for r in records:
+            writer.add(r)
+        data = writer.finish()
+        assert data[:4] == (0x184D2A5D).to_bytes(4, "little")
+        assert [f["page_id"] for _, f, error in read_archive(data) if not error] == list(range(n))

@@ -24,7 +24,7 @@ class Catalog:
     def read(self, name: str) -> DataFrame:
         """The current version; an empty table of its schema if it was never written."""
         try:
-            version = self.spark.read.schema("at long, version string").json(f"{self.path(name)}/_current").orderBy("at", ascending=False).first()
+            version = self.spark.read.schema("at long, version string").json(f"{self.path(name)}/_current").orderBy("at", "version", ascending=False).first()
         except Exception as e:  # Spark says that a path is missing in an analysis error
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -40,6 +40,13 @@ class Catalog:
         now = self.spark.sql("SELECT unix_micros(current_timestamp()) AS at").first()["at"]
         self.spark.createDataFrame([(now, version)], "at long, version string").coalesce(1).write.mode("append").json(f"{self.path(name)}/_current")
 
+    def versions(self, name: str, keep: int = 5) -> int:
+        """Leave the newest ``keep`` pointers of a table alone in its pointer folder; how many there are then."""
+        pointers = self.spark.read.schema("at long, version string").json(f"{self.path(name)}/_current")
+        newest = [tuple(r) for r in pointers.orderBy("at", "version", ascending=False).limit(keep).collect()]
+        self.spark.createDataFrame(newest, "at long, version string").coalesce(1).write.mode("overwrite").json(f"{self.path(name)}/_current")
+        return len(newest)
+
     def append(self, name: str, rows: DataFrame, batch: int | None = None) -> None:
         """Add rows to a log table; with a batch number the batch is written once, however often it's tried."""
         rows.write.mode("overwrite" if batch is not None else "append").parquet(f"{self.path(name)}/log" + (f"/batch={batch}" if batch is not None else f"/batch=-1/part={uuid.uuid4().hex}"))

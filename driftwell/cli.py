@@ -1,49 +1,186 @@
-"""python -m driftwell.cli COMMAND: the stages as commands over a catalog of tables."""
+"""python -m driftwell.cli COMMAND: the stages, runs and reports as commands over a catalog of tables.
+
+Scanner and linter are programs (``--scanner``, ``--linter``): they read a text on standard input and write JSON.
+``--limit`` takes the first commits in the order of their keys.
+"""
 
 from __future__ import annotations
 
 import argparse
+import shlex
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .catalog import Catalog
 from .functions import patchtext
 from .functions.trees import document_nodes
-from .operators import clusters, diffs, gaps, patches, reports, sampling
-from .sources import tables
+from .operators import chain, clusters, diffs, evaluation, gaps, history, patches, reports, sampling, scopes
+from .operators.chain import COMMIT
+from .operators.lineage import settle
+from .plans import selfcheck as scenarios
+from .sources import scanner, tables
+from .streaming.incremental import meta_rows, run_available
+
+Report = DataFrame | list[DataFrame]
+
+
+def _limited(rows: DataFrame, a: argparse.Namespace, order: list[str]) -> DataFrame:
+    return rows.orderBy(*order).limit(a.limit) if a.limit else rows
+
+
+def _checker(argv: str | None) -> Callable[[bytes], list[dict]]:
+    if not argv:
+        raise SystemExit("this command needs --scanner (or --linter): a program that reads a text and writes JSON")
+    return scanner.command(shlex.split(argv))
+
 
+def _scan(cat: Catalog, hashes: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """Scans of blobs, those not yet scanned well with the scanner; left as they are if none is given."""
+    known = cat.read("scans")
+    if not a.scanner:
+        return known
+    new = scanner.scan(cat.read("blobs").join(hashes.distinct(), "file_hash", "left_semi"), _checker(a.scanner), known)
+    return tables.merge_scans(known, new)
 
-def sample(cat: Catalog, a: argparse.Namespace) -> DataFrame:
+
+def sample(cat: Catalog, a: argparse.Namespace) -> Report:
     rows = sampling.sample_commits(tables.read_index(cat.spark, a.index), a.n, a.seed)
     cat.replace("sampled_commits", rows)
     return cat.read("sampled_commits").agg(F.count("*").alias("n_commits"))
 
 
-def clean_fixes(cat: Catalog, a: argparse.Namespace) -> DataFrame:
-    files = sampling.file_diffs(cat.read("sampled_commits"))
-    commits = diffs.commit_roll_up(diffs.file_findings(diffs.join_scans(files, cat.read("scans"))))
-    named = F.transform("files", lambda f: F.struct(f["file_path"].alias("file_path"), f["previous_file_hash"].alias("before"), f["file_hash"].alias("after"), f["scan_status"].alias("scan_status"), f["V_fixed"].alias("V_fixed"), f["V_introduced"].alias("V_introduced")))
-    clean = diffs.clean_fixes(commits).withColumn("files", named).withColumn("github_url", F.lit(None).cast("string"))
-    cat.replace("clean_fix_meta", clean.select("repository", "commit_hash", "github_url", F.col("V_fixed_count").cast("int").alias("V_fixed_count"), "V_fixed_idents", F.col("n_files_modified").cast("int").alias("n_files_modified"), "files"))
+def _files(cat: Catalog) -> DataFrame:
+    return sampling.file_diffs(cat.read("sampled_commits")).drop("committed_date")
+
+
+def make_diffs(cat: Catalog, a: argparse.Namespace) -> Report:
+    files = settle(_files(cat))
+    texts = tables.blob_texts(cat.read("blobs").join(sampling.distinct_blobs(files), "file_hash", "left_semi"))
+    nodes = chain.parsed(texts)
+    cat.replace("diffs", chain.usable_diffs(chain.diff_rows(files, nodes, chain.document_changes(files, nodes))))
+    return cat.read("diffs").agg(F.count("*").alias("n_file_diffs"), F.countDistinct(*COMMIT).alias("n_commits"))
+
+
+def scan(cat: Catalog, a: argparse.Namespace) -> Report:
+    cat.replace("scans", settle(_scan(cat, sampling.distinct_blobs(_files(cat)), a)))
+    return cat.read("scans").groupBy("ok").agg(F.count("*").alias("n"))
+
+
+def clean_fixes(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Of file-diffs that could be read and aren't empty, if the diffs were made; else of all."""
+    files, made = _files(cat), cat.read("diffs").select(*chain.FILE).distinct()
+    files = files.join(made, chain.FILE, "left_semi") if made.limit(1).count() else files
+    clean = settle(chain.clean_commits(files, cat.read("scans")))
+    cat.replace("clean_fix_meta", meta_rows(clean))
+    folder = F.concat_ws("__", F.replace("repository", F.lit("/"), F.lit("__")), F.substring("commit_hash", 1, 10))
+    cat.replace("clean_fix_index", cat.read("clean_fix_meta").select(folder.alias("dir"), *COMMIT, "V_fixed_count", "V_fixed_idents", "n_files_modified").orderBy(F.col("V_fixed_count").desc(), *COMMIT))
+    cat.replace("export", tables.commit_export(clean, tables.blob_texts(cat.read("blobs"))))
     return cat.read("clean_fix_meta").agg(F.count("*").alias("n_clean"))
 
 
-def patterns(cat: Catalog, a: argparse.Namespace) -> DataFrame:
-    """Sets of fixed rules by their number of commits."""
-    rows = cat.read("clean_fix_meta").select(F.array_join("V_fixed_idents", ",").alias("fixes"))
-    return reports.top(rows, ["fixes"], a.top)
+def _meta_files(cat: Catalog) -> DataFrame:
+    """(FILE, both hashes, V_fixed) of the catalog's clean fixes."""
+    files = cat.read("clean_fix_meta").select(*COMMIT, F.explode("files").alias("f"))
+    return files.select(*COMMIT, "f.file_path", F.col("f.after").alias("file_hash"), F.col("f.before").alias("previous_file_hash"), "f.V_fixed")
+
+
+def _templates(cat: Catalog) -> DataFrame:
+    files = settle(_meta_files(cat))
+    nodes = chain.parsed(tables.blob_texts(cat.read("blobs").join(sampling.distinct_blobs(files), "file_hash", "left_semi")))
+    return settle(chain.templates_of(cat.read("clean_fix_meta"), chain.document_changes(files, nodes)))
+
+
+def patterns(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Sets of fixed rules with their templates, and their distribution."""
+    cat.replace("patterns", chain.pattern_catalog(_templates(cat)))
+    rows = cat.read("patterns").select(F.array_join("fixes", ",").alias("fixes"), "n_commits", "n_subclusters")
+    return [reports.ranked(rows, "n_commits", ["fixes"], a.top), reports.catalog_distribution(rows)]
+
+
+def match(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Clean fixes of another tag against this tag's patterns."""
+    other = Catalog(cat.spark, cat.root, a.new)
+    matched = settle(clusters.match_catalog(_templates(other), chain.catalog_keys(cat.read("patterns"))))
+    return list(chain.match_report(matched))
+
+
+def pipeline(cat: Catalog, a: argparse.Namespace) -> Report:
+    out: list[DataFrame] = []
+    for stage in (sample, make_diffs, scan, clean_fixes, patterns):
+        got = stage(cat, a)
+        out += got if isinstance(got, list) else [got]
+    return out
+
+
+def classify(cat: Catalog, a: argparse.Namespace) -> Report:
+    files = settle(_meta_files(cat))
+    nodes = chain.parsed(tables.blob_texts(cat.read("blobs").join(sampling.distinct_blobs(files), "file_hash", "left_semi")))
+    _, kinds = chain.classify_hosts(files, nodes)
+    cat.replace("classification", kinds.select(*COMMIT, "kind", F.concat_ws("__", F.replace("repository", F.lit("/"), F.lit("__")), F.substring("commit_hash", 1, 10)).alias("dir")))
+    return gaps.kind_counts(cat.read("classification"))
+
+
+def refilter(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Gap rates and back-ports, of all clean fixes and of structural ones alone."""
+    kinds, walked = cat.read("classification"), _branches(cat)
+    status = reports.shares(gaps.structural_only(walked, kinds), "refined")
+    return [gaps.refilter_headline(cat.read("gaps"), kinds), reports.shares(walked, "refined"), status]
 
 
-def find_gaps(cat: Catalog, a: argparse.Namespace) -> DataFrame:
+def find_gaps(cat: Catalog, a: argparse.Namespace) -> Report:
     read = cat.read
-    found = gaps.audit(read("clean_fix_meta"), read("repos"), read("branches"), read("commit_on_branch"), read("file_at_ref"), read("scans"))
+    heads = read("file_at_ref").filter("content is not null")
+    scans = read("scans")
+    if a.scanner:
+        blobs = heads.select(F.col("blob_sha").alias("file_hash"), "content").dropDuplicates(["file_hash"])
+        cat.replace("scans", settle(tables.merge_scans(scans, scanner.scan(blobs, _checker(a.scanner), scans))))
+        scans = read("scans")
+    found = gaps.audit(_limited(read("clean_fix_meta"), a, COMMIT), read("repos"), read("branches"), read("commit_on_branch"), read("file_at_ref"), scans)
     cat.replace("gaps", found.select("repository", "commit_hash", "branch", "default_branch", "status", "V_fixed_idents", "verdict", "n_scan_failed", "idents_present"))
-    return gaps.headline(read("gaps"))
+    return gaps.headline(read("gaps").filter("verdict is not null"))
 
 
-def compile_programs(cat: Catalog, a: argparse.Namespace) -> DataFrame:
+def gaps_summary(cat: Catalog, a: argparse.Namespace) -> Report:
+    return list(gaps.audit_summary(cat.read("gaps")))
+
+
+def classify_history(cat: Catalog, a: argparse.Namespace) -> Report:
+    read = cat.read
+    cat.replace("history", chain.branch_histories(read("gaps"), read("clean_fix_meta"), read("file_history"), read("file_at_ref"), read("scans"), read("commit_info"), a.cap))
+    return reports.shares(read("history"), "refined")
+
+
+def _branches(cat: Catalog) -> DataFrame:
+    """Histories rolled up to branches, with the refined status."""
+    from .functions.columns import refined_status
+
+    rolled = history.branch_roll_up(cat.read("history"), [*COMMIT, "branch"])
+    late = cat.read("history").filter("status = 'timed_out'").select(*COMMIT, "branch").distinct().withColumn("_late", F.lit(True))
+    met = rolled.join(late, [*COMMIT, "branch"], "left").withColumn("refined", F.when(F.col("_late"), "timed_out").otherwise(refined_status(F.col("status"), F.col("lag_days"))))
+    return met.drop("_late").join(cat.read("clean_fix_meta").select(*COMMIT, "V_fixed_idents"), COMMIT, "left")
+
+
+def history_summary(cat: Catalog, a: argparse.Namespace) -> Report:
+    branches = settle(_branches(cat))
+    status, by_ident = history.history_summary(branches)
+    late = branches.filter("refined = 'true_backport'")
+    files = cat.read("history").join(branches.filter("refined = 'inconclusive'").select(*COMMIT, "branch"), [*COMMIT, "branch"], "left_semi")
+    reasons = history.inconclusive_reasons(files, [*COMMIT, "branch"], "path").groupBy("reason").agg(F.count("*").alias("n"))
+    places = history.percentiles(late, "lag_days", {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9})
+    return [status, reasons, history.lag_summary(late), places, history.lag_histogram(late), by_ident, history.true_backports(branches, [*COMMIT, "branch"]).drop("V_fixed_idents"), history.lag_cluster(branches)]
+
+
+def stream_all(cat: Catalog, a: argparse.Namespace) -> Report:
+    check, blobs = _checker(a.scanner), cat.read("blobs").unionByName(cat.read("file_at_ref").filter("content is not null").select(F.col("blob_sha").alias("file_hash"), "content"))
+    asked = lambda hashes: blobs.join(hashes, "file_hash", "left_semi").dropDuplicates(["file_hash"])
+    run_available(cat.spark, a.index, cat, lambda h: scanner.scan(asked(h), check), lambda h: tables.blob_texts(asked(h)), f"{cat.path('stream')}/state")
+    return reports.shares(cat.log("outcomes"), "outcome")
+
+
+def compile_programs(cat: Catalog, a: argparse.Namespace) -> Report:
     texts = tables.blob_texts(cat.read("blobs"))
-    files = cat.read("clean_fix_meta").select("repository", "commit_hash", "V_fixed_idents", F.explode("files").alias("f")).filter(F.size("f.V_fixed") > 0)
+    files = _limited(cat.read("clean_fix_meta"), a, COMMIT).select("repository", "commit_hash", "V_fixed_idents", F.explode("files").alias("f")).filter(F.size("f.V_fixed") > 0)
     named = files.withColumn("program", F.concat_ws(" ", "repository", "commit_hash", "f.file_path"))
     side = lambda c: named.select("program", F.col(c).alias("file_hash")).join(texts, "file_hash")
     edits = patches.compile_edits(document_nodes(side("f.before"), ["program"]), document_nodes(side("f.after"), ["program"]), ["program"])
@@ -51,17 +188,81 @@ def compile_programs(cat: Catalog, a: argparse.Namespace) -> DataFrame:
     if a.out:
         heads = named.select("program", "repository", "commit_hash", F.col("f.file_path").alias("source_file"), F.col("V_fixed_idents").alias("target_idents"))
         patchtext.render(heads, cat.read("edits")).write.mode("overwrite").parquet(a.out)
-    return cat.read("edits").groupBy("op").agg(F.count("*").alias("n"), F.count("review").alias("n_review"))
+    return [cat.read("edits").groupBy("op").agg(F.count("*").alias("n"), F.count("review").alias("n_review")), evaluation.compile_counters(cat.read("edits"))]
+
+
+def _findings(cat: Catalog, texts: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """(program, target, ident, route) that the scanner finds in texts (program, target, text)."""
+    blobs = texts.select(F.sha2("text", 256).alias("file_hash"), F.encode("text", "UTF-8").alias("content"))
+    found = scanner.scan(blobs, _checker(a.scanner)).filter("ok")
+    return texts.select("program", "target", F.sha2("text", 256).alias("file_hash")).join(found, "file_hash").select("program", "target", F.explode("findings").alias("_f")).select("program", "target", "_f.ident", "_f.route")
+
+
+def _faults(texts: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """(program, target, kind, message) of the linter, or none without one: its ident is the kind, its route the message."""
+    if not a.linter:
+        return texts.select("program", "target", F.lit("").alias("kind"), F.lit("").alias("message")).limit(0)
+    blobs = texts.select(F.sha2("text", 256).alias("file_hash"), F.encode("text", "UTF-8").alias("content"))
+    found = scanner.scan(blobs, _checker(a.linter)).filter("ok")
+    met = texts.select("program", "target", F.sha2("text", 256).alias("file_hash")).join(found, "file_hash")
+    return scopes.lint_keys(met.select("program", "target", F.transform("findings", lambda f: F.struct(f["ident"].alias("kind"), f["route"].alias("message"))).alias("faults")), ["program", "target"])
+
+
+def backport(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Programs on all targets with a gap; with --scanner both oracles judge them."""
+    read, keys = cat.read, ["program", "target"]
+    targets = settle(_limited(chain.gap_targets(read("gaps"), read("clean_fix_meta"), read("file_at_ref"), read("scans")), a, keys))
+    runs, outcomes, patched = chain.patch_run(targets, read("edits"), read("ref_resolution").select("action", "ref", "sha"))
+    cat.replace("patches", patched)
+    cat.replace("edit_outcomes", outcomes)
+    if not a.scanner:
+        return reports.shares(runs, "status")
+    old, new = settle(targets.select(*keys, "text")), settle(patched.select(*keys, F.col("patched_text").alias("text")))
+    lint = scopes.lint_introduced(_faults(old, a), _faults(new, a), keys)
+    judged = chain.judge_run(runs, outcomes, targets.select(*keys, "target_idents"), _findings(cat, old, a), _findings(cat, new, a), lint)
+    cat.replace("patch_runs", judged)
+    return capability(cat, a)
+
+
+def capability(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Buckets of the patched targets, and acceptance by rule."""
+    runs = cat.read("patch_runs")
+    idents = cat.read("clean_fix_meta").select(F.concat_ws(" ", *COMMIT).alias("_c"), F.col("V_fixed_idents").alias("target_idents"))
+    ruled = runs.withColumn("_c", F.array_join(F.slice(F.split("program", " "), 1, 2), " ")).join(idents, "_c")
+    return [reports.shares(runs, "bucket"), reports.acceptance_by_rule(ruled)]
+
+
+def apply_one(cat: Catalog, a: argparse.Namespace) -> Report:
+    """A program's text on one file: the outcomes, and the patched text to --out."""
+    text = cat.spark.read.text(a.program, wholetext=True).select(F.lit("p").alias("program"), F.col("value").alias("text"))
+    _, edits = patchtext.read(text)
+    target = cat.spark.read.text(a.target, wholetext=True).select(F.lit("p").alias("program"), F.lit("t").alias("target"), F.col("value").alias("text"))
+    runs, outcomes, patched = chain.patch_run(target, edits, cat.read("ref_resolution").select("action", "ref", "sha"))
+    if a.out:
+        patched.select(F.regexp_replace("patched_text", r"\n$", "")).coalesce(1).write.mode("overwrite").text(a.out)
+    return [runs.drop("program", "target"), outcomes.drop("program", "target").orderBy("ordinal")]
+
+
+def oracle(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Both oracles on one patched file: --target before, --out after, --idents that it should fix."""
+    read = lambda path: cat.spark.read.text(path, wholetext=True).select(F.lit("p").alias("program"), F.lit("t").alias("target"), F.col("value").alias("text"))
+    before, after = settle(read(a.target)), settle(read(a.out))
+    program = before.select("program", "target", F.split(F.lit(a.idents), ",").alias("target_idents"))
+    b, f, keys = _findings(cat, before, a), _findings(cat, after, a), ["program", "target"]
+    lint = scopes.lint_introduced(_faults(before, a), _faults(after, a), keys)
+    return [scopes.global_oracle(program, b, f, keys), scopes.target_sets(program, b, f, keys), lint.drop(*keys)]
 
 
-def match(cat: Catalog, a: argparse.Namespace) -> DataFrame:
-    """Commits of another tag against this tag's sets of fixed rules."""
-    key = lambda rows: rows.select("repository", "commit_hash", F.array_join("V_fixed_idents", ",").alias("fixes"), F.lit("").alias("template_hash"))
-    new = key(Catalog(cat.spark, cat.root, a.new).read("clean_fix_meta"))
-    return reports.shares(clusters.match_catalog(new, key(cat.read("clean_fix_meta"))), "outcome")
+def self_check(cat: Catalog, a: argparse.Namespace) -> Report:
+    return scenarios.run(cat.spark)
 
 
-COMMANDS = {"sample": sample, "clean-fixes": clean_fixes, "patterns": patterns, "find-gaps": find_gaps, "compile": compile_programs, "match": match}
+COMMANDS = {
+    "sample": sample, "diffs": make_diffs, "scan": scan, "clean-fixes": clean_fixes, "patterns": patterns, "match": match, "pipeline": pipeline,
+    "classify": classify, "refilter": refilter, "find-gaps": find_gaps, "gaps-summary": gaps_summary, "classify-history": classify_history,
+    "history-summary": history_summary, "stream-all": stream_all, "compile": compile_programs, "backport": backport, "capability": capability,
+    "apply": apply_one, "oracle": oracle, "selfcheck": self_check,
+}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
@@ -69,17 +270,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     p.add_argument("command", choices=COMMANDS)
     p.add_argument("--root", required=True)
     p.add_argument("--tag", default="default")
-    p.add_argument("--index")
-    p.add_argument("--n", type=int, default=10_000)
-    p.add_argument("--seed", type=int, default=42)
-    p.add_argument("--top", type=int, default=10)
-    p.add_argument("--new")
-    p.add_argument("--out")
+    for name in ("index", "new", "out", "scanner", "linter", "program", "target", "idents"):
+        p.add_argument(f"--{name}")
+    for name, value in (("n", 10_000), ("seed", 42), ("top", 10), ("limit", 0), ("cap", history.CAP)):
+        p.add_argument(f"--{name}", type=int, default=value)
     a = p.parse_args(argv)
     cat = Catalog(spark or SparkSession.builder.appName("driftwell").getOrCreate(), a.root, a.tag)
-    table = reports.markdown(COMMANDS[a.command](cat, a))
-    print(table)
-    return table
+    got = COMMANDS[a.command](cat, a)
+    text = "\n".join(reports.markdown(t) for t in (got if isinstance(got, list) else [got]))
+    print(text)
+    return text
 
 
 if __name__ == "__main__":

@@ -89,7 +89,11 @@ def value_sketch(kind: Column, leaf: Column) -> Column:
         .when(leaf.isin(*PERMISSIONS), F.concat(F.lit("perm:"), leaf))
         .otherwise("str")
     )
-    return F.when(kind == "bool", F.concat(F.lit("bool:"), leaf)).when(kind == "null", "null").when(kind.isin("int", "float"), "num").when(kind == "str", text).otherwise(kind)
+    size = lambda name, n: F.concat(F.lit(f"{name}["), F.coalesce(n, F.lit(0)).cast("string"), F.lit("]"))
+    return (
+        F.when(kind == "bool", F.concat(F.lit("bool:"), leaf)).when(kind == "null", "null").when(kind.isin("int", "float"), "num").when(kind == "str", text)
+        .when(kind == "list", size("list", F.json_array_length(leaf))).when(kind == "map", size("obj", F.size(F.json_object_keys(leaf)))).otherwise(kind)
+    )
 
 
 def split_action(value: Column) -> tuple[Column, Column]:

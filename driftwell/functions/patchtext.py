@@ -25,13 +25,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Marks in the text of a pin.
 PIN_MARK, TAG_MARK = "<sha: pin target_ref>", "<tag>"
-#: A segment of an anchor: a bracketed list identity (brackets inside it balanced once) or a key.
-SEGMENT = r"\[[^\[\]]*(?:\[[^\]]*\][^\[\]]*)*\]|[^.\[\]]+"
-
-
 def path_segments(path: Column) -> Column:
-    """A path's keys and bracketed list identities, in order."""
-    return F.regexp_extract_all(path, F.lit(SEGMENT), F.lit(0))
+    """A path's keys and bracketed list identities, in order; brackets inside an identity are balanced at any depth.
+
+    The path is folded over its pieces that are one bracket or have none.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("depth"))
+
+    def step(at: Column, piece: Column) -> Column:
+        deeper = at["depth"] + F.when(piece == "[", 1).when(piece == "]", -1).otherwise(0)
+        whole = F.concat(at["open"], piece)
+        keys = F.filter(F.split(piece, r"\."), lambda k: k != "")
+        return (
+            F.when((at["depth"] == 0) & ~piece.isin("[", "]"), F.struct(F.concat(at["done"], keys).alias("done"), F.lit("").alias("open"), F.lit(0).alias("depth")))
+            .when((piece == "]") & (deeper <= 0), F.struct(F.concat(at["done"], F.array(whole)).alias("done"), F.lit("").alias("open"), F.lit(0).alias("depth")))
+            .otherwise(F.struct(at["done"].alias("done"), whole.alias("open"), deeper.alias("depth")))
+        )
+
+    return F.aggregate(F.regexp_extract_all(path, F.lit(r"[\[\]]|[^\[\]]+"), F.lit(0)), start, step)["done"]
 
 
 def segment_parts(segment: Column) -> Column:

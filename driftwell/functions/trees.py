@@ -121,43 +121,81 @@ def _place(tree: Any, route: str, make: bool) -> Any:
     return tree
 
 
-def _line_edit(text: str, tree: Any, route: str, op: str, key: str, value: Any, note: str | None) -> str | None:
-    """The text with one scalar replaced or one line added or removed; None where that isn't plain to do."""
-    root = yaml.compose(text, Loader=loader("1.2"))
-    node = root
-    for k, position in re.findall(r"(?:^|\.)([^.\[]+)|\[(\d+)\]", route):
+def _last(node: yaml.Node) -> int:
+    """Where a node's last leaf ends; the end of a block itself lies after the comments that follow it."""
+    if node.value and isinstance(node, yaml.CollectionNode) and not node.flow_style:
+        below = node.value[-1]
+        return _last(below[1] if isinstance(below, tuple) else below)
+    return node.end_mark.index
+
+
+def _entry(value: Any, column: int, note: str = "", comment: str = "") -> str:
+    """What stands after a key and its colon: a value on the line, or a block below it, indented by two more."""
+    if isinstance(value, (dict, list)) and value:
+        block = yaml.safe_dump(value, sort_keys=False, allow_unicode=True, width=10**9)
+        return comment + "".join(f"\n{' ' * (column + 2)}{line}" for line in block.splitlines())
+    style = '"' if isinstance(value, str) and "\n" in value else None
+    plain = yaml.safe_dump(value, default_flow_style=True, default_style=style, width=10**9, allow_unicode=True).removesuffix("\n").removesuffix("\n...")
+    return f" {plain}{f' # {note}' if note else comment}"
+
+
+def _line_edit(text: str, route: str, op: str, key: str, value: Any, note: str | None) -> str | None:
+    """The text with one entry of a mapping set or removed, all else as it is; None where that isn't plain to do."""
+    node, steps = yaml.compose(text, Loader=loader("1.2")), re.findall(r"(?:^|\.)([^.\[]+)|\[(\d+)\]", route)
+    for at, (k, position) in enumerate(steps):
         if position and isinstance(node, yaml.SequenceNode) and int(position) < len(node.value):
             node = node.value[int(position)]
-        elif k and isinstance(node, yaml.MappingNode):
-            node = next((v for n, v in node.value if n.value == k), None)
-        else:
+            continue
+        if not k or not isinstance(node, yaml.MappingNode):
             return None
-    if not isinstance(node, yaml.MappingNode) or node.flow_style or not node.value:
+        below = next((v for n, v in node.value if n.value == k), None)
+        if below is None:  # the containers in between are made as well
+            if op != "set" or any(p for _, p in steps[at:]):
+                return None
+            for name in [key, *[n for n, _ in reversed(steps[at + 1 :])]]:
+                value = {name: value}
+            key = k
+            break
+        node = below
+    if not isinstance(node, yaml.MappingNode) or not node.value:
         return None
-    plain = None if isinstance(value, (dict, list)) else yaml.safe_dump(value, default_flow_style=True, width=10**9, allow_unicode=True).removesuffix("\n").removesuffix("\n...")
-    there = next(((n, v) for n, v in node.value if n.value == key), None)
-    if op == "remove" and there:
-        low, high = there[0].start_mark, there[1].end_mark
-        if len(node.value) < 2 or text[: low.index].rpartition("\n")[2].strip() or not isinstance(there[1], yaml.ScalarNode) or there[1].style in ("|", ">"):
+    there = next((i for i, (n, _) in enumerate(node.value) if n.value == key), None)
+    line_of = lambda index: len(text) if (end := text.find("\n", index)) < 0 else end
+    if node.flow_style or op == "remove" and there is not None and len(node.value) == 1:
+        own = parse(text[node.start_mark.index : _last(node)]) if node.flow_style else {}
+        if not isinstance(own, dict):
             return None
-        return text[: low.index - low.column] + text[high.index :].partition("\n")[2]
-    if op == "set" and plain is not None and "\n" not in plain:
-        if there and isinstance(there[1], yaml.ScalarNode) and there[1].style not in ("|", ">"):
-            return text[: there[1].start_mark.index] + plain + (f" # {note}" if note else "") + text[there[1].end_mark.index :]
-        first = node.value[0][0].start_mark
-        if not there:
-            indent = " " * first.column
-            line_end = text.find("\n", node.value[0][1].end_mark.index)
-            if isinstance(node.value[0][1], yaml.ScalarNode) and node.value[0][1].style not in ("|", ">") and line_end >= 0:
-                return f"{text[: line_end + 1]}{indent}{key}: {plain}\n{text[line_end + 1 :]}"
-    return None
+        own = own | {key: value} if op == "set" else {k: v for k, v in own.items() if k != key}
+        flow = yaml.safe_dump(own, default_flow_style=True, sort_keys=False, width=10**9, allow_unicode=True).strip()
+        return text[: node.start_mark.index] + flow + text[_last(node) :]
+    if op == "remove":
+        if there is None:
+            return text
+        name, old = node.value[there]
+        start, end = name.start_mark.index, len(text[: _last(old)].rstrip())
+        if not text[start - name.start_mark.column : start].strip():
+            return text[: start - name.start_mark.column] + text[line_of(end) + 1 :]
+        return text[:start] + text[node.value[there + 1][0].start_mark.index :] if there + 1 < len(node.value) else None
+    if there is None:
+        first = node.value[0]
+        column, end = first[0].start_mark.column, line_of(len(text[: _last(first[1])].rstrip()))
+        return f"{text[:end]}\n{' ' * column}{key}:{_entry(value, column, note or '')}" + (text[end:] or "\n")
+    name, old = node.value[there]
+    colon, end = text.index(":", name.end_mark.index) + 1, max(len(text[: _last(old)].rstrip()), text.index(":", name.end_mark.index) + 1)
+    after = text[end : line_of(end)] if "\n" not in text[colon:end] else ""
+    beside = after if after.strip().startswith("#") else ""
+    if not beside and "\n" in text[colon:end]:  # a block: its key's own line may have a comment
+        head = text[colon : line_of(colon)]
+        beside = head if head.strip().startswith("#") else ""
+    return text[:colon] + _entry(value, name.start_mark.column, note or "", beside) + text[end + (len(after) if after and beside else 0) :]
 
 
 def rewrite(text: str, operations: list[tuple[str, str, str, str | None, str | None]]) -> str:
     """The text with operations (route, op set or remove, key, value as JSON, note) done one after the other.
 
-    A scalar is replaced, and a line is added or removed, in place, so the rest of the text stays as it is. Where
-    that isn't plain to do, or gives another tree than asked for, the document is written anew.
+    An entry is replaced, added or removed in place, so comments and layout of the rest stay. Where that isn't plain
+    to do (anchors and merge keys, tags, several documents), or gives another tree than asked for, the document is
+    written anew.
     """
     for route, op, key, value, note in operations:
         want, new = parse(text), None if value is None else json.loads(value)
@@ -168,6 +206,6 @@ def rewrite(text: str, operations: list[tuple[str, str, str, str | None, str | N
             place[key] = new
         else:
             place.pop(key, None)
-        edited = _line_edit(text, want, route, op, key, new, note)
+        edited = _line_edit(text, route, op, key, new, note)
         text = edited if edited is not None and parse(edited) == want else yaml.safe_dump(want, sort_keys=False, allow_unicode=True, width=10**9)
     return text

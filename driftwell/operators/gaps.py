@@ -21,11 +21,14 @@ def branch_verdict(files: DataFrame, keys: list[str], status: str = "file_status
     """
     has = F.col(status) != "absent"
     left = F.coalesce(F.size(F.col(present)), F.lit(0)) > 0
-    by_branch = files.groupBy(*keys).agg(
-        F.bool_or((F.col(status) == "ok") & left).alias("_gap"),
-        F.bool_or(has).alias("_there"),
-        F.count_if(F.col(status) == "scan_failed").alias("n_scan_failed"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col(status) == "ok", F.col(present)))))).alias("idents_present"),
+    # One row an ident (a file without any has one of none), so that sets are combined before rows move; a file counts by its first.
+    idents = F.when(F.col(status) == "ok", F.col(present))
+    rows = files.select(*keys, status, left.alias("_left"), has.alias("_has"), F.posexplode_outer(idents).alias("_at", "_ident"))
+    by_branch = rows.groupBy(*keys).agg(
+        F.bool_or((F.col(status) == "ok") & F.col("_left")).alias("_gap"),
+        F.bool_or("_has").alias("_there"),
+        F.count_if((F.col(status) == "scan_failed") & (F.coalesce("_at", F.lit(0)) == 0)).alias("n_scan_failed"),
+        F.array_sort(F.collect_set("_ident")).alias("idents_present"),
     )
     return by_branch.withColumn("verdict", F.when(F.col("_gap"), GAP).when(F.col("_there"), FIXED).otherwise(INAPPLICABLE)).drop("_gap", "_there")
 
@@ -67,6 +70,41 @@ def headline(verdicts: DataFrame, by: list[str] | None = None, verdict: str = "v
     return sums.withColumns({"gap_rate": share(F.col("n_branches")), "actionable_rate": share(F.col("n_gap") + F.col("n_fixed"))})
 
 
+def refilter_headline(audits: DataFrame, classification: DataFrame) -> DataFrame:
+    """The headline before and after keeping structural fixes alone: two rows, ``scope`` all and structural.
+
+    Commits and repositories are counted by grouping twice, so no set of them is gathered.
+    """
+    ok = audits.filter("status = 'ok'")
+
+    def one(rows: DataFrame, scope: str) -> DataFrame:
+        gap = F.coalesce(F.bool_or(F.col("verdict") == GAP), F.lit(False))
+        commits = rows.groupBy("repository", "commit_hash").agg(gap.alias("_g"), F.count("verdict").alias("n_branches"), *[F.count_if(F.col("verdict") == v).alias(n) for v, n in ((GAP, "n_gap"), (FIXED, "n_fixed"), (INAPPLICABLE, "n_inapplicable"))])
+        repos = commits.groupBy("repository").agg(F.bool_or("_g").alias("_g"), F.count("*").alias("n_commits"), F.count_if("_g").alias("n_commits_with_gap"), *[F.sum(c).alias(c) for c in ("n_branches", "n_gap", "n_fixed", "n_inapplicable")])
+        sums = ("n_commits", "n_commits_with_gap", "n_branches", "n_gap", "n_fixed", "n_inapplicable")
+        out = repos.agg(F.count("*").alias("n_repos"), F.count_if("_g").alias("n_repos_with_gap"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+        share = lambda total: F.round(F.col("n_gap") / F.nullif(total, F.lit(0)), 6)
+        return out.select(F.lit(scope).alias("scope"), *out.columns, share(F.col("n_branches")).alias("gap_rate"), share(F.col("n_gap") + F.col("n_fixed")).alias("actionable_rate"))
+
+    return one(ok, "all").unionAll(one(structural_only(ok, classification), "structural"))
+
+
+def audit_summary(audits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(commits by status; one row of totals; commits by number of gap branches; surviving idents by branches)."""
+    by_commit = audits.groupBy("repository", "commit_hash", "status").agg(F.count("verdict").alias("n_branches"), F.count_if(F.col("verdict") == GAP).alias("n_gap"), F.count_if(F.col("verdict") == FIXED).alias("n_fixed"), F.count_if(F.col("verdict") == INAPPLICABLE).alias("n_inapplicable"))
+    ok = by_commit.filter("status = 'ok'")
+    totals = ok.agg(F.count("*").alias("n_ok"), F.count_if(F.col("n_gap") > 0).alias("n_with_gap"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_branches", "n_gap", "n_fixed", "n_inapplicable")])
+    idents = audits.filter((F.col("status") == "ok") & (F.col("verdict") == GAP)).select(F.explode("idents_present").alias("ident")).groupBy("ident").agg(F.count("*").alias("n"))
+    return by_commit.groupBy("status").agg(F.count("*").alias("n")), totals, ok.groupBy("n_gap").agg(F.count("*").alias("n")), idents
+
+
+def kind_counts(classification: DataFrame) -> DataFrame:
+    """Commits by kind of fix, with their share."""
+    from .reports import shares
+
+    return shares(classification.select("repository", "commit_hash", "kind").distinct(), "kind")
+
+
 def structural_only(rows: DataFrame, classification: DataFrame) -> DataFrame:
     """Rows of commits whose fix was structural."""
     return rows.join(classification.filter("kind = 'structural'").select("repository", "commit_hash").distinct(), ["repository", "commit_hash"], "left_semi")

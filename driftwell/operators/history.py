@@ -50,20 +50,22 @@ def branch_roll_up(files: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None, bins: int = 4096) -> DataFrame:
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None, bins: int = 256) -> DataFrame:
     """(by, name, value): the value at place min(int(share * n), n - 1) of the ascending list, counted from 0.
 
-    Equal values are counted first. Counts of ``bins`` equal ranges of each group tell which range holds a place;
-    only that range's values are then ranked, so no task sorts all of them.
+    Equal values are counted first. Ranges are cut at the group's own approximate quantiles, so far values don't put
+    all others into one; the counts of ranges tell which holds a place, and only that range's values are ranked. The
+    answer is exact, whatever the quantiles are.
     """
     by = by or []
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     group = [F.lit(0).alias("_all_rows"), *[F.col(c) for c in by]]
     keys = ["_all_rows", *by]
     counts = counts.select(*group, F.col(value).cast("double").alias("_v"), "_n")
-    ends = counts.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_total"))
-    width = (F.col("_high") - F.col("_low")) / bins
-    placed = counts.join(ends, keys).withColumn("_bin", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(bins - 1))).otherwise(0).cast("int"))
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10 * bins)))
+    ends = counts.groupBy(*keys).agg(cuts.alias("_cuts"), F.sum("_n").alias("_total"))
+    met = counts.join(ends, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))))
+    placed = met.drop("_cuts")
     sums = placed.groupBy(*keys, "_total", "_bin").agg(F.sum("_n").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
     named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(s)).alias("share")) for n, s in shares.items()]))
@@ -84,6 +86,31 @@ def lag_histogram(rows: DataFrame, lag: str = "lag_days") -> DataFrame:
     return rows.withColumn("bucket", lag_bucket(F.col(lag))).filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
+def inconclusive_reasons(files: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, reason, n): the dominant reason of inconclusive branches; errors count as ``scan_error``."""
+    told = files.filter(F.col("status").isin(INCONCLUSIVE, "error")).withColumn("reason", F.when(F.col("status") == "error", "scan_error").otherwise(F.col("reason")))
+    return dominant_reason(told, keys, "reason", order)
+
+
+def history_summary(branches: DataFrame, refined: str = "refined", idents: str = "V_fixed_idents") -> tuple[DataFrame, DataFrame]:
+    """(branches by refined status with their share; (ident, status, n) of branches that got the fix)."""
+    from .reports import shares
+
+    by_ident = branches.filter(F.col(refined).isin("true_backport", "same_day_fix", "independent_prior_fix")).select(F.explode(idents).alias("ident"), refined)
+    return shares(branches, refined), by_ident.groupBy("ident", refined).agg(F.count("*").alias("n"))
+
+
+def true_backports(branches: DataFrame, keys: list[str]) -> DataFrame:
+    """Branches with a true back-port, by lag; an unknown lag counts as none."""
+    return branches.filter("refined = 'true_backport'").orderBy(F.coalesce("lag_days", F.lit(0.0)), *keys)
+
+
+def lag_cluster(branches: DataFrame, repo: str = "repository", low: float = 30, high: float = 90) -> DataFrame:
+    """(repo, n): true back-ports with a lag over ``low`` and up to ``high`` days."""
+    within = branches.filter((F.col("refined") == "true_backport") & (F.col("lag_days") > low) & (F.col("lag_days") <= high))
+    return within.groupBy(repo).agg(F.count("*").alias("n"))
+
+
 def dominant_reason(rows: DataFrame, keys: list[str], reason: str, order: str) -> DataFrame:
     """The most frequent reason of each key; of equally frequent ones that seen first by ``order``."""
     counts = rows.withColumn(reason, F.coalesce(reason, F.lit("unknown"))).groupBy(*keys, reason).agg(F.count("*").alias("n"), F.min(order).alias("_first"))

@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir``; where that is unset, the warehouse's.
+
+    Only a session that is itself on one machine (tests) falls back to a temporary folder of it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Written once to the shared folder that spark.checkpoint.dir names, so later reads survive lost executors.
 
-    Only where the session has no such folder, as on one machine, a temporary one is made.
+    Where the session has none, see shared_folder().
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -13,7 +13,8 @@ REPRODUCED = ("byte_equal", "ast_equal", "effect_equal")
 def shares(rows: DataFrame, key: str) -> DataFrame:
     """(key, n, share of all): the total is one row, joined to a few."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    total = rows.agg(F.count("*").alias("_all"))
+    return counts.crossJoin(F.broadcast(total)).select(key, "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))  # total is one row
 
 
 def histogram(rows: DataFrame, keys: list[str], name: str = "size") -> DataFrame:
@@ -50,7 +51,7 @@ def density(rows: DataFrame, repo: str, item: str, measure: str) -> DataFrame:
 
 
 def mirrors(rows: DataFrame, digest: Column, repo: str) -> DataFrame:
-    """Contents found in two repositories or more: (digest, n_repos, n_rows)."""
+    """Contents found in two repositories or more: (digest, n_repos, n_rows); n_repos - 1 of them are excess copies."""
     pairs = rows.groupBy(digest.alias("digest"), repo).agg(F.count("*").alias("_n"))
     return pairs.groupBy("digest").agg(F.count("*").alias("n_repos"), F.sum("_n").alias("n_rows")).filter("n_repos > 1")
 
@@ -106,7 +107,20 @@ def generator_counts(rows: DataFrame, outcomes: str = "outcomes") -> DataFrame:
     return rows.select(F.explode(outcomes).alias("generator", "outcome")).groupBy("generator", "outcome").agg(F.count("*").alias("n"))
 
 
+def excess_copies(mirrored: DataFrame) -> DataFrame:
+    """One row: mirrored contents, and the copies beyond the first of each."""
+    return mirrored.agg(F.count("*").alias("n_mirrored"), F.coalesce(F.sum(F.col("n_repos") - 1), F.lit(0)).alias("n_excess"))
+
+
+def ranked(rows: DataFrame, measure: str, keys: list[str], k: int = 20) -> DataFrame:
+    """The first k rows by falling measure, with their ``rank``; the limit is a top-k of each task, the rank of k rows."""
+    first = rows.orderBy(F.col(measure).desc(), *keys).limit(k)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.col(measure).desc(), *keys)))
+
+
 def markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A small result as a Markdown table; ``most`` rows at most."""
-    cells = [rows.columns, ["---"] * len(rows.columns), *[["" if v is None else str(v).replace("|", "\\|") for v in r] for r in rows.limit(most).collect()]]
-    return "\n".join(f"| {' | '.join(r)} |" for r in cells) + "\n"
+    """A small result as a Markdown table; where there are more than ``most`` rows, a last line says so."""
+    got = rows.limit(most + 1).collect()
+    cells = [rows.columns, ["---"] * len(rows.columns), *[["" if v is None else str(v).replace("|", "\\|") for v in r] for r in got[:most]]]
+    more = f"\nOnly the first {most} rows are shown.\n" if len(got) > most else ""
+    return "\n".join(f"| {' | '.join(r)} |" for r in cells) + "\n" + more

@@ -6,7 +6,7 @@ scope" is an equi-join on those prefixes, not a join on a condition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def enclosing(route: Column) -> Column:
@@ -18,10 +18,13 @@ def enclosing(route: Column) -> Column:
 
 def in_scope(findings: DataFrame, scopes: DataFrame, keys: list[str], route: str = "route", scope: str = "scope", order: str = "scope_order") -> DataFrame:
     """findings with the first scope (by ``order``) of the same keys that they lie in; others are left out."""
-    asked = findings.withColumn(scope, F.explode(enclosing(F.coalesce(F.col(route), F.lit("")))))
+    # Equal findings are counted, so that one that occurs twice is found twice.
+    counted = findings.groupBy(*findings.columns).agg(F.count("*").alias("_times"))
+    asked = counted.withColumn(scope, F.explode(enclosing(F.coalesce(F.col(route), F.lit("")))))
     met = asked.join(scopes.select(*keys, scope, order), [*keys, scope])
-    first = Window.partitionBy(*keys, route, *[c for c in findings.columns if c not in (*keys, route)]).orderBy(order, scope)
-    return met.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(*findings.columns, scope)
+    firsts = met.groupBy(*findings.columns, "_times").agg(F.min(F.struct(order, scope))[scope].alias(scope))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
+    return firsts.select(*findings.columns, scope, again.alias("_time")).drop("_time")
 
 
 def landed_scopes(outcomes: DataFrame, keys: list[str], scope: Column) -> DataFrame:
@@ -30,6 +33,23 @@ def landed_scopes(outcomes: DataFrame, keys: list[str], scope: Column) -> DataFr
     return landed.groupBy(*keys, scope.alias("scope")).agg(F.min("ordinal").alias("scope_order"))
 
 
+def target_sets(programs: DataFrame, before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, present, absent, resolved, missed): target idents found before or not, and of the found those gone or left."""
+    idents = lambda rows, name: rows.groupBy(*keys).agg(F.collect_set("ident").alias(name))
+    met = programs.join(idents(before, "_b"), keys, "left").join(idents(after, "_a"), keys, "left")
+    none = F.array().cast("array<string>")
+    b, a = F.coalesce("_b", none), F.coalesce("_a", none)
+    ordered = lambda c: F.array_sort(F.array_distinct(c))
+    present = F.array_intersect("target_idents", b)
+    return met.select(*keys, ordered(present).alias("present"), ordered(F.array_except("target_idents", b)).alias("absent"), ordered(F.array_except(present, a)).alias("resolved"), ordered(F.array_intersect(present, a)).alias("missed"))
+
+
+def lint_keys(raw: DataFrame, keys: list[str], faults: str = "faults") -> DataFrame:
+    """(keys, kind, message) of a linter's raw answers (kind, message, line, column, ...): places dropped, what's missing empty."""
+    at = raw.select(*keys, F.explode(faults).alias("_f"))
+    return at.select(*keys, F.coalesce("_f.kind", F.lit("")).alias("kind"), F.coalesce("_f.message", F.lit("")).alias("message"))
+
+
 def local_oracle(programs: DataFrame, scopes: DataFrame, before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_scopes, n_failed, n_introduced, success) of each target.
 

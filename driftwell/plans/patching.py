@@ -1,11 +1,10 @@
-"""Patches, hunk replay and the incremental driver, on workflow-like documents made from the driver's tables.
+"""Patches, hunk replay and a file stream, on workflow-like documents made from the driver's tables.
 
-SQL can't express these, so each is tested against its properties.
+The documents are made of a template whose right answers are known for every row, so SQL can give them.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import patchtext
 from ..functions.trees import document_nodes
 from ..operators import generators, patches
+from ..operators.lineage import shared_folder
 from . import analytics
 from .tables import table
 
@@ -67,8 +67,7 @@ def stream_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.reports import cross_tab
 
     events = table(spark, sf_dir, "events")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*").parquet(sf_dir)
     days = stream.select("event_id", "event_type", "value").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     days.awaitTermination()
@@ -77,4 +76,18 @@ def stream_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q.update({f.__name__: f for f in (patch_apply, patch_outcomes, wsp_roundtrip, line_hunk_replay, stream_available_now)})
+_HEAD = "'# supplier ' || s_suppkey || chr(10) || 'permissions: {0}' || chr(10) || 'jobs:' || chr(10) || '  job' || s_suppkey || ':' || chr(10) || '    runs-on: n' || s_nationkey || chr(10) || '{1}    steps:' || chr(10)"
+_STEP = "'      - uses: acme/fetch@{0}' || chr(10) || '      - name: build' || chr(10) || '        run: make s' || s_suppkey || chr(10)"
+_TARGET = f"{_HEAD.format('write-all', '')} || {_STEP.format('v2')}"
+_FIXED = f"{_HEAD.format('read-all', '    timeout-minutes: 10@').replace('10@', chr(39).join(['10', ' || chr(10) || ', '']))} || {_STEP.format('2' * 40 + ' # v2')}"
+SQL["patch_apply"] = f"SELECT s_suppkey::VARCHAR AS program, {_FIXED} AS patched_text FROM supplier"
+# Without the pins' hashes the pin is left to review; the permission and the time limit are put in.
+SQL["patch_outcomes"] = """
+SELECT s_suppkey::VARCHAR AS program, 3 AS n_edits, 2 AS n_applied, 0 AS n_created, 0 AS n_noop, 0 AS n_inapplicable, 1 AS n_needs_review, true AS changed, true AS needs_review, false AS fully_applied FROM supplier"""
+SQL["wsp_roundtrip"] = """
+SELECT s_suppkey::VARCHAR AS program, 'acme/demo' AS repository, sha1(s_suppkey::VARCHAR) AS commit_hash, 'ci.yml' AS fixes_file, 'rule-a' AS fixes, e.* FROM supplier, (VALUES
+  (1, 'ensure_present', 'jobs.$JOB', 'timeout-minutes', '10', NULL), (2, 'rewrite_value', 'jobs.$JOB.steps[uses=acme/fetch]', 'uses', NULL, 'acme/fetch'),
+  (3, 'rewrite_value', '.', 'permissions', '"read-all"', NULL)) e(ordinal, op, anchor, "key", "value", pin_action)""".replace(" 'ci.yml' AS fixes_file,", "")
+# The changed block holds the job's old name, which no target has.
+SQL["line_hunk_replay"] = f"SELECT s_suppkey::VARCHAR AS program, {_TARGET} AS patched_text, 'not_found' AS status FROM supplier"
 SQL["stream_available_now"] = analytics.SQL["rule_status_crosstab"]

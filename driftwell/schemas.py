@@ -16,12 +16,15 @@ SCHEMAS = {
     "clean_fix_index": "dir string, repository string, commit_hash string, V_fixed_count int, V_fixed_idents array<string>, n_files_modified int",
     "clean_fix_meta": f"repository string, commit_hash string, github_url string, V_fixed_count int, V_fixed_idents array<string>, n_files_modified int, files array<{FIX_FILE}>",
     "classification": "repository string, commit_hash string, kind string, dir string",
-    "patterns": "fixes array<string>, n_commits bigint, n_subclusters bigint, structural_subclusters array<struct<template_hash:string,template_lines:array<string>,n_commits:bigint>>",
+    "patterns": "fixes array<string>, n_commits bigint, n_subclusters bigint, structural_subclusters array<struct<template_hash:string,template_lines:array<string>,n_commits:bigint,exemplars:array<struct<repository:string,commit_hash:string>>>>",
     "gaps": "repository string, commit_hash string, branch string, default_branch string, status string, V_fixed_idents array<string>, verdict string, n_scan_failed bigint, idents_present array<string>",
     "history": "repository string, commit_hash string, branch string, path string, status string, reason string, backport_version string, backported_at timestamp_ntz, n_read bigint, lag_days double, refined string",
     "outcomes": "repository string, commit_hash string, processed_at string, source string, outcome string, reason string, error string",
     "edits": "program string, ordinal int, op string, anchor array<string>, key string, value string, pin_action string, expected_old string, review string",
-    "patches": "program string, target string, patched_text string",
+    "patches": "program string, target string, patched_text string, text_changed boolean",
+    "edit_outcomes": "program string, target string, ordinal int, op string, status string, sites bigint, reason string, site_paths array<string>",
+    "patch_runs": "program string, target string, status string, n_edits bigint, n_applied bigint, n_created bigint, n_noop bigint, n_inapplicable bigint, n_needs_review bigint, changed boolean, needs_review boolean, fully_applied boolean, text_changed boolean, n_scopes bigint, n_failed bigint, n_introduced bigint, success boolean, n_lint bigint, accepted boolean, bucket string",
+    "export": "dir string, name string, text string",
     "repos": "repository string, default_branch string",
     "branches": "repository string, branch string, head_sha string",
     "commit_on_branch": "repository string, branch string, commit_hash string, reachable boolean",

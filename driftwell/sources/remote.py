@@ -13,11 +13,13 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.lineage import settle
 from ..schemas import SCHEMAS
 
 CONNECT_AND_READ = 30
@@ -32,10 +34,14 @@ def next_link(header: str | None) -> str | None:
     return found[1] if found else None
 
 
-def get_json(url: str, token: str = "", opener=urllib.request.urlopen, sleep=time.sleep) -> tuple[object, str | None]:
-    """(answer, next page); None for 404 and 422. Rate limits and server errors are waited for and tried again."""
+def get_json(url: str, token: str | Callable[[], str] = "", opener=urllib.request.urlopen, sleep=time.sleep) -> tuple[object, str | None]:
+    """(answer, next page); None for 404 and 422. Rate limits and server errors are waited for and tried again.
+
+    A token may be a function, which is asked anew at each try, so that a renewed one is taken after a 401.
+    """
     for attempt in range(TRIES):
-        request = urllib.request.Request(url, headers={"Accept": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {}))
+        own = token() if callable(token) else token
+        request = urllib.request.Request(url, headers={"Accept": "application/json"} | ({"Authorization": f"Bearer {own}"} if own else {}))
         try:
             with opener(request, timeout=CONNECT_AND_READ) as answer:
                 return json.load(answer), next_link(answer.headers.get("Link"))
@@ -53,7 +59,9 @@ def get_json(url: str, token: str = "", opener=urllib.request.urlopen, sleep=tim
 class ForgeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.base, self.table = options["base"].rstrip("/"), options["table"]
-        self.repositories, self.token = json.loads(options["repositories"]), options.get("token", "")
+        self.repositories = json.loads(options["repositories"])
+        named = options.get("token_file")  # read at each request, so that a renewed token is taken
+        self.token: str | Callable[[], str] = options.get("token", "") if not named else lambda: Path(named).read_text().strip()
         self.asked = json.loads(options.get("asked", "{}"))
 
     def partitions(self) -> list[InputPartition]:
@@ -123,6 +131,18 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ForgeSource)
 
 
+def read_through(wanted: DataFrame, cache: DataFrame, keys: list[str], fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(answers, new entries): cached answers, and those that ``fetch`` gives for the keys that the cache lacks.
+
+    Keys that get none become negative entries (``missing``). The new entries are the caller's to append to the cache.
+    """
+    known, todo = with_cache(wanted, cache, keys)
+    todo = settle(todo)
+    got = todo.join(fetch(todo).withColumn("missing", F.lit(False)), keys, "left")
+    new = settle(got.withColumn("missing", F.coalesce("missing", F.lit(True))).select(cache.columns))
+    return known.select(cache.columns).unionByName(new), new
+
+
 def with_cache(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(known answers, keys still to be fetched). Cached rows with ``missing`` are answers too: that there is none."""
     keyed = wanted.select(*keys).distinct()

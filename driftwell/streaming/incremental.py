@@ -7,6 +7,8 @@ nothing. A commit that gets more file-diffs is judged anew over all of them; of
 
 from __future__ import annotations
 
+import signal
+import threading
 import time
 from collections.abc import Callable
 
@@ -14,63 +16,150 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalog import Catalog
-from ..operators import diffs, gaps, sampling
+from ..functions.columns import commit_folder
+from ..operators import chain, diffs, gaps, sampling
+from ..operators.chain import COMMIT
 from ..operators.lineage import settle
 from ..schemas import SCHEMAS
+from ..sources import tables
 
 #: Outcomes of a commit.
 OUTCOMES = ("audited", "host_removed", "not_clean_fix", "blob_missing", "audit_failed", "exception")
 
 
-def commit_outcomes(index: DataFrame, scans: DataFrame, classification: DataFrame | None = None, audits: DataFrame | None = None) -> DataFrame:
-    """One row a commit: its outcome and reason. The order is that of the chain: blobs, fix, host, audit."""
+def commit_outcomes(index: DataFrame, scans: DataFrame, classification: DataFrame, audits: DataFrame) -> DataFrame:
+    """One row a commit: its outcome and reason. The order is that of the chain: blobs, fix, host, audit.
+
+    A clean fix without a kind, or a structural one that wasn't audited, is an ``audit_failed``, never ``audited``.
+    """
     files = sampling.valid_modifications(index)
     met = diffs.file_findings(diffs.join_scans(files, scans))
     commits = diffs.commit_roll_up(met)
-    if classification is not None:
-        commits = commits.join(classification.select("repository", "commit_hash", "kind"), ["repository", "commit_hash"], "left")
-    else:
-        commits = commits.withColumn("kind", F.lit("structural"))
-    if audits is not None:
-        commits = commits.join(audits.select("repository", "commit_hash", F.col("status").alias("_audit")).distinct(), ["repository", "commit_hash"], "left")
-    else:
-        commits = commits.withColumn("_audit", F.lit("ok"))
+    commits = commits.join(classification.select("repository", "commit_hash", "kind"), ["repository", "commit_hash"], "left")
+    commits = commits.join(audits.select("repository", "commit_hash", F.col("status").alias("_audit")).distinct(), ["repository", "commit_hash"], "left")
     missing = F.forall("files", lambda f: f["scan_status"] != "ok")
     outcome = (
         F.when(missing, "blob_missing").when((F.size("V_fixed") == 0) | (F.size("V_introduced") > 0), "not_clean_fix")
-        .when(F.coalesce("kind", F.lit("structural")) != "structural", "host_removed").when(F.coalesce("_audit", F.lit("ok")) != "ok", "audit_failed").otherwise("audited")
+        .when(F.col("kind") != "structural", "host_removed").when(F.col("_audit") == "ok", "audited").otherwise("audit_failed")
     )
-    reason = F.when(outcome == "not_clean_fix", F.when(F.size("V_fixed") == 0, "no_v_fixed").otherwise("v_introduced_nonempty")).when(outcome == "audit_failed", F.col("_audit"))
+    reason = F.when(outcome == "not_clean_fix", F.when(F.size("V_fixed") == 0, "no_v_fixed").otherwise("v_introduced_nonempty")).when(outcome == "audit_failed", F.coalesce("_audit", F.lit("not_audited")))
     return commits.select("repository", "commit_hash", outcome.alias("outcome"), reason.alias("reason"))
 
 
-def process_batch(catalog: Catalog, scans: Callable[[DataFrame], DataFrame], source: str = "stream") -> Callable[[DataFrame, int], None]:
-    """The function for foreachBatch: outcomes of the commits with new file-diffs into the log ``outcomes``."""
+def process_batch(catalog: Catalog, scans: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], source: str = "stream", log_errors: bool = True) -> Callable[[DataFrame, int], None]:
+    """The function for foreachBatch: the whole chain for the commits with new file-diffs, to the log ``outcomes``.
+
+    ``scans`` and ``texts`` give the scans (as the table ``scans``) and texts (file_hash, text) of distinct blobs. The
+    forge's tables (repos, branches, commit_on_branch, file_at_ref, file_history, commit_info) are the catalog's.
+    Each step's rows go to its log under the batch's number: scans, diffs, clean_fix_meta, classification, export,
+    gaps, history. Where a step fails, the batch's commits are logged as ``exception`` with the error, if
+    ``log_errors``, and are taken up again with the next batch; else the batch fails.
+    """
+
+    def chain_of(whole: DataFrame, number: int) -> DataFrame:
+        files = settle(sampling.valid_modifications(whole).drop("committed_date"))
+        blobs = settle(sampling.distinct_blobs(files))
+        known = settle(catalog.log("scans", but=number).filter("ok"))
+        memo = known.join(blobs, "file_hash", "left_semi").dropDuplicates(["file_hash"])
+        new = settle(scans(blobs.join(memo.select("file_hash"), "file_hash", "left_anti")))
+        catalog.append("scans", new, batch=number)
+        scanned = settle(memo.unionByName(new))
+        held = settle(texts(blobs))
+        nodes = chain.parsed(held)
+        catalog.append("diffs", chain.usable_diffs(chain.diff_rows(files, nodes, chain.document_changes(files, nodes))), batch=number)
+
+        clean = settle(chain.clean_commits(files, scanned))
+        fixed = settle(chain.fix_files(clean))
+        need = sampling.distinct_blobs(fixed.filter(F.size("V_fixed") > 0)).join(held.filter("text is not null").select("file_hash"), "file_hash", "left_anti")
+        lost = F.col("file_hash") == F.col("_h")
+        missing = settle(fixed.filter(F.size("V_fixed") > 0).join(need.withColumnRenamed("file_hash", "_h"), lost | (F.col("previous_file_hash") == F.col("_h"))).select(*COMMIT).distinct())
+        whole_fixes = settle(clean.join(missing, COMMIT, "left_anti"))
+        by_file, kinds = chain.classify_hosts(settle(fixed.join(missing, COMMIT, "left_anti")), nodes)
+        kinds = settle(kinds)
+        catalog.append("clean_fix_meta", meta_rows(whole_fixes), batch=number)
+        catalog.append("classification", kinds.select(*COMMIT, "kind", commit_folder(F.col("repository"), F.col("commit_hash")).alias("dir")), batch=number)
+        catalog.append("export", tables.commit_export(whole_fixes, held), batch=number)
+
+        read, structural = catalog.read, settle(whole_fixes.join(kinds.filter("kind = 'structural'").select(*COMMIT), COMMIT, "left_semi"))
+        at_ref = settle(read("file_at_ref"))
+        # Versions on branches are scanned as any other blob, each once.
+        heads = at_ref.filter("content is not null").select(F.col("blob_sha").alias("file_hash")).distinct().join(scanned.select("file_hash"), "file_hash", "left_anti")
+        at_heads = settle(scanned.unionByName(known.join(heads, "file_hash", "left_semi").dropDuplicates(["file_hash"])))
+        left = settle(heads.join(at_heads.select("file_hash"), "file_hash", "left_anti"))
+        more = settle(scans(left)) if structural.limit(1).count() else scanned.limit(0)
+        at_heads = settle(at_heads.unionByName(more))
+        audits = settle(gaps.audit(structural, read("repos"), read("branches"), read("commit_on_branch"), at_ref, at_heads))
+        catalog.append("gaps", audits.select(*COMMIT, "branch", "default_branch", "status", "V_fixed_idents", "verdict", "n_scan_failed", "idents_present"), batch=number)
+        walked = chain.branch_histories(audits, structural, read("file_history"), at_ref, at_heads, read("commit_info"))
+        catalog.append("history", walked.select(*[c.split()[0] for c in SCHEMAS["history"].split(", ")]), batch=number)
+        found = commit_outcomes(whole, scanned, kinds, audits)
+        lost_ones = missing.withColumn("_lost", F.lit(True))
+        met = found.join(lost_ones, COMMIT, "left")
+        return met.withColumns({"outcome": F.when(F.col("_lost"), "blob_missing").otherwise(F.col("outcome")), "reason": F.when(F.col("_lost").isNull(), F.col("reason"))}).drop("_lost")
 
     def batch(rows: DataFrame, number: int) -> None:
         # What this batch itself wrote, in a run that was cut off, is written anew.
         seen = settle(catalog.log("workflow_index", but=number))
         fresh = settle(gaps.not_done(rows.distinct(), seen, ["repository", "commit_hash", "file_path"]))
         catalog.append("workflow_index", fresh, batch=number)
-        commit = ["repository", "commit_hash"]
-        whole = seen.join(fresh.select(*commit).distinct(), commit, "left_semi").unionByName(fresh)
-        files = sampling.valid_modifications(whole)
-        found = commit_outcomes(whole, scans(sampling.distinct_blobs(files)))
-        stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-        out = found.select("repository", "commit_hash", stamp.alias("processed_at"), F.lit(f"{source}-{number}").alias("source"), "outcome", "reason", F.lit(None).cast("string").alias("error"))
-        catalog.append("outcomes", out, batch=number)
+        failed = catalog.log("outcomes", but=number).filter("outcome = 'exception'").select(*COMMIT)
+        touched = settle(fresh.select(*COMMIT).unionAll(failed).distinct())
+        whole = settle(seen.join(touched, COMMIT, "left_semi").unionByName(fresh))
+        stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+        none = F.lit(None).cast("string")
+        try:
+            found = settle(chain_of(whole, number)).withColumn("error", none)
+        except Exception as e:  # logged with the commits it befell, which are tried again
+            if not log_errors:
+                raise
+            of_all = sampling.valid_modifications(whole).select(*COMMIT).distinct()
+            found = of_all.withColumns({"outcome": F.lit("exception"), "reason": none, "error": F.lit(f"{type(e).__name__}: {e}"[:200])})
+        catalog.append("outcomes", found.select(*COMMIT, stamp.alias("processed_at"), F.lit(f"{source}-{number}").alias("source"), "outcome", "reason", "error"), batch=number)
 
     return batch
 
 
-def run_available(spark: SparkSession, index_folder: str, catalog: Catalog, scans: Callable[[DataFrame], DataFrame], checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
+def meta_rows(clean: DataFrame) -> DataFrame:
+    """Clean fixes as rows of the table ``clean_fix_meta``."""
+    named = F.transform("files", lambda f: F.struct(f["file_path"].alias("file_path"), f["previous_file_hash"].alias("before"), f["file_hash"].alias("after"), f["scan_status"].alias("scan_status"), f["V_fixed"].alias("V_fixed"), f["V_introduced"].alias("V_introduced")))
+    return clean.select(*COMMIT, F.lit(None).cast("string").alias("github_url"), F.col("V_fixed_count").cast("int").alias("V_fixed_count"), "V_fixed_idents", F.col("n_files_modified").cast("int").alias("n_files_modified"), named.alias("files"))
+
+
+def run_available(spark: SparkSession, index_folder: str, catalog: Catalog, scans: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], checkpoint: str, files_per_batch: int = 1000, log_errors: bool = True) -> StreamingQuery:
     """Process all index files that are there, then stop; what a stopped run had done isn't done again."""
     stream = spark.readStream.schema(SCHEMAS["workflow_index"]).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(index_folder)
-    query = stream.writeStream.foreachBatch(process_batch(catalog, scans)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(process_batch(catalog, scans, texts, log_errors=log_errors)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def progress_of(query: StreamingQuery, total: int | None = None) -> tuple[int, float, float | None]:
+    """(rows so far, rows a second, seconds left of ``total`` rows if it is known) by the query's own reports."""
+    seen = [p for p in query.recentProgress if p["numInputRows"]]
+    rows = sum(p["numInputRows"] for p in seen)
+    rate = rows / max(sum(p["durationMs"]["triggerExecution"] for p in seen) / 1000, 1e-3) if seen else 0.0
+    return rows, rate, (max(total - rows, 0) / rate if total is not None and rate else None)
+
+
+def stop_on_signal(query: StreamingQuery, number: int = signal.SIGINT) -> Callable[[], None]:
+    """The first signal lets the batch at work end and stops the query, a second one ends the program at once.
+
+    Gives a function that puts the former handler back.
+    """
+    former = signal.getsignal(number)
+    told: list[int] = []
+
+    def handler(got: int, frame: object) -> None:
+        told.append(got)
+        if len(told) > 1:
+            signal.signal(number, former)
+            raise KeyboardInterrupt
+        threading.Thread(target=drain, args=(query,), daemon=True).start()
+
+    signal.signal(number, handler)
+    return lambda: signal.signal(number, former)
+
+
 def distinct_days(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """An extension over event streams: each user's different event types by day, late rows up to ``delay``."""
     timed = events.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", delay)

@@ -3,13 +3,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftwell import cli
 from driftwell.catalog import Catalog
 from driftwell.functions.digests import blake2b_lines, blake2b_unit
-from driftwell.operators import evaluation
+from driftwell.operators import evaluation, history, scopes
+from driftwell.operators.reports import markdown
 from driftwell.schemas import SCHEMAS
 from driftwell.sources import remote
 
@@ -58,21 +61,90 @@ def test_forge_tables_by_key(monkeypatch):
     assert ask("file_history", ["v1", "f"]) == [("o/r", "v1", "f", 0, "1", "d1"), ("o/r", "v1", "f", 1, "2", "d2")]
 
 
-def test_commands_from_index_to_programs(spark, tmp_path):
-    index = tmp_path / "index.csv"
+SCANNER = """import json, re, sys
+text = sys.stdin.read()
+found = [{"ident": "perm", "route": "permissions"}] if "permissions: write-all" in text else []
+found += [{"ident": "pin", "route": f"jobs.{j}.steps[0].uses"} for j in re.findall(r"  (\\w+):\\n    steps:\\n      - uses: x/y@v", text)]
+print(json.dumps(found))
+"""
+
+
+def test_commands_from_index_to_reports(spark, tmp_path):
+    """The whole way by commands: index, diffs, scans, clean fixes, patterns, match, audit, history, patches, reports."""
     head = "repository,commit_hash,committed_date,file_path,file_hash,previous_file_hash,git_change_type,valid_yaml,valid_workflow,probably_workflow\n"
-    index.write_text(head + "o/r,c1,2024,f.yml,n1,o1,M,True,True,True\no/r,c2,2024,f.yml,n2,o1,M,True,True,True\n")
+    row = "o/r,{0},2024,f.yml,{1},{2},M,True,True,True\n"
+    (tmp_path / "index.csv").write_text(head + row.format("c1", "n1", "o1") + row.format("c2", "n2", "o1") + row.format("c3", "n3", "o3"))
+    (tmp_path / "new.csv").write_text(head + row.format("d1", "n1", "o1") + row.format("d2", "n4", "o1") + row.format("d3", "n5", "o3"))
+    (tmp_path / "scan.py").write_text(SCANNER)
+    step = lambda ref, job="a": f"jobs:\n  {job}:\n    steps:\n      - uses: x/y@{ref}\n"
+    sha = "1" * 40
+    texts = {
+        "o1": "permissions: write-all\n" + step("v1"), "n1": "permissions: read-all\n" + step("v1"), "n2": "permissions: write-all\n" + step("v1") + "name: x\n", "n4": "permissions:\n  contents: read\n" + step("v1"),
+        "o3": "permissions: read-all\n" + step("v1"), "n3": "permissions: read-all\n" + step(sha), "n5": "permissions: read-all\njobs: {}\n", "h": "# kept\npermissions: write-all # wide\n" + step("v2", "z"),
+    }
+    frame = lambda rows, name: spark.createDataFrame(rows, SCHEMAS[name])
+    for tag in ("default", "other"):
+        cat = Catalog(spark, str(tmp_path / "root"), tag)
+        cat.replace("blobs", frame([(k, v.encode()) for k, v in texts.items()], "blobs"))
     cat = Catalog(spark, str(tmp_path / "root"))
-    cat.replace("scans", spark.createDataFrame([("o1", True, None, [("x", "", "", "permissions")]), ("n1", True, None, []), ("n2", True, None, [("x", "", "", "permissions")])], SCHEMAS["scans"]))
-    cat.replace("blobs", spark.createDataFrame([("o1", b"permissions: write-all\n"), ("n1", b"permissions: read-all\n")], SCHEMAS["blobs"]))
-    cat.replace("repos", spark.createDataFrame([("o/r", "main")], SCHEMAS["repos"]))
-    cat.replace("branches", spark.createDataFrame([("o/r", "v1", "h")], SCHEMAS["branches"]))
-    cat.replace("commit_on_branch", spark.createDataFrame([("o/r", "main", "c1", True)], SCHEMAS["commit_on_branch"]))
-    cat.replace("file_at_ref", spark.createDataFrame([("o/r", "v1", "f.yml", None, "o1", False)], SCHEMAS["file_at_ref"]))
+    cat.replace("repos", frame([("o/r", "main")], "repos"))
+    cat.replace("branches", frame([("o/r", "v1", "h"), ("o/r", "release/2", "h"), ("o/r", "main", "h")], "branches"))
+    cat.replace("commit_on_branch", frame([("o/r", "main", c, True) for c in ("c1", "c3")], "commit_on_branch"))
+    at = [("o/r", "v1", "f.yml", texts["h"].encode(), "h", False), ("o/r", "release/2", "f.yml", texts["n3"].encode(), "n3", False), ("o/r", "s0", "f.yml", texts["n3"].encode(), "n3", False), ("o/r", "s1", "f.yml", texts["h"].encode(), "h", False)]
+    cat.replace("file_at_ref", frame(at, "file_at_ref"))
+    cat.replace("file_history", frame([("o/r", "release/2", "f.yml", 0, "s0", "2024-03-01T00:00:00Z"), ("o/r", "release/2", "f.yml", 1, "s1", "2023-01-01T00:00:00Z")], "file_history"))
+    cat.replace("commit_info", frame([("o/r", "c1", "2024-01-01T00:00:00Z", "p"), ("o/r", "c3", "2024-02-29T12:00:00Z", "p")], "commit_info"))
+    cat.replace("ref_resolution", frame([("x/y", "v2", "2" * 40)], "ref_resolution"))
+    scan = ["--scanner", f"{sys.executable} {tmp_path / 'scan.py'}"]
     run = lambda *a: cli.main([*a, "--root", str(tmp_path / "root")], spark)
-    assert "| 2 |" in run("sample", "--index", str(index)) and "| 1 |" in run("clean-fixes")
-    assert "| x | 1 |" in run("patterns") and "| 1 | 1 | 0 | 0 |" in run("find-gaps")
-    assert "| rewrite_value | 1 | 0 |" in run("compile", "--out", str(tmp_path / "programs"))
-    text = spark.read.parquet(str(tmp_path / "programs")).first().text
-    assert "- permissions: perm:write-all\n+ permissions: read-all" in text
-    assert "| full | 1 | 1.0 |" in run("match", "--new", "default")
+    got = run("pipeline", "--index", str(tmp_path / "index.csv"), *scan)
+    assert "| 3 | 3 |" in got and "| n_clean |\n| --- |\n| 2 |" in got and "| perm | 1 | 1 | 1 |" in got and "| pin | 1 | 1 | 2 |" in got
+    lines = [line for r in cat.read("patterns").collect() for s in r.structural_subclusters for line in s.template_lines]
+    assert sorted(lines) == ["~ jobs.a.steps[uses=x/y].uses : uses:x/y@<tag> -> uses:x/y@<sha>", "~ permissions : perm:write-all -> perm:read-all"]
+    assert [r.dir for r in cat.read("clean_fix_index").collect()] == ["o__r__c1", "o__r__c3"] and cat.read("export").count() == 4
+    run("pipeline", "--index", str(tmp_path / "new.csv"), *scan, "--tag", "other")
+    got = run("match", "--new", "other")
+    assert "| full | 1 | 0.333333 |" in got and "| level-1 | 2 | 0.666667 |" in got
+    assert "| structural | 2 | 1.0 |" in run("classify")
+    got = run("find-gaps", *scan)
+    assert "| 4 | 2 | 2 | 0 | 0.5 | 0.5 |" in got
+    assert "| ok | 2 |" in run("gaps-summary")
+    run("classify-history")
+    got = run("history-summary")
+    assert "| true_backport | 1 | 0.5 |" in got and "| same_day_fix | 1 | 0.5 |" in got and "| perm | true_backport | 1 |" in got and "| o/r | 1 |" in got
+    assert "| structural | 1 | 1 | 2 | 2 | 4 | 2 | 2 | 0 | 0.5 | 0.5 |" in run("refilter")
+    assert "| rewrite_value | 2 | 0 |" in run("compile", "--out", str(tmp_path / "programs"))
+    program = {r.program.split()[1]: r.text for r in spark.read.parquet(str(tmp_path / "programs")).collect()}
+    assert "- permissions: perm:write-all\n+ permissions: read-all" in program["c1"]
+    got = run("backport", *scan)
+    assert "| accepted | 2 | 1.0 |" in got and "| perm | 1 | 1 | 1.0 |" in got
+    texts_of = {r.program.split()[1]: r.patched_text for r in cat.read("patches").collect()}
+    assert texts_of["c1"] == "# kept\npermissions: read-all # wide\n" + step("v2", "z") and f"x/y@{'2' * 40} # v2" in texts_of["c3"]
+    assert "| patched | 1 | 1.0 |" in run("backport", "--limit", "1")
+    (tmp_path / "p.wsp").write_text(program["c1"])
+    (tmp_path / "t.yml").write_text(texts["h"])
+    assert "| patched | 1 | 1 | 0 |" in run("apply", "--program", str(tmp_path / "p.wsp"), "--target", str(tmp_path / "t.yml"), "--out", str(tmp_path / "done"))
+    assert "| 1 | 0 | true |" in run("oracle", *scan, "--target", str(tmp_path / "t.yml"), "--out", str(tmp_path / "done"), "--idents", "perm").lower()
+    assert "false" not in run("selfcheck").lower()
+    with pytest.raises(SystemExit):
+        run("stream-all", "--index", str(tmp_path / "index.csv"))
+
+
+def test_large_tables_say_that_they_are_cut(spark):
+    assert markdown(spark.range(3), 2).endswith("Only the first 2 rows are shown.\n") and "Only" not in markdown(spark.range(2), 2)
+
+
+def test_findings_that_occur_twice_are_found_twice(spark):
+    found = spark.createDataFrame([("p", "x", "a.b"), ("p", "x", "a.b"), ("p", "x", "c")], "k string, ident string, route string")
+    scopes_ = spark.createDataFrame([("p", "a", 2), ("p", "a.b", 1)], "k string, scope string, scope_order int")
+    assert [tuple(r) for r in scopes.in_scope(found, scopes_, ["k"]).collect()] == [("p", "x", "a.b", "a.b")] * 2
+
+
+def test_percentiles_of_a_heavy_tail(spark):
+    values = [float(i % 977) for i in range(20_000)] + [1e12, -1e12, 5e11]
+    rows = spark.createDataFrame([(v, "g") for v in values] + [(None, "g"), (7.0, "h")], "v double, g string")
+    shares = {"p01": 0.01, "median": 0.5, "p99": 0.99, "max": 1.0}
+    ordered = sorted(values)
+    want = {n: ordered[min(int(s * len(ordered)), len(ordered) - 1)] for n, s in shares.items()}
+    got = {(r.g, r.name): r.value for r in history.percentiles(rows, "v", shares, ["g"]).collect()}
+    assert {n: got["g", n] for n in shares} == want and {got["h", n] for n in shares} == {7.0}

@@ -61,3 +61,51 @@ def test_bumps(spark):
     sites = generators.bump_sites(bumps, sides[2], rows.select("program"), ["program"], ["program"])
     got = patched_texts(rows.select("program", "text"), sites, ["program"], ["program"]).first().patched_text
     assert parse(got) == parse(doc("v2"))
+
+
+COMMENTED = """# top
+on: push # when
+permissions: write-all # wide
+jobs: # all
+  a: # first
+    # before steps
+    secrets: inherit # old
+    env: {A: 1, B: two}
+    script: |
+      one
+      two
+    steps: # s
+      - uses: x/y@v1 # pin me
+        with: # opts
+          k: v
+          # last
+      - run: b # run
+        name: n
+  # between
+  b:
+    only: 1
+# end
+"""
+
+
+def test_edits_in_place_keep_comments():
+    """Complex values, nested keys, blocks and block scalars: only what is removed or replaced loses its comments."""
+    import json
+
+    from driftwell.functions.trees import parse, rewrite
+
+    comments = ["# top", "# when", "# wide", "# all", "# first", "# before steps", "# old", "# s", "# pin me", "# opts", "# last", "# run", "# between", "# end"]
+    cases = [
+        ("jobs.a", "set", "secrets", {"t": "x", "u": [1, 2]}, []), ("jobs.a", "remove", "env", None, []), ("jobs.a.env", "set", "C", 3, []), ("jobs.a", "set", "script", "a\nb", []),
+        ("jobs.a", "remove", "script", None, []), ("jobs.a.steps[0]", "remove", "with", None, ["# opts"]), ("jobs.a.steps[1]", "remove", "run", None, ["# run"]), ("jobs.b", "remove", "only", None, []),
+        ("jobs.a.steps[0]", "set", "with", {"q": 1}, []), ("jobs.a.steps[0].with", "set", "z", True, []), ("", "set", "permissions", {"contents": "read"}, []), ("jobs.b.deep.er", "set", "k", "v", []),
+        ("jobs.a", "set", "steps", [], ["# pin me", "# opts", "# last", "# run"]), ("", "set", "defaults", {"run": {"shell": "bash"}}, []), ("jobs.a.steps[0]", "remove", "uses", None, ["# pin me"]),
+    ]
+    for route, op, key, value, lost in cases:
+        out = rewrite(COMMENTED, [(route, op, key, None if value is None else json.dumps(value), None)])
+        assert [c for c in comments if c not in out] == lost, (route, key)
+        place = parse(out)
+        for part in [x for x in route.replace("[", ".[").split(".") if x]:
+            place = place[int(part[1:-1])] if part[0] == "[" else place[part]
+        assert place.get(key) == value and (op == "set") == (key in place)
+    assert rewrite("a: &x\n  b: 1\nc: *x\n", [("a", "set", "b", "2", None)]).count("2") >= 1

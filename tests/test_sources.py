@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from driftwell.catalog import Catalog
 from driftwell.schemas import SCHEMAS
 from driftwell.sources import remote, scanner, tables
-from driftwell.streaming.incremental import distinct_days, drain, refresh_every, run_available
+from driftwell.streaming.incremental import distinct_days, drain, progress_of, refresh_every, run_available, stop_on_signal
 
 HEADER = "repository,commit_hash,committed_date,file_path,file_hash,previous_file_hash,git_change_type,valid_yaml,valid_workflow,probably_workflow\n"
 
@@ -100,37 +100,72 @@ def test_export_names(spark):
     assert got == {(d, "before__a__x.yml"): "old", (d, "after__a__x.yml"): "new", (d, "before__a__x.1.yml"): "old", (d, "after__a__x.1.yml"): "# missing blob\n"}
 
 
+def driver(spark, tmp_path, texts, known=True):
+    """Runs of the incremental driver over tmp_path/index; its catalog. Findings: a line "bad NAME" is one at its route."""
+    cat, held = Catalog(spark, str(tmp_path / "out")), spark.createDataFrame(list(texts.items()), "file_hash string, text string")
+
+    def check(content):
+        if b"broken" in content:
+            raise ValueError("can't be read")
+        return [{"ident": line.split()[2], "route": line.split()[3]} for line in content.decode().splitlines() if line.startswith("# bad")]
+
+    for name, rows in (("repos", [("o/r", "main")]), ("branches", [("o/r", "v1", "h")]), ("commit_on_branch", [("o/r", "main", f"c{i}", True) for i in range(9)])):
+        cat.replace(name, spark.createDataFrame(rows if known else [], SCHEMAS[name]))
+    scans = lambda hashes: scanner.scan(held.select("file_hash", F.encode("text", "UTF-8").alias("content")).join(hashes, "file_hash", "right"), check)
+
+    def run(files_per_batch=1000, texts_of=None, **options):
+        return run_available(spark, str(tmp_path / "index"), cat, scans, texts_of or (lambda hashes: held.join(hashes, "file_hash", "left_semi")), str(tmp_path / "state"), files_per_batch, **options)
+
+    (tmp_path / "index").mkdir()
+    return cat, run, lambda: sorted((r.commit_hash, r.outcome, r.reason) for r in cat.log("outcomes").collect())
+
+
+GOOD, BAD, WORSE = "on: push\n", "# bad x on\non: push\n", "# bad z on\non: push\n"
+
+
 def test_incremental_driver_resumes_and_adds_no_doubles(spark, tmp_path):
-    found = {"o1": [("x", "", "", "on")], "n1": [], "o2": [], "n2": [("z", "", "", "")], "o3": [("x", "", "", "on")]}
-    scans = spark.createDataFrame([(k, True, None, v) for k, v in found.items()], SCHEMAS["scans"])
-    index, cat = tmp_path / "index", Catalog(spark, str(tmp_path / "out"))
-    index.mkdir()
-    (index / "1.csv").write_text(HEADER + line("c1", "n1", "o1") + line("c2", "n2", "o2"))
-    run = lambda: run_available(spark, str(index), cat, lambda blobs: scans.join(blobs, "file_hash", "left_semi"), str(tmp_path / "state"))
+    cat, run, outcomes = driver(spark, tmp_path, {"o1": BAD, "n1": GOOD, "o2": GOOD, "n2": WORSE, "o3": BAD})
+    (tmp_path / "index" / "1.csv").write_text(HEADER + line("c1", "n1", "o1") + line("c2", "n2", "o2"))
     run()
-    (index / "2.csv").write_text(HEADER + line("c1", "n1", "o1") + line("c3", "n9", "o3"))
+    (tmp_path / "index" / "2.csv").write_text(HEADER + line("c1", "n1", "o1") + line("c3", "n9", "o3"))
     run()
     run()
-    got = sorted((r.commit_hash, r.outcome, r.reason) for r in cat.log("outcomes").collect())
-    assert got == [("c1", "audited", None), ("c2", "not_clean_fix", "no_v_fixed"), ("c3", "blob_missing", None)]
+    assert outcomes() == [("c1", "audited", None), ("c2", "not_clean_fix", "no_v_fixed"), ("c3", "blob_missing", None)]
+    assert cat.log("gaps").count() == 1 and cat.log("clean_fix_meta").count() == 1 and cat.log("export").count() == 2
 
 
 def test_a_commit_spread_over_batches_is_judged_whole(spark, tmp_path):
-    found = {"o1": [("x", "", "", "on")], "n1": [], "o2": [], "n2": [("z", "", "", "")]}
-    scans = spark.createDataFrame([(k, True, None, v) for k, v in found.items()], SCHEMAS["scans"])
-    index, cat = tmp_path / "index", Catalog(spark, str(tmp_path / "out"))
-    index.mkdir()
-    run = lambda: run_available(spark, str(index), cat, lambda blobs: scans.join(blobs, "file_hash", "left_semi"), str(tmp_path / "state"), 1)
-    outcomes = lambda: [(r.commit_hash, r.outcome, r.reason) for r in cat.log("outcomes").collect()]
-    (index / "1.csv").write_text(HEADER + line("c1", "n1", "o1"))
-    run()
+    cat, run, outcomes = driver(spark, tmp_path, {"o1": BAD, "n1": GOOD, "o2": GOOD, "n2": WORSE})
+    (tmp_path / "index" / "1.csv").write_text(HEADER + line("c1", "n1", "o1"))
+    run(1)
     assert outcomes() == [("c1", "audited", None)]
-    (index / "2.csv").write_text(HEADER + line("c1", "n1", "o1") + line("c1", "n2", "o2").replace("f.yml", "g.yml"))
-    run()
+    (tmp_path / "index" / "2.csv").write_text(HEADER + line("c1", "n1", "o1") + line("c1", "n2", "o2").replace("f.yml", "g.yml"))
+    run(1)
     assert outcomes() == [("c1", "not_clean_fix", "v_introduced_nonempty")]
     assert cat.log("workflow_index").count() == 2
 
 
+def test_every_outcome_is_reached(spark, tmp_path):
+    before = "# bad p jobs.a.steps[0].run\njobs:\n  a:\n    steps:\n      - run: x\n"
+    gone = "jobs:\n  b:\n    steps:\n      - name: y\n        run: z\n"
+    cat, run, outcomes = driver(spark, tmp_path, {"o1": BAD, "n1": GOOD, "o2": before, "n2": gone, "o3": BAD, "o4": GOOD, "n4": GOOD, "o5": BAD, "n5": "broken"})
+    lost = {"on": True}
+
+    def texts_of(hashes):
+        if lost["on"]:
+            raise RuntimeError("the store is away")
+        return spark.createDataFrame([("o1", BAD), ("n1", GOOD), ("o2", before), ("n2", gone), ("o4", GOOD), ("n4", GOOD)], "file_hash string, text string").join(hashes, "file_hash", "left_semi")
+
+    (tmp_path / "index" / "1.csv").write_text(HEADER + line("c1", "n1", "o1") + line("c2", "n2", "o2") + line("c3", "n1", "o3") + line("c4", "n4", "o4") + line("c5", "n5", "o5"))
+    run(texts_of=texts_of)
+    assert {x[1] for x in outcomes()} == {"exception"} and cat.log("outcomes").filter("error like '%store is away%'").count() == 5
+    lost["on"] = False
+    (tmp_path / "index" / "2.csv").write_text(HEADER + line("c9", "n1", "o1"))  # not on the default branch
+    run(texts_of=texts_of)
+    assert outcomes() == [("c1", "audited", None), ("c2", "host_removed", None), ("c3", "blob_missing", None), ("c4", "not_clean_fix", "no_v_fixed"), ("c5", "blob_missing", None), ("c9", "audit_failed", "not_on_default")]
+    assert {r.kind for r in cat.log("classification").filter("commit_hash = 'c2'").collect()} == {"deletion"} and cat.log("diffs").filter("commit_hash = 'c2'").count() == 1
+
+
 def test_stream_equals_batch(spark, sf_dir):
     q = entry.queries()
     rows = lambda n: sorted(map(tuple, q[n](spark, sf_dir).select("event_type", "n_low", "n_middle", "n_high").collect()))
@@ -157,3 +192,29 @@ def test_days_of_event_streams(spark, sf_dir, tmp_path):
     query.awaitTermination()
     batch = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_date("ts"), "user_id", "event_type").distinct().count()
     assert spark.table("days").count() == batch
+
+
+def test_first_signal_drains(spark):
+    import os
+    import signal
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+    query = clock.writeStream.foreachBatch(lambda rows, n: None).trigger(processingTime="1 second").start()
+    undo = stop_on_signal(query)
+    end = time.monotonic() + 60
+    while not query.lastProgress and time.monotonic() < end:
+        time.sleep(0.2)
+    rows, rate, left = progress_of(query, 10**6)
+    assert rows >= 0 and rate >= 0 and (left is None or left > 0)
+    os.kill(os.getpid(), signal.SIGINT)
+    while query.isActive and time.monotonic() < end:
+        time.sleep(0.2)
+    undo()
+    assert not query.isActive
+
+
+def test_later_writers_win_and_pointers_can_be_thinned(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path))
+    for name in "abc":
+        cat.replace("repos", spark.createDataFrame([("o/r", name)], SCHEMAS["repos"]))
+    assert cat.versions("repos", keep=1) == 1 and cat.read("repos").first().default_branch == "c"

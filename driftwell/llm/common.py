@@ -43,6 +43,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one, in whatever store it is, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def carried(docs: DataFrame, needed: list[str]) -> DataFrame:
+    """The rows as one column ``_row``, beside those of the needed columns that there are: no other name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c for c in needed if c in docs.columns])
+
+
+def restored(rows: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of ``docs`` again, some replaced."""
+    return rows.select(*[replaced.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
 def digest_int(text: Column) -> Column:
     """The first 52 bits of the MD5 of a string, as a non-negative long.
 

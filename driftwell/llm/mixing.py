@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, digest_int, materialise
+from .common import WORD, carried, digest_int, materialise, restored
 
 SEED = "mix-1"
 WEIGHTS = (3, 1, 2)
@@ -164,15 +164,14 @@ def mix_texts(docs: DataFrame, budget_share: float = 1.5, max_repeat: int = 2, b
     taken = spans.filter(F.col("_times") > 0).groupBy("_key", "_name", "_shard", "_start", "size").agg(
         F.sort_array(F.collect_list(F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.col("_times").alias("times")))).alias("_spans")
     )
-    keyed = docs.withColumn("_key", _text_key())
+    keyed = carried(docs, ["doc_id", "text"]).withColumn("_key", _text_key())
     if keyed.groupBy("_key").count().filter("count > 1").limit(1).count():
-        keyed = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_key").orderBy(*[F.col(c) for c in docs.columns]))).filter("_row = 1").drop("_row")
+        keyed = keyed.withColumn("_first", F.row_number().over(Window.partitionBy("_key").orderBy("_row"))).filter("_first = 1").drop("_first")
     mixed = keyed.join(taken.select("_key", "size", "_spans"), "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(max_repeat))))
     mixed = mixed.withColumn("_spans", F.filter("_spans", lambda s: s["times"] >= F.col("_copy"))).filter(F.size("_spans") > 0)
     words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))
     parts = F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_words"), s["low"] + 1, s["high"] - s["low"])))
     whole = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["high"] - s["low"]) == F.col("size")
     mixed = mixed.withColumn("_words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(parts, " ")))
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed.select(docs.columns)
+    counted = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return restored(mixed, docs, text=F.col("text"), **counted)

@@ -190,7 +190,8 @@ def _labelled_features(docs: DataFrame, labels: DataFrame, labelled: int) -> Dat
     # Most rows are cut off by a bound on the draw before they're sorted.
     bound = int(min(1.0, 1.5 * labelled / max(known.count(), 1) + 1e-9) * (1 << 52))
     picked = known.filter(F.col("_draw") <= bound).orderBy("_draw", "_id").limit(labelled)
-    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(picked), docs["doc_id"] == F.col("_id")).select("_id", "_y", "_draw", *_fields(docs))
+    own = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("_doc"), *_fields(docs))
+    rows = own.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_y", "_draw", *FIELDS)
     rows = rows.groupBy("_id", "_y", "_draw").agg(F.min(F.struct(*FIELDS)).alias("_d")).select("_id", "_y", "_draw", "_d.*")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,9 +205,9 @@ def _labelled_features(docs: DataFrame, labels: DataFrame, labelled: int) -> Dat
 def _summed(docs: DataFrame, sample: DataFrame, model: CoTrained, sure: float) -> DataFrame:
     """(view, label, bucket, n, total) over all documents outside the sample: what the views give each other."""
     held = ship(docs.sparkSession, model.views)
-    rest = docs.filter(F.col("text").isNotNull())
+    rest = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("_doc"), *_fields(docs))
     ids = F.broadcast(sample.select("_id"))  # as many as the sample has rows
-    rest = rest.join(ids, rest["doc_id"] == F.col("_id"), "left_anti").select(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")).alias("_bucket"), *_fields(docs))
+    rest = rest.join(ids, F.col("_doc") == F.col("_id"), "left_anti").select(F.crc32(F.encode(F.coalesce(F.col("_doc").cast("string"), F.lit("")), "UTF-8")).alias("_bucket"), *FIELDS)
 
     def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = Exchange(held(), sure)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
-from .common import if_small, materialise, text_batches
+from .common import carried, if_small, materialise, restored, text_batches
 from .components import connected_components
 
 SHINGLE = 3
@@ -439,7 +439,8 @@ def _classes(marked: DataFrame, distinct: DataFrame, found: DataFrame, key: list
     key = key or ["_f"]
     classes = distinct.join(found.select(F.col("node").alias("_id"), "component"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     classes = materialise(classes.select(*key, "_least", "component"))
-    named = classes.groupBy("component").agg(F.min("_least").alias("component_id"))
+    # Written apart, so that a component with a third of all rows can be split where it meets its name.
+    named = if_small(materialise(classes.groupBy("component").agg(F.min("_least").alias("component_id"))))
     known = classes.join(named, "component").select(*key, "component_id", "component")
     return marked.join(known, key).select("doc_id", _hex(F.col("_f")).alias("fingerprint"), "component_id", "component", *(more or []))
 
@@ -458,11 +459,11 @@ def keep_first(docs: DataFrame, similarity: float | None = None, radius: int = R
     told = materialise(rows.join(kept.select("component", "_first"), "component").select("doc_id", "text_mark", "_rows", (F.col("_first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_first.text_mark") == F.col("text_mark"))).alias("_stays")))
     # Rows that go are told by id and text; most documents meet this one join alone, without a shuffle if those are few.
     gone = told.filter("not _stays or _rows > 1").select(F.col("doc_id").alias("_gone"), F.col("text_mark").alias("_mark"))
-    mark = _text_mark(F.col("text"))
-    same = docs["doc_id"].eqNullSafe(F.col("_gone")) & (mark == F.col("_mark"))
-    out = docs.join(if_small(materialise(gone)), same, "left_anti")
+    whole = carried(docs, ["doc_id", "text"])
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (_text_mark(F.col("text")) == F.col("_mark"))
+    out = restored(whole.join(if_small(materialise(gone)), same, "left_anti"), docs)
     repeated = told.filter("_stays and _rows > 1").select(F.col("doc_id").alias("_gone"), F.col("text_mark").alias("_mark"))
     if not repeated.limit(1).count():
         return out
-    many = docs.join(if_small(materialise(repeated)), same).withColumn("_row", F.row_number().over(Window.partitionBy("_gone", "_mark").orderBy(*[F.col(c) for c in docs.columns])))
-    return out.unionByName(many.filter("_row = 1").select(docs.columns))
+    many = whole.join(if_small(materialise(repeated)), same).withColumn("_first", F.row_number().over(Window.partitionBy("_gone", "_mark").orderBy("_row")))
+    return out.unionByName(restored(many.filter("_first = 1"), docs))

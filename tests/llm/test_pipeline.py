@@ -35,3 +35,28 @@ def test_language_stage_rejects_the_undecided(spark):
 def test_run(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, repeats, long and empty texts, clashing column names; then no rows at all."""
+    words = ["alpha", "beta", "gamma", "delta", "sun", "moon", "river", "stone"]
+    text = lambda i: " ".join(words[(i * 7 + j * (i + 3)) % 8] + str((i * j) % 5 or "") for j in range(40))
+    rows = [(i, text(i), "en" if i % 9 else None, f"s{i % 3}" if i % 5 else None, 99 if i % 4 else None) for i in range(80)]
+    rows += [(None, text(200), "en", "s1", 5), (3, text(3), "en", "s0", 99), (3, text(3), "en", "s0", 99), (90, None, "en", "s1", 0), (91, "", None, None, None), (92, " \n ", "en", "s1", 2), (93, "word salad and more " * 20_000, "en", "s2", 7), (94, text(5), "en", "s2", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, keep int, lang_pred string, _id long, _draw int, component string, _mark int, size int, taken string, _key string, start int"
+    docs = spark.createDataFrame([(*r, "x", 1, "y", 2, 3, "c", 4, 5, "t", "k", 6) for r in rows], names)
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        out.write.parquet(f"{folder}/{n}")
+        kept = spark.read.parquet(f"{folder}/{n}")
+        assert n == 4 or kept.columns == docs.columns, name
+        assert kept.count() > 20, name
+        if n == 0:
+            assert not kept.filter("doc_id in (90, 91, 92)").count()
+        if n == 2:
+            assert kept.filter("doc_id = 3").count() == 1 and not kept.filter("doc_id = 94").count()
+        empty = stage(spark, docs.limit(0), folder)
+        assert empty.count() == 0, name
+        docs = kept

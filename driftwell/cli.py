@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .catalog import Catalog
 from .functions import patchtext
 from .functions.trees import document_nodes
-from .operators import chain, clusters, diffs, evaluation, gaps, history, patches, reports, sampling, scopes
+from .operators import chain, clusters, diffs, evaluation, gaps, generators, history, patches, reports, sampling, scopes
 from .operators.chain import COMMIT
 from .operators.lineage import settle
 from .plans import selfcheck as scenarios
@@ -232,6 +232,49 @@ def capability(cat: Catalog, a: argparse.Namespace) -> Report:
     return [reports.shares(runs, "bucket"), reports.acceptance_by_rule(ruled)]
 
 
+def _program_of(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"program": F.concat_ws(" ", *COMMIT, "path"), "target": F.concat_ws(" ", *COMMIT, "branch", "path")})
+
+
+def reproduce(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Programs on the parents of human back-ports, and how near the patched texts come to what people committed."""
+    read, keys = cat.read, ["program", "target"]
+    cases = settle(_limited(_program_of(evaluation.backport_cases(read("history"), read("commit_info"), read("file_at_ref"))), a, keys))
+    _, _, patched = chain.patch_run(cases.select(*keys, F.col("parent_text").alias("text")), read("edits"), read("ref_resolution").select("action", "ref", "sha"))
+    rows = cases.join(patched.select(*keys, "patched_text"), keys, "left")
+    effect = F.lit(None).cast("boolean").alias("effect")
+    if a.scanner:
+        both = settle(rows.filter("patched_text is not null and human_text is not null"))
+        ours, theirs = (_findings(cat, both.select(*keys, F.col(c).alias("text")), a) for c in ("patched_text", "human_text"))
+        same = evaluation.same_effect(ours, theirs, keys)
+        # Two texts without any findings leave the same ones as well.
+        rows = rows.join(same, keys, "left").join(both.select(*keys, F.lit(True).alias("_both")), keys, "left").withColumn("effect", F.coalesce("effect", "_both")).drop("_both")
+    else:
+        rows = rows.select("*", effect)
+    compared = settle(evaluation.compare_with_human(rows, keys))
+    cat.replace("cases", evaluation.case_files(compared, keys))
+    return [reports.reproduction(compared), reports.shares(compared, "outcome")]
+
+
+def compare_generators(cat: Catalog, a: argparse.Namespace) -> Report:
+    """The patch engine beside the other generators, on the targets of ``backport``."""
+    read, keys = cat.read, ["program", "target"]
+    targets = settle(_limited(chain.gap_targets(read("gaps"), read("clean_fix_meta"), read("file_at_ref"), read("scans")), a, keys))
+    texts = tables.blob_texts(read("blobs"))
+    side = lambda c, name: _meta_files(cat).select(F.concat_ws(" ", *COMMIT, "file_path").alias("program"), F.col(c).alias("file_hash")).join(texts, "file_hash").select("program", F.col("text").alias(name))
+    rows = settle(targets.select(*keys, "target_idents", F.col("text").alias("_text")).join(side("previous_file_hash", "before"), "program").join(side("file_hash", "after"), "program"))
+    made = settle(generators.outputs(rows.select(*keys, "before", "after", F.col("_text").alias("target_text")).withColumnRenamed("target", "target_name").withColumnRenamed("target_text", "target"), ["program", "target_name"], read("patches").select("program", F.col("target").alias("target_name"), "patched_text")))
+    named = made.select("program", F.concat_ws("\t", "target_name", "generator").alias("target"), F.col("target_name").alias("_name"), "generator", "output")
+    old = settle(named.join(rows.select("program", F.col("target").alias("_name"), "_text"), ["program", "_name"]).select(*keys, F.col("_text").alias("text")))
+    new = settle(named.filter("output is not null").select(*keys, F.col("output").alias("text")))
+    programs = named.join(rows.select("program", F.col("target").alias("_name"), "target_idents"), ["program", "_name"]).select(*keys, "target_idents")
+    judged = scopes.global_oracle(programs, _findings(cat, old, a), _findings(cat, new, a), keys)
+    faults = scopes.lint_introduced(_faults(old, a), _faults(new, a), keys).select(*keys).distinct().withColumn("_fault", F.lit(True))
+    met = named.join(judged, keys, "left").join(faults, keys, "left")
+    rated = evaluation.generator_outcome(met.select("generator", "output", F.lit("ok").alias("oracle_status"), F.coalesce("success", F.lit(False)).alias("oracle_ok"), F.col("_fault").isNull().alias("lint_ok")))
+    return reports.generator_counts(rated.select(F.create_map("generator", "outcome").alias("outcomes")))
+
+
 def apply_one(cat: Catalog, a: argparse.Namespace) -> Report:
     """A program's text on one file: the outcomes, and the patched text to --out."""
     text = cat.spark.read.text(a.program, wholetext=True).select(F.lit("p").alias("program"), F.col("value").alias("text"))
@@ -260,7 +303,7 @@ def self_check(cat: Catalog, a: argparse.Namespace) -> Report:
 COMMANDS = {
     "sample": sample, "diffs": make_diffs, "scan": scan, "clean-fixes": clean_fixes, "patterns": patterns, "match": match, "pipeline": pipeline,
     "classify": classify, "refilter": refilter, "find-gaps": find_gaps, "gaps-summary": gaps_summary, "classify-history": classify_history,
-    "history-summary": history_summary, "stream-all": stream_all, "compile": compile_programs, "backport": backport, "capability": capability,
+    "history-summary": history_summary, "stream-all": stream_all, "compile": compile_programs, "backport": backport, "capability": capability, "reproduce": reproduce, "compare-generators": compare_generators,
     "apply": apply_one, "oracle": oracle, "selfcheck": self_check,
 }
 

@@ -27,6 +27,25 @@ def true_backports(history: DataFrame) -> DataFrame:
     return history.filter("refined = 'true_backport' and backport_version is not null")
 
 
+def backport_cases(history: DataFrame, commit_info: DataFrame, file_at_ref: DataFrame) -> DataFrame:
+    """(repository, commit_hash, branch, path, backport_sha, parent_sha, parent_text, human_text) of true back-ports.
+
+    The parent is the back-port's first; a text is missing where the forge has none.
+    """
+    rows = true_backports(history).select("repository", "commit_hash", "branch", "path", F.col("backport_version").alias("backport_sha"))
+    parents = commit_info.select("repository", F.col("commit_sha").alias("backport_sha"), "parent_sha").dropDuplicates(["repository", "backport_sha"])
+    there = file_at_ref.filter("content is not null").select("repository", F.col("ref"), "path", F.decode("content", "UTF-8").alias("_text"))
+    text = lambda ref, name: there.select("repository", F.col("ref").alias(ref), "path", F.col("_text").alias(name))
+    met = rows.join(parents, ["repository", "backport_sha"], "left")
+    return met.join(text("parent_sha", "parent_text"), ["repository", "parent_sha", "path"], "left").join(text("backport_sha", "human_text"), ["repository", "backport_sha", "path"], "left")
+
+
+def case_files(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name, text) of the comparison's cases: the parent's, the human's and the patched text, and the outcome."""
+    files = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("text")) for n, c in (("parent.yml", "parent_text"), ("human.yml", "human_text"), ("patched.yml", "patched_text"), ("outcome", "outcome"))])
+    return rows.select(*keys, F.explode(F.filter(files, lambda f: f["text"].isNotNull())).alias("_f")).select(*keys, "_f.*")
+
+
 def tree_text(rows: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
     """(keys, name): a canonical text of a document's tree: equal for equal trees, whatever the layout; null if unread."""
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)

@@ -55,6 +55,24 @@ def copy_paste(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "before", "after", "target").mapInPandas(run, f"{schema}, patched_text string, status string")
 
 
+def outputs(rows: DataFrame, keys: list[str], patched: DataFrame | None = None) -> DataFrame:
+    """(keys, generator, output): what each generator makes of rows (keys, before, after, target), null if nothing.
+
+    ``patched``: (keys, patched_text) of the patch engine, run once and taken over as it is.
+    """
+    from ..functions.trees import document_nodes
+    from .lineage import settle
+    from .patches import patched_texts
+
+    nodes = lambda c: settle(document_nodes(rows, keys, text=c))
+    sites = settle(bump_sites(version_bumps(nodes("before"), nodes("after"), keys), nodes("target"), rows.select(*keys), keys, keys))
+    bumped = patched_texts(rows.select(*keys, F.col("target").alias("text")), sites, keys, keys)
+    asked = rows.select(*keys)
+    of = lambda name, texts: asked.join(texts.select(*keys, F.col("patched_text").alias("output")), keys, "left").select(*keys, F.lit(name).alias("generator"), "output")
+    out = of("hunk", copy_paste(rows, keys)).unionAll(of("bump", bumped))
+    return out if patched is None else out.unionAll(of("patch", patched))
+
+
 def version_bumps(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, action, new_ref) of actions whose reference changed, from nodes of both versions; the last place wins."""
     uses = lambda n, c: n.filter((F.try_element_at("segments", F.lit(-1)) == "uses") & (F.col("kind") == "str")).select(*keys, F.array_join("segments", "\x1f").alias("path"), "ordinal", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias(c))

@@ -92,6 +92,12 @@ def outcome_bucket(status: Column, oracle_ok: Column, lint_ok: Column, landed: C
     )
 
 
+def oracle_counters(runs: DataFrame) -> DataFrame:
+    """One row: targets, those patched, those each oracle passes, accepted ones, and those left to review."""
+    n = F.count_if
+    return runs.agg(F.count("*").alias("n"), n(F.col("status") == "patched").alias("n_patched"), n("success").alias("n_local_ok"), n((F.col("status") == "patched") & (F.col("n_lint") == 0)).alias("n_lint_ok"), n("accepted").alias("n_accepted"), n(F.col("n_needs_review") > 0).alias("n_review"))
+
+
 def acceptance_by_rule(rows: DataFrame, idents: str = "target_idents", bucket: str = "bucket") -> DataFrame:
     ruled = rows.select(F.explode(idents).alias("ident"), bucket)
     return ruled.groupBy("ident").agg(F.count("*").alias("n"), F.count_if(F.col(bucket) == "accepted").alias("n_accepted")).withColumn("acceptance", F.round(F.col("n_accepted") / F.col("n"), 6))

@@ -13,6 +13,12 @@ def valid_modifications(index: DataFrame) -> DataFrame:
     return kept.select("repository", "commit_hash", "committed_date", "file_path", "file_hash", "previous_file_hash")
 
 
+def commits_to_do(index: DataFrame, done: DataFrame) -> DataFrame:
+    """The index's commits that a log doesn't have, with their files: one read of the index, filtered before it moves."""
+    fresh = valid_modifications(index).join(done.select("repository", "commit_hash").distinct(), ["repository", "commit_hash"], "left_anti")
+    return roll_up(fresh, ["repository", "commit_hash"], "committed_date", [F.col(c) for c in ("file_path", "file_hash", "previous_file_hash")])
+
+
 def roll_up(rows: DataFrame, keys: list[str], first: str, items: list[Column], name: str = "files") -> DataFrame:
     """One row a key: the smallest ``first`` and the sorted list of ``items`` as structs."""
     return rows.groupBy(*keys).agg(F.min(first).alias(first), F.sort_array(F.collect_list(F.struct(*items))).alias(name))

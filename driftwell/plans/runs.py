@@ -290,11 +290,7 @@ def patch_all_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("program", "target", "status").join(patched, ["program", "target"], "left").select("program", "status", "patched_text")
 
 
-@query(f"""
-WITH {SUPPLIERS.strip()}
-SELECT s::VARCHAR AS program, bucket, bucket = 'accepted' AS accepted FROM (
-  SELECT s, CASE WHEN k % 6 > 1 THEN 'fetch_or_compile_error' WHEN k % 6 = 1 AND m % 3 = 1 THEN 'needs_review_only' WHEN k % 7 = 3 THEN 'failed_actionlint' ELSE 'accepted' END AS bucket FROM d)""")
-def patch_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both oracles on every patched text; the linter objects to one in seven."""
     docs, runs, outcomes, patched = _patched(spark, sf_dir)
     keys = ["program", "target"]
@@ -306,8 +302,15 @@ def patch_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return texts.select(*keys, F.sha2("text", 256).alias("file_hash")).join(found, "file_hash").select(*keys, "_f.ident", "_f.route")
 
     lint = docs.filter("k % 7 = 3").select(*keys, F.lit("syntax").alias("kind"), F.lit("odd").alias("message"))
-    judged = chain.judge_run(runs, outcomes, known, findings(docs.select(*keys, "text")), findings(patched.select(*keys, F.col("patched_text").alias("text"))), lint)
-    return judged.select("program", "bucket", "accepted")
+    return chain.judge_run(runs, outcomes, known, findings(docs.select(*keys, "text")), findings(patched.select(*keys, F.col("patched_text").alias("text"))), lint)
+
+
+@query(f"""
+WITH {SUPPLIERS.strip()}
+SELECT s::VARCHAR AS program, bucket, bucket = 'accepted' AS accepted FROM (
+  SELECT s, CASE WHEN k % 6 > 1 THEN 'fetch_or_compile_error' WHEN k % 6 = 1 AND m % 3 = 1 THEN 'needs_review_only' WHEN k % 7 = 3 THEN 'failed_actionlint' ELSE 'accepted' END AS bucket FROM d)""")
+def patch_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("program", "bucket", "accepted")
 
 
 @query(f"WITH {SUPPLIERS.strip()} SELECT s::VARCHAR AS program, replace(target, 'fetch@v' || (m % 3), 'fetch@' || repeat('1', 40)) AS patched_text FROM d WHERE k % 6 = 1")
@@ -320,6 +323,52 @@ def version_bump_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patches.patched_texts(docs, settle(sites), ["program"], ["program"])
 
 
+@query(f"""
+WITH {SUPPLIERS.strip()}
+SELECT s::VARCHAR AS program, generator, CASE
+  WHEN generator = 'bump' THEN CASE WHEN k % 6 = 1 THEN replace(target, 'fetch@v' || (m % 3), 'fetch@' || repeat('1', 40)) END
+  WHEN k % 6 = 0 THEN replace(target, 'write-all', 'read-all') WHEN k % 6 = 4 AND k <> 40 THEN target || CASE WHEN floor(k / 6) % 2 = 1 THEN 'debug: true' ELSE 'name: x' END || chr(10) ELSE target END AS output
+FROM d, (SELECT unnest(['hunk', 'bump']) AS generator)""")
+def generator_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the other generators make of every target; a hunk that isn't found leaves the target as it is."""
+    docs = settle(_programs(spark, sf_dir))
+    return generators.outputs(docs.select("program", "before", "after", F.col("text").alias("target")), ["program"])
+
+
+@query(f"""
+WITH {SUPPLIERS.strip()}
+SELECT count(*) AS n, count(*) FILTER (k % 6 < 2) AS n_patched, count(*) FILTER (k % 6 = 0 OR k % 6 = 1 AND m % 3 <> 1) AS n_local_ok, count(*) FILTER (k % 6 < 2 AND k % 7 <> 3) AS n_lint_ok,
+       count(*) FILTER ((k % 6 = 0 OR k % 6 = 1 AND m % 3 <> 1) AND k % 7 <> 3) AS n_accepted, count(*) FILTER (k % 6 = 1 AND m % 3 = 1) AS n_review FROM d""")
+def oracle_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.oracle_counters(_judged(spark, sf_dir))
+
+
+@query(CTE + f", {world.AUDITS.strip()}" + f"""
+SELECT o, 's1' AS backport_sha, 's2' AS parent_sha, (SELECT {world.BEFORE} FROM (SELECT 0 AS k)) AS parent_text, (SELECT {world.AFTER} FROM (SELECT 2 AS k)) AS human_text FROM hr WHERE refined = 'true_backport'""")
+def backport_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True back-ports with their first parents and both texts."""
+    forge = world.forge(spark, sf_dir)
+    found = evaluation.backport_cases(_histories(spark, sf_dir), forge["commit_info"], forge["file_at_ref"])
+    return found.select(_number().alias("o"), "backport_sha", "parent_sha", "parent_text", "human_text")
+
+
+@query(CTE + """
+SELECT o, count(*) AS n_files FROM f WHERE o % 4 <> 0 GROUP BY o""")
+def commits_to_do(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index without the commits that a log has."""
+    rows = world.index(spark, sf_dir)
+    left = sampling.commits_to_do(rows, rows.filter(_number() % 4 == 0))
+    return left.select(_number().alias("o"), F.size("files").cast("long").alias("n_files"))
+
+
+@query(CTE + LINES + "SELECT DISTINCT fixes, template_hash FROM ct")
+def pattern_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog written as JSON lines and read back by set."""
+    folder = f"{shared_folder(spark)}/patterns-{uuid.uuid4().hex}"
+    files_of.write_jsonl(chain.pattern_catalog(_templates(spark, sf_dir)), folder)
+    return files_of.read_patterns(spark, folder)
+
+
 @query("""
 WITH s AS (SELECT s_suppkey AS s, s_suppkey % 7 AS v FROM supplier)
 SELECT s::VARCHAR AS program, CASE v WHEN 0 THEN 'missing_backport_sha' WHEN 1 THEN 'no_parent_commit' WHEN 2 THEN 'file_absent_at_parent_or_backport' WHEN 3 THEN 'no_program'

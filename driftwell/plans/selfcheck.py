@@ -11,7 +11,7 @@ from ..operators.scopes import enclosing
 
 #: Scenarios: (name, before, after, target, words that the patched text must have, words that it must not have).
 SCENARIOS = (
-    ("pin", "jobs:\n  a:\n    steps:\n      - uses: x/y@v1\n", f"jobs:\n  a:\n    steps:\n      - uses: x/y@{'1' * 40}\n", "jobs:\n  z: # kept\n    steps:\n      - run: first\n      - uses: x/y@v2\n", (f"x/y@{'2' * 40} # v2", "# kept"), ("v2\n",)),
+    ("pin", "jobs:\n  a:\n    steps:\n      - uses: x/y@v1\n", f"jobs:\n  a:\n    steps:\n      - uses: x/y@{'1' * 40}\n", "jobs:\n  z: # kept\n    steps:\n      - run: first\n      - uses: x/y@v2\n", (f"x/y@{'2' * 40} # v2", "# kept"), ("x/y@v2",)),
     ("permission", "permissions: write-all\non: push\n", "permissions: read-all\non: push\n", "# top\non: push\npermissions: write-all\n", ("# top", "permissions: read-all"), ("write-all",)),
     ("missing key", "jobs:\n  a:\n    steps:\n      - uses: x/y@v1\n", "jobs:\n  a:\n    timeout-minutes: 5\n    steps:\n      - uses: x/y@v1\n", "jobs:\n  b:\n    runs-on: big\n    steps:\n      - uses: x/y@v1\n", ("timeout-minutes: 5", "runs-on: big"), ()),
     ("removal", "jobs:\n  a:\n    secrets: inherit\n    uses: o/w@v1\n", "jobs:\n  a:\n    uses: o/w@v1\n", "jobs:\n  c:\n    secrets: inherit\n    uses: o/w@v1 # kept\n", ("uses: o/w@v1 # kept",), ("inherit",)),

@@ -140,7 +140,9 @@ def forge(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "commit_on_branch": orders.select(name, F.lit("main").alias("branch"), commit.alias("commit_hash"), (F.col("o_orderkey") % 7 != 0).alias("reachable")),
         "file_at_ref": refs.join(texts, "blob_sha", "left").select("repository", "ref", "path", "content", "blob_sha", "missing"),
         "file_history": walk.select(name, F.lit("v2").alias("branch"), F.lit("f.yml").alias("path"), "seq", F.concat(F.lit("s"), "seq").alias("commit_sha"), F.col("at").alias("committed_at")),
-        "commit_info": orders.select(name, commit.alias("commit_sha"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("committed_at"), F.lit("p").alias("parent_sha")),
+        "commit_info": orders.select(name, commit.alias("commit_sha"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("committed_at"), F.lit("p").alias("parent_sha")).unionAll(
+            walk.select(name, F.concat(F.lit("s"), "seq"), F.col("at"), F.concat(F.lit("s"), F.col("seq") + 1))
+        ),
     }
 
 

@@ -24,6 +24,7 @@ SCHEMAS = {
     "patches": "program string, target string, patched_text string, text_changed boolean",
     "edit_outcomes": "program string, target string, ordinal int, op string, status string, sites bigint, reason string, site_paths array<string>",
     "patch_runs": "program string, target string, status string, n_edits bigint, n_applied bigint, n_created bigint, n_noop bigint, n_inapplicable bigint, n_needs_review bigint, changed boolean, needs_review boolean, fully_applied boolean, text_changed boolean, n_scopes bigint, n_failed bigint, n_introduced bigint, success boolean, n_lint bigint, accepted boolean, bucket string",
+    "cases": "program string, target string, name string, text string",
     "export": "dir string, name string, text string",
     "repos": "repository string, default_branch string",
     "branches": "repository string, branch string, head_sha string",

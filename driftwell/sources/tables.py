@@ -20,6 +20,13 @@ def read_jsonl(spark: SparkSession, path: str, name: str, strict: bool = False)
     return rows if strict else rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
+def read_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """(fixes, template_hash) of a pattern catalog in JSON lines, the set as a key; a broken line fails the job."""
+    from ..operators.chain import catalog_keys
+
+    return catalog_keys(read_jsonl(spark, path, "patterns", strict=True))
+
+
 def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).json(path)
 

@@ -93,7 +93,7 @@ def test_commands_from_index_to_reports(spark, tmp_path):
     at = [("o/r", "v1", "f.yml", texts["h"].encode(), "h", False), ("o/r", "release/2", "f.yml", texts["n3"].encode(), "n3", False), ("o/r", "s0", "f.yml", texts["n3"].encode(), "n3", False), ("o/r", "s1", "f.yml", texts["h"].encode(), "h", False)]
     cat.replace("file_at_ref", frame(at, "file_at_ref"))
     cat.replace("file_history", frame([("o/r", "release/2", "f.yml", 0, "s0", "2024-03-01T00:00:00Z"), ("o/r", "release/2", "f.yml", 1, "s1", "2023-01-01T00:00:00Z")], "file_history"))
-    cat.replace("commit_info", frame([("o/r", "c1", "2024-01-01T00:00:00Z", "p"), ("o/r", "c3", "2024-02-29T12:00:00Z", "p")], "commit_info"))
+    cat.replace("commit_info", frame([("o/r", "c1", "2024-01-01T00:00:00Z", "p"), ("o/r", "c3", "2024-02-29T12:00:00Z", "p"), ("o/r", "s0", "2024-03-01T00:00:00Z", "s1")], "commit_info"))
     cat.replace("ref_resolution", frame([("x/y", "v2", "2" * 40)], "ref_resolution"))
     scan = ["--scanner", f"{sys.executable} {tmp_path / 'scan.py'}"]
     run = lambda *a: cli.main([*a, "--root", str(tmp_path / "root")], spark)
@@ -121,6 +121,10 @@ def test_commands_from_index_to_reports(spark, tmp_path):
     texts_of = {r.program.split()[1]: r.patched_text for r in cat.read("patches").collect()}
     assert texts_of["c1"] == "# kept\npermissions: read-all # wide\n" + step("v2", "z") and f"x/y@{'2' * 40} # v2" in texts_of["c3"]
     assert "| patched | 1 | 1.0 |" in run("backport", "--limit", "1")
+    got = run("compare-generators", *scan)
+    assert "| patch | accepted | 2 |" in got and "| hunk | accepted | 1 |" in got and "| bump | no_output | 1 |" in got
+    got = run("reproduce", *scan)
+    assert "| n | n_reproduced |" in got and cat.read("cases").filter("name = 'outcome'").count() == 1
     (tmp_path / "p.wsp").write_text(program["c1"])
     (tmp_path / "t.yml").write_text(texts["h"])
     assert "| patched | 1 | 1 | 0 |" in run("apply", "--program", str(tmp_path / "p.wsp"), "--target", str(tmp_path / "t.yml"), "--out", str(tmp_path / "done"))

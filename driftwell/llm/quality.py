@@ -4,7 +4,8 @@
    sees language, source and the stated length, and nothing that is read off the text.
 2. A logistic regression is fitted for each view on labelled rows. In each of ROUNDS rounds every document outside
    the labelled sample is scored by both views. Those that a view is surest of (SURE and beyond) get its pseudo-label,
-   and the other view learns from them. They are taken in as the means of their features in BUCKETS buckets for each
+   and the other view learns from them, unless on the rows kept out a view's sure answers of that label are hardly
+   more often right than any answer of it would be (``gives``). They are taken in as the means of their features in BUCKETS buckets for each
    label (sums over all documents, made in each task first), which together weigh at most as much as the labelled
    rows of that label. So the whole table takes part, while a fit reads a bounded number of rows.
 3. A quarter of the labelled rows is kept out of all fits. On one half of it each view's scores are calibrated
@@ -103,8 +104,9 @@ def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 class Exchange:
     """Sums of the features that the views give each other, by (taking view, label, bucket): (rows, sum)."""
 
-    def __init__(self, views: list[np.ndarray], sure: float = SURE, buckets: int = BUCKETS) -> None:
+    def __init__(self, views: list[np.ndarray], gives: list[list[bool]] | None = None, sure: float = SURE, buckets: int = BUCKETS) -> None:
         self.views, self.sure, self.buckets = views, sure, buckets
+        self.gives = gives or [[True, True], [True, True]]
         self.sums: dict[tuple[int, int, int], tuple[int, np.ndarray]] = {}
 
     def add(self, x: list[np.ndarray], bucket: np.ndarray) -> None:
@@ -112,7 +114,7 @@ class Exchange:
         for v in (0, 1):
             p = sigmoid(margin(x[v], self.views[v]))
             for label, certainty in ((1, p), (0, 1 - p)):
-                for b in range(self.buckets):
+                for b in range(self.buckets if self.gives[v][label] else 0):
                     some = (certainty >= self.sure) & (bucket % self.buckets == b)
                     if some.any():
                         key = (1 - v, label, b)
@@ -128,6 +130,7 @@ class CoTrained:
         self.scales: list[np.ndarray] = []
         self.joint = np.zeros(3)
         self.exchanged = [0, 0]
+        self.gives = [[False, False], [False, False]]
 
     def learn(self, labelled: list[np.ndarray], y: np.ndarray, given: dict[tuple[int, int, int], tuple[int, np.ndarray]] | None = None) -> CoTrained:
         """Fit to labelled rows (a matrix of each view's features; y is 0 or 1) and to what an Exchange has summed.
@@ -152,7 +155,12 @@ class CoTrained:
             start = self.views[v] if self.views else None
             views.append(logistic(np.vstack(x), np.concatenate(label), np.concatenate(weight), start, steps=250 if start is None else 100))
         self.exchanged = [sum(n for (view, _, _), (n, _) in given.items() if view == v) for v in (0, 1)]
-        self.views = views
+        self.views, told = views, y[held]
+        for v in (0, 1):
+            p = sigmoid(margin(labelled[v][held], views[v]))
+            for label, certainty in ((0, 1 - p), (1, p)):
+                share, sure = (told == label).mean(), told[certainty >= SURE] == label
+                self.gives[v][label] = bool(len(sure) and sure.mean() >= (1 + share) / 2)
         one, other = (turn == 3, turn == 7) if all((y[turn == t] == c).any() for t in (3, 7) for c in (0, 1)) else (held, held)
         raw = [margin(m, w)[:, None] for m, w in zip(labelled, views, strict=True)]
         self.scales = [logistic(r[one], y[one], steps=400) for r in raw]
@@ -204,13 +212,13 @@ def _labelled_features(docs: DataFrame, labels: DataFrame, labelled: int) -> Dat
 
 def _summed(docs: DataFrame, sample: DataFrame, model: CoTrained, sure: float) -> DataFrame:
     """(view, label, bucket, n, total) over all documents outside the sample: what the views give each other."""
-    held = ship(docs.sparkSession, model.views)
+    held = ship(docs.sparkSession, (model.views, model.gives))
     rest = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("_doc"), *_fields(docs))
     ids = F.broadcast(sample.select("_id"))  # as many as the sample has rows
     rest = rest.join(ids, F.col("_doc") == F.col("_id"), "left_anti").select(F.crc32(F.encode(F.coalesce(F.col("_doc").cast("string"), F.lit("")), "UTF-8")).alias("_bucket"), *FIELDS)
 
     def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = Exchange(held(), sure)
+        sums = Exchange(*held(), sure)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.iloc[at : at + 512]
@@ -242,7 +250,7 @@ def _fitted(sample: DataFrame, given: DataFrame | None, model: CoTrained) -> CoT
             del rows
             x = [np.frombuffer(b"".join(told.pop(c)), np.float32).reshape(len(told), -1) for c in ("text", "meta")]
             model.learn(x, told["_y"].to_numpy(), means)
-        yield pd.DataFrame({"model": [cloudpickle.dumps((model.views, model.scales, model.joint, model.exchanged))]})
+        yield pd.DataFrame({"model": [cloudpickle.dumps((model.views, model.scales, model.joint, model.exchanged, model.gives))]})
 
     rows = sample.select("_id", "_y", "_draw", "text", "meta", *[F.lit(None).cast("long").alias(c) for c in ("view", "bucket", "n")])
     if given is not None:
@@ -250,7 +258,7 @@ def _fitted(sample: DataFrame, given: DataFrame | None, model: CoTrained) -> CoT
         rows = rows.unionAll(given.select(no, -1 - F.col("label"), no, "total", no, "view", "bucket", "n"))
     found = rows.repartition(1).mapInPandas(train, "model binary").collect()
     if found:
-        model.views, model.scales, model.joint, model.exchanged = pickle.loads(found[0][0])
+        model.views, model.scales, model.joint, model.exchanged, model.gives = pickle.loads(found[0][0])
     return model
 
 

@@ -68,7 +68,7 @@ def digest_int(text: Column) -> Column:
 
 
 #: Rows of a few longs that a broadcast may have; beyond, sides are joined by a shuffle.
-BROADCAST_ROWS = 250_000
+BROADCAST_ROWS = 100_000
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

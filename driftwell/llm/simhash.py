@@ -456,7 +456,8 @@ def keep_first(docs: DataFrame, similarity: float | None = None, radius: int = R
     rows = materialise(classes.groupBy("component", "doc_id", "text_mark").agg(F.count("*").alias("_rows")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_mark"))
     kept = rows.groupBy("component").agg(first.alias("_first"), F.sum("_rows").alias("_all")).filter("_all > 1")
-    told = materialise(rows.join(kept.select("component", "_first"), "component").select("doc_id", "text_mark", "_rows", (F.col("_first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_first.text_mark") == F.col("text_mark"))).alias("_stays")))
+    kept = if_small(materialise(kept.select("component", "_first")))  # apart, so that a large component can be split
+    told = materialise(rows.join(kept, "component").select("doc_id", "text_mark", "_rows", (F.col("_first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_first.text_mark") == F.col("text_mark"))).alias("_stays")))
     # Rows that go are told by id and text; most documents meet this one join alone, without a shuffle if those are few.
     gone = told.filter("not _stays or _rows > 1").select(F.col("doc_id").alias("_gone"), F.col("text_mark").alias("_mark"))
     whole = carried(docs, ["doc_id", "text"])

@@ -1,7 +1,7 @@
 """Documents as rows: YAML parsed row by row, and written back. The rest of the patch work is relational.
 
-Two dialects: ``1.1``, where ``on`` and ``yes`` are booleans, as the miner reads documents, and ``1.2``, where only
-``true`` and ``false`` are, as patches do.
+Two dialects: ``1.1``, where ``on`` and ``yes`` are booleans, as the miner reads documents, and ``1.2`` (its core schema,
+see ``syntax``), as patches do.
 
 A node has its segments (mapping keys as they are; list elements as ``[identity~n]``, n counting equal identities
 before it), its route (list positions in brackets), its kind and its value as JSON. Elements of ``steps`` are
@@ -22,25 +22,19 @@ import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, functions as F
 
-NODE = "ordinal int, segments array<string>, route string, kind string, value string, eq string"
+from . import syntax
 
+NODE = "ordinal int, segments array<string>, path array<string>, route string, kind string, value string, eq string"
 
-def loader(dialect: str) -> type:
-    """PyYAML's safe loader; for 1.2 a subclass in which only true and false are booleans."""
-    if dialect == "1.1":
-        return yaml.SafeLoader
 
-    class Loader(yaml.SafeLoader):
-        yaml_implicit_resolvers = {c: [r for r in rs if r[0] != "tag:yaml.org,2002:bool"] for c, rs in yaml.SafeLoader.yaml_implicit_resolvers.items()}
-
-    Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile("^(true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
-    return Loader
-
-
-def parse(text: str | None, dialect: str = "1.2") -> Any:
+def parse(text: str | None, dialect: str = "1.2", document: int | None = None) -> Any:
+    """The value of a document, None if it can't be read; of a stream of several only where one is asked for."""
     try:
-        return yaml.load(text or "", Loader=loader(dialect))
-    except (yaml.YAMLError, ValueError, RecursionError):
+        if dialect == "1.1":
+            return yaml.load(text or "", Loader=yaml.SafeLoader)
+        found = syntax.load(text)
+        return found[document or 0] if document is not None or len(found) == 1 else None
+    except (yaml.YAMLError, ValueError, RecursionError, KeyError, IndexError):
         return None
 
 
@@ -65,36 +59,36 @@ def equality_key(value: Any) -> str:
     return f"n{float(value)!r}" if isinstance(value, (bool, int, float)) else f"{kind_of(value)} {value}"
 
 
-def walk(tree: Any) -> Iterator[tuple[list[str], str, Any]]:
-    """(segments, route, value) of every node, parents first."""
-    todo: list[tuple[list[str], str, Any]] = [([], "", tree)]
+def walk(tree: Any) -> Iterator[tuple[list[str], list[str], str, Any]]:
+    """(segments, path, route, value) of every node, parents first; a path names list elements by place."""
+    todo: list[tuple[list[str], list[str], str, Any]] = [([], [], "", tree)]
     while todo:
-        segments, route, value = todo.pop()
-        yield segments, route, value
+        segments, path, route, value = todo.pop()
+        yield segments, path, route, value
         below = []
         if isinstance(value, dict):
-            below = [([*segments, str(k)], f"{route}.{k}" if route else str(k), v) for k, v in value.items()]
+            below = [([*segments, str(k)], [*path, str(k)], f"{route}.{k}" if route else str(k), v) for k, v in value.items()]
         elif isinstance(value, list):
             seen: Counter = Counter()
             for i, v in enumerate(value):
                 name = identity(v, i, bool(segments) and segments[-1] == "steps")
-                below.append(([*segments, f"[{name}~{seen[name]}]"], f"{route}[{i}]", v))
+                below.append(([*segments, f"[{name}~{seen[name]}]"], [*path, f"[{i}]"], f"{route}[{i}]", v))
                 seen[name] += 1
         todo += reversed(below)
 
 
-def document_nodes(docs: DataFrame, keys: list[str], text: str = "text", dialect: str = "1.2") -> DataFrame:
-    """(keys, NODE) of every document, its root first (ordinal 0)."""
+def document_nodes(docs: DataFrame, keys: list[str], text: str = "text", dialect: str = "1.2", document: int | None = None) -> DataFrame:
+    """(keys, NODE) of every document, its root first (ordinal 0); of streams of several documents that asked for."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for *key, body in batch[[*keys, "_text"]].itertuples(index=False, name=None):
-                tree = parse(body, dialect)
+                tree = parse(body, dialect, document)
                 if tree is not None:
-                    for n, (segments, route, value) in enumerate(walk(tree)):
-                        rows.append((*key, n, segments, route, kind_of(value), json.dumps(value, default=str, ensure_ascii=False), None if isinstance(value, (dict, list)) else equality_key(value)))
+                    for n, (segments, path, route, value) in enumerate(walk(tree)):
+                        rows.append((*key, n, segments, path, route, kind_of(value), json.dumps(value, default=str, ensure_ascii=False), None if isinstance(value, (dict, list)) else equality_key(value)))
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=[*keys, *[c.split()[0] for c in NODE.split(", ")]])
                     rows = []
@@ -103,109 +97,136 @@ def document_nodes(docs: DataFrame, keys: list[str], text: str = "text", dialect
     return docs.select(*keys, F.col(text).cast("string").alias("_text")).mapInPandas(nodes, f"{schema}, {NODE}")
 
 
-def _place(tree: Any, route: str, make: bool) -> Any:
-    """The node at a route; missing mapping keys at its end are made if asked for, else None."""
-    for key, position in re.findall(r"(?:^|\.)([^.\[]+)|\[(\d+)\]", route):
-        if position:
-            if not isinstance(tree, list) or int(position) >= len(tree):
+def _place(tree: Any, path: list[str], make: bool) -> Any:
+    """The node at a path; missing mapping keys at its end are made if asked for, else None."""
+    for segment in path:
+        if isinstance(tree, list):
+            at = int(segment[1:-1]) if re.fullmatch(r"\[\d+\]", segment) else len(tree)
+            if at >= len(tree):
                 return None
-            tree = tree[int(position)]
+            tree = tree[at]
             continue
         if not isinstance(tree, dict):
             return None
-        if key not in tree:
+        there, key = _key(tree, segment)
+        base = tree if there else _base(tree, segment)
+        if base is None:
             if not make:
                 return None
-            tree[key] = {}
-        tree = tree[key]
+            base = tree
+            base[key] = {}
+        tree = base[_key(base, segment)[1]]
     return tree
 
 
-def _last(node: yaml.Node) -> int:
-    """Where a node's last leaf ends; the end of a block itself lies after the comments that follow it."""
-    if node.value and isinstance(node, yaml.CollectionNode) and not node.flow_style:
-        below = node.value[-1]
-        return _last(below[1] if isinstance(below, tuple) else below)
-    return node.end_mark.index
-
+def _key(tree: dict, name: str) -> tuple[bool, Any]:
+    """Whether a mapping has a key of a name, and the key: keys that are no strings are named by their text."""
+    if name in tree:
+        return True, name
+    found = [k for k in tree if not isinstance(k, str) and str(k) == name]
+    return (True, found[0]) if found else (False, name)
+
+
+def _base(tree: dict, name: str) -> dict | None:
+    """The mapping that gives a key by a merge."""
+    given = tree.get("<<")
+    for base in given if isinstance(given, list) else [given]:
+        if isinstance(base, dict):
+            found = base if _key(base, name)[0] else _base(base, name)
+            if found is not None:
+                return found
+    return None
+
+
+def _canon(value: Any) -> Any:
+    """Equal only for values alike in type, too."""
+    if isinstance(value, dict):
+        return ("map", frozenset((repr(k), _canon(v)) for k, v in value.items()))
+    return ("list", tuple(map(_canon, value))) if isinstance(value, list) else (type(value).__name__, repr(value))
+
+
+def _splices(text: str, path: list[str], op: str, key: str, value: Any, note: str | None, want: list[Any], document: int) -> list[syntax.Splice] | None:
+    """What to replace in the text for an operation; None where its form isn't known."""
+    root = syntax.read(text)[document]
+    at = len(path)
+    while op == "set" and at and syntax.locate(root, path[:at]) is None:
+        at -= 1  # the containers in between are made as well
+    for name in [*reversed(path[at:])]:
+        value, key = {key: value}, name
+    node = syntax.locate(root, path[:at])
+    if node is None or root is None or node.kind != "map":
+        return None
+    if op == "set":
+        out = syntax.set_entry(text, node, key, value, note)
+    else:
+        above = next((k for n in root.below() for k, v in n.entries if v is node), None)
+        out = syntax.remove_entry(text, node, key, syntax._colon(text, above) if above is not None and not node.flow else None)
+        if out is not None and syntax.merged(node, key):
+            place = _place(want[document], path, False)
+            more = syntax.written_out(text, node, place, [str(k) for k in place])
+            out = None if more is None else [*out, *more]
+    if not out:
+        return out
+    trees = {}
+    for anchor in (n for n in root.below() if n.anchor):
+        trees[id(anchor)] = yaml.load(text[anchor.start : anchor.end], Loader=syntax.Core) if anchor.flow or anchor.kind == "scalar" else None
+    gone = [(a, b) for a, b, _ in out if b > a]
+    for anchor in (n for n in root.below() if n.anchor and trees[id(n)] is None and n.kind != "scalar"):
+        path_of = _path_to(root, anchor)
+        trees[id(anchor)] = _place(syntax.load(text)[document], path_of, False) if path_of is not None else None
+    return [*out, *syntax.anchors_kept(text, root, gone, trees)]
+
+
+def _path_to(root: syntax.Node, wanted: syntax.Node) -> list[str] | None:
+    todo: list[tuple[syntax.Node, list[str]]] = [(root, [])]
+    while todo:
+        node, path = todo.pop()
+        if node is wanted:
+            return path
+        todo += [(v, [*path, syntax.key_text(k) or ""]) for k, v in node.entries] + [(v, [*path, f"[{i}]"]) for i, v in enumerate(node.items)]
+    return None
 
-def _entry(value: Any, column: int, note: str = "", comment: str = "") -> str:
-    """What stands after a key and its colon: a value on the line, or a block below it, indented by two more."""
-    if isinstance(value, (dict, list)) and value:
-        block = yaml.safe_dump(value, sort_keys=False, allow_unicode=True, width=10**9)
-        return comment + "".join(f"\n{' ' * (column + 2)}{line}" for line in block.splitlines())
-    style = '"' if isinstance(value, str) and "\n" in value else None
-    plain = yaml.safe_dump(value, default_flow_style=True, default_style=style, width=10**9, allow_unicode=True).removesuffix("\n").removesuffix("\n...")
-    return f" {plain}{f' # {note}' if note else comment}"
 
+def rewrite(text: str, operations: list[tuple[list[str], str, str, str | None, str | None]], document: int | None = None) -> str:
+    """The text with operations (path, op set or remove, key, value as JSON, note) done one after the other.
 
-def _line_edit(text: str, route: str, op: str, key: str, value: Any, note: str | None) -> str | None:
-    """The text with one entry of a mapping set or removed, all else as it is; None where that isn't plain to do."""
-    node, steps = yaml.compose(text, Loader=loader("1.2")), re.findall(r"(?:^|\.)([^.\[]+)|\[(\d+)\]", route)
-    for at, (k, position) in enumerate(steps):
-        if position and isinstance(node, yaml.SequenceNode) and int(position) < len(node.value):
-            node = node.value[int(position)]
-            continue
-        if not k or not isinstance(node, yaml.MappingNode):
-            return None
-        below = next((v for n, v in node.value if n.value == k), None)
-        if below is None:  # the containers in between are made as well
-            if op != "set" or any(p for _, p in steps[at:]):
-                return None
-            for name in [key, *[n for n, _ in reversed(steps[at + 1 :])]]:
-                value = {name: value}
-            key = k
-            break
-        node = below
-    if not isinstance(node, yaml.MappingNode) or not node.value:
-        return None
-    there = next((i for i, (n, _) in enumerate(node.value) if n.value == key), None)
-    line_of = lambda index: len(text) if (end := text.find("\n", index)) < 0 else end
-    if node.flow_style or op == "remove" and there is not None and len(node.value) == 1:
-        own = parse(text[node.start_mark.index : _last(node)]) if node.flow_style else {}
-        if not isinstance(own, dict):
-            return None
-        own = own | {key: value} if op == "set" else {k: v for k, v in own.items() if k != key}
-        flow = yaml.safe_dump(own, default_flow_style=True, sort_keys=False, width=10**9, allow_unicode=True).strip()
-        return text[: node.start_mark.index] + flow + text[_last(node) :]
-    if op == "remove":
-        if there is None:
-            return text
-        name, old = node.value[there]
-        start, end = name.start_mark.index, len(text[: _last(old)].rstrip())
-        if not text[start - name.start_mark.column : start].strip():
-            return text[: start - name.start_mark.column] + text[line_of(end) + 1 :]
-        return text[:start] + text[node.value[there + 1][0].start_mark.index :] if there + 1 < len(node.value) else None
-    if there is None:
-        first = node.value[0]
-        column, end = first[0].start_mark.column, line_of(len(text[: _last(first[1])].rstrip()))
-        return f"{text[:end]}\n{' ' * column}{key}:{_entry(value, column, note or '')}" + (text[end:] or "\n")
-    name, old = node.value[there]
-    colon, end = text.index(":", name.end_mark.index) + 1, max(len(text[: _last(old)].rstrip()), text.index(":", name.end_mark.index) + 1)
-    after = text[end : line_of(end)] if "\n" not in text[colon:end] else ""
-    beside = after if after.strip().startswith("#") else ""
-    if not beside and "\n" in text[colon:end]:  # a block: its key's own line may have a comment
-        head = text[colon : line_of(colon)]
-        beside = head if head.strip().startswith("#") else ""
-    return text[:colon] + _entry(value, name.start_mark.column, note or "", beside) + text[end + (len(after) if after and beside else 0) :]
-
-
-def rewrite(text: str, operations: list[tuple[str, str, str, str | None, str | None]]) -> str:
-    """The text with operations (route, op set or remove, key, value as JSON, note) done one after the other.
-
-    An entry is replaced, added or removed in place, so comments and layout of the rest stay. Where that isn't plain
-    to do (anchors and merge keys, tags, several documents), or gives another tree than asked for, the document is
-    written anew.
+    Only the characters of the edited entry change. What an edit gives is read again; if that isn't the tree asked for,
+    the mapping that holds the entry is written anew on one line, and if that isn't it either, the text stays.
     """
-    for route, op, key, value, note in operations:
-        want, new = parse(text), None if value is None else json.loads(value)
-        place = _place(want, route, op == "set")
+    n = document or 0
+    for path, op, key, value, note in operations:
+        try:
+            roots = syntax.read(text)
+            if n >= len(roots) or document is None and len(roots) > 1:
+                return text
+            node = syntax.locate(roots[n], path)
+            # merge keys stay as they are, unless an entry that one gives is to go
+            loader = syntax.Core if op == "remove" and node is not None and node.kind == "map" and syntax.merged(node, key) else syntax.Unmerged
+            want = syntax.load(text, loader)
+        except (yaml.YAMLError, ValueError, RecursionError, KeyError):
+            return text
+        new = None if value is None else json.loads(value)
+        place = _place(want[n], path, op == "set")
         if not isinstance(place, dict):
             continue
+        there, known = _key(place, key)
         if op == "set":
-            place[key] = new
+            place[known] = new
+        elif there:
+            del place[known]
         else:
-            place.pop(key, None)
-        edited = _line_edit(text, route, op, key, new, note)
-        text = edited if edited is not None and parse(edited) == want else yaml.safe_dump(want, sort_keys=False, allow_unicode=True, width=10**9)
+            continue
+        splices = _splices(text, path, op, key, new, note, want, n)
+        for edit in (splices, None):
+            if edit is None:
+                if node is None:
+                    break
+                edit = [(node.start, max(node.start, len(text[: node.end].rstrip())), (f"&{node.anchor} " if node.anchor else "") + syntax.flow(place))]
+            edited = syntax.spliced(text, edit)
+            try:
+                if _canon(syntax.load(edited, loader)) == _canon(want):
+                    text = edited
+                    break
+            except (yaml.YAMLError, ValueError, RecursionError, KeyError):
+                pass
     return text

@@ -54,7 +54,7 @@ def tree_text(rows: DataFrame, keys: list[str], text: str, name: str) -> DataFra
         tree = parse(body)
         if tree is None:
             return None
-        lines = (f"{route} {kind_of(v)}" if isinstance(v, (dict, list)) else f"{route} = {equality_key(v)}" for _, route, v in walk(tree))
+        lines = (f"{route} {kind_of(v)}" if isinstance(v, (dict, list)) else f"{route} = {equality_key(v)}" for _, _, route, v in walk(tree))
         return "\n".join(sorted(lines))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

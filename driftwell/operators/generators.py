@@ -75,9 +75,9 @@ def outputs(rows: DataFrame, keys: list[str], patched: DataFrame | None = None)
 
 def version_bumps(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, action, new_ref) of actions whose reference changed, from nodes of both versions; the last place wins."""
-    uses = lambda n, c: n.filter((F.try_element_at("segments", F.lit(-1)) == "uses") & (F.col("kind") == "str")).select(*keys, F.array_join("segments", "\x1f").alias("path"), "ordinal", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias(c))
+    uses = lambda n, c: n.filter((F.try_element_at("segments", F.lit(-1)) == "uses") & (F.col("kind") == "str")).select(*keys, F.array_join("segments", "\x1f").alias("_name"), "ordinal", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias(c))
     nodes = lambda n: n.filter(F.size("segments") > 0)
-    met = uses(nodes(before), "_old").drop("ordinal").join(uses(nodes(after), "_new"), [*keys, "path"])
+    met = uses(nodes(before), "_old").drop("ordinal").join(uses(nodes(after), "_new"), [*keys, "_name"])
     (old_action, old_ref), (action, ref) = split_action(F.col("_old")), split_action(F.col("_new"))
     changed = met.filter((old_action == action) & (old_ref != ref))
     return changed.groupBy(*keys, action.alias("action")).agg(F.max_by(ref, "ordinal").alias("new_ref"))
@@ -88,7 +88,7 @@ def bump_sites(bumps: DataFrame, targets: DataFrame, pairs: DataFrame, program:
     uses = targets.filter((F.size("segments") > 0) & (F.try_element_at("segments", F.lit(-1)) == "uses") & (F.col("kind") == "str"))
     text = F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v")
     action, ref = split_action(text)
-    there = uses.select(*target, "ordinal", F.regexp_replace("route", r"\.?uses$", "").alias("route"), action.alias("action"), ref.alias("_ref"))
+    there = uses.select(*target, "ordinal", F.slice("path", 1, F.size("path") - 1).alias("path"), F.regexp_replace("route", r"\.?uses$", "").alias("route"), action.alias("action"), ref.alias("_ref"))
     met = bumps.join(pairs, program).join(there, [*target, "action"]).filter("_ref <> new_ref")
     value = F.concat(F.lit('"'), "action", F.lit("@"), "new_ref", F.lit('"'))
-    return met.select(*program, *[c for c in target if c not in program], "ordinal", "route", F.array().cast("array<string>").alias("missing"), F.lit("set").alias("write"), F.lit("uses").alias("key"), value.alias("new_value"), F.lit(None).cast("string").alias("note"))
+    return met.select(*program, *[c for c in target if c not in program], "ordinal", "path", "route", F.array().cast("array<string>").alias("missing"), F.lit("set").alias("write"), F.lit("uses").alias("key"), value.alias("new_value"), F.lit(None).cast("string").alias("note"))

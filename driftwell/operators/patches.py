@@ -93,7 +93,7 @@ def scalar_text(value: Column, kind: Column) -> Column:
 
 
 def resolve(edits: DataFrame, targets: DataFrame, program: list[str], target: list[str]) -> DataFrame:
-    """Sites of edits: (program, target, EDIT, route of the container, missing keys, weak, current value).
+    """Sites of edits: (program, target, EDIT, path and route of the container, missing keys, weak, current value).
 
     edits: one row an edit and target (program and target columns both there). targets: nodes under ``target``.
     An edit without a site gives one row with a null route.
@@ -106,24 +106,25 @@ def resolve(edits: DataFrame, targets: DataFrame, program: list[str], target: li
     unsure = (F.size("segments") > 0) & element(F.col("segments")) & ((F.count("*").over(alike) > 1) | F.try_element_at("_pattern", F.lit(-1)).isin("[run]", "[anon]"))
     named = patterns.withColumn("_unsure", F.coalesce(unsure, F.lit(False)))
     doubtful = named.filter("_unsure").select(*target, name_of(F.col("segments")).alias("_e")).distinct()
-    places = named.select(*target, "segments", "route", "kind", name_of(F.col("_pattern")).alias("_anchor"))
-    above = places.select(*target, "route", F.explode(F.concat(_prefixes(F.col("segments")), F.array("segments"))).alias("_p")).select(*target, "route", name_of(F.col("_p")).alias("_e"))
-    weak = above.join(doubtful, [*target, "_e"], "left_semi").select(*target, "route", F.lit(True).alias("_weak")).distinct()
-    places = places.join(weak, [*target, "route"], "left")
+    # a place is known by its path: routes of keys that hold dots may be alike
+    places = named.select(*target, "segments", "path", name_of(F.col("path")).alias("_place"), "route", "kind", name_of(F.col("_pattern")).alias("_anchor"))
+    above = places.select(*target, "_place", F.explode(F.concat(_prefixes(F.col("segments")), F.array("segments"))).alias("_p")).select(*target, "_place", name_of(F.col("_p")).alias("_e"))
+    weak = above.join(doubtful, [*target, "_e"], "left_semi").select(*target, "_place", F.lit(True).alias("_weak")).distinct()
+    places = places.join(weak, [*target, "_place"], "left")
 
     # Each prefix of an anchor whose rest is mapping keys: where it ends, the rest would have to be made.
     rest = F.filter(F.sequence(F.lit(0), F.size("anchor")), lambda n: ~F.exists(F.slice("anchor", n + 1, F.size("anchor")), lambda s: s.startswith("[") | s.startswith("$")))
     asked = edits.filter("review is null").withColumn("_n", F.explode(rest))
     asked = asked.withColumn("_anchor", F.array_join(F.slice("anchor", F.lit(1), F.col("_n")), SEP)).withColumn("missing", F.slice("anchor", F.col("_n") + 1, F.size("anchor")))
-    met = asked.join(places.select(*target, "route", "kind", "_weak", "_anchor"), [*target, "_anchor"])
-    below = targets.select(*target, F.col("route").alias("_child"), F.col("value").alias("_value"), F.col("kind").alias("_kind"))
-    child = lambda k: F.when(F.col("route") == "", k).otherwise(F.concat("route", F.lit("."), k))
-    met = met.withColumn("_child", child(F.coalesce(F.get("missing", F.lit(0)), F.col("key")))).join(below, [*target, "_child"], "left")
+    met = asked.join(places.select(*target, "path", "route", "kind", "_weak", "_anchor"), [*target, "_anchor"])
+    below = targets.select(*target, name_of(F.col("path")).alias("_child"), F.size("path").alias("_depth"), F.col("value").alias("_value"), F.col("kind").alias("_kind"))
+    child = F.concat("path", F.array(F.coalesce(F.get("missing", F.lit(0)), F.col("key"))))
+    met = met.withColumn("_child", name_of(child)).withColumn("_depth", F.size("path") + 1).join(below, [*target, "_child", "_depth"], "left")
     sites = met.filter((F.size("missing") == 0) | F.col("_kind").isNull())
-    sites = settle(sites.select(*keys, *EDIT, "route", "missing", F.coalesce("_weak", F.lit(False)).alias("weak"), (F.col("kind") == "map").alias("is_map"), F.when(F.size("missing") == 0, F.col("_value")).alias("current")))
+    sites = settle(sites.select(*keys, *EDIT, "path", "route", "missing", F.coalesce("_weak", F.lit(False)).alias("weak"), (F.col("kind") == "map").alias("is_map"), F.when(F.size("missing") == 0, F.col("_value")).alias("current")))
     nothing = edits.join(sites.select(*keys, "ordinal").distinct(), [*keys, "ordinal"], "left_anti")
     none = lambda t: F.lit(None).cast(t)
-    return sites.unionByName(nothing.select(*keys, *EDIT, none("string").alias("route"), none("array<string>").alias("missing"), F.lit(False).alias("weak"), none("boolean").alias("is_map"), none("string").alias("current")))
+    return sites.unionByName(nothing.select(*keys, *EDIT, none("array<string>").alias("path"), none("string").alias("route"), none("array<string>").alias("missing"), F.lit(False).alias("weak"), none("boolean").alias("is_map"), none("string").alias("current")))
 
 
 def judge_sites(sites: DataFrame, pins: DataFrame | None = None) -> DataFrame:
@@ -174,9 +175,8 @@ def edit_outcomes(judged: DataFrame, keys: list[str]) -> DataFrame:
 
 def patched_texts(targets: DataFrame, judged: DataFrame, target: list[str], keys: list[str], text: str = "text") -> DataFrame:
     """(keys, patched_text) of targets (target columns and text): each text with its sites' operations done in order."""
-    rest = F.array_join(F.coalesce("missing", F.array().cast("array<string>")), ".")
-    route = F.when(rest == "", F.col("route")).when(F.col("route") == "", rest).otherwise(F.concat("route", F.lit("."), rest))
-    step = F.struct("ordinal", route.alias("place"), F.col("write").alias("op"), "key", "new_value", "note")
+    place = F.concat("path", F.coalesce("missing", F.array().cast("array<string>")))
+    step = F.struct("ordinal", place.alias("place"), F.col("write").alias("op"), "key", "new_value", "note")
     # A target has few operations, so that they are one row's list.
     todo = judged.filter("write is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(step)).alias("_todo"))
     rows = judged.select(*keys).distinct().join(todo, keys, "left").join(targets.select(*target, F.col(text).alias("_text")), target)
@@ -186,7 +186,7 @@ def patched_texts(targets: DataFrame, judged: DataFrame, target: list[str], keys
         for batch in batches:
             done = []
             for steps, body in zip(batch["_todo"], batch["_text"], strict=True):
-                steps = [] if steps is None else [(s["place"], s["op"], s["key"], s["new_value"], s["note"]) for s in steps]
+                steps = [] if steps is None else [(list(s["place"]), s["op"], s["key"], s["new_value"], s["note"]) for s in steps]
                 done.append(rewrite(body or "", steps) if steps else body)
             yield batch[keys].assign(patched_text=done)
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, auditing, checks, mining, patching, runs
+from . import analytics, auditing, checks, documents, mining, patching, runs
 
-MODULES = [mining, auditing, analytics, patching, checks, runs]
+MODULES = [mining, auditing, analytics, patching, checks, runs, documents]
 QUERIES = {k: v for m in MODULES for k, v in m.Q.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

@@ -78,7 +78,7 @@ def test_dialects_and_identities():
     assert parse("a: [", "1.1") is None
     assert [identity(e, 4, True) for e in ({"id": "i", "uses": "a@1"}, {"uses": "a/b@v1@2"}, {"name": "n"}, {"run": "x"}, {"name": 3})] == ["id=i", "uses=a/b", "name=n", "run", "anon"]
     assert [identity(e, 4, False) for e in ({"key": "k"}, {"uses": "a"}, "s", True, None, 1.5, [1])] == ["key=k", "#4", "'s'", "True", "None", "1.5", "#4"]
-    assert [s[-1] for s, _, _ in walk({"steps": [{"run": 1}, {"run": 2}]}) if s and s[-1].startswith("[")] == ["[run~0]", "[run~1]"]
+    assert [s[-1] for s, *_ in walk({"steps": [{"run": 1}, {"run": 2}]}) if s and s[-1].startswith("[")] == ["[run~0]", "[run~1]"]
     assert equality_key(True) == equality_key(1) == equality_key(1.0) != equality_key("1")
 
 
@@ -148,7 +148,7 @@ def test_postconditions_and_summary(spark):
 
 @pytest.mark.parametrize("text", ["a: {b: 1, c: 2}\n", "a:\n  b: 1\n  c: |\n    two\n", "a:\n  b: &x 1\n  c: *x\n", "{a: {b: 1}}", "a:\n    b: 'q'"])
 def test_rewrite_gives_the_tree_that_was_asked_for(text):
-    got = rewrite(text, [("a", "set", "b", json.dumps("new: value"), None), ("a", "set", "z", json.dumps({"k": [1, 2]}), None), ("a", "remove", "c", None, None)])
+    got = rewrite(text, [(["a"], "set", "b", json.dumps("new: value"), None), (["a"], "set", "z", json.dumps({"k": [1, 2]}), None), (["a"], "remove", "c", None, None)])
     want = yaml.safe_load(text)
     want["a"].update(b="new: value", z={"k": [1, 2]})
     want["a"].pop("c", None)

@@ -102,10 +102,11 @@ def test_edits_in_place_keep_comments():
         ("jobs.a", "set", "steps", [], ["# pin me", "# opts", "# last", "# run"]), ("", "set", "defaults", {"run": {"shell": "bash"}}, []), ("jobs.a.steps[0]", "remove", "uses", None, ["# pin me"]),
     ]
     for route, op, key, value, lost in cases:
-        out = rewrite(COMMENTED, [(route, op, key, None if value is None else json.dumps(value), None)])
+        path = [x for x in route.replace("[", ".[").split(".") if x]
+        out = rewrite(COMMENTED, [(path, op, key, None if value is None else json.dumps(value), None)])
         assert [c for c in comments if c not in out] == lost, (route, key)
         place = parse(out)
-        for part in [x for x in route.replace("[", ".[").split(".") if x]:
+        for part in path:
             place = place[int(part[1:-1])] if part[0] == "[" else place[part]
         assert place.get(key) == value and (op == "set") == (key in place)
-    assert rewrite("a: &x\n  b: 1\nc: *x\n", [("a", "set", "b", "2", None)]).count("2") >= 1
+    assert rewrite("a: &x\n  b: 1\nc: *x\n", [(["a"], "set", "b", "2", None)]).count("2") >= 1

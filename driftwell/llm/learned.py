@@ -10,9 +10,10 @@
    as give ``recall`` on the sample, where true neighbours are known, and as many more as it needs to meet k rows.
 5. Rows of the visited parts are reranked by their inner products in double precision.
 
-The sample bounds fitting alone, which the driver does; indexing and search are Spark jobs over all rows. Parts
-are cut into blocks of about ROWS rows and their queries into groups of about QUERIES, so that a task holds one
-block and one group, however large a part or a group of equal vectors is.
+The sample bounds fitting alone, which the driver does; indexing and search are Spark jobs over all rows. The index is
+written once and never moves: groups of about QUERIES queries, with the parts that they visit, are broadcast one after
+the other, and each task keeps the k best of the rows that it reads. Of equal vectors in a batch only the k + 1 with the
+smallest ids can be among them, so groups of copies cost nothing. A task holds a batch of ROWS rows and one group.
 
 Defined results: rows with a null id or a null vector, or with a null, NaN or infinite component, and zero
 vectors take no part; shorter vectors count as padded with zeros; equal scores go to the smaller id; a repeated
@@ -23,6 +24,7 @@ candidates all are returned; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,17 +32,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bitslice import usable
-from .common import digest_int, materialise, ship
+from .common import digest_int, materialise, remove, shared_folder, ship
 
 SAMPLE = 8192
 NEIGHBOURS = 10
-#: Rows that a part is to have, and the most parts: the sample has 32 vectors for each.
+#: Rows that a part is to have, and the least and most parts: the sample has LEARNED vectors for each at least.
 PART_ROWS = 4096
-PARTS = 256
+LEAST_PARTS, PARTS = 16, 256
+LEARNED = 32
 HIDDEN = 96
 RECALL = 0.95
 ROWS = 4096
-QUERIES = 1024
+QUERIES = 2048
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -136,7 +139,7 @@ class Router:
 def fit_router(x: np.ndarray, parts: int = 16, neighbours: int = NEIGHBOURS, k: int = 20, recall: float = RECALL) -> Router:
     """A router with as many probes as find ``recall`` of a sample vector's k nearest in the sample."""
     x = np.unique(x, axis=0)
-    while parts > 1 and len(x) < 32 * parts:
+    while parts > 1 and len(x) < LEARNED * parts:
         parts //= 2
     if parts == 1:
         return Router(max(x.shape[1], 1), 1, 1)
@@ -156,8 +159,11 @@ def fit_router(x: np.ndarray, parts: int = 16, neighbours: int = NEIGHBOURS, k:
 
 
 def parts_for(rows: int) -> int:
-    """A power of two that grows with the table, so that a part has about PART_ROWS rows, up to PARTS parts."""
-    return 1 << min(max(round(math.log2(max(rows, 1) / PART_ROWS)), 0), PARTS.bit_length() - 1)
+    """A power of two that grows with the table, so that a part has about PART_ROWS rows, from LEAST_PARTS up to PARTS parts.
+
+    A table with fewer than LEARNED different vectors for each of so many parts has half as many, and so on.
+    """
+    return min(max(1 << max(round(math.log2(max(rows, 1) / PART_ROWS)), 0), LEAST_PARTS), PARTS)
 
 
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
@@ -167,37 +173,59 @@ def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
     return out
 
 
-def _rerank(dims: int, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def rerank(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if len(rows) and len(queries):
-            rows = rows.sort_values("_id", kind="stable")
-            ids, x, q = rows["_id"].to_numpy(), _matrix(rows["_v"], dims), _matrix(queries["_vector"], dims)
-            s = q @ x.T
-            own = np.searchsorted(ids, queries["_query"].to_numpy()), np.searchsorted(ids, queries["_query"].to_numpy(), "right")
-            for i, (key, query_id) in enumerate(zip(queries["_q"], queries["_query"], strict=True)):
-                row = s[i]
-                row[own[0][i] : own[1][i]] = -np.inf
-                there = len(ids) - int(own[1][i] - own[0][i])
-                if there > k:
-                    least = np.partition(row, len(row) - k)[-k]
-                    near = np.flatnonzero(row >= least - 1e-9 * (1 + abs(least)))
-                else:
-                    near = np.flatnonzero(row > -np.inf)
+def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (query, id, score) columns the k best of each query: greatest scores, then smallest ids."""
+    query, ids, score = found
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+    keep = place < k
+    return [query[keep], ids[keep], score[keep]]
+
+
+def _rerank(group: Callable[[], tuple], dims: int, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Each task's k best rows of its part of the index, for a group of queries (number, id, vector, parts)."""
+
+    def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, query_id, q, visits = group()
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        least = np.full(len(number), -np.inf)  # what a score must reach to be among a query's best so far
+        for batch in batches:
+            every, parts, vectors = batch["_id"].to_numpy(), batch["_part"].to_numpy(), _matrix(batch["_v"], dims)
+            for p in np.unique(parts):
+                asking = np.flatnonzero(visits[:, p])
+                mine = np.flatnonzero(parts == p)
+                mine = mine[np.argsort(every[mine], kind="stable")]
+                if not len(asking) or not len(mine):
+                    continue
+                _, copy = np.unique(vectors[mine], axis=0, return_inverse=True)
+                order = np.argsort(copy.reshape(-1), kind="stable")
+                sizes = np.bincount(copy.reshape(-1))
+                nth = np.empty(len(mine), np.int64)
+                nth[order] = np.arange(len(mine)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                # rows of the query's own id don't count, so ids rather than rows are counted where they repeat
+                mine = mine[nth <= k] if len(np.unique(every[mine])) == len(mine) else mine
+                ids, x = every[mine], vectors[mine]
+                s = q[asking] @ x.T
+                s[query_id[asking][:, None] == ids[None, :]] = -np.inf
+                floor = least[asking]
+                if len(ids) > k:
+                    floor = np.maximum(floor, np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k])
+                with np.errstate(invalid="ignore"):
+                    near = (s >= np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), -np.inf)[:, None]) & (s > -np.inf)
+                at, row = np.nonzero(near)
                 # Summed row by row, so that equal vectors score alike wherever they stand.
-                exact = (x[near] * q[i]).sum(axis=1)
-                best = np.lexsort((ids[near], -exact))[:k]
-                found += zip([key] * len(best), [query_id] * len(best), ids[near][best].tolist(), exact[best].tolist(), strict=True)
-        return pd.DataFrame(found, columns=["_q", "query_id", "vec_id", "score"])
+                exact = (x[row] * q[asking[at]]).sum(axis=1)
+                found = _best([np.concatenate(c) for c in zip(found, (asking[at], ids[row], exact))], k)
+                held, counts = np.unique(found[0], return_counts=True)
+                last = np.cumsum(counts) - 1
+                least[held[counts == k]] = found[2][last[counts == k]]
+        yield pd.DataFrame({"_q": number[found[0]], "query_id": query_id[found[0]], "vec_id": found[1], "score": found[2]})
 
     return rerank
 
 
-def _by_part(values: dict[int, int], part: str) -> Column:
-    """values[part], as a literal array; parts are few."""
-    return F.element_at(F.array(*[F.lit(int(values.get(p, 1))) for p in range(max(values, default=0) + 1)]), F.col(part) + 1)
-
-
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, parts: int | None = None, sample: int = SAMPLE, recall: float = RECALL, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found rows of ``vectors`` (vec_id, embedding)."""
     v = F.col("embedding").cast("array<double>")
@@ -220,7 +248,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, parts:
             yield pd.Series(own.probabilities(_matrix(v, dims)).argmax(axis=1).astype(np.int32))
 
     # The index: every row with its part. Row numbers of a written table don't change when a task runs again.
-    index = materialise(whole.withColumn("_part", part_of("_v"))).withColumn("_n", F.monotonically_increasing_id())
+    index = materialise(whole.withColumn("_part", part_of("_v")).sortWithinPartitions("_part")).withColumn("_n", F.monotonically_increasing_id())
     held = {r["_part"]: r["n"] for r in index.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     sizes = np.array([held.get(p, 0) for p in range(router.weights[3].size)])
 
@@ -232,15 +260,27 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, parts:
             enough = (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1
             yield pd.Series([o[: max(own.probes, m)].astype(np.int32) for o, m in zip(order, enough, strict=True)])
 
-    asked = materialise(index.filter("_asks").select("_id", "_v", F.col("_n").alias("_q"), F.explode(parts_of("_v")).alias("_part")))
-    asked = asked.filter(F.col("_part").isin(list(held))) if held else asked
-    asking = {r["_part"]: r["n"] for r in asked.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    blocks, groups = _by_part({p: -(-c // rows) for p, c in held.items()}, "_part"), {p: -(-asking.get(p, 1) // queries) for p in held}
-
-    left = index.select("_part", "_id", "_v", F.pmod("_n", blocks).cast("int").alias("_block"), F.explode(F.sequence(F.lit(0), _by_part(groups, "_part") - 1)).alias("_group"))
-    # Names of their own: a cogroup takes columns that both sides have from one origin to be the left side's alone.
-    right = asked.select("_part", F.col("_id").alias("_query"), F.col("_v").alias("_vector"), "_q", F.pmod(F.xxhash64("_q"), _by_part(groups, "_part")).cast("int").alias("_group"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"))
-    key = ["_part", "_block", "_group"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_rerank(dims, k), "_q long, query_id long, vec_id long, score double")
+    count = index.filter("_asks").count()
+    groups = -(-count // queries)
+    asked = materialise(index.filter("_asks").select("_id", "_v", F.col("_n").alias("_q"), parts_of("_v").alias("_parts"), F.pmod(F.xxhash64("_n"), F.lit(max(groups, 1))).alias("_group")))
+    spark, folder = vectors.sparkSession, f"{shared_folder(vectors.sparkSession)}/ann-{uuid.uuid4().hex}"
+    # as many rows as a batch may have, put back afterwards
+    setting, former = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(setting, rows)
+    try:
+        for g in range(groups):
+            some = asked.filter(F.col("_group") == g).drop("_group").toPandas()  # about ``queries`` rows, whatever the table
+            visits = np.zeros((len(some), len(sizes)), bool)
+            for i, own in enumerate(some["_parts"]):
+                visits[i, np.asarray(own, int)] = True
+            group = ship(spark, (some["_q"].to_numpy(np.int64), some["_id"].to_numpy(np.int64), _matrix(some["_v"], dims), visits))
+            index.select("_id", "_v", "_part").mapInPandas(_rerank(group, dims, k), "_q long, query_id long, vec_id long, score double").write.mode("append").parquet(folder)
+    finally:
+        spark.conf.set(setting, former)
+    if not groups:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = Window.partitionBy("_q").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = spark.read.parquet(folder).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    out = materialise(found.select("query_id", "rank", "vec_id", "score"))
+    remove(spark, folder)
+    return out

@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from driftwell.llm.common import table
@@ -75,4 +76,44 @@ def test_few_and_none(spark):
 
 
 def test_parts_grow_with_the_rows():
-    assert [parts_for(n) for n in (0, 100, 4096, 50_000, 10**6, 10**9)] == [1, 1, 1, 16, 256, 256]
+    assert [parts_for(n) for n in (0, 100, 4096, 50_000, 200_000, 10**6, 10**9)] == [16, 16, 16, 16, 64, 256, 256]
+
+
+def parts_made(vectors, parts=16):
+    """How many parts a router has, and how many a query visits at least."""
+    router = fit_router(np.array(vectors, float), parts)
+    return router.weights[3].size, router.probes
+
+
+@pytest.mark.parametrize(("kind", "most"), [("random", 16), ("clustered", 4)])
+def test_recall_of_the_routed_search(spark, kind, most):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((2400, 16))
+    if kind == "clustered":
+        x = np.repeat(rng.standard_normal((24, 16)) * 4, 100, axis=0) + x * 0.3
+    x = x.astype(np.float32).astype(float)
+    made, probes = parts_made(x)
+    assert made == 16 and probes <= most
+    rows = list(enumerate(x.tolist()))
+    vectors = spark.createDataFrame([(i, v, 0, "x", "y") for i, v in rows], SCHEMA)
+    got = nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, rows=500, queries=50).collect()
+    assert recall(got, brute(rows)) >= 0.9
+    assert len(got) == 120 * 20 and len({(r.query_id, r.vec_id) for r in got}) == len(got)
+
+
+def test_small_tables_have_parts(spark, sf_dir):
+    """The table of 500 vectors is cut, too: no scan of one part passes for a search."""
+    x = np.array([r.embedding for r in table(spark, sf_dir, "embeddings").collect()], float)
+    made, probes = parts_made(x, parts_for(len(x)))
+    assert made >= 8 and probes < made
+
+
+def test_repeated_ids_and_copies(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(700)] + [(7, rng.standard_normal(4).tolist()) for _ in range(5)] + [(1000 + i, [2.0, 2.0, 2.0, 2.0]) for i in range(600)]
+    vectors = spark.createDataFrame([(i, v, 0, "x", "y") for i, v in rows], SCHEMA)
+    got = nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, rows=100, queries=10).collect()
+    of = {r.query_id: [] for r in got}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        of[r.query_id].append(r.vec_id)
+    assert of[1000] == [i for i in range(1001, 1021)] and of[1020][:3] == [1000, 1001, 1002] and len(of) == 35 + 30

@@ -5,7 +5,9 @@ Every step is a DataFrame over all commits of the run; the commands and the incr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import flat_file_name, route_of, set_key
 from ..functions.trees import document_nodes
@@ -133,25 +135,38 @@ def export_names(clean: DataFrame) -> DataFrame:
     return fix_files(clean).select(*FILE, flat_file_name(F.col("file_path")).alias("name"))
 
 
+#: Columns of a version: when it was committed, as a time without a zone.
+_TIME = lambda c: F.to_timestamp_ntz(F.regexp_replace(F.regexp_replace(c, "T", " "), "(Z|[+]00:00)$", ""))
+
+
+def _asked(audits: DataFrame, clean: DataFrame) -> DataFrame:
+    """(COMMIT, branch, path, V_fixed_idents) of the files whose history is to be walked."""
+    done = audits.filter((F.col("status") == "ok") & (F.col("verdict") == gaps.FIXED)).select(*COMMIT, "branch")
+    targets = clean.select(*COMMIT, "V_fixed_idents", F.explode(F.filter("files", lambda f: F.size(f["V_fixed"]) > 0)).alias("_f"))
+    return settle(done.join(targets.select(*COMMIT, "V_fixed_idents", F.col("_f.file_path").alias("path")), COMMIT))
+
+
+def _dated(found: DataFrame, commit_info: DataFrame) -> DataFrame:
+    fixed = commit_info.select("repository", F.col("commit_sha").alias("commit_hash"), _TIME("committed_at").alias("_fixed_at")).dropDuplicates(COMMIT)
+    return history.with_lag(found, fixed, COMMIT, "_fixed_at").drop("_fixed_at")
+
+
 def branch_histories(audits: DataFrame, clean: DataFrame, file_history: DataFrame, file_at_ref: DataFrame, scans: DataFrame, commit_info: DataFrame, cap: int = history.CAP, deadline: DataFrame | None = None) -> DataFrame:
     """(COMMIT, branch, path, status, ..., refined): when each already fixed branch got the fix, file by file.
 
     A version counts if it is there and was scanned well; the fix is missing in it while a fixed ident is found.
     ``deadline``: (COMMIT) of records whose time was over; their branches are ``timed_out``. Files without any listed
-    version have no scannable history.
+    version have no scannable history. All versions must lie ready; see ``rounds_of_histories`` for those that don't.
     """
-    done = audits.filter((F.col("status") == "ok") & (F.col("verdict") == gaps.FIXED)).select(*COMMIT, "branch")
-    targets = clean.select(*COMMIT, "V_fixed_idents", F.explode(F.filter("files", lambda f: F.size(f["V_fixed"]) > 0)).alias("_f"))
-    asked = settle(done.join(targets.select(*COMMIT, "V_fixed_idents", F.col("_f.file_path").alias("path")), COMMIT))
+    asked = _asked(audits, clean)
     there = file_at_ref.filter(~F.coalesce("missing", F.lit(False))).select("repository", F.col("ref").alias("commit_sha"), "path", F.col("blob_sha").alias("file_hash"))
     idents = scans.filter("ok").select("file_hash", F.array_distinct(F.transform("findings", lambda f: f["ident"])).alias("_idents"))
     listed = file_history.join(there, ["repository", "commit_sha", "path"], "left").join(idents, "file_hash", "left")
     entity = [*COMMIT, "branch", "path"]
     met = asked.join(listed.select("repository", "branch", "path", "seq", "commit_sha", "committed_at", "_idents"), ["repository", "branch", "path"], "left")
-    met = met.withColumns({"_ok": F.col("_idents").isNotNull(), "_hit": F.coalesce(F.arrays_overlap("_idents", "V_fixed_idents"), F.lit(False)), "_at": F.to_timestamp_ntz(F.regexp_replace(F.regexp_replace("committed_at", "T", " "), "(Z|[+]00:00)$", ""))})
+    met = met.withColumns({"_ok": F.col("_idents").isNotNull(), "_hit": F.coalesce(F.arrays_overlap("_idents", "V_fixed_idents"), F.lit(False)), "_at": _TIME("committed_at")})
     found = history.history_boundary(met, entity, [F.col("seq").asc_nulls_last()], "commit_sha", "_at", "_ok", "_hit", cap)
-    fixed = commit_info.select("repository", F.col("commit_sha").alias("commit_hash"), F.to_timestamp_ntz(F.regexp_replace(F.regexp_replace("committed_at", "T", " "), "(Z|[+]00:00)$", "")).alias("_fixed_at")).dropDuplicates(COMMIT)
-    out = history.with_lag(found, fixed, COMMIT, "_fixed_at").drop("_fixed_at")
+    out = _dated(found, commit_info)
     if deadline is not None:
         late = out.join(deadline.select(*COMMIT).distinct().withColumn("_late", F.lit(True)), COMMIT, "left")
         over = lambda c, v: F.when(F.col("_late"), v).otherwise(F.col(c)).alias(c)
@@ -159,6 +174,27 @@ def branch_histories(audits: DataFrame, clean: DataFrame, file_history: DataFram
     return out
 
 
+def rounds_of_histories(
+    audits: DataFrame, clean: DataFrame, file_history: DataFrame, commit_info: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame], scan: Callable[[DataFrame], DataFrame], step: int = 4, cap: int = history.CAP,
+) -> tuple[DataFrame, DataFrame]:
+    """(histories, scans made): the answers of ``branch_histories``, with versions fetched and scanned while walking.
+
+    ``n_read`` counts the versions that were read, which end with the first that answers.
+    """
+    entity = [*COMMIT, "branch", "path"]
+    asked = _asked(audits, clean)
+    place = F.row_number().over(Window.partitionBy(*entity).orderBy(F.col("seq").asc_nulls_last(), "commit_sha"))
+    versions = asked.drop("V_fixed_idents").join(file_history, ["repository", "branch", "path"])
+    listed = settle(versions.select(*entity, "commit_sha", "committed_at", place.alias("place")))
+    walked, scans = history.walk_in_rounds(asked, listed, entity, fetch, scan, step, cap)
+    # versions behind the one that answered weren't read; they tell only that there are more
+    met = asked.select(*entity).join(listed, entity, "left").join(walked, [*entity, "place"], "left")
+    met = met.withColumns({"_ok": F.coalesce("_ok", F.lit(False)), "_hit": F.coalesce("_hit", F.lit(False)), "_at": _TIME("committed_at")})
+    found = history.history_boundary(met, entity, [F.col("place").asc_nulls_last()], "commit_sha", "_at", "_ok", "_hit", cap)
+    return _dated(found, commit_info), scans
+
+
 def gap_targets(audits: DataFrame, clean: DataFrame, file_at_ref: DataFrame, scans: DataFrame) -> DataFrame:
     """(COMMIT, branch, path, blob_sha, text, target_idents, program, target) of the files that a gap was found in."""
     targets = clean.select(*COMMIT, F.col("V_fixed_idents").alias("target_idents"), F.explode(F.filter("files", lambda f: F.size(f["V_fixed"]) > 0)).alias("_f"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import days_between, lag_bucket, refined_status
+from ..schemas import SCHEMAS
+from .lineage import settle
 
 CAP = 50
 #: Statuses of a history walk, and reasons of those that tell nothing.
@@ -34,6 +38,42 @@ def history_boundary(versions: DataFrame, entity: list[str], order: list[Column]
     return ends.select(*entity, status.alias("status"), reason.alias("reason"), F.col("_first._newer.v").alias("backport_version"), F.col("_first._newer.at").alias("backported_at"), "n_read")
 
 
+def walk_in_rounds(asked: DataFrame, listed: DataFrame, entity: list[str], fetch: Callable[[DataFrame], DataFrame], scan: Callable[[DataFrame], DataFrame], step: int = 4, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """(versions walked, scans made): histories read from their newest version on, only as far as they must be.
+
+    asked: (entity, V_fixed_idents), listed: (entity, commit_sha, path, repository, place), place 1 the newest version.
+    A round takes the next ``step`` versions of each entity that is still open, fetches those files that no round has
+    fetched (``fetch``: repository, commit_sha, path to the same with blob_sha, content, missing), scans those blobs
+    that none has scanned (``scan``: file_hash, content to scans), and closes what has an answer: an entity with a
+    version that still has one of the idents, with ``cap`` versions read, or at its history's end. So an entity reads
+    ``step`` - 1 versions more than it needs at most, and a round's work is that of the open ones. What a round did is
+    written to the checkpoint folder, and the next starts from there.
+    """
+    spark = asked.sparkSession
+    keys = ["repository", "commit_sha", "path"]
+    walked = spark.createDataFrame([], f"{', '.join(f'`{c}` {asked.schema[c].dataType.simpleString()}' for c in entity)}, place int, _ok boolean, _hit boolean")
+    fetched = spark.createDataFrame([], "repository string, commit_sha string, path string, file_hash string")
+    scans = spark.createDataFrame([], SCHEMAS["scans"])
+    length = listed.groupBy(*entity).agg(F.max("place").alias("_length"))
+    frontier = settle(asked.join(length, entity).withColumns({"_done": F.lit(0), "_read": F.lit(0).cast("long")}))
+    while frontier.limit(1).count():
+        reach = F.col("_done") + F.least(F.lit(step), F.lit(cap) - F.col("_read"))
+        due = settle(listed.join(frontier, entity).filter((F.col("place") > F.col("_done")) & (F.col("place") <= reach)).select(*entity, *[k for k in keys if k not in entity], "place", "V_fixed_idents"))
+        files = settle(due.select(*keys).distinct().join(fetched.select(*keys), keys, "left_anti"))
+        new = settle(fetch(files).filter(~F.coalesce("missing", F.lit(False))).select(*keys, F.col("blob_sha").alias("file_hash"), "content"))
+        fetched = settle(fetched.unionByName(files.join(new.select(*keys, "file_hash"), keys, "left")))
+        blobs = new.select("file_hash", "content").dropDuplicates(["file_hash"]).join(scans.select("file_hash"), "file_hash", "left_anti")
+        scans = settle(scans.unionByName(scan(blobs).select(*scans.columns)))
+        idents = scans.filter("ok").select("file_hash", F.transform("findings", lambda f: f["ident"]).alias("_idents"))
+        seen = due.join(fetched, keys, "left").join(idents, "file_hash", "left")
+        seen = settle(seen.select(*entity, "place", F.col("_idents").isNotNull().alias("_ok"), F.coalesce(F.arrays_overlap("_idents", "V_fixed_idents"), F.lit(False)).alias("_hit")))
+        walked = settle(walked.unionByName(seen))
+        told = seen.groupBy(*entity).agg(F.max("place").alias("_at"), F.count_if("_ok").alias("_n"), F.bool_or("_hit").alias("_any"))
+        met = frontier.join(told, entity).withColumns({"_done": F.col("_at"), "_read": F.col("_read") + F.col("_n")})
+        frontier = settle(met.filter(~F.col("_any") & (F.col("_read") < cap) & (F.col("_done") < F.col("_length"))).select(*frontier.columns))
+    return walked, scans
+
+
 def with_lag(boundaries: DataFrame, masters: DataFrame, keys: list[str], fixed_at: str) -> DataFrame:
     """boundaries with ``lag_days`` after the fix on the default branch, and the refined status."""
     dated = boundaries.join(masters.select(*keys, fixed_at), keys, "left")

@@ -204,6 +204,16 @@ def branch_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_number().alias("o"), "branch", "path", "status", "reason", "backport_version", "n_read", F.round("lag_days", 6).alias("lag_days"), "refined")
 
 
+@query(CTE + f", {world.AUDITS.strip()} SELECT o, branch, path, raw AS status, reason, version AS backport_version, n_read::BIGINT AS n_read, round(lag, 6) AS lag_days, refined FROM hr")
+def history_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same histories walked in rounds: two versions at a time are fetched and scanned, of open branches alone."""
+    audits, clean, forge = _audits(spark, sf_dir)
+    files = settle(forge["file_at_ref"].withColumnRenamed("ref", "commit_sha"))
+    fetch = lambda asked: files.join(asked, ["repository", "commit_sha", "path"], "left_semi")
+    found, _ = chain.rounds_of_histories(audits, clean, forge["file_history"], forge["commit_info"], fetch, lambda blobs: scanner.scan(blobs, world.check), step=2)
+    return found.select(_number().alias("o"), "branch", "path", "status", "reason", "backport_version", "n_read", F.round("lag_days", 6).alias("lag_days"), "refined")
+
+
 @query(CTE + f", {world.AUDITS.strip()} SELECT refined, count(*) AS n FROM hr WHERE refined = 'true_backport' AND version IS NOT NULL GROUP BY refined")
 def true_backport_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.true_backports(_histories(spark, sf_dir)).groupBy("refined").agg(F.count("*").alias("n"))

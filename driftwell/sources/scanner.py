@@ -29,6 +29,16 @@ def command(argv: list[str], timeout: int = TIMEOUT) -> Callable[[bytes], list[d
     return check
 
 
+def judged(checker: Callable[[bytes], list[dict]], content: bytes | None) -> tuple[bool, str | None, list[dict] | None]:
+    """(ok, error, findings) of one blob: an error is a value, not an exception."""
+    try:
+        if content is None:
+            raise ValueError("no content")
+        return True, None, [{k: str(f.get(k) or "") for k in ("ident", "severity", "confidence", "route")} for f in checker(bytes(content))]
+    except Exception as e:  # whatever a checker raises befalls its blob alone
+        return False, f"{e}"[:200] or type(e).__name__, None
+
+
 def scan(blobs: DataFrame, checker: Callable[[bytes], list[dict]], done: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Scans (file_hash, ok, error, findings) of blobs (file_hash, content) that ``done`` doesn't have.
 
@@ -42,15 +52,7 @@ def scan(blobs: DataFrame, checker: Callable[[bytes], list[dict]], done: DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, content in zip(batch["file_hash"], batch["content"], strict=True):
-                try:
-                    if content is None:
-                        raise ValueError("no content")
-                    found = [{k: str(f.get(k) or "") for k in ("ident", "severity", "confidence", "route")} for f in checker(bytes(content))]
-                    rows.append((key, True, None, found))
-                except (ValueError, OSError, subprocess.SubprocessError) as e:
-                    rows.append((key, False, str(e)[:200], None))
+            rows = [(key, *judged(checker, content)) for key, content in zip(batch["file_hash"], batch["content"], strict=True)]
             yield pd.DataFrame(rows, columns=["file_hash", "ok", "error", "findings"])
 
     return todo.select("file_hash", "content").mapInPandas(run, SCHEMAS["scans"])

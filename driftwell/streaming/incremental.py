@@ -1,8 +1,9 @@
 """The incremental driver: new rows of the commit index, batch by batch, each commit to one terminal outcome.
 
-A checkpoint says which files were read; a batch's rows are written under the batch's number, so that a batch that
-runs again replaces itself. File-diffs that the index log has already are left out by key, so replayed files add
-nothing. A commit that gets more file-diffs is judged anew over all of them; of its outcomes the log gives the newest.
+A checkpoint says which files were read; a batch's logs are shown together by one manifest under the batch's number, so
+a batch that was cut off leaves nothing, and one that is done isn't done again. File-diffs that the index log has
+already are left out by key, so replayed files add nothing. A commit that gets more file-diffs is judged anew over all
+of them; of its outcomes the log gives the newest.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import signal
 import threading
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -46,27 +48,59 @@ def commit_outcomes(index: DataFrame, scans: DataFrame, classification: DataFram
     return commits.select("repository", "commit_hash", outcome.alias("outcome"), reason.alias("reason"))
 
 
-def process_batch(catalog: Catalog, scans: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], source: str = "stream", log_errors: bool = True) -> Callable[[DataFrame, int], None]:
+#: Tries that a batch may take to find the commits that break it.
+TRIES = 64
+
+
+def good_rows(whole: DataFrame, work: Callable[[DataFrame], dict[str, DataFrame]], tries: int = TRIES) -> tuple[dict[str, DataFrame], list[tuple[DataFrame, str]]]:
+    """(tables of the commits that work, (commits, error) of those that don't).
+
+    Errors of single rows are values already (an unread document, a failed scan). Where a job fails for all that, the
+    batch's commits are halved by their hash until those that break it stand alone; others keep their results. After
+    ``tries`` runs what is still open counts as failed.
+    """
+    done: dict[str, DataFrame] = {}
+    failed: list[tuple[DataFrame, str]] = []
+    # a part is what a number of bits of the commits' hash are
+    todo, h = [(0, 0)], F.xxhash64(*COMMIT)
+    while todo:
+        bits, value = todo.pop()
+        part = settle(whole.filter(F.pmod(h, F.lit(1 << bits)) == value)) if bits else whole
+        n = part.select(*COMMIT).distinct().limit(2).count()
+        if not n:
+            continue
+        tries -= 1
+        try:
+            for name, rows in work(part).items():
+                done[name] = done[name].unionByName(rows) if name in done else rows
+        except Exception as e:  # whatever the job died of
+            if n == 1 or bits == 60 or tries <= 0:
+                failed.append((part.select(*COMMIT).distinct(), f"{type(e).__name__}: {e}"[:200]))
+            else:
+                todo += [(bits + 1, value + (1 << bits)), (bits + 1, value)]
+    return done, failed
+
+
+def process_batch(catalog: Catalog, scans: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], source: str = "stream", log_errors: bool = True, step: int = 8) -> Callable[[DataFrame, int], None]:
     """The function for foreachBatch: the whole chain for the commits with new file-diffs, to the log ``outcomes``.
 
-    ``scans`` and ``texts`` give the scans (as the table ``scans``) and texts (file_hash, text) of distinct blobs. The
-    forge's tables (repos, branches, commit_on_branch, file_at_ref, file_history, commit_info) are the catalog's.
-    Each step's rows go to its log under the batch's number: scans, diffs, clean_fix_meta, classification, export,
-    gaps, history. Where a step fails, the batch's commits are logged as ``exception`` with the error, if
-    ``log_errors``, and are taken up again with the next batch; else the batch fails.
+    ``scans`` and ``texts`` give the scans (as the table ``scans``) and texts (file_hash, text) of distinct blobs; with
+    ``ScanMemo`` behind ``scans`` no blob is scanned twice. The forge's tables (repos, branches, commit_on_branch,
+    file_at_ref, file_history, commit_info) are the catalog's; of file_at_ref a batch reads its own commits' files at
+    heads, and the versions that its histories walk through, in rounds. All of a batch's logs (scans, diffs,
+    clean_fix_meta, classification, export, gaps, history, workflow_index, outcomes) are shown at once by a manifest.
+    Commits that break the chain are logged as ``exception`` with the error, if ``log_errors``, and are taken up again
+    with the next batch; others of their batch keep their outcomes.
     """
 
-    def chain_of(whole: DataFrame, number: int) -> DataFrame:
+    def chain_of(whole: DataFrame) -> dict[str, DataFrame]:
+        out: dict[str, DataFrame] = {}
         files = settle(sampling.valid_modifications(whole).drop("committed_date"))
         blobs = settle(sampling.distinct_blobs(files))
-        known = settle(catalog.log("scans", but=number).filter("ok"))
-        memo = known.join(blobs, "file_hash", "left_semi").dropDuplicates(["file_hash"])
-        new = settle(scans(blobs.join(memo.select("file_hash"), "file_hash", "left_anti")))
-        catalog.append("scans", new, batch=number)
-        scanned = settle(memo.unionByName(new))
+        scanned = out["scans"] = settle(scans(blobs))
         held = settle(texts(blobs))
         nodes = chain.parsed(held)
-        catalog.append("diffs", chain.usable_diffs(chain.diff_rows(files, nodes, chain.document_changes(files, nodes))), batch=number)
+        out["diffs"] = settle(chain.usable_diffs(chain.diff_rows(files, nodes, chain.document_changes(files, nodes))))
 
         clean = settle(chain.clean_commits(files, scanned))
         fixed = settle(chain.fix_files(clean))
@@ -76,45 +110,47 @@ def process_batch(catalog: Catalog, scans: Callable[[DataFrame], DataFrame], tex
         whole_fixes = settle(clean.join(missing, COMMIT, "left_anti"))
         by_file, kinds = chain.classify_hosts(settle(fixed.join(missing, COMMIT, "left_anti")), nodes)
         kinds = settle(kinds)
-        catalog.append("clean_fix_meta", meta_rows(whole_fixes), batch=number)
-        catalog.append("classification", kinds.select(*COMMIT, "kind", commit_folder(F.col("repository"), F.col("commit_hash")).alias("dir")), batch=number)
-        catalog.append("export", tables.commit_export(whole_fixes, held), batch=number)
+        out["clean_fix_meta"] = settle(meta_rows(whole_fixes))
+        out["classification"] = settle(kinds.select(*COMMIT, "kind", commit_folder(F.col("repository"), F.col("commit_hash")).alias("dir")))
+        out["export"] = settle(tables.commit_export(whole_fixes, held))
 
         read, structural = catalog.read, settle(whole_fixes.join(kinds.filter("kind = 'structural'").select(*COMMIT), COMMIT, "left_semi"))
-        at_ref = settle(read("file_at_ref"))
-        # Versions on branches are scanned as any other blob, each once.
-        heads = at_ref.filter("content is not null").select(F.col("blob_sha").alias("file_hash")).distinct().join(scanned.select("file_hash"), "file_hash", "left_anti")
-        at_heads = settle(scanned.unionByName(known.join(heads, "file_hash", "left_semi").dropDuplicates(["file_hash"])))
-        left = settle(heads.join(at_heads.select("file_hash"), "file_hash", "left_anti"))
-        more = settle(scans(left)) if structural.limit(1).count() else scanned.limit(0)
-        at_heads = settle(at_heads.unionByName(more))
-        audits = settle(gaps.audit(structural, read("repos"), read("branches"), read("commit_on_branch"), at_ref, at_heads))
-        catalog.append("gaps", audits.select(*COMMIT, "branch", "default_branch", "status", "V_fixed_idents", "verdict", "n_scan_failed", "idents_present"), batch=number)
-        walked = chain.branch_histories(audits, structural, read("file_history"), at_ref, at_heads, read("commit_info"))
-        catalog.append("history", walked.select(*[c.split()[0] for c in SCHEMAS["history"].split(", ")]), batch=number)
+        # of the forge's files those of the batch, at the heads of branches; contents stay where they are
+        own = settle(chain.fix_files(structural).select("repository", F.col("file_path").alias("path")).distinct())
+        refs = read("branches").select("repository", F.col("branch").alias("ref")).join(own.select("repository").distinct(), "repository", "left_semi").distinct()
+        at_heads = settle(read("file_at_ref").join(own, ["repository", "path"], "left_semi").join(refs, ["repository", "ref"], "left_semi"))
+        heads = at_heads.filter("content is not null").select(F.col("blob_sha").alias("file_hash")).distinct().join(scanned.select("file_hash"), "file_hash", "left_anti")
+        known = settle(scanned.unionByName(scans(settle(heads)))) if at_heads.limit(1).count() else scanned
+        audits = settle(gaps.audit(structural, read("repos"), read("branches"), read("commit_on_branch"), at_heads, known))
+        out["gaps"] = audits.select(*COMMIT, "branch", "default_branch", "status", "V_fixed_idents", "verdict", "n_scan_failed", "idents_present")
+        fetch = lambda asked: read("file_at_ref").withColumnRenamed("ref", "commit_sha").join(asked, ["repository", "commit_sha", "path"], "left_semi")
+        walked, _ = chain.rounds_of_histories(audits, structural, read("file_history"), read("commit_info"), fetch, lambda b: scans(b.select("file_hash")), step)
+        out["history"] = settle(walked.select(*[c.split()[0] for c in SCHEMAS["history"].split(", ")]))
         found = commit_outcomes(whole, scanned, kinds, audits)
         lost_ones = missing.withColumn("_lost", F.lit(True))
         met = found.join(lost_ones, COMMIT, "left")
-        return met.withColumns({"outcome": F.when(F.col("_lost"), "blob_missing").otherwise(F.col("outcome")), "reason": F.when(F.col("_lost").isNull(), F.col("reason"))}).drop("_lost")
+        out["outcomes"] = settle(met.withColumns({"outcome": F.when(F.col("_lost"), "blob_missing").otherwise(F.col("outcome")), "reason": F.when(F.col("_lost").isNull(), F.col("reason"))}).drop("_lost"))
+        return out
 
     def batch(rows: DataFrame, number: int) -> None:
-        # What this batch itself wrote, in a run that was cut off, is written anew.
-        seen = settle(catalog.log("workflow_index", but=number))
-        fresh = settle(gaps.not_done(rows.distinct(), seen, ["repository", "commit_hash", "file_path"]))
-        catalog.append("workflow_index", fresh, batch=number)
-        failed = catalog.log("outcomes", but=number).filter("outcome = 'exception'").select(*COMMIT)
+        if catalog.committed(number):
+            return
+        seen = catalog.log("workflow_index")
+        given = settle(rows.distinct())
+        fresh = settle(gaps.not_done(given, seen.join(given.select(*COMMIT).distinct(), COMMIT, "left_semi"), ["repository", "commit_hash", "file_path"]))
+        failed = catalog.log("outcomes").filter("outcome = 'exception'").select(*COMMIT)
         touched = settle(fresh.select(*COMMIT).unionAll(failed).distinct())
+        # only what the log has of the batch's commits is written out, not the log
         whole = settle(seen.join(touched, COMMIT, "left_semi").unionByName(fresh))
-        stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS")
-        none = F.lit(None).cast("string")
-        try:
-            found = settle(chain_of(whole, number)).withColumn("error", none)
-        except Exception as e:  # logged with the commits it befell, which are tried again
-            if not log_errors:
-                raise
-            of_all = sampling.valid_modifications(whole).select(*COMMIT).distinct()
-            found = of_all.withColumns({"outcome": F.lit("exception"), "reason": none, "error": F.lit(f"{type(e).__name__}: {e}"[:200])})
-        catalog.append("outcomes", found.select(*COMMIT, stamp.alias("processed_at"), F.lit(f"{source}-{number}").alias("source"), "outcome", "reason", "error"), batch=number)
+        stamp, none = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit(None).cast("string")
+        done, broken = good_rows(whole, chain_of) if log_errors else (chain_of(whole), [])
+        found = [done.pop("outcomes").withColumn("error", none)] if "outcomes" in done else []
+        for commits, error in broken:
+            real = commits.join(sampling.valid_modifications(whole).select(*COMMIT).distinct(), COMMIT, "left_semi")
+            found.append(real.withColumns({"outcome": F.lit("exception"), "reason": none, "error": F.lit(error)}))
+        told = [r.select(*COMMIT, stamp.alias("processed_at"), F.lit(f"{source}-{number}").alias("source"), "outcome", "reason", "error") for r in found]
+        outcomes = {"outcomes": reduce(DataFrame.unionByName, told)} if told else {}
+        catalog.commit(number, {**done, "workflow_index": fresh, **outcomes})
 
     return batch
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.syntax import document_tokens
 from ..functions.trees import document_nodes
+from ..functions.columns import commit_folder
 from ..operators import patches
+from ..operators.lineage import shared_folder
+from ..sources import filetree
+from ..sources.tables import read_meta
 from .tables import table
 
 #: SQL of a text that both engines read; the braces take what a program changes.
@@ -33,11 +39,11 @@ PROGRAM = """('services:
 env.x: {env}
 ')"""
 
+SIDES = {"before": PROGRAM.format(since="2024-01-31", env="{a: 1, b: \"' || s_name || '\"}"), "after": PROGRAM.format(since="2025-02-28", env="{a: 07}")}
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = PROGRAM.format(since="2024-01-31", env="{a: 1, b: \"' || s_name || '\"}")
-    after = PROGRAM.format(since="2025-02-28", env="{a: 07}")
-    return table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey AS STRING) AS program", f"{BEFORE} AS text", f"{before} AS before", f"{after} AS after")
+    return table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey AS STRING) AS program", f"{BEFORE} AS text", *[f"{text} AS {side}" for side, text in SIDES.items()])
 
 
 def lossless_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +75,25 @@ def document_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("program", F.concat(F.array_join(pieces, ""), rest).alias("rebuilt"), "n_aliases", "n_anchors", "n_keys", "mode_at", "last_line")
 
 
-Q = {f.__name__: f for f in (lossless_edits, document_syntax)}
+def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder for each supplier with both versions and its meta, written by tasks and read back."""
+    docs = _documents(spark, sf_dir).withColumn("commit_hash", F.sha1("program"))
+    fixed = F.array(F.struct(F.lit("since").alias("ident"), F.concat(F.lit("services.db."), "program").alias("route")))
+    none = F.array().cast(fixed_type := "array<struct<ident:string,route:string>>")
+    files = F.array(F.struct(F.lit("f.yml").alias("file_path"), F.lit("before.yml").alias("before"), F.lit("after.yml").alias("after"), F.lit("ok").alias("scan_status"), fixed.cast(fixed_type).alias("V_fixed"), none.alias("V_introduced")))
+    meta = docs.select(F.concat(F.lit("acme/s"), "program").alias("repository"), "commit_hash", F.lit(None).cast("string").alias("github_url"), F.lit(1).alias("V_fixed_count"), F.array(F.lit("since")).alias("V_fixed_idents"), F.lit(1).alias("n_files_modified"), files.alias("files"))
+    name = commit_folder(F.concat(F.lit("acme/s"), F.col("program")), F.col("commit_hash")).alias("dir")
+    sides = docs.select(name, F.explode(F.array(*[F.struct(F.lit(f"{c}.yml").alias("name"), F.col(c).alias("text")) for c in ("before", "after")])).alias("f")).select("dir", "f.name", "f.text")
+    folder = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    filetree.write_tree(sides.unionAll(filetree.meta_files(meta)), folder)
+    read = filetree.read_tree(spark, folder).filter("name != 'meta.json'")
+    told = read_meta(spark, f"{folder}/*/meta.json").select("dir", "repository", F.col("files")[0]["V_fixed"][0]["route"].alias("route"))
+    return read.join(told, "dir").select("repository", "route", "name", F.md5("text").alias("digest"))
+
+
+Q = {f.__name__: f for f in (lossless_edits, document_syntax, file_tree)}
 SQL = {
     "lossless_edits": f"SELECT s_suppkey::VARCHAR AS program, {_TEXT.format(since=chr(39) * 2 + '2025-02-28' + chr(39) * 2, env='{a: 7}')} AS patched_text, 3 AS n_edits, 3 AS n_applied FROM supplier",
     "document_syntax": f"SELECT s_suppkey::VARCHAR AS program, {BEFORE} AS rebuilt, 2 AS n_aliases, 1 AS n_anchors, 17 AS n_keys, 'x-base/mode' AS mode_at, 13 AS last_line FROM supplier",
+    "file_tree": " UNION ALL ".join(f"SELECT 'acme/s' || s_suppkey AS repository, 'services.db.' || s_suppkey AS route, '{side}.yml' AS name, md5({text}) AS digest FROM supplier" for side, text in SIDES.items()),
 }

@@ -1,13 +1,14 @@
 """python -m driftwell.cli COMMAND: the stages, runs and reports as commands over a catalog of tables.
 
 Scanner and linter are programs (``--scanner``, ``--linter``): they read a text on standard input and write JSON.
-``--limit`` takes the first commits in the order of their keys.
+``--limit`` takes the first commits in the order of their keys; ``stream-all`` reads ``--files`` index files a batch.
 """
 
 from __future__ import annotations
 
 import argparse
 import shlex
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,8 +20,9 @@ from .operators import chain, clusters, diffs, evaluation, gaps, generators, his
 from .operators.chain import COMMIT
 from .operators.lineage import settle
 from .plans import selfcheck as scenarios
-from .sources import scanner, tables
-from .streaming.incremental import meta_rows, run_available
+from .sources import filetree, scanner, tables
+from .streaming.incremental import ask_to_stop, drain, meta_rows, refresh_every, run_available, watch
+from .streaming.memo import ScanMemo
 
 Report = DataFrame | list[DataFrame]
 
@@ -76,19 +78,26 @@ def clean_fixes(cat: Catalog, a: argparse.Namespace) -> Report:
     folder = F.concat_ws("__", F.replace("repository", F.lit("/"), F.lit("__")), F.substring("commit_hash", 1, 10))
     cat.replace("clean_fix_index", cat.read("clean_fix_meta").select(folder.alias("dir"), *COMMIT, "V_fixed_count", "V_fixed_idents", "n_files_modified").orderBy(F.col("V_fixed_count").desc(), *COMMIT))
     cat.replace("export", tables.commit_export(clean, tables.blob_texts(cat.read("blobs"))))
+    if a.out:  # folders of commits, each with its meta and both versions of its files
+        filetree.write_tree(cat.read("export").unionByName(filetree.meta_files(cat.read("clean_fix_meta"))), a.out)
     return cat.read("clean_fix_meta").agg(F.count("*").alias("n_clean"))
 
 
 def _meta_files(cat: Catalog) -> DataFrame:
     """(FILE, both hashes, V_fixed) of the catalog's clean fixes."""
-    files = cat.read("clean_fix_meta").select(*COMMIT, F.explode("files").alias("f"))
+    return _files_of(cat.read("clean_fix_meta"))
+
+
+def _files_of(clean: DataFrame) -> DataFrame:
+    files = clean.select(*COMMIT, F.explode("files").alias("f"))
     return files.select(*COMMIT, "f.file_path", F.col("f.after").alias("file_hash"), F.col("f.before").alias("previous_file_hash"), "f.V_fixed")
 
 
-def _templates(cat: Catalog) -> DataFrame:
-    files = settle(_meta_files(cat))
+def _templates(cat: Catalog, clean: DataFrame | None = None) -> DataFrame:
+    clean = settle(cat.read("clean_fix_meta") if clean is None else clean)
+    files = settle(_files_of(clean))
     nodes = chain.parsed(tables.blob_texts(cat.read("blobs").join(sampling.distinct_blobs(files), "file_hash", "left_semi")))
-    return settle(chain.templates_of(cat.read("clean_fix_meta"), chain.document_changes(files, nodes)))
+    return settle(chain.templates_of(clean, chain.document_changes(files, nodes)))
 
 
 def patterns(cat: Catalog, a: argparse.Namespace) -> Report:
@@ -114,7 +123,7 @@ def pipeline(cat: Catalog, a: argparse.Namespace) -> Report:
 
 
 def classify(cat: Catalog, a: argparse.Namespace) -> Report:
-    files = settle(_meta_files(cat))
+    files = settle(_files_of(_limited(cat.read("clean_fix_meta"), a, COMMIT)))
     nodes = chain.parsed(tables.blob_texts(cat.read("blobs").join(sampling.distinct_blobs(files), "file_hash", "left_semi")))
     _, kinds = chain.classify_hosts(files, nodes)
     cat.replace("classification", kinds.select(*COMMIT, "kind", F.concat_ws("__", F.replace("repository", F.lit("/"), F.lit("__")), F.substring("commit_hash", 1, 10)).alias("dir")))
@@ -147,7 +156,7 @@ def gaps_summary(cat: Catalog, a: argparse.Namespace) -> Report:
 
 def classify_history(cat: Catalog, a: argparse.Namespace) -> Report:
     read = cat.read
-    cat.replace("history", chain.branch_histories(read("gaps"), read("clean_fix_meta"), read("file_history"), read("file_at_ref"), read("scans"), read("commit_info"), a.cap))
+    cat.replace("history", chain.branch_histories(read("gaps"), _limited(read("clean_fix_meta"), a, COMMIT), read("file_history"), read("file_at_ref"), read("scans"), read("commit_info"), a.cap))
     return reports.shares(read("history"), "refined")
 
 
@@ -172,9 +181,25 @@ def history_summary(cat: Catalog, a: argparse.Namespace) -> Report:
 
 
 def stream_all(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Take up the index's new files batch by batch.
+
+    It says how far it is after each batch, lets a batch end at the first interrupt and stops, and replaces the pattern
+    catalog every ``--refresh`` minutes and at the end.
+    """
     check, blobs = _checker(a.scanner), cat.read("blobs").unionByName(cat.read("file_at_ref").filter("content is not null").select(F.col("blob_sha").alias("file_hash"), "content"))
     asked = lambda hashes: blobs.join(hashes, "file_hash", "left_semi").dropDuplicates(["file_hash"])
-    run_available(cat.spark, a.index, cat, lambda h: scanner.scan(asked(h), check), lambda h: tables.blob_texts(asked(h)), f"{cat.path('stream')}/state")
+    memo = ScanMemo(cat.spark, f"{cat.path('stream')}/memo", check)
+    renew = lambda: cat.replace("patterns", chain.pattern_catalog(_templates(cat, cat.log("clean_fix_meta"))))
+    stop, clock = threading.Event(), refresh_every(cat.spark, renew, f"{a.refresh} minutes") if a.refresh else None
+    undo = ask_to_stop(stop) if threading.current_thread() is threading.main_thread() else lambda: None
+    try:
+        run_available(cat.spark, a.index, cat, lambda h: memo.ask(asked(h)), lambda h: tables.blob_texts(asked(h)), f"{cat.path('stream')}/state", a.files, started=lambda q: watch(q, lambda line: print(line, flush=True)), stop=stop)
+    finally:
+        undo()
+        if clock is not None:
+            drain(clock)
+    renew()
+    cat.compact()
     return reports.shares(cat.log("outcomes"), "outcome")
 
 
@@ -315,7 +340,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     p.add_argument("--tag", default="default")
     for name in ("index", "new", "out", "scanner", "linter", "program", "target", "idents"):
         p.add_argument(f"--{name}")
-    for name, value in (("n", 10_000), ("seed", 42), ("top", 10), ("limit", 0), ("cap", history.CAP)):
+    for name, value in (("n", 10_000), ("seed", 42), ("top", 10), ("limit", 0), ("cap", history.CAP), ("files", 1000), ("refresh", 30)):
         p.add_argument(f"--{name}", type=int, default=value)
     a = p.parse_args(argv)
     cat = Catalog(spark or SparkSession.builder.appName("driftwell").getOrCreate(), a.root, a.tag)

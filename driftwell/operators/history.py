@@ -90,19 +90,20 @@ def branch_roll_up(files: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None, bins: int = 256) -> DataFrame:
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None, bins: int = 32, accuracy: int = 2560) -> DataFrame:
     """(by, name, value): the value at place min(int(share * n), n - 1) of the ascending list, counted from 0.
 
-    Equal values are counted first. Ranges are cut at the group's own approximate quantiles, so far values don't put
-    all others into one; the counts of ranges tell which holds a place, and only that range's values are ranked. The
-    answer is exact, whatever the quantiles are.
+    Equal values are counted first. Ranges are cut at the group's own approximate quantiles, some evenly and two close
+    by each share, so far values don't put all others into one, and a share's range is narrow; the counts of ranges tell
+    which holds a place, and only that range's values are ranked. The answer is exact, whatever the quantiles are.
     """
     by = by or []
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     group = [F.lit(0).alias("_all_rows"), *[F.col(c) for c in by]]
     keys = ["_all_rows", *by]
     counts = counts.select(*group, F.col(value).cast("double").alias("_v"), "_n")
-    cuts = F.array_sort(F.array_distinct(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10 * bins)))
+    at = {i / bins for i in range(1, bins)} | {min(max(s + d, 0.0), 1.0) for s in shares.values() for d in (-4 / accuracy, 4 / accuracy)}
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx("_v", sorted(at), accuracy)))
     ends = counts.groupBy(*keys).agg(cuts.alias("_cuts"), F.sum("_n").alias("_total"))
     met = counts.join(ends, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))))
     placed = met.drop("_cuts")

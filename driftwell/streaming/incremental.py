@@ -14,6 +14,7 @@ import time
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -161,11 +162,83 @@ def meta_rows(clean: DataFrame) -> DataFrame:
     return clean.select(*COMMIT, F.lit(None).cast("string").alias("github_url"), F.col("V_fixed_count").cast("int").alias("V_fixed_count"), "V_fixed_idents", F.col("n_files_modified").cast("int").alias("n_files_modified"), named.alias("files"))
 
 
-def run_available(spark: SparkSession, index_folder: str, catalog: Catalog, scans: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], checkpoint: str, files_per_batch: int = 1000, log_errors: bool = True) -> StreamingQuery:
-    """Process all index files that are there, then stop; what a stopped run had done isn't done again."""
+def watch(query: StreamingQuery, say: Callable[[str], None] = print, total: int | None = None, every: float = 1.0) -> Callable[[], None]:
+    """Say after each batch of a query how many rows it has read, how fast, and how long ``total`` rows will take.
+
+    The query's own reports are looked at, in a thread. Gives a function that says what is left to say, and ends it.
+    """
+    ended, told = threading.Event(), []
+
+    def look() -> None:
+        new = [p for p in query.recentProgress if p["batchId"] not in told and p["numInputRows"]]
+        for p in new:
+            told.append(p["batchId"])
+            rows, rate, left = progress_of(query, total)
+            say(f"batch {p['batchId']}: {rows} rows, {rate:.1f} a second" + ("" if left is None else f", {left:.0f} s left"))
+
+    def run() -> None:
+        while not ended.wait(every):
+            look()
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+
+    def end() -> None:
+        ended.set()
+        thread.join()
+        look()
+
+    return end
+
+
+class Stopped(RuntimeError):
+    """A batch that wasn't begun because the run is to stop; the next start begins with it."""
+
+
+def ask_to_stop(asked: threading.Event, number: int = signal.SIGINT) -> Callable[[], None]:
+    """The first signal asks a run to stop after the batch at work, a second one ends the program at once.
+
+    Gives a function that puts the former handler back. Signals reach a program's main thread alone.
+    """
+    former = signal.getsignal(number)
+
+    def handler(got: int, frame: object) -> None:
+        if asked.is_set():
+            signal.signal(number, former)
+            raise KeyboardInterrupt
+        asked.set()
+
+    signal.signal(number, handler)
+    return lambda: signal.signal(number, former)
+
+
+def run_available(
+    spark: SparkSession, index_folder: str, catalog: Catalog, scans: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame],
+    checkpoint: str, files_per_batch: int = 1000, log_errors: bool = True, started: Callable[[StreamingQuery], Callable[[], None]] | None = None, stop: threading.Event | None = None,
+) -> StreamingQuery:
+    """Process all index files that are there, then stop; what a stopped run had done isn't done again.
+
+    ``started`` gets the query once it runs, such as ``watch``, and gives what is to be done when it has ended. Once
+    ``stop`` is set, the batch at work ends, and no other begins.
+    """
+    batch = process_batch(catalog, scans, texts, log_errors=log_errors)
+
+    def unless_stopped(rows: DataFrame, number: int) -> None:
+        if stop is not None and stop.is_set():
+            raise Stopped("no batch begins any more")
+        batch(rows, number)
+
     stream = spark.readStream.schema(SCHEMAS["workflow_index"]).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(index_folder)
-    query = stream.writeStream.foreachBatch(process_batch(catalog, scans, texts, log_errors=log_errors)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    query = stream.writeStream.foreachBatch(unless_stopped).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    ended = started(query) if started else None
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if stop is None or not stop.is_set() or "no batch begins any more" not in str(e):
+            raise
+    finally:
+        if ended:
+            ended()
     return query
 
 

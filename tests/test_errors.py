@@ -60,13 +60,13 @@ def driven(spark, tmp_path):
 
 def test_blobs_of_commits_and_branches_are_scanned_once(driven):
     cat, run, index, _, calls = driven
-    for i in range(3):
+    for i in range(2):
         (index / f"{i}.csv").write_text(HEADER + line(f"c{i}", "n", f"o{i}"))
         run()
-    # n, o0, o1, o2 and the branch's head, over three batches
-    assert calls.value == 5
-    assert sorted((r.commit_hash, r.outcome) for r in cat.log("outcomes").collect()) == [(f"c{i}", "audited") for i in range(3)]
-    assert cat.log("gaps").filter("verdict is not null").count() == 3
+    # n, o0, o1 and the branch's head, over two batches
+    assert calls.value == 4
+    assert sorted((r.commit_hash, r.outcome) for r in cat.log("outcomes").collect()) == [(f"c{i}", "audited") for i in range(2)]
+    assert cat.log("gaps").filter("verdict is not null").count() == 2
 
 
 def test_one_bad_commit_alone_is_an_exception(spark, driven):

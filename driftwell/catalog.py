@@ -15,6 +15,8 @@ from .schemas import SCHEMAS
 
 #: Logs in which a later row replaces an earlier one, and their keys.
 NEWEST = {"outcomes": ["repository", "commit_hash"]}
+#: The batch of what was taken over from another tag, before all others.
+IMPORT = -1
 
 
 class Catalog:
@@ -96,13 +98,13 @@ class Catalog:
         if not self._exists(folder):
             return []
         rows = [r.asDict() for r in self.spark.read.schema("batch long, upto boolean, name string, folder string").json(folder).collect()]
-        last = max((r["batch"] for r in rows if r["upto"]), default=-1)
+        last = max((r["batch"] for r in rows if r["upto"]), default=IMPORT - 1)
         return [r for r in rows if r["batch"] > last or r["upto"] and r["batch"] == last]
 
     def compact(self) -> int:
         """One folder for each log instead of one for each batch; of outcomes the newest alone. Gives the last batch."""
         named = self._named()
-        last, lines = max((r["batch"] for r in named), default=-1), []
+        last, lines = max((r["batch"] for r in named), default=IMPORT - 1), []
         for name in sorted({r["name"] for r in named}):
             folder = f"batches/{last}-{uuid.uuid4().hex}"
             self.log(name).write.parquet(f"{self.path(name)}/{folder}")

@@ -21,7 +21,7 @@ from .operators.chain import COMMIT
 from .operators.lineage import settle
 from .plans import selfcheck as scenarios
 from .sources import filetree, scanner, tables
-from .streaming.incremental import ask_to_stop, drain, meta_rows, refresh_every, run_available, watch
+from .streaming.incremental import ask_to_stop, drain, meta_rows, refresh_every, run_available, take_over, watch
 from .streaming.memo import ScanMemo
 
 Report = DataFrame | list[DataFrame]
@@ -203,6 +203,12 @@ def stream_all(cat: Catalog, a: argparse.Namespace) -> Report:
     return reports.shares(cat.log("outcomes"), "outcome")
 
 
+def import_tag(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Begin with what the tag --new has done."""
+    take_over(cat, Catalog(cat.spark, cat.root, a.new))
+    return reports.shares(cat.log("outcomes"), "outcome")
+
+
 def compile_programs(cat: Catalog, a: argparse.Namespace) -> Report:
     texts = tables.blob_texts(cat.read("blobs"))
     files = _limited(cat.read("clean_fix_meta"), a, COMMIT).select("repository", "commit_hash", "V_fixed_idents", F.explode("files").alias("f")).filter(F.size("f.V_fixed") > 0)
@@ -328,7 +334,7 @@ def self_check(cat: Catalog, a: argparse.Namespace) -> Report:
 COMMANDS = {
     "sample": sample, "diffs": make_diffs, "scan": scan, "clean-fixes": clean_fixes, "patterns": patterns, "match": match, "pipeline": pipeline,
     "classify": classify, "refilter": refilter, "find-gaps": find_gaps, "gaps-summary": gaps_summary, "classify-history": classify_history,
-    "history-summary": history_summary, "stream-all": stream_all, "compile": compile_programs, "backport": backport, "capability": capability, "reproduce": reproduce, "compare-generators": compare_generators,
+    "history-summary": history_summary, "stream-all": stream_all, "import": import_tag, "compile": compile_programs, "backport": backport, "capability": capability, "reproduce": reproduce, "compare-generators": compare_generators,
     "apply": apply_one, "oracle": oracle, "selfcheck": self_check,
 }
 

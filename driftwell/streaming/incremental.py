@@ -18,9 +18,9 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..catalog import Catalog
+from ..catalog import IMPORT, Catalog
 from ..functions.columns import commit_folder
-from ..operators import chain, diffs, gaps, sampling
+from ..operators import chain, diffs, evaluation, gaps, sampling
 from ..operators.chain import COMMIT
 from ..operators.lineage import settle
 from ..schemas import SCHEMAS
@@ -156,6 +156,29 @@ def process_batch(catalog: Catalog, scans: Callable[[DataFrame], DataFrame], tex
     return batch
 
 
+#: Tables of a tag that are taken over with its outcomes.
+OWN = ("clean_fix_meta", "classification", "gaps", "history", "diffs", "export")
+
+
+def take_over(catalog: Catalog, other: Catalog) -> bool:
+    """Begin with what another tag has done: its audited commits with outcomes, fixes, kinds, audits, histories and files.
+
+    Commits that this tag has outcomes for are left out. All tables come with one manifest, once; False if they had.
+    Runs that follow don't judge these commits again unless their index gives them new file-diffs.
+    """
+    if catalog.committed(IMPORT):
+        return False
+    theirs = {n: settle(other.read(n).unionByName(other.log(n))) for n in OWN}
+    own = settle(catalog.log("outcomes").select(*COMMIT))
+    audits = theirs["gaps"].select(*COMMIT, "status").distinct().join(own, COMMIT, "left_anti")
+    found = settle(evaluation.import_tag(audits, theirs["classification"], f"imported_from_{other.tag}"))
+    outcomes = found.select(*[c.split()[0] for c in SCHEMAS["outcomes"].split(", ")])
+    taken = outcomes.select(*COMMIT, commit_folder(F.col("repository"), F.col("commit_hash")).alias("dir"))
+    rows = {n: theirs[n].join(taken.select(*(["dir"] if n == "export" else COMMIT)), ["dir"] if n == "export" else COMMIT, "left_semi").select(*theirs[n].columns) for n in OWN}
+    catalog.commit(IMPORT, {**rows, "outcomes": outcomes})
+    return True
+
+
 def meta_rows(clean: DataFrame) -> DataFrame:
     """Clean fixes as rows of the table ``clean_fix_meta``."""
     named = F.transform("files", lambda f: F.struct(f["file_path"].alias("file_path"), f["previous_file_hash"].alias("before"), f["file_hash"].alias("after"), f["scan_status"].alias("scan_status"), f["V_fixed"].alias("V_fixed"), f["V_introduced"].alias("V_introduced")))

@@ -47,12 +47,12 @@ def path_segments(path: Column) -> Column:
 
 def segment_parts(segment: Column) -> Column:
     """struct(kind, list_kind, value) of a segment: key, keyvar, or list with what identifies its element."""
-    inner = F.regexp_replace(F.substring(segment, 2, 1_000_000), r"(~\d+)?\]$", "")
+    inner = F.regexp_replace(F.substr(segment, F.lit(2)), r"(~\d+)?\]$", "")
     named = F.regexp_extract(inner, r"^(uses|id|name|key)=", 1)
     list_kind = F.when(named != "", named).when(inner == "run", "run").when(inner == "anon", "anon").when(inner.rlike("^'.*'$"), "str").when(inner.rlike(r"^#\d+$"), "index").otherwise("scalar")
     bare = F.when(named != "", F.regexp_replace(inner, r"^[a-z]+=", "")).when(inner.rlike("^'.*'$"), F.regexp_replace(inner, "^'|'$", "")).when(inner.isin("run", "anon"), "").otherwise(inner)
     is_list, is_var = segment.startswith("["), segment.startswith("$")
-    return F.struct(F.when(is_list, "list").when(is_var, "keyvar").otherwise("key").alias("kind"), F.when(is_list, list_kind).alias("list_kind"), F.when(is_list, bare).when(is_var, F.substring(segment, 2, 1_000_000)).otherwise(segment).alias("value"))
+    return F.struct(F.when(is_list, "list").when(is_var, "keyvar").otherwise("key").alias("kind"), F.when(is_list, list_kind).alias("list_kind"), F.when(is_list, bare).when(is_var, F.substr(segment, F.lit(2))).otherwise(segment).alias("value"))
 
 
 def anchor_text(anchor: Column) -> Column:
@@ -103,13 +103,13 @@ def read(texts: DataFrame, key: str = "program") -> tuple[DataFrame, DataFrame]:
     head = lines.filter("_part = 1")
     source = r"^# source:\s+(\S+)@(\S+)\s+(.+)$"
     part = lambda i: F.coalesce(F.max(F.nullif(F.regexp_extract("_line", source, i), F.lit(""))), F.lit(""))
-    fixes = F.max(F.when(F.col("_line").startswith("fixes "), F.split(F.substring("_line", 7, 1_000_000), r"\s*,\s*")))
+    fixes = F.max(F.when(F.col("_line").startswith("fixes "), F.split(F.substr("_line", F.lit(7)), r"\s*,\s*")))
     programs = head.groupBy(key).agg(part(1).alias("repository"), part(2).alias("commit_hash"), part(3).alias("source_file"), F.coalesce(fixes, F.array().cast("array<string>")).alias("target_idents"))
 
     body = lines.filter("_part >= 2").filter("_line not in ('', '@@') and not _line like '#%'")
     is_edit = F.col("_line").rlike("^[+-]")
     body = body.withColumn("_a", F.last(F.when(~is_edit, F.col("_line")), ignorenulls=True).over(upto)).withColumn("_block", F.count_if(~is_edit).over(upto)).filter(is_edit & F.col("_a").isNotNull())
-    rest = F.trim(F.substring("_line", 2, 1_000_000))
+    rest = F.trim(F.substr("_line", F.lit(2)))
     keyed = body.select(key, "_n", "_a", "_block", F.substring("_line", 1, 1).alias("_sign"), F.trim(F.regexp_extract(rest, r"^([^:]*)", 1)).alias("key"), F.trim(F.regexp_extract(rest, r"^[^:]*:(.*)$", 1)).alias("_value"))
     of = lambda sign: F.max(F.when(F.col("_sign") == sign, F.col("_value")))
     met = keyed.groupBy(key, "_block", "_a", "key").agg(F.min("_n").alias("_n"), of("+").alias("_plus"), of("-").alias("_minus"))

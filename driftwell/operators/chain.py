@@ -117,7 +117,7 @@ def classify_hosts(files: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
     under = nodes.filter((depth > 1) & (seg(1) == "jobs"))
     jobs = under.filter(depth == 2).select("file_hash", seg(2).alias("job"), F.col("ordinal").alias("position"))
     step = under.filter((depth == 4) & (seg(3) == "steps"))
-    steps = step.select("file_hash", seg(2).alias("job"), F.regexp_extract("route", r"\[(\d+)\]$", 1).cast("int").alias("step"), F.regexp_replace(F.substring(seg(4), 2, 10**6), r"~\d+\]$", "").alias("identity"))
+    steps = step.select("file_hash", seg(2).alias("job"), F.regexp_extract("route", r"\[(\d+)\]$", 1).cast("int").alias("step"), F.regexp_replace(F.substr(seg(4), F.lit(2)), r"~\d+\]$", "").alias("identity"))
     services = under.filter((depth == 4) & (seg(3) == "services")).select("file_hash", seg(2).alias("job"), seg(4).alias("service"))
     fixed = files.filter(F.size("V_fixed") > 0)
     of = lambda rows, c: fixed.select(*FILE, F.col(c).alias("file_hash")).join(rows, "file_hash").drop("file_hash")

@@ -125,9 +125,10 @@ def _key() -> Column:
     return F.unhex(F.sha2(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.lit(":"), F.length("role").cast("string"), F.lit(":"), "role", "text"), 256))
 
 
-PART = """conv_id {kind}, part long, edge boolean, matrix array<struct<i:int,j:int,cost:long,audit:string>>,
+#: Ids and turns are strings in here: beside nulls pandas would make floats of them, which aren't exact beyond 2^53.
+PART = """conv_id string, part long, edge boolean, matrix array<struct<i:int,j:int,cost:long,audit:string>>,
     places array<struct<at:long,copies:array<long>>>, blank long, duplicate long, truncated long, illegal long,
-    first string, last string, low long, high long, turns long"""
+    first string, last string, low string, high string, turns long"""
 LEGAL = {"su", "ua", "au"}
 
 
@@ -166,7 +167,7 @@ def _summary(conv: object, rows: list[tuple]) -> dict:
             turns.add(t)
     return {
         "conv_id": conv, "part": rows[0][0] >> 33, "matrix": _packed(product(matrices)), "places": [{"at": rows[0][0], "copies": [r[4] for r in rows]}],
-        **counts, "illegal": illegal, "first": rows[0][2], "last": rows[-1][2], "low": min(turns, default=None), "high": max(turns, default=None), "turns": len(turns),
+        **counts, "illegal": illegal, "first": rows[0][2], "last": rows[-1][2], "low": str(min(turns)) if turns else None, "high": str(max(turns)) if turns else None, "turns": len(turns),
     }
 
 
@@ -180,11 +181,11 @@ def _merged(parts: list[dict]) -> dict:
             out[c] += p[c]
         out["illegal"] += out["last"] + p["first"] not in LEGAL
         out["last"] = p["last"]
-        low, high = _whole(p["low"]), _whole(p["high"])
+        low = _whole(p["low"])
         if low is not None:
             known = _whole(out["high"])
             out["turns"] -= known == low
-            out["low"], out["high"] = low if known is None else out["low"], high
+            out["low"], out["high"] = p["low"] if known is None else out["low"], p["high"]
     return out
 
 
@@ -192,7 +193,7 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     columns = ["conv_id", "part", "edge", "matrix", "places", "blank", "duplicate", "truncated", "illegal", "first", "last", "low", "high", "turns"]
     frame = pd.DataFrame(rows, columns=columns)
     for c in ("conv_id", "low", "high"):
-        frame[c] = frame[c].astype(object).where(frame[c].notna(), None) if c == "conv_id" else frame[c].map(_whole).astype("Int64")
+        frame[c] = pd.Series([r[c] for r in rows], dtype=object)
     return frame
 
 
@@ -229,7 +230,7 @@ def _told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cost, audit = cheapest(_unpacked(p["matrix"]))
             low, high = _whole(p["low"]), _whole(p["high"])
             gaps = 0 if low is None else high - low + 1 - p["turns"]
-            rows.append({"conv_id": p["conv_id"], "gaps": gaps, **{c: p[c] for c in ("blank", "duplicate", "truncated", "illegal")}, "cost": cost, "audit": audit, "places": p["places"]})
+            rows.append({"conv_id": None if _missing(p["conv_id"]) else p["conv_id"], "gaps": gaps, **{c: p[c] for c in ("blank", "duplicate", "truncated", "illegal")}, "cost": cost, "audit": audit, "places": p["places"]})
         yield pd.DataFrame(rows, columns=["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "places"])
 
 
@@ -255,7 +256,7 @@ def _edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at_of.append(None if edit == "I" else at)
                 roles.append(None if edit == "K" else "user" if state == USER else "assistant")
                 out += 1
-        yield pd.DataFrame({"conv_id": pd.Series(conv_id, dtype=object), "position": position, "at": pd.Series(at_of, dtype="Int64"), "new_role": pd.Series(roles, dtype=object)})
+        yield pd.DataFrame({"conv_id": pd.Series(conv_id, dtype=object), "position": position, "at": pd.array(at_of, dtype="Int64"), "new_role": pd.Series(roles, dtype=object)})
 
 
 def _is_system(audit: str) -> bool:
@@ -271,9 +272,8 @@ def _plain(rows: DataFrame) -> DataFrame:
 def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows with conv_id, turn, role and text: the conversations (faults, cost, audit), and the ordered distinct rows."""
     kind = rows.schema["conv_id"].dataType.simpleString()
-    ordered = _ordered(_plain(rows))
-    schema = PART.format(kind=kind)
-    narrow = ordered.select("conv_id", "at", "turn", F.substring("role", 1, 1).alias("initial"), "fault", "copies")
+    ordered, schema = _ordered(_plain(rows)), PART
+    narrow = ordered.select(F.col("conv_id").cast("string").alias("conv_id"), "at", F.col("turn").cast("string").alias("turn"), F.substring("role", 1, 1).alias("initial"), "fault", "copies")
     parts = materialise(narrow.mapInPandas(_stretches, schema))
     edges = parts.filter("edge")  # two a partition at most
     # a conversation with one part needs no tree
@@ -285,8 +285,8 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         tree = materialise(tree.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("conv_id", "part").applyInPandas(_merge_group, schema))
         top //= FAN
     whole = parts.filter("not edge").unionByName(joined.filter("n is null").select(*parts.columns)).unionByName(tree)
-    told = f"conv_id {kind}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, places array<struct<at:long,copies:array<long>>>"
-    return materialise(whole.mapInPandas(_told, told)), ordered
+    told = "conv_id string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, places array<struct<at:long,copies:array<long>>>"
+    return materialise(whole.mapInPandas(_told, told).withColumn("conv_id", F.col("conv_id").cast(kind))), ordered
 
 
 def _merge_group(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -297,7 +297,8 @@ def _merge_group(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 def repaired(rows: DataFrame, told: DataFrame, ordered: DataFrame) -> DataFrame:
     """conv_id, position, role and text of what the repairs leave; inserted rows have an empty text."""
     kind = rows.schema["conv_id"].dataType.simpleString()
-    edits = materialise(told.select("conv_id", "audit", "places").mapInPandas(_edits, f"conv_id {kind}, position long, at long, new_role string"))
+    named = told.select(F.col("conv_id").cast("string").alias("conv_id"), "audit", "places")
+    edits = materialise(named.mapInPandas(_edits, "conv_id string, position long, at long, new_role string").withColumn("conv_id", F.col("conv_id").cast(kind)))
     kept = edits.filter("at is not null").join(ordered.select("at", "role", "key"), "at")
     texts = _plain(rows).select(_key().alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
     stay = kept.join(texts, "key").select("conv_id", "position", F.coalesce("new_role", "role").alias("role"), "text")
@@ -308,7 +309,7 @@ def conversation_digests(rows: DataFrame) -> DataFrame:
     """SHA-256 of each conversation's ``role:text`` lines, joined by newlines; sorted lines are read one at a time."""
     text_batches(rows.sparkSession)
     kind = rows.schema["conv_id"].dataType.simpleString()
-    lines = rows.select("conv_id", "position", F.concat("role", F.lit(":"), "text").cast("binary").alias("line"))
+    lines = rows.select(F.col("conv_id").cast("string").alias("conv_id"), "position", F.concat("role", F.lit(":"), "text").cast("binary").alias("line"))
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, state = None, None
@@ -326,4 +327,4 @@ def conversation_digests(rows: DataFrame) -> DataFrame:
         if state is not None:
             yield pd.DataFrame({"conv_id": pd.Series([conv], dtype=object), "sha256": [state.hexdigest()]})
 
-    return lines.repartition("conv_id").sortWithinPartitions("conv_id", "position").mapInPandas(digest, f"conv_id {kind}, sha256 string")
+    return lines.repartition("conv_id").sortWithinPartitions("conv_id", "position").mapInPandas(digest, "conv_id string, sha256 string").withColumn("conv_id", F.col("conv_id").cast(kind))

@@ -135,6 +135,14 @@ def test_empty_and_clashing(spark):
     assert sorted((r.position, r.role, r.text) for r in repaired(rows, told, ordered).collect()) == [(0, "user", "a."), (1, "assistant", "")]
 
 
+def test_large_ids_beside_nulls_stay_exact(spark):
+    big = 2**60 + 1
+    rows = spark.createDataFrame([(c, t, r, x) for c in (big, big + 1, None) for t, r, x in ((None, "user", "a."), (big, "assistant", "b."), (big + 1, "user", "c."))], SCHEMA)
+    got = collected(rows)
+    want = run_plainly([(None, "user", "a."), (big, "assistant", "b."), (big + 1, "user", "c.")])
+    assert got == {big: want, big + 1: want, None: want} and want[0] == 0
+
+
 def test_sql_gives_the_same(spark, tmp_path):
     rng = random.Random(7)
     convs = {c: conversation(rng, rng.randrange(1, 9)) for c in [None, *range(80)]} | {900: [(1, "user", "lost.")] * 2}

@@ -63,6 +63,8 @@ class ScanMemo:
 
     def ask(self, blobs: DataFrame) -> DataFrame:
         """Scans (file_hash, ok, error, findings) of blobs (file_hash, content), one row a hash."""
+        if blobs.isEmpty():  # nothing is asked, and before the first question there is nothing to read
+            return self.spark.createDataFrame([], SCHEMAS["scans"])
         name = uuid.uuid4().hex
         blobs.dropDuplicates(["file_hash"]).select(F.lit(name).alias("ask"), "file_hash", "content").write.mode("append").parquet(f"{self.folder}/asked")
         settings = {STORE: ROCKS, "spark.sql.shuffle.partitions": str(self.parts)}

@@ -25,6 +25,7 @@ def test_a_blob_is_scanned_once_over_all_questions(spark, tmp_path):
     calls, check = counted(spark)
     blobs = lambda *names: spark.createDataFrame([(n, bytearray(n, "utf8")) for n in names], "file_hash string, content binary")
     memo = ScanMemo(spark, str(tmp_path), check, parts=2)
+    assert memo.ask(blobs("a").filter("false")).count() == 0
     assert {(r.file_hash, r.ok, r.findings[0].ident) for r in memo.ask(blobs("a", "b", "a")).collect()} == {("a", True, "a"), ("b", True, "b")}
     assert calls.value == 2
     again = {r.file_hash: r for r in memo.ask(blobs("b", "c", "bad")).collect()}

@@ -220,15 +220,18 @@ def lookup(wanted: DataFrame, table: str, base: str, rate: float | None = None,
     return spark.read.format("forge").options(**given).load()
 
 
-def read_through(wanted: DataFrame, cache: DataFrame, keys: list[str], fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def read_through(wanted: DataFrame, cache: DataFrame, keys: list[str], fetch: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, new entries): cached answers, and those that ``fetch`` gives for the keys that the cache lacks.
 
-    Keys that get none become negative entries (``missing``). The new entries are the caller's to append to the cache.
+    Keys that get none become negative entries (``missing``). The new entries are handed to ``keep``, such as
+    ``lambda new: catalog.append(name, new)``, so that nobody asks for them again; without it that is the caller's.
     """
     known, todo = with_cache(wanted, cache, keys)
     todo = settle(todo)
     got = todo.join(fetch(todo).withColumn("missing", F.lit(False)), keys, "left")
     new = settle(got.withColumn("missing", F.coalesce("missing", F.lit(True))).select(cache.columns))
+    if keep is not None:
+        keep(new)
     return known.select(cache.columns).unionByName(new), new
 
 

@@ -9,7 +9,9 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
-from driftwell.sources.remote import Throttle, lookup
+from driftwell.catalog import Catalog
+from driftwell.schemas import SCHEMAS
+from driftwell.sources.remote import Throttle, lookup, read_through
 
 
 @pytest.fixture
@@ -74,3 +76,16 @@ def test_a_limit_is_shared(spark, server):
     began = time.monotonic()
     assert lookup(keys, "repos", base, rate=8.0, files=2).count() == 8
     assert time.monotonic() - began > 0.6 and len(asked) == 8
+
+
+def test_new_entries_are_kept(spark, server, tmp_path):
+    """What the forge was asked for once, an answer or none, isn't asked for again."""
+    base, asked = server
+    cat, keys = Catalog(spark, str(tmp_path)), ["repository", "ref", "path"]
+    wanted = spark.createDataFrame([("o/r", "v1", "f.yml"), ("o/r", "v1", "none.yml")], "repository string, ref string, path string")
+    fetch = lambda todo: lookup(todo, "file_at_ref", base, files=1).filter("not missing").drop("missing")
+    ask = lambda: read_through(wanted, cat.log("file_at_ref"), keys, fetch, lambda new: cat.append("file_at_ref", new))[0].collect()
+    first = sorted((r.path, r.missing) for r in ask())
+    assert first == [("f.yml", False), ("none.yml", True)] and len(asked) == 2
+    assert sorted((r.path, r.missing) for r in ask()) == first and len(asked) == 2
+    assert set(cat.log("file_at_ref").columns) == {c.split()[0] for c in SCHEMAS["file_at_ref"].split(", ")}

@@ -180,6 +180,37 @@ def history_summary(cat: Catalog, a: argparse.Namespace) -> Report:
     return [status, reasons, history.lag_summary(late), places, history.lag_histogram(late), by_ident, history.true_backports(branches, [*COMMIT, "branch"]).drop("V_fixed_idents"), history.lag_cluster(branches)]
 
 
+def compare_filters(cat: Catalog, a: argparse.Namespace) -> Report:
+    """How many commits each of the clean-fix predicates takes."""
+    judged = settle(diffs.file_findings(diffs.join_scans(_files(cat), cat.read("scans"))))
+    side = lambda c, name: judged.select(*COMMIT, F.explode(c).alias("_f")).select(*COMMIT, "_f.ident", F.lit(name).alias("side"))
+    found = diffs.fix_variants(side("V_fixed", "fixed").unionAll(side("V_introduced", "introduced")), COMMIT)
+    return found.agg(*[F.count_if(c).alias(c) for c in ("strict", "loose_a", "loose_b", "loose_c")])
+
+
+def drill_gaps(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Where the gaps are: the headline, then repositories, branches and rules with most of them."""
+    audits = settle(cat.read("gaps"))
+    open_ = settle(audits.filter(F.col("verdict") == gaps.GAP))
+    repositories = open_.groupBy("repository").agg(F.count("*").alias("n_gaps"), F.countDistinct("commit_hash").alias("n_commits"))
+    branches = open_.groupBy("branch").agg(F.count("*").alias("n_gaps"))
+    rules = open_.select(F.explode(F.array_distinct("idents_present")).alias("ident")).groupBy("ident").agg(F.count("*").alias("n_gaps"))
+    return [gaps.headline(audits), *[reports.ranked(rows, "n_gaps", [key], a.top) for rows, key in ((repositories, "repository"), (branches, "branch"), (rules, "ident"))]]
+
+
+def cross_rules(cat: Catalog, a: argparse.Namespace) -> Report:
+    """Rules against what became of them: commits that fix them, pairs fixed together, statuses of back-ports, rates of gaps."""
+    fixed = settle(cat.read("clean_fix_meta").select(*COMMIT, F.explode(F.array_distinct("V_fixed_idents")).alias("ident")))
+    of = lambda verdict, idents: cat.read("gaps").filter(F.col("verdict") == verdict).select(F.explode(F.array_distinct(idents)).alias("ident"))
+    by_status = _branches(cat).select(F.explode(F.array_distinct("V_fixed_idents")).alias("ident"), "refined")
+    return [
+        reports.ranked(fixed.groupBy("ident").agg(F.count("*").alias("n_commits")), "n_commits", ["ident"], a.top),
+        reports.ranked(reports.co_occurrence(fixed, COMMIT, "ident"), "n", ["a", "b"], a.top),
+        reports.cross_tab(by_status, "ident", "refined", ["true_backport", "same_day_fix", "independent_prior_fix"]).orderBy("ident"),
+        reports.gap_rate(of(gaps.GAP, "idents_present"), of(gaps.FIXED, "V_fixed_idents"), "ident").orderBy("ident"),
+    ]
+
+
 def stream_all(cat: Catalog, a: argparse.Namespace) -> Report:
     """Take up the index's new files batch by batch.
 
@@ -334,7 +365,7 @@ def self_check(cat: Catalog, a: argparse.Namespace) -> Report:
 COMMANDS = {
     "sample": sample, "diffs": make_diffs, "scan": scan, "clean-fixes": clean_fixes, "patterns": patterns, "match": match, "pipeline": pipeline,
     "classify": classify, "refilter": refilter, "find-gaps": find_gaps, "gaps-summary": gaps_summary, "classify-history": classify_history,
-    "history-summary": history_summary, "stream-all": stream_all, "import": import_tag, "compile": compile_programs, "backport": backport, "capability": capability, "reproduce": reproduce, "compare-generators": compare_generators,
+    "history-summary": history_summary, "compare-filters": compare_filters, "drill-gaps": drill_gaps, "cross-rules": cross_rules, "stream-all": stream_all, "import": import_tag, "compile": compile_programs, "backport": backport, "capability": capability, "reproduce": reproduce, "compare-generators": compare_generators,
     "apply": apply_one, "oracle": oracle, "selfcheck": self_check,
 }
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import commit_folder, equality_step
+from ..functions.dealing import spread
 from ..functions.trees import equality_key, kind_of, parse, walk
 from .gaps import GAP
 from .reports import outcome_bucket
@@ -61,7 +62,7 @@ def tree_text(rows: DataFrame, keys: list[str], text: str, name: str) -> DataFra
         for batch in batches:
             yield batch[keys].assign(**{name: batch["_text"].map(canonical)})
 
-    return rows.select(*keys, F.col(text).alias("_text")).mapInPandas(run, f"{schema}, `{name}` string")
+    return spread(rows.select(*keys, F.col(text).alias("_text"))).mapInPandas(run, f"{schema}, `{name}` string")
 
 
 def compare_with_human(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import split_action
+from ..functions.dealing import spread
 
 
 def changed_block(before: str, after: str) -> tuple[list[str], list[str], int]:
@@ -52,7 +53,7 @@ def copy_paste(rows: DataFrame, keys: list[str]) -> DataFrame:
             done = [replay_hunk(b or "", a or "", t or "") for b, a, t in zip(batch["before"], batch["after"], batch["target"], strict=True)]
             yield batch[keys].assign(patched_text=[d[0] for d in done], status=[d[1] for d in done])
 
-    return rows.select(*keys, "before", "after", "target").mapInPandas(run, f"{schema}, patched_text string, status string")
+    return spread(rows.select(*keys, "before", "after", "target")).mapInPandas(run, f"{schema}, patched_text string, status string")
 
 
 def outputs(rows: DataFrame, keys: list[str], patched: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import SHA, split_action, value_sketch
+from ..functions.dealing import spread
 from ..functions.trees import rewrite
 from .diffs import diff_path_maps
 from .lineage import settle
@@ -190,7 +191,7 @@ def patched_texts(targets: DataFrame, judged: DataFrame, target: list[str], keys
                 done.append(rewrite(body or "", steps) if steps else body)
             yield batch[keys].assign(patched_text=done)
 
-    return rows.mapInPandas(write, f"{schema}, patched_text string")
+    return spread(rows).mapInPandas(write, f"{schema}, patched_text string")
 
 
 def apply_programs(edits: DataFrame, pairs: DataFrame, texts: DataFrame, nodes: DataFrame, program: list[str], target: list[str], pins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

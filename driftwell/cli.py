@@ -97,7 +97,7 @@ def _templates(cat: Catalog, clean: DataFrame | None = None) -> DataFrame:
     clean = settle(cat.read("clean_fix_meta") if clean is None else clean)
     files = settle(_files_of(clean))
     nodes = chain.parsed(tables.blob_texts(cat.read("blobs").join(sampling.distinct_blobs(files), "file_hash", "left_semi")))
-    return settle(chain.templates_of(clean, chain.document_changes(files, nodes)))
+    return settle(chain.templates_of_files(clean, files, nodes))
 
 
 def patterns(cat: Catalog, a: argparse.Namespace) -> Report:

@@ -6,6 +6,7 @@ Every step is a DataFrame over all commits of the run; the commands and the incr
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -31,9 +32,32 @@ def _sides(files: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return both.join(rows, "file_hash").drop("file_hash")
 
 
+#: What the changes of a file depend on.
+PAIR = ["previous_file_hash", "file_hash"]
+
+
+def by_content(files: DataFrame, keys: list[str], content: list[str], work: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """``work(files, keys)``, done once for each different content: many commits hold the same pair of blobs.
+
+    work gives rows under the keys that it gets, and for a file looks at ``content`` alone. Files listed more than once
+    under their keys are worked on as they are, so that it sees their rows together.
+    """
+    counted = files.select(*keys, *content).withColumn("_listed", F.count("*").over(Window.partitionBy(*keys)))
+    once, more = counted.filter("_listed = 1").drop("_listed"), counted.filter("_listed > 1").drop("_listed")
+    names = [f"_content{i}" for i in range(len(content))]
+    kinds = once.select(*content).distinct()
+    found = work(kinds.select("*", *[F.col(c).alias(n) for c, n in zip(content, names)]), names)
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(content, names)])
+    rest = [c for c in found.columns if c not in names]
+    return once.join(found, same).select(*keys, *rest).unionByName(work(more, keys))
+
+
 def document_changes(files: DataFrame, nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, path, change, old, new, old_kind, new_kind) between the two versions of each file."""
-    keys = keys or FILE
+    return by_content(files, keys or FILE, PAIR, lambda rows, by: _changes(rows, nodes, by))
+
+
+def _changes(files: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     leaves = nodes.filter(~F.col("kind").isin("map", "list")).select("file_hash", route_of(F.col("segments")).alias("path"), F.struct("eq", "value", "kind").alias("leaf"))
     found = diffs.path_changes(_sides(files, leaves, keys), keys, equal="eq")
     text = lambda c: scalar_text(F.col(f"{c}.value"), F.col(f"{c}.kind"))
@@ -76,9 +100,19 @@ def fix_files(clean: DataFrame) -> DataFrame:
 
 def templates_of(clean: DataFrame, changes: DataFrame) -> DataFrame:
     """(COMMIT, fixes, template_lines, template_hash) of clean fixes; one without changes has the template of no lines."""
+    return _with_sets(clean, clusters.commit_templates(changes.join(clean.select(*COMMIT), COMMIT, "left_semi"), COMMIT).drop("template_hash"))
+
+
+def templates_of_files(clean: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``templates_of`` the changes of files (FILE and both hashes) of clean fixes; a pair's lines are made once."""
+    lines = by_content(files, FILE, PAIR, lambda rows, by: clusters.commit_templates(_changes(rows, nodes, by), by).drop("template_hash"))
+    bags = lines.groupBy(*COMMIT).agg(F.array_sort(F.flatten(F.collect_list("template_lines"))).alias("template_lines"))
+    return _with_sets(clean, bags)
+
+
+def _with_sets(clean: DataFrame, bags: DataFrame) -> DataFrame:
     keys = clean.select(*COMMIT, set_key(F.col("V_fixed_idents")).alias("fixes"))
-    found = clusters.commit_templates(changes.join(keys.select(*COMMIT), COMMIT, "left_semi"), COMMIT)
-    met = keys.join(found, COMMIT, "left").withColumn("template_lines", F.coalesce("template_lines", F.array().cast("array<string>")))
+    met = keys.join(bags, COMMIT, "left").withColumn("template_lines", F.coalesce("template_lines", F.array().cast("array<string>")))
     return met.withColumn("template_hash", clusters.template_digest(F.col("template_lines")))
 
 
@@ -113,21 +147,26 @@ def classify_hosts(files: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
 
     A file that fixed nothing, or wasn't scanned, is structural.
     """
+    fixed = files.filter(F.size("V_fixed") > 0)
+    kinds = by_content(fixed, FILE, [*PAIR, "V_fixed"], lambda rows, by: _host_kinds(rows, nodes, by))
+    rest = files.filter(F.coalesce(F.size("V_fixed"), F.lit(-1)) < 1).select(*FILE, F.lit(hosts.STRUCTURAL).alias("kind"), F.lit(0).cast("long").alias("n_findings"), F.lit(0).cast("long").alias("n_survived"))
+    by_file = settle(kinds.select(*FILE, "kind", "n_findings", "n_survived").unionByName(rest))
+    return by_file, hosts.commit_kind(by_file, COMMIT)
+
+
+def _host_kinds(fixed: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, n_findings, n_survived) of files that fixed something."""
     depth, seg = F.size("segments"), lambda i: F.try_element_at("segments", F.lit(i))
     under = nodes.filter((depth > 1) & (seg(1) == "jobs"))
     jobs = under.filter(depth == 2).select("file_hash", seg(2).alias("job"), F.col("ordinal").alias("position"))
     step = under.filter((depth == 4) & (seg(3) == "steps"))
     steps = step.select("file_hash", seg(2).alias("job"), F.regexp_extract("route", r"\[(\d+)\]$", 1).cast("int").alias("step"), F.regexp_replace(F.substr(seg(4), F.lit(2)), r"~\d+\]$", "").alias("identity"))
     services = under.filter((depth == 4) & (seg(3) == "services")).select("file_hash", seg(2).alias("job"), seg(4).alias("service"))
-    fixed = files.filter(F.size("V_fixed") > 0)
-    of = lambda rows, c: fixed.select(*FILE, F.col(c).alias("file_hash")).join(rows, "file_hash").drop("file_hash")
-    findings = fixed.select(*FILE, F.explode("V_fixed").alias("_v")).select(*FILE, "_v.ident", "_v.route")
+    of = lambda rows, c: fixed.select(*keys, F.col(c).alias("file_hash")).join(rows, "file_hash").drop("file_hash")
+    findings = fixed.select(*keys, F.explode("V_fixed").alias("_v")).select(*keys, "_v.ident", "_v.route")
     old, new = "previous_file_hash", "file_hash"
-    judged = hosts.host_survival(findings, of(steps, old), of(steps, new), of(jobs, old), of(jobs, new), of(services, new), FILE)
-    kinds = hosts.file_kind(judged, FILE)
-    rest = files.filter(F.coalesce(F.size("V_fixed"), F.lit(-1)) < 1).select(*FILE, F.lit(hosts.STRUCTURAL).alias("kind"), F.lit(0).cast("long").alias("n_findings"), F.lit(0).cast("long").alias("n_survived"))
-    by_file = settle(kinds.select(*FILE, "kind", "n_findings", "n_survived").unionByName(rest))
-    return by_file, hosts.commit_kind(by_file, COMMIT)
+    judged = hosts.host_survival(findings, of(steps, old), of(steps, new), of(jobs, old), of(jobs, new), of(services, new), keys)
+    return hosts.file_kind(judged, keys)
 
 
 def export_names(clean: DataFrame) -> DataFrame:

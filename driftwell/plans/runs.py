@@ -98,7 +98,7 @@ ct AS (SELECT clean.o, clean.fixes, sha256(body) AS template_hash, body FROM cle
 
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = settle(_clean(spark, sf_dir))
-    return settle(chain.templates_of(clean, chain.document_changes(chain.fix_files(clean), _nodes(spark))))
+    return settle(chain.templates_of_files(clean, chain.fix_files(clean), _nodes(spark)))
 
 
 @query(CTE + LINES + """

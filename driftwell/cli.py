@@ -60,7 +60,7 @@ def make_diffs(cat: Catalog, a: argparse.Namespace) -> Report:
     files = settle(_files(cat))
     texts = tables.blob_texts(cat.read("blobs").join(sampling.distinct_blobs(files), "file_hash", "left_semi"))
     nodes = chain.parsed(texts)
-    cat.replace("diffs", chain.usable_diffs(chain.diff_rows(files, nodes, chain.document_changes(files, nodes))))
+    cat.replace("diffs", chain.usable_diffs(chain.diff_rows(files, nodes)))
     return cat.read("diffs").agg(F.count("*").alias("n_file_diffs"), F.countDistinct(*COMMIT).alias("n_commits"))
 
 

@@ -64,15 +64,20 @@ def _changes(files: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, "path", "change", text("old").alias("old"), text("new").alias("new"), F.col("old.kind").alias("old_kind"), F.col("new.kind").alias("new_kind"))
 
 
-def diff_rows(files: DataFrame, nodes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rows of the table ``diffs``: a file's changes as maps, and whether neither version could be read.
-
-    A file's own changes are one row's maps; leaves of one file are few.
-    """
+def _change_maps(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, added, removed, changed): a file's own changes are one row's maps; leaves of one file are few."""
     pairs = lambda kind, value: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("change") == kind, F.struct("path", value.alias("v"))))))
-    maps = changes.groupBy(*FILE).agg(
+    return changes.groupBy(*keys).agg(
         pairs("added", F.col("new")).alias("added"), pairs("removed", F.col("old")).alias("removed"), pairs("changed", F.array("old", "new")).alias("changed")
     )
+
+
+def diff_rows(files: DataFrame, nodes: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """Rows of the table ``diffs``: a file's changes as maps, and whether neither version could be read.
+
+    Without ``changes`` the maps are made once for each pair of blobs.
+    """
+    maps = by_content(files, FILE, PAIR, lambda rows, by: _change_maps(_changes(rows, nodes, by), by)) if changes is None else _change_maps(changes, FILE)
     read = nodes.filter(~F.col("kind").isin("map", "list")).select("file_hash").distinct().withColumn("_read", F.lit(True))
     before = read.select(F.col("file_hash").alias("previous_file_hash"), F.col("_read").alias("_before"))
     met = files.join(maps, FILE, "left").join(before, "previous_file_hash", "left").join(read, "file_hash", "left")

@@ -80,7 +80,7 @@ SELECT k::BIGINT AS k, a::BIGINT AS n_added, r::BIGINT AS n_removed, c::BIGINT A
 def diff_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the table of diffs; one version that can't be read gives removals, and none is left out."""
     files, nodes = _files(spark, sf_dir), _nodes(spark)
-    rows = chain.usable_diffs(chain.diff_rows(files, nodes, chain.document_changes(files, nodes)))
+    rows = chain.usable_diffs(chain.diff_rows(files, nodes))
     sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("added", "removed", "changed")]
     return rows.select(_number("file_hash").alias("k"), *sizes).groupBy("k", "n_added", "n_removed", "n_changed").agg(F.count("*").alias("n"))
 

@@ -101,7 +101,7 @@ def process_batch(catalog: Catalog, scans: Callable[[DataFrame], DataFrame], tex
         scanned = out["scans"] = settle(scans(blobs))
         held = settle(texts(blobs))
         nodes = chain.parsed(held)
-        out["diffs"] = settle(chain.usable_diffs(chain.diff_rows(files, nodes, chain.document_changes(files, nodes))))
+        out["diffs"] = settle(chain.usable_diffs(chain.diff_rows(files, nodes)))
 
         clean = settle(chain.clean_commits(files, scanned))
         fixed = settle(chain.fix_files(clean))

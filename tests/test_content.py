@@ -33,6 +33,8 @@ def test_changes_and_templates_are_those_of_every_file_by_itself(spark):
     clean = files.select(*chain.COMMIT, F.array(F.lit("rule")).alias("V_fixed_idents")).distinct()
     told = [sorted(map(str, t.collect())) for t in (chain.templates_of(clean, plain), chain.templates_of_files(clean, files, nodes))]
     assert told[0] == told[1]
+    rows = [sorted(map(str, r.collect())) for r in (chain.diff_rows(files, nodes, plain), chain.diff_rows(files, nodes))]
+    assert rows[0] == rows[1]
 
 
 def test_kinds_of_hosts_are_those_of_every_file_by_itself(spark):

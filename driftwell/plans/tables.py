@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.dealing import dealt_by
 from ..operators.diffs import consecutive_sides, finding_changes
 
 
@@ -47,4 +48,5 @@ def shipping_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
+    lines, orders = dealt_by("l_orderkey", lines, orders)
     return lines.join(orders, "l_orderkey").select("l_orderkey", "l_suppkey", days_between(F.col("o_orderdate"), F.col("l_shipdate")).alias("lag_days"))

@@ -6,6 +6,7 @@ import json
 import random
 
 import pytest
+import yaml
 
 from driftwell.functions import syntax
 from driftwell.functions.syntax import document_tokens, load, read
@@ -168,3 +169,25 @@ def test_tokens_cover_the_text(spark):
         assert source.split("\n")[r.line][r.column :].startswith(piece.split("\n")[0])
     assert [(r.document, r.path, r.value) for r in got if r.k == 4 and r.kind == "scalar"] == [(0, ["a"], "a"), (0, ["a"], "1"), (1, ["[0]"], "x")]
     assert len(read(WORKFLOW)) == 1 and syntax.locate(read(WORKFLOW)[0], ["services", "db", "mode"]).text == "0755"
+
+
+@pytest.mark.parametrize("text", ["", "a: b", "on: push\njobs:\n  main:\n    steps:\n      - uses: a/b@v1 # pin\n      - run: |\n          make\n\n      - run: echo ${{ x.y }}\n  other:\n", "a: 'q'\nb: \"w\\n\"\nc: &x d\ne: *x\n<<: *x\n", "- \n-  - a\n   - b\n", "a: >-\n  b\n\n  c\n# end\n"])
+def test_libyaml_reads_plain_texts_alike(text):
+    """Texts that it is trusted with give the events of PyYAML's own parser, places included."""
+    assert syntax.ALIKE.fullmatch(text)
+    told = lambda events: [(type(e), getattr(e, "value", None), getattr(e, "implicit", None), getattr(e, "anchor", None), getattr(e, "style", None) or "", e.start_mark.index, e.end_mark.index) for e in events]
+    assert told(syntax.events_of(text)) == told(yaml.parse(text, Loader=syntax.Core))
+    assert not yaml.__with_libyaml__ or syntax.events_of(text)[0].start_mark.buffer is None
+
+
+@pytest.mark.parametrize("text", ["? a", "{b: }", "a: !t b", "%YAML 1.2\n---\na: b", "﻿a: b", "1\t", "a: >#_", "a: é", "a: [b]"])
+def test_libyaml_is_kept_from_other_texts(text):
+    assert not syntax.ALIKE.fullmatch(text)
+
+
+def test_rewrite_makes_values_once_for_each_text(monkeypatch):
+    made, values = [], syntax.Parsed.values
+    monkeypatch.setattr(syntax.Parsed, "values", lambda self, *a: made.append(self.text) or values(self, *a))
+    steps = [([], "set", "a", "1", None), ([], "set", "b", "2", None), ([], "remove", "c", None, None)]
+    assert rewrite("a: 0\nc: 3\n", steps) == "a: 1\nb: 2\n"
+    assert len(made) == len(set(made)) == 4

@@ -67,13 +67,25 @@ def join_scans(files: DataFrame, scans: DataFrame) -> DataFrame:
     return joined.withColumn("scan_status", F.when(F.col("before").isNull() | F.col("after").isNull(), "incomplete").otherwise("ok"))
 
 
+def identities(findings: Column) -> Column:
+    """What of findings is compared between versions."""
+    return F.array_distinct(F.transform(findings, lambda f: F.struct(f["ident"].alias("ident"), F.coalesce(f["route"], F.lit("")).alias("route"))))
+
+
 def file_findings(scanned: DataFrame) -> DataFrame:
     """What each well-scanned file-diff fixed and introduced, by arrays alone: no shuffle."""
-    keys = lambda c: F.array_distinct(F.transform(c, lambda f: F.struct(f["ident"].alias("ident"), F.coalesce(f["route"], F.lit("")).alias("route"))))
+    return _compared(scanned.withColumns({c: identities(F.col(c)) for c in ("before", "after")}))
+
+
+def judged_files(files: DataFrame, scans: DataFrame) -> DataFrame:
+    """``file_findings`` of file-diffs and scans; what is compared is made once for each scan, before files meet it."""
+    return _compared(join_scans(files, scans.withColumn("findings", identities(F.col("findings")))))
+
+
+def _compared(scanned: DataFrame) -> DataFrame:
     ok = F.col("scan_status") == "ok"
-    none = keys(F.col("after")).isNull()
-    fixed = F.when(ok, F.array_sort(F.array_except(keys(F.col("before")), keys(F.col("after")))))
-    introduced = F.when(ok & ~none, F.array_sort(F.array_except(keys(F.col("after")), keys(F.col("before")))))
+    fixed = F.when(ok, F.array_sort(F.array_except("before", "after")))
+    introduced = F.when(ok & F.col("after").isNotNull(), F.array_sort(F.array_except("after", "before")))
     return scanned.withColumns({"V_fixed": fixed, "V_introduced": introduced}).drop("before", "after")
 
 

@@ -73,3 +73,26 @@ def test_scans_are_those_that_are_needed(spark):
 def test_nothing_to_walk(spark):
     got, want, scans, _ = walk(spark, {"b": []}, 4, 50)
     assert got == want == {"b": ("inconclusive", "no_scannable_history", None, None, None, "inconclusive")} and scans == 0
+
+
+@pytest.mark.parametrize("eager", [False, True])
+def test_commits_that_fixed_the_same_idents_share_their_walks(spark, monkeypatch, eager):
+    """A walk is made once for a file, branch and set of idents; each commit gets its answer, with its own lag."""
+    _, _, history, _, files = forge_of(spark, {"b": ["clean", "bad"], "c": ["clean"]}, ["perm"])
+    commits = [(f"c{i}", ["perm"] if i % 3 else ["other"], i + 1) for i in range(9)]
+    frame = lambda rows, name: spark.createDataFrame(rows, SCHEMAS[name])
+    audits = frame([("o/r", c, b, "main", "ok", i, FIXED, 0, []) for c, i, _ in commits for b in "bc"], "gaps")
+    clean = frame([("o/r", c, None, 1, i, 1, [("f.yml", "x", "y", "ok", [(i[0], "r")], [])]) for c, i, _ in commits], "clean_fix_meta")
+    info = frame([("o/r", c, f"2024-01-{d:02d}T00:00:00Z", "p") for c, _, d in commits], "commit_info")
+    walked, boundary = [], chain.history.history_boundary
+    monkeypatch.setattr(chain.history, "history_boundary", lambda rows, entity, *a: walked.append(rows.select(*entity).distinct().count()) or boundary(rows, entity, *a))
+    check = lambda content: [{"ident": "perm", "route": "r"}] if content.startswith(b"bad") else []
+    if eager:
+        found = chain.branch_histories(audits, clean, history, files, scanner.scan(files.select(F.col("blob_sha").alias("file_hash"), "content"), check), info)
+    else:
+        fetch = lambda asked: files.withColumnRenamed("ref", "commit_sha").join(asked, ["repository", "commit_sha", "path"], "left_semi")
+        found, _ = chain.rounds_of_histories(audits, clean, history, info, fetch, lambda b: scanner.scan(b, check))
+    assert walked == [4]
+    got = {(r.commit_hash, r.branch): (r.status, r.backport_version, r.lag_days) for r in found.collect()}
+    want = {(c, b): ("confirmed_backport", "b0", 28.0 - d) if b == "b" and i == ["perm"] else ("never_had_it", None, None) for c, i, d in commits for b in "bc"}
+    assert got == want

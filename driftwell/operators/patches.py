@@ -40,6 +40,11 @@ def _prefixes(segments: Column, least: int = 1) -> Column:
     return F.when(F.size(segments) > least, F.transform(F.sequence(F.lit(least), F.size(segments) - 1), lambda n: F.slice(segments, 1, n))).otherwise(F.array().cast("array<array<string>>"))
 
 
+def _elements(nodes: DataFrame) -> DataFrame:
+    """Nodes that are list elements: every element that a path leads through is a node itself."""
+    return nodes.filter(F.try_element_at("segments", F.lit(-1)).startswith("["))
+
+
 def _leaves(nodes: DataFrame, keys: list[str]) -> DataFrame:
     leaf = F.struct("eq", "value", "kind", "segments")
     return nodes.filter(~F.col("kind").isin("map", "list") & (F.size("segments") > 0)).select(*keys, name_of(F.col("segments")).alias("path"), leaf.alias("leaf"))
@@ -57,7 +62,7 @@ def compile_edits(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
     added, removed = changes.filter("change = 'added'"), changes.filter("change = 'removed'")
     turned = removed.filter(plain).select(*keys, "path", "segments").join(above(added), [*keys, "path"], "left_semi").withColumn("_to", F.lit("complex"))
     turned = turned.unionAll(added.filter(plain).select(*keys, "path", "segments").join(above(removed), [*keys, "path"], "left_semi").withColumn("_to", F.lit("scalar")))
-    whole = lambda n, c: n.select(*keys, name_of(F.col("segments")).alias("path"), F.col("value").alias(c), F.col("kind").alias(f"{c}_kind"))
+    whole = lambda n, c: n.filter(plain).select(*keys, name_of(F.col("segments")).alias("path"), F.col("value").alias(c), F.col("kind").alias(f"{c}_kind"))
     rewrites = turned.join(whole(before, "_old"), [*keys, "path"], "left").join(whole(after, "_new"), [*keys, "path"], "left")
     rewrites = settle(rewrites.filter(F.col("_new").isNotNull()))
     covered = changes.filter("change <> 'changed'").select(*keys, "path", "segments", F.explode(F.concat(_prefixes(F.col("segments")), F.array("segments"))).alias("_p"))
@@ -66,7 +71,7 @@ def compile_edits(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
 
     # List elements that only one side has can't be put in or taken out of a target's list.
     element = lambda c: c.select(*keys, "path", F.explode(F.concat(_prefixes(F.col("segments")), F.array("segments"))).alias("_p")).filter(F.try_element_at("_p", F.lit(-1)).startswith("[")).select(*keys, "path", name_of(anchor_pattern(F.col("_p"))).alias("_e"))
-    known = lambda n: element(n.select(*keys, F.lit("").alias("path"), "segments").filter(F.size("segments") > 0)).select(*keys, "_e").distinct()
+    known = lambda n: _elements(n).select(*keys, name_of(anchor_pattern(F.col("segments"))).alias("_e")).distinct()
     new = element(kept.filter("change = 'added'")).join(known(before), [*keys, "_e"], "left_anti").select(*keys, "path", F.lit("adds a list element").alias("_element"))
     gone = element(kept.filter("change = 'removed'")).join(known(after), [*keys, "_e"], "left_anti").select(*keys, "path", F.lit("removes a list element").alias("_element"))
     kept = kept.join(new.unionAll(gone).distinct(), [*keys, "path"], "left")
@@ -100,32 +105,32 @@ def resolve(edits: DataFrame, targets: DataFrame, program: list[str], target: li
     An edit without a site gives one row with a null route.
     """
     keys, targets = [*program, *[c for c in target if c not in program]], settle(targets)
-    patterns = targets.withColumn("_pattern", anchor_pattern(F.col("segments")))
-    element = lambda s: F.try_element_at(s, F.lit(-1)).startswith("[")
     # An element is weakly named if its list has others that look the same, or if only running identifies it.
-    alike = Window.partitionBy(*target, name_of(F.slice("segments", 1, F.greatest(F.size("segments") - 1, F.lit(0)))), F.try_element_at("_pattern", F.lit(-1)))
-    unsure = (F.size("segments") > 0) & element(F.col("segments")) & ((F.count("*").over(alike) > 1) | F.try_element_at("_pattern", F.lit(-1)).isin("[run]", "[anon]"))
-    named = patterns.withColumn("_unsure", F.coalesce(unsure, F.lit(False)))
-    doubtful = named.filter("_unsure").select(*target, name_of(F.col("segments")).alias("_e")).distinct()
-    # a place is known by its path: routes of keys that hold dots may be alike
-    places = named.select(*target, "segments", "path", name_of(F.col("path")).alias("_place"), "route", "kind", name_of(F.col("_pattern")).alias("_anchor"))
-    above = places.select(*target, "_place", F.explode(F.concat(_prefixes(F.col("segments")), F.array("segments"))).alias("_p")).select(*target, "_place", name_of(F.col("_p")).alias("_e"))
-    weak = above.join(doubtful, [*target, "_e"], "left_semi").select(*target, "_place", F.lit(True).alias("_weak")).distinct()
-    places = places.join(weak, [*target, "_place"], "left")
+    elements = _elements(targets).select(*target, "segments", "path", F.try_element_at(anchor_pattern(F.col("segments")), F.lit(-1)).alias("_last"))
+    alike = Window.partitionBy(*target, name_of(F.slice("segments", 1, F.size("segments") - 1)), "_last")
+    unsure = (F.count("*").over(alike) > 1) | F.col("_last").isin("[run]", "[anon]")
+    doubtful = elements.withColumn("_unsure", unsure).filter("_unsure").select(*target, name_of(F.col("path")).alias("_e"))
+    places = targets.select(*target, "path", "route", "kind", name_of(anchor_pattern(F.col("segments"))).alias("_anchor"))
 
     # Each prefix of an anchor whose rest is mapping keys: where it ends, the rest would have to be made.
     rest = F.filter(F.sequence(F.lit(0), F.size("anchor")), lambda n: ~F.exists(F.slice("anchor", n + 1, F.size("anchor")), lambda s: s.startswith("[") | s.startswith("$")))
     asked = edits.filter("review is null").withColumn("_n", F.explode(rest))
     asked = asked.withColumn("_anchor", F.array_join(F.slice("anchor", F.lit(1), F.col("_n")), SEP)).withColumn("missing", F.slice("anchor", F.col("_n") + 1, F.size("anchor")))
-    met = asked.join(places.select(*target, "path", "route", "kind", "_weak", "_anchor"), [*target, "_anchor"])
+    met = asked.join(places, [*target, "_anchor"])
     below = targets.select(*target, name_of(F.col("path")).alias("_child"), F.size("path").alias("_depth"), F.col("value").alias("_value"), F.col("kind").alias("_kind"))
     child = F.concat("path", F.array(F.coalesce(F.get("missing", F.lit(0)), F.col("key"))))
     met = met.withColumn("_child", name_of(child)).withColumn("_depth", F.size("path") + 1).join(below, [*target, "_child", "_depth"], "left")
     sites = met.filter((F.size("missing") == 0) | F.col("_kind").isNull())
-    sites = settle(sites.select(*keys, *EDIT, "path", "route", "missing", F.coalesce("_weak", F.lit(False)).alias("weak"), (F.col("kind") == "map").alias("is_map"), F.when(F.size("missing") == 0, F.col("_value")).alias("current")))
+    sites = settle(sites.select(*keys, *EDIT, "path", "route", "missing", (F.col("kind") == "map").alias("is_map"), F.when(F.size("missing") == 0, F.col("_value")).alias("current")))
+    # A place is known by its path (routes of keys that hold dots may be alike), and weak if that leads through such an element.
+    sites = sites.withColumn("_place", name_of(F.col("path")))
+    through = F.filter(F.concat(_prefixes(F.col("path")), F.array("path")), lambda p: F.try_element_at(p, F.lit(-1)).startswith("["))
+    above = sites.select(*target, "_place", F.explode(through).alias("_p")).select(*target, "_place", name_of(F.col("_p")).alias("_e"))
+    weak = above.join(doubtful, [*target, "_e"], "left_semi").select(*target, "_place", F.lit(True).alias("_weak")).distinct()
     nothing = edits.join(sites.select(*keys, "ordinal").distinct(), [*keys, "ordinal"], "left_anti")
     none = lambda t: F.lit(None).cast(t)
-    return sites.unionByName(nothing.select(*keys, *EDIT, none("array<string>").alias("path"), none("string").alias("route"), none("array<string>").alias("missing"), F.lit(False).alias("weak"), none("boolean").alias("is_map"), none("string").alias("current")))
+    found = sites.join(weak, [*target, "_place"], "left").select(*keys, *EDIT, "path", "route", "missing", F.coalesce("_weak", F.lit(False)).alias("weak"), "is_map", "current")
+    return found.unionByName(nothing.select(*keys, *EDIT, none("array<string>").alias("path"), none("string").alias("route"), none("array<string>").alias("missing"), F.lit(False).alias("weak"), none("boolean").alias("is_map"), none("string").alias("current")))
 
 
 def judge_sites(sites: DataFrame, pins: DataFrame | None = None) -> DataFrame:

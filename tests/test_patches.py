@@ -153,3 +153,17 @@ def test_rewrite_gives_the_tree_that_was_asked_for(text):
     want["a"].update(b="new: value", z={"k": [1, 2]})
     want["a"].pop("c", None)
     assert parse(got) == want
+
+
+def test_elements_are_nodes_of_their_own(spark):
+    """Compiling and resolving look at a document's list elements, not at every step of every path."""
+    found = patches._elements(nodes(spark, {"p": AFTER}, ["program"]))
+    assert sorted(r.path[-1] for r in found.collect()) == ["[0]", "[1]", "[2]"]
+
+
+def test_weak_is_what_lies_below_an_unsure_element(spark):
+    edits = compiled(spark, "jobs:\n  a:\n    steps:\n      - run: x\n        if: 1\n      - name: n\n        with:\n          k: 1\n", "jobs:\n  a:\n    steps:\n      - run: x\n        if: 2\n      - name: n\n        with:\n          k: 2\n")
+    target = nodes(spark, {"t": "jobs:\n  b:\n    steps:\n      - name: n\n        with:\n          k: 1\n      - run: y\n        if: 1\n"}, ["target"])
+    pairs = spark.createDataFrame([("p", "t")], "program string, target string")
+    sites = patches.resolve(edits.join(pairs, "program"), target, ["program"], ["target"]).collect()
+    assert sorted((s.key, s.route, s.weak, s.current) for s in sites) == [("if", "jobs.b.steps[1]", True, "1"), ("k", "jobs.b.steps[0].with", False, "1")]

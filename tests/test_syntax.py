@@ -191,3 +191,26 @@ def test_rewrite_makes_values_once_for_each_text(monkeypatch):
     steps = [([], "set", "a", "1", None), ([], "set", "b", "2", None), ([], "remove", "c", None, None)]
     assert rewrite("a: 0\nc: 3\n", steps) == "a: 1\nb: 2\n"
     assert len(made) == len(set(made)) == 4
+
+
+def told(read, text):
+    try:
+        return repr(read(text))
+    except (yaml.YAMLError, ValueError, RecursionError, KeyError) as e:
+        return type(e).__name__
+
+
+def test_values_of_plain_texts_are_those_of_pyyaml():
+    """libyaml's composer under Core's rules, on random texts; deep, shared and unreadable ones are among them."""
+    rng = random.Random(5)
+    pieces = ["a", "b: ", "- ", "\n", "\n  ", "\n    ", ": ", "0755", "0o17", "0x1F", "1_000", "1.5e3", ".inf", "yes", "true", "null", "~", "<<: ", "&x ", "*x", "'q'", '"w\\n"', " # c", "2024-01-01", "22:22", "|\n  ", "-\n"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(4000)]
+    texts += ["- " * n + "a" for n in (20, 31, 32, 33, 400)] + ["\n".join(" " * i + "k:" for i in range(n)) for n in (60, 70, 400)] + ["", "a: " + "9" * 5000, "a: 1\na: 2\n", "1: a\n'1': b\n"]
+    for text in texts:
+        assert told(load, text) == told(lambda t: syntax.Parsed(t).values(syntax.Core), text), text
+
+
+@pytest.mark.skipif(not yaml.__with_libyaml__, reason="no libyaml")
+def test_values_of_plain_texts_are_composed_by_libyaml(monkeypatch):
+    monkeypatch.setattr(syntax, "Parsed", None)  # events as Python objects, composed in Python
+    assert load("permissions: write-all\njobs:\n  main:\n    steps:\n      - uses: a/b@v1 # pin\n        n: 0755\n") == [{"permissions": "write-all", "jobs": {"main": {"steps": [{"uses": "a/b@v1", "n": 755}]}}}]

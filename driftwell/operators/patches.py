@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import SHA, split_action, value_sketch
 from ..functions.dealing import spread
-from ..functions.trees import rewrite
+from ..functions.trees import KEPT_CHARS, kept_rewrite, rewrite
 from .diffs import diff_path_maps
 from .lineage import settle
 
@@ -192,8 +192,8 @@ def patched_texts(targets: DataFrame, judged: DataFrame, target: list[str], keys
         for batch in batches:
             done = []
             for steps, body in zip(batch["_todo"], batch["_text"], strict=True):
-                steps = [] if steps is None else [(list(s["place"]), s["op"], s["key"], s["new_value"], s["note"]) for s in steps]
-                done.append(rewrite(body or "", steps) if steps else body)
+                steps = () if steps is None else tuple((tuple(s["place"]), s["op"], s["key"], s["new_value"], s["note"]) for s in steps)
+                done.append((kept_rewrite if len(body or "") <= KEPT_CHARS else rewrite)(body or "", steps) if steps else body)
             yield batch[keys].assign(patched_text=done)
 
     return spread(rows).mapInPandas(write, f"{schema}, patched_text string")

@@ -6,6 +6,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from driftwell.functions import trees
 from driftwell.functions.trees import document_nodes, equality_key, identity, parse, rewrite, walk
 from driftwell.operators import patches
 
@@ -167,3 +168,14 @@ def test_weak_is_what_lies_below_an_unsure_element(spark):
     pairs = spark.createDataFrame([("p", "t")], "program string, target string")
     sites = patches.resolve(edits.join(pairs, "program"), target, ["program"], ["target"]).collect()
     assert sorted((s.key, s.route, s.weak, s.current) for s in sites) == [("if", "jobs.b.steps[1]", True, "1"), ("k", "jobs.b.steps[0].with", False, "1")]
+
+
+def test_texts_alike_are_rewritten_once(monkeypatch):
+    """Targets of one text and the same steps share what a worker has written; other steps and texts don't."""
+    made = []
+    monkeypatch.setattr(trees, "rewrite", lambda text, steps: made.append(text) or rewrite(text, steps))
+    trees.kept_rewrite.cache_clear()
+    one, two = [(((), "set", "a", n, None),) for n in ("1", "2")]
+    assert [trees.kept_rewrite(t, s) for t, s in [("a: 0\n", one), ("a: 0\n", one), ("a: 0\n", two), ("a: 5\n", one)]] == ["a: 1\n", "a: 1\n", "a: 2\n", "a: 1\n"]
+    assert made == ["a: 0\n", "a: 0\n", "a: 5\n"]
+    trees.kept_rewrite.cache_clear()

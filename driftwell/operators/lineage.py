@@ -30,3 +30,13 @@ def settle(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def unsized(df: DataFrame) -> DataFrame:
+    """df as rows of unknown size, where the files that they come of tell nothing of it (parsed or composed texts).
+
+    Spark takes what comes of a small file to be small, checkpointed or not, and sends it through the driver to join it.
+    Of an RDD, an empty one here, it knows no size: joins are shuffled, and broadcast where what was shuffled proves small.
+    """
+    empty = df.sparkSession.createDataFrame(df.sparkSession.sparkContext.emptyRDD(), df.schema)
+    return df.unionAll(empty)

@@ -16,7 +16,7 @@ from ..functions.columns import SHA, split_action, value_sketch
 from ..functions.dealing import spread
 from ..functions.trees import KEPT_CHARS, kept_rewrite, rewrite
 from .diffs import diff_path_maps
-from .lineage import settle
+from .lineage import settle, unsized
 
 #: Operations of an edit and what becomes of it.
 PRESENT, ABSENT, REWRITE = "ensure_present", "ensure_absent", "rewrite_value"
@@ -52,7 +52,7 @@ def _leaves(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 def compile_edits(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, EDIT) of programs from the nodes of both versions (``document_nodes`` under the program's keys)."""
-    before, after = settle(before), settle(after)
+    before, after = settle(unsized(before)), settle(unsized(after))
     changes = diff_path_maps(_leaves(before, keys), _leaves(after, keys), keys, equal="eq")
     changes = settle(changes.withColumn("segments", F.coalesce("new.segments", "old.segments")))
     plain = ~F.exists("segments", lambda s: s.startswith("["))
@@ -104,7 +104,7 @@ def resolve(edits: DataFrame, targets: DataFrame, program: list[str], target: li
     edits: one row an edit and target (program and target columns both there). targets: nodes under ``target``.
     An edit without a site gives one row with a null route.
     """
-    keys, targets = [*program, *[c for c in target if c not in program]], settle(targets)
+    keys, targets = [*program, *[c for c in target if c not in program]], settle(unsized(targets))
     # An element is weakly named if its list has others that look the same, or if only running identifies it.
     elements = _elements(targets).select(*target, "segments", "path", F.try_element_at(anchor_pattern(F.col("segments")), F.lit(-1)).alias("_last"))
     alike = Window.partitionBy(*target, name_of(F.slice("segments", 1, F.size("segments") - 1)), "_last")
@@ -185,7 +185,7 @@ def patched_texts(targets: DataFrame, judged: DataFrame, target: list[str], keys
     step = F.struct("ordinal", place.alias("place"), F.col("write").alias("op"), "key", "new_value", "note")
     # A target has few operations, so that they are one row's list.
     todo = judged.filter("write is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(step)).alias("_todo"))
-    rows = judged.select(*keys).distinct().join(todo, keys, "left").join(targets.select(*target, F.col(text).alias("_text")), target)
+    rows = judged.select(*keys).distinct().join(todo, keys, "left").join(unsized(targets.select(*target, F.col(text).alias("_text"))), target)
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +205,7 @@ def apply_programs(edits: DataFrame, pairs: DataFrame, texts: DataFrame, nodes:
     pairs: (program, target) to be tried. A target without a program gives no row; that is a left join on pairs.
     """
     keys = [*program, *[c for c in target if c not in program]]
-    judged = settle(judge_sites(resolve(edits.join(pairs, program), nodes, program, target), pins))
+    judged = settle(judge_sites(resolve(edits.join(unsized(pairs), program), nodes, program, target), pins))
     return patched_texts(texts, judged, target, keys), edit_outcomes(judged, keys)
 
 

@@ -10,7 +10,7 @@ from ..functions.syntax import document_tokens
 from ..functions.trees import document_nodes
 from ..functions.columns import commit_folder
 from ..operators import patches
-from ..operators.lineage import shared_folder
+from ..operators.lineage import shared_folder, unsized
 from ..sources import filetree
 from ..sources.tables import read_meta
 from .tables import table
@@ -58,7 +58,7 @@ def lossless_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts put together again from the tokens of their syntax trees and what lies between; tokens by kind."""
-    docs = _documents(spark, sf_dir).select("program", "text")
+    docs = unsized(_documents(spark, sf_dir).select("program", "text"))
     tokens = document_tokens(docs, ["program"])
     leaf = F.col("kind").isin("scalar", "alias")
     token = F.struct("start", "end", (F.col("role") == "key").alias("key"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from driftwell.functions import trees
 from driftwell.functions.trees import document_nodes, equality_key, identity, parse, rewrite, walk
 from driftwell.operators import patches
+from driftwell.operators.lineage import settle, unsized
 
 BEFORE = """\
 name: ci
@@ -179,3 +180,25 @@ def test_texts_alike_are_rewritten_once(monkeypatch):
     assert [trees.kept_rewrite(t, s) for t, s in [("a: 0\n", one), ("a: 0\n", one), ("a: 0\n", two), ("a: 5\n", one)]] == ["a: 1\n", "a: 1\n", "a: 2\n", "a: 1\n"]
     assert made == ["a: 0\n", "a: 0\n", "a: 5\n"]
     trees.kept_rewrite.cache_clear()
+
+
+def test_rows_of_a_small_input_are_not_planned_to_go_through_the_driver(spark, monkeypatch):
+    plans, settle = [], patches.settle
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())  # noqa: E731  before it runs: what is broadcast then was measured
+    monkeypatch.setattr(patches, "settle", lambda df: planned(df) or settle(df))
+    sides = {"before": "concat('a: 1\nb: {x: ', id, '}\n')", "after": "concat('a: ', id + 2, '\nb: {}\n')", "text": "concat('# t\na: 1   # one\nb: {x: ', id, ', y: 2}\n')"}
+    docs = spark.range(40).selectExpr("CAST(id AS STRING) AS program", *[f"{text} AS {side}" for side, text in sides.items()])
+    edits = patches.compile_edits(*[document_nodes(docs, ["program"], text=c) for c in ("before", "after")], ["program"])
+    patched, outcomes = patches.apply_programs(edits, docs.select("program"), docs, document_nodes(docs, ["program"]), ["program"], ["program"])
+    found = patched.join(patches.run_summary(outcomes, ["program"]), "program")
+    planned(found)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert {int(r.program): r.patched_text for r in found.collect()} == {n: f"# t\na: {n + 2}   # one\nb: {{y: 2}}\n" for n in range(40)}
+
+
+def test_rows_of_unknown_size_are_the_same_rows(spark):
+    rows = spark.range(20).repartition(3).selectExpr("id", "array(struct(CAST(id AS STRING) AS s)) AS a", "CAST(NULL AS INT) AS n")
+    same = unsized(rows)
+    assert same.schema == rows.schema and sorted(same.collect()) == sorted(rows.collect()) and same.rdd.getNumPartitions() == 3
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size(rows) < 10_000 and size(settle(same)) > 2**60
